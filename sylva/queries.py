@@ -1,0 +1,10 @@
+"""Registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def entry(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
