@@ -1,3 +1,12 @@
-"""sylva: structural queries over semi-structured text, expressed as Spark plans."""
+"""sylva: structural queries over semi-structured text, expressed as Spark plans.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
