@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated_pairs
 from .near_dedup import near_duplicates
 
 
@@ -12,5 +13,27 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "item_shingles", "question_found", "answer_found")
+
+
+OP7_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+', ' ', 'g')), ' ') AS w FROM documents),
+iw AS (SELECT row_number() OVER () AS k, item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+', ' ', 'g')), ' ') AS w FROM benchmark),
+ish AS (
+  SELECT k, item_id, p, greatest(1, len(w) - 4) AS n, least(5, len(w)) AS width,
+    array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS s
+  FROM iw, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(p) WHERE w[1] <> ''),
+dsh AS (
+  SELECT DISTINCT r, doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) t(p)
+  UNION SELECT r, doc_id, array_to_string(w[p:p + width - 1], ' ') FROM dw, (SELECT DISTINCT width FROM ish WHERE width < 5), unnest(range(1, len(w) - width + 2)) t(p)),
+f AS (
+  SELECT r, doc_id, k, item_id, n, count(*) FILTER (p <= (n + 1) // 2) AS q, count(*) FILTER (p > (n + 1) // 2) AS a
+  FROM ish JOIN dsh USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS item_shingles, q AS question_found, a AS answer_found FROM f
+WHERE 100 * (q + a) >= 75 * n AND 100 * q >= 50 * ((n + 1) // 2) AND 100 * a >= 50 * (n - (n + 1) // 2)
+"""
+
+QUERIES = {"op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
+ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
