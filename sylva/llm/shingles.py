@@ -7,7 +7,7 @@ import xxhash
 
 SHINGLE = 5
 #: Words remembered by one worker; the memory starts anew beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
