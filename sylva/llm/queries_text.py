@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .decontaminate import contaminated_pairs
+from .langid import fit_language_model, label_documents
 from .near_dedup import near_duplicates
+from .pii import BASE, personal_spans
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +38,27 @@ SELECT doc_id, item_id, n AS item_shingles, q AS question_found, a AS answer_fou
 WHERE 100 * (q + a) >= 75 * n AND 100 * q >= 50 * ((n + 1) // 2) AND 100 * a >= 50 * (n - (n + 1) // 2)
 """
 
-QUERIES = {"op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = fit_language_model(docs.where(~held_out))
+    return label_documents(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", "n_other")
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    base = F.filter("spans", lambda s: s.kind.isin(*BASE))
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op3_personal_data": op3_personal_data, "op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
 ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
