@@ -10,12 +10,21 @@ from .decontaminate import contaminated_pairs
 from .langid import fit_language_model, label_documents
 from .near_dedup import near_duplicates
 from .pii import BASE, personal_spans
+from .quality import fit_quality_model, score_documents
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = fit_quality_model(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_documents(docs, model, "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", "item_shingles", "question_found", "answer_found")
@@ -60,5 +69,5 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_personal_data": op3_personal_data, "op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
+QUERIES = {"op2_language_id": op2_language_id, "op3_personal_data": op3_personal_data, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
 ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
