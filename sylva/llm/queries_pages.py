@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
+from .html_text import main_texts
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op5_nearest": op5_nearest}
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op8_html_text": op8_html_text, "op5_nearest": op5_nearest}
 ORACLES: dict[str, str] = {}
