@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import settle, shared_dir
+
+__all__ = ["WORD", "ascii_lower", "crc_mod", "n_words", "settle", "shared_dir", "table"]
+
 #: Words are runs of characters other than these (space and \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in spark.checkpoint.dir; a folder of our own is set only for a
-    session in which the setting is missing and everything runs in one process.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = "file://" + tempfile.mkdtemp(prefix="sylva-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

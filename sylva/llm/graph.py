@@ -13,14 +13,19 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: Edges in one file, at least.
+FILE_EDGES = 200_000
+
+
+def components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """id, root: every vertex of edges (a, b) but the roots, with the smallest vertex it reaches.
 
     Each step only groups by a vertex to find its smallest neighbour, then joins that one row back,
     so a vertex with very many neighbours is pre-aggregated and its rows stay divisible. Edges
-    shrink to stars; the loop ends when a round leaves them as they were. Null ends are ignored.
+    shrink to stars; the loop ends when a round leaves them as they were. Null ends are ignored. files
+    is the most files that the first edges are written to.
     """
-    now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, files)
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +33,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
-        now = settle(small, name)
+        now = settle(small, name, 1 + 2 * mark[0] // FILE_EDGES)
         before, mark = mark, _mark(now)
         if mark == before:
             break

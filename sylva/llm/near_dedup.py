@@ -7,8 +7,9 @@ are confirmed on the full sets (100 * intersection >= 75 * union).
 No group is expanded into pairs. Equal sets are one vertex. In a bucket every vertex is compared
 with one hub, another one in each band: first with the best of its hubs, then with the others that
 are still in another component. Buckets that hold several components after that are gone through
-completely in blocks of bounded size, by signature, and pairs across components that look alike
-(screen, far below the limit) are confirmed on full sets too.
+completely in blocks of bounded size: pairs across components whose signatures agree often enough
+(SCREEN, far below the limit) are confirmed on full sets inside the block, the likeliest first, and
+only links that join two components leave it.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
 nothing (their own component, kept); rows that share a doc_id count as one vertex, and repeated rows
@@ -38,6 +39,8 @@ BAND_ROWS = 4
 SIMILARITY = 75
 #: Share of equal signature values below which no pair of the limit's similarity falls: four standard deviations.
 SCREEN = 0.6
+#: Documents for each file of the tables written on the way, at least.
+FILE_ROWS = 20_000
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 2_000
 
@@ -103,26 +106,76 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[linked, ["a", "b"]]
 
 
-def _within(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components of one block pair that look alike; side 0 against side 1, or side 0 against itself."""
+def _open_pairs(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, other rows and their signature agreement: pairs of the block in two components that look alike.
+
+    Side 0 is compared with side 1, or with itself if there is no other side. A pair belongs to the
+    first band that both share, so it comes up in one bucket only.
+    """
     sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
+    bands = sig.view("<u8")
+    band, values = int(pdf["band"].iloc[0]), sig.shape[1]
     side, comp, n, v = (pdf[c].to_numpy() for c in ("side", "comp", "n_shingles", "v"))
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    # rows of the largest component need no comparison with each other
-    values, counts = np.unique(comp[left], return_counts=True)
-    main = values[counts.argmax()]
-    a, b = [], []
-    for i in left:
-        at = right[comp[right] != comp[i]]
-        if right is left:
-            at = at[(comp[at] == main) | (v[at] > v[i])] if comp[i] != main else at[:0]
-        at = at[(100 * np.minimum(n[at], n[i]) >= SIMILARITY * np.maximum(n[at], n[i]))]
-        if len(at):
-            at = at[(sig[at] == sig[i]).mean(axis=1) >= SCREEN]
-            a.extend([v[i]] * len(at))
-            b.extend(v[at])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    right = np.flatnonzero(side == 1)
+    alone = not len(right)
+    others = slice(0) if alone else slice(int(right[0]), int(right[-1]) + 1)
+    least = int(np.ceil(SCREEN * values))
+    for i in np.flatnonzero(side == 0):
+        at = slice(int(i) + 1, len(pdf)) if alone else others
+        # a row of equal marks is added up eight at a time
+        marks = (sig[at] == sig[i]).view(np.uint64).sum(axis=1)
+        equal = (marks * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        found = np.flatnonzero((equal >= least) & (comp[at] != comp[i]) & (100 * np.minimum(n[at], n[i]) >= SIMILARITY * np.maximum(n[at], n[i])) & (v[at] != v[i]))
+        if len(found):
+            rows = found + at.start
+            own = ~(bands[rows, :band] == bands[i, :band]).any(axis=1)
+            if own.any():
+                yield i, rows[own], equal[found[own]].astype(np.int32)
+
+
+def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that are in an open pair, side 0 first."""
+    pdf = pdf.sort_values("side", kind="stable", ignore_index=True)
+    flagged = np.zeros(len(pdf), bool)
+    for i, at, _ in _open_pairs(pdf):
+        flagged[i] = True
+        flagged[at] = True
+    return pdf.loc[flagged]
+
+
+def _settle_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links among the open pairs of a block, confirmed on full sets; pairs already joined by a link found here are passed over."""
+    pdf = pdf.sort_values("side", kind="stable", ignore_index=True)
+    open_ = [(np.full(len(at), i, np.int32), at.astype(np.int32), alike) for i, at, alike in _open_pairs(pdf)]
+    if not open_:
+        return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
+    left, right, alike = (np.concatenate(x) for x in zip(*open_, strict=True))
+    order = np.argsort(-alike, kind="stable")
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    v, comp = pdf["v"].to_numpy(), pdf["comp"].to_numpy()
+    parent: dict = {}
+
+    def top(c):
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    links = []
+    for i, k in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        a, b = top(comp[i]), top(comp[k])
+        if a != b:
+            both, union = jaccard_counts(sets[i], sets[k])
+            if 100 * both >= SIMILARITY * union:
+                parent[max(a, b)] = min(a, b)
+                links.append((v[i], v[k]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), hashes).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.binary())], ["v", "shingles"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -132,17 +185,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = settle(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "dedup-signed")
+    files = max(12, docs.count() // FILE_ROWS)
+    signed = settle(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "dedup-signed", files)
     sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("doc_id").alias("root"))
     # nulls sort first in a struct: the row that carries the root is taken by its own id
     firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("f"))
-    vertices = settle(firsts.select(F.col("f.doc_id").alias("v"), F.col("f.text_hash").alias("text_hash"), F.col("f.n_shingles").alias("n_shingles"), F.col("f.sig").alias("sig")), "dedup-vertices")
+    vertices = settle(firsts.select(F.col("f.doc_id").alias("v"), F.col("f.text_hash").alias("text_hash"), F.col("f.n_shingles").alias("n_shingles"), F.col("f.sig").alias("sig")), "dedup-vertices", files)
 
     width = 2 * BAND_ROWS
-    bands = F.explode(F.expr(f"transform(sequence(0, {2 * PERMUTATIONS // BAND_ROWS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
-    posted = vertices.select(bands.alias("bucket"), "v", "n_shingles")
+    bands = F.posexplode(F.expr(f"transform(sequence(0, {2 * PERMUTATIONS // BAND_ROWS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
+    posted = vertices.select(bands.alias("band", "bucket"), "v", "n_shingles")
     shared = posted.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = settle(posted.join(shared, "bucket"), "dedup-members")
+    members = settle(posted.join(shared, "bucket"), "dedup-members", files)
     hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "v").alias("h"), "v", "n_shingles")).alias("hub"))
     near_size = f"100 * least(n_shingles, hub.n_shingles) >= {SIMILARITY} * greatest(n_shingles, hub.n_shingles)"
     stars = _ordered(members.join(hubs, "bucket").where("v != hub.v").where(near_size).select(F.col("v").alias("a"), F.col("hub.v").alias("b"))).distinct()
@@ -153,21 +207,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def with_side(pairs: DataFrame, side: str, what: DataFrame, value: str) -> DataFrame:
         return pairs.join(what.select(F.col("v").alias(side), F.col(value).alias(f"{value}_{side}")), side)
 
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """v, text: the texts of the vertices."""
+        held = ends.distinct().join(vertices.select("v", "text_hash"), "v")
+        found = texts.join(held, (texts["doc_id"] == held["v"]) & (texts["text_hash"] == held["text_hash"])).select("v", "text")
+        return found.dropDuplicates(["v"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are links; the texts of both ends come from the documents."""
-        pairs = settle(pairs.distinct(), "dedup-pairs")
-        ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        held = ends.join(vertices.select("v", "text_hash"), "v")
-        found = texts.join(held, (texts["doc_id"] == held["v"]) & (texts["text_hash"] == held["text_hash"])).select("v", "text").dropDuplicates(["v"])
-        found = settle(found, "dedup-texts")
+        pairs = settle(pairs.distinct(), "dedup-pairs", files)
+        found = settle(texts_of(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))), "dedup-texts", files)
         full = with_side(with_side(pairs, "a", found, "text"), "b", found, "text")
-        return settle(full.mapInPandas(_confirm, "a long, b long"), "dedup-links")
+        return settle(full.mapInPandas(_confirm, "a long, b long"), "dedup-links", files)
 
-    alike = settle(with_side(with_side(stars, "a", sig, "sig"), "b", sig, "sig").mapInPandas(_alike, "a long, b long, alike double"), "dedup-alike")
+    alike = settle(with_side(with_side(stars, "a", sig, "sig"), "b", sig, "sig").mapInPandas(_alike, "a long, b long, alike double"), "dedup-alike", files)
     ends = alike.select(F.col("a").alias("v"), "a", "b", "alike").unionByName(alike.select(F.col("b").alias("v"), "a", "b", "alike"))
     best = ends.groupBy("v").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b")
     links = confirmed(best)
-    comps = components(links, "dedup-comps")
+    comps = components(links, "dedup-comps", files)
 
     def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         roots = comps.select("id", "root")
@@ -180,19 +237,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rest = across(alike.select("a", "b"), comps).join(best, ["a", "b"], "left_anti")
     links = confirmed(rest)
-    comps = components(links.unionByName(as_edges(comps)), "dedup-comps")
+    comps = components(links.unionByName(as_edges(comps)), "dedup-comps", files)
 
-    placed = members.join(comps.withColumnRenamed("id", "v"), "v", "left").select("bucket", "v", "n_shingles", F.coalesce("root", "v").alias("comp"))
+    placed = members.join(comps.withColumnRenamed("id", "v"), "v", "left").select("bucket", "band", "v", "n_shingles", F.coalesce("root", "v").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "rows")
-    open_rows = placed.join(mixed, "bucket").join(sig, "v")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    open_rows = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    sided = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = sided.select("bucket", "v", "n_shingles", "comp", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    residue = sided.groupBy("bucket", "lo", "hi").applyInPandas(_within, "a long, b long")
-    residue = _ordered(residue).join(alike.select("a", "b"), ["a", "b"], "left_anti")
-    links = confirmed(residue)
-    comps = components(links.unionByName(as_edges(comps)), "dedup-comps")
+    open_rows = placed.join(mixed, "bucket").join(sig, "v").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    sided = open_rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    sided = sided.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "v", "n_shingles", "comp", "sig")
+    block = ["bucket", "lo", "hi"]
+    flagged = settle(sided.groupBy(*block).applyInPandas(_flag, sided.schema), "dedup-open", files)
+    sets_of = settle(texts_of(flagged.select("v")).mapInArrow(_to_sets, "v long, shingles binary"), "dedup-sets", files)
+    with_sets = flagged.join(sets_of, "v")
+    links = settle(with_sets.groupBy(*block).applyInPandas(_settle_pairs, "a long, b long"), "dedup-links", files)
+    comps = components(links.unionByName(as_edges(comps)), "dedup-comps", files)
 
     roots = sets.select("set_key", "root").join(comps, sets["root"] == comps["id"], "left").select("set_key", F.coalesce(comps["root"], sets["root"]).alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
