@@ -1,12 +1,13 @@
 """Benchmark decontamination (operator 7): BM25 over test items with block-max WAND.
 
 The test items are the indexed side; every passage of every document is a query. Items are indexed
-by length class (powers of two); a class of items of up to L words is searched with passages of 2 L
+by length class (powers of two and those between); a class of items of up to L words is searched with passages of 2 L
 words every L words, so an item of the class lies wholly inside one of them. Impacts are BM25
 weights divided by the item's own score, so one threshold fits all items: 1 is an item that finds
-itself. A passage whose terms' largest impacts don't reach the threshold together cannot reach it
-for any item and is passed over, which numpy decides for all passages of a text at once; the others
-go through block-max WAND, which returns all items above the threshold.
+itself. Block-max WAND runs for all passages of a text at once: a passage whose terms' largest impacts
+don't reach the threshold together is passed over; for the others the block maxima of their terms'
+posting blocks are added up, and only blocks of items whose bound reaches the threshold are scored.
+All items above the threshold are returned.
 
 Retrieved items are verified on five-word shingles of the whole document: the first half of an
 item's shingles stands for the question, the rest for the answer. A pair is contaminated if at
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
 THRESHOLD = 0.5
-#: Postings in a block.
-BLOCK = 8
+#: Neighbouring items in a block.
+BLOCK = 4
+#: Passages times blocks that are bounded at once.
+STEP = 1_000_000
 SHINGLE = 5
 #: Percent of an item's shingles found, and of those of each part.
 FOUND, PART_FOUND = 75, 50
@@ -51,91 +54,79 @@ def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
 
 
+def _class_of(n: int) -> int:
+    """The least size of 8, 12, 16, 24, 32, ... that n words fit in."""
+    top = max(8, 1 << (n - 1).bit_length())
+    return top * 3 // 4 if n <= top * 3 // 4 and top > 8 else top
+
+
 def shingles(words: list) -> list[tuple]:
     if len(words) < SHINGLE:
         return [tuple(words)] if words else []
     return list(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-class Postings:
-    """Items that hold one term, in order, with impacts and the largest impact of each block."""
-
-    __slots__ = ("block_max", "impacts", "items", "most")
-
-    def __init__(self, rows: list[tuple[int, float]]):
-        self.items = [i for i, _ in rows]
-        self.impacts = [w for _, w in rows]
-        self.block_max = [max(self.impacts[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
-        self.most = max(self.block_max)
-
-
-class Cursor:
-    __slots__ = ("at", "p")
-
-    def __init__(self, p: Postings):
-        self.p, self.at = p, 0
-
-    @property
-    def item(self) -> int:
-        return self.p.items[self.at] if self.at < len(self.p.items) else _END
-
-    def seek(self, item: int) -> None:
-        items, at = self.p.items, self.at
-        while at < len(items) and items[at] < item:
-            last = min((at // BLOCK + 1) * BLOCK, len(items)) - 1
-            at = last + 1 if items[last] < item else at + 1
-        self.at = at
-
-    def block(self, item: int) -> tuple[float, int]:
-        """Largest impact and last item of the block that item would be in; the cursor stays."""
-        items, k = self.p.items, self.at // BLOCK
-        while k < len(self.p.block_max):
-            last = items[min((k + 1) * BLOCK, len(items)) - 1]
-            if last >= item:
-                return self.p.block_max[k], last
-            k += 1
-        return 0.0, _END
-
-
-_END = 1 << 60
-
-
-def block_max_wand(postings: list[Postings], threshold: float) -> list[tuple[int, float]]:
-    """All (item, score) with a score of at least threshold."""
-    found, cursors = [], [Cursor(p) for p in postings]
-    while True:
-        cursors = sorted((c for c in cursors if c.item != _END), key=lambda c: c.item)
-        bound, pivot = 0.0, -1
-        for k, c in enumerate(cursors):
-            bound += c.p.most
-            if bound >= threshold:
-                pivot = k
-                break
-        if pivot < 0:
-            return found
-        item = cursors[pivot].item
-        while pivot + 1 < len(cursors) and cursors[pivot + 1].item == item:
-            pivot += 1
-        blocks = [c.block(item) for c in cursors[: pivot + 1]]
-        if sum(b for b, _ in blocks) < threshold:
-            onward = min(last for _, last in blocks) + 1
-            if pivot + 1 < len(cursors):
-                onward = min(onward, cursors[pivot + 1].item)
-            for c in cursors[: pivot + 1]:
-                c.seek(onward)
-        elif cursors[0].item == item:
-            score = sum(c.p.impacts[c.at] for c in cursors[: pivot + 1])
-            if score >= threshold:
-                found.append((item, score))
-            for c in cursors[: pivot + 1]:
-                c.seek(item + 1)
-        else:
-            for c in cursors[:pivot]:
-                c.seek(item)
+class LengthClass:
+    """Items of up to size words: an inverted index whose postings come in blocks of BLOCK neighbouring items.
+
+    A term's posting blocks stand side by side: which block of items, the largest impact in it, and
+    the impact of each of its items.
+    """
+
+    def __init__(self, size: int, items: list[tuple[int, dict[int, float]]], terms: int):
+        self.size = size
+        self.items = np.array([k for k, _ in items])
+        self.blocks = -(-len(items) // BLOCK)
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for at, (_, weights) in enumerate(items):
+            for t, w in weights.items():
+                held.setdefault((t, at // BLOCK), np.zeros(BLOCK))[at % BLOCK] = w
+        keys = sorted(held)
+        self.block = np.array([b for _, b in keys], np.int64)
+        self.impacts = np.array([held[k] for k in keys])
+        self.block_max = self.impacts.max(axis=1)
+        self.at = np.searchsorted(np.array([t for t, _ in keys]), np.arange(terms + 2))
+        self.most = np.zeros(terms + 1)
+        np.maximum.at(self.most, np.array([t for t, _ in keys]), self.block_max)
+
+    def search(self, ids: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of all items that reach the threshold in a passage of the text."""
+        size, other = self.size, len(self.most) - 1
+        starts = np.arange(0, max(1, len(ids) - size), size)
+        # the upper bounds of all terms together, repeats included, first
+        summed = np.concatenate([[0.0], np.cumsum(self.most[ids])])
+        starts = starts[summed[np.minimum(starts + 2 * size, len(ids))] - summed[starts] >= threshold - 1e-6]
+        found: list[tuple[int, float]] = []
+        step = max(1, STEP // max(self.blocks, 2 * size))
+        for i in range(0, len(starts), step):
+            at = starts[i : i + step, None] + np.arange(2 * size)
+            terms = np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], other)
+            terms.sort(axis=1)
+            new = terms != other
+            new[:, 1:] &= terms[:, 1:] != terms[:, :-1]
+            passage, _ = np.nonzero(new)
+            found += self._score(passage, terms[new], len(terms), threshold)
+        return found
+
+    def _score(self, passage: np.ndarray, terms: np.ndarray, passages: int, threshold: float) -> list[tuple[int, float]]:
+        own = self.at[terms + 1] - self.at[terms]
+        posting = np.repeat(self.at[terms] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        key = np.repeat(passage, own) * self.blocks + self.block[posting]
+        bound = np.bincount(key, self.block_max[posting], passages * self.blocks)
+        open_ = bound >= threshold - 1e-9
+        if not open_.any():
+            return []
+        kept = open_[key]
+        number = np.cumsum(open_) - 1
+        cells = number[key[kept], None] * BLOCK + np.arange(BLOCK)
+        score = np.bincount(cells.ravel(), self.impacts[posting[kept]].ravel(), int(open_.sum()) * BLOCK)
+        good = np.flatnonzero(score >= threshold - 1e-9)
+        place = (np.flatnonzero(open_) % self.blocks)[good // BLOCK] * BLOCK + good % BLOCK
+        return list(zip(self.items[place].tolist(), score[good].tolist(), strict=True))
 
 
 class ItemIndex:
-    """Postings by length class, and the largest impact of each term for the first test."""
+    """All items: their shingles, and an index for each length class."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         held = [(i, w) for i, text in items if (w := tokens(text))]
@@ -145,34 +136,20 @@ class ItemIndex:
         counts = [Counter(self.terms.setdefault(x, len(self.terms)) for x in w) for _, w in held]
         df = Counter(t for c in counts for t in c)
         mean = sum(len(w) for _, w in held) / max(1, len(held))
-        self.classes = []
-        rows: dict[int, dict[int, list]] = {}
+        by_size: dict[int, list] = {}
         for k, ((_, w), c) in enumerate(zip(held, counts, strict=True)):
             norm = K1 * (1 - B + B * len(w) / mean)
             weights = {t: math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
             own = sum(weights.values())
-            size = max(8, 1 << (len(w) - 1).bit_length())
-            for t, x in weights.items():
-                rows.setdefault(size, {}).setdefault(t, []).append((k, x / own))
-        for size, by_term in sorted(rows.items()):
-            postings = {t: Postings(r) for t, r in by_term.items()}
-            most = np.zeros(len(self.terms) + 1, np.float32)
-            for t, p in postings.items():
-                most[t] = p.most
-            self.classes.append((size, postings, most))
+            by_size.setdefault(_class_of(len(w)), []).append((k, {t: x / own for t, x in weights.items()}))
+        self.classes = [LengthClass(size, rows, len(self.terms)) for size, rows in sorted(by_size.items())]
 
     def retrieve(self, ids: np.ndarray, threshold: float = THRESHOLD) -> dict[int, float]:
         """Item positions with their best passage score; ids are term numbers, the last one for other words."""
         best: dict[int, float] = {}
-        for size, postings, most in self.classes:
-            summed = np.concatenate([[0.0], np.cumsum(most[ids], dtype=np.float64)])
-            starts = np.arange(0, max(1, len(ids) - size), size)
-            ends = np.minimum(starts + 2 * size, len(ids))
-            for k in np.flatnonzero(summed[ends] - summed[starts] >= threshold - 1e-6):
-                held = [postings[t] for t in np.unique(ids[starts[k] : ends[k]]).tolist() if t in postings]
-                if sum(p.most for p in held) >= threshold:
-                    for item, score in block_max_wand(held, threshold):
-                        best[item] = max(best.get(item, 0.0), score)
+        for c in self.classes:
+            for item, score in c.search(ids, threshold):
+                best[item] = max(best.get(item, 0.0), score)
         return best
 
     def verify(self, words: list[bytes], item: int) -> tuple[int, int, int]:
