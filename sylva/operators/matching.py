@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.items import item_to_json, item_type, item_value
 from ..functions.text import line_range, lines_of, rule_message, snippet
 from ..plans.evaluate import Context, compiled
-from ..sources.parsers import parse
+from ..sources.parsers import BAD_TEXT, parse
 from ..sources.tree import Node
 from .rules import Rule, applicable
 
@@ -64,7 +64,7 @@ def match_document(content: str, path: str, language: str, rules: Sequence[tuple
             if key not in trees:
                 trees[key] = parse(content, key[0], key[1], parsing.get("ignore_whitespace", False), parsing.get("parse_depth"))
             items = compiled(rule.expression)(Context(trees[key], 1, 1, {"file": [path]}))
-        except Exception as e:
+        except BAD_TEXT as e:
             if errors:
                 yield {"file": path, "line": 1, "column": 1, "end_line": 1, "end_column": 1, "command": command, "rule_id": rule.id, "rule_index": index, "item_index": 0, "reason": str(e), "severity": "fatal", "origin": "xpath" if key in trees else "input"}
             continue

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..plans.evaluate import evaluate
-from ..plans.xpath import XPathError, normalized, parse
+from ..plans.xpath import normalized, parse
 from ..sources.languages import canonical
+from ..sources.parsers import BAD_TEXT
 from ..sources.parsers import parse as parse_tree
 from ..sources.tree import Node, Positions
 from .matching import SCHEMA, location, to_batch
@@ -254,7 +255,7 @@ def mutate(sources: DataFrame, mappings: Sequence[Mapping], command: str = "set"
                     row |= {"status": "updated" if now != content else "unchanged", "output": now}
                     if touched is not None:
                         row |= dict(zip(("line", "column", "end_line", "end_column"), location(touched), strict=True))
-                except (MutationError, XPathError, ValueError) as e:
+                except BAD_TEXT as e:
                     row |= {"severity": "fatal", "origin": "input", "reason": str(e), "status": "unchanged", "output": content}
                 rows.append(row)
             yield to_batch(rows)

@@ -1,10 +1,518 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and their SQL.
+
+Each query runs through this library's operators; the SQL states the same result over the plain tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, pages_html, table
+from .functions.text import lines_column, message_column, snippet_column
+from .operators.engine import Engine
+from .operators.matching import run_rules
+from .operators.mutation import Mapping, mutate
+from .operators.reports import expectations, grouped, schema_paths, totals, verdict
+from .operators.rules import Rule
+from .operators.sinks import gcc_lines, github_lines
+from .plans import relational, typed
+from .sources.diffs import hunks_of_diff, in_hunks, only_changed
+from .sources.documents import from_table, language_of
+from .sources.globs import in_scope
+from .sources.nodes import node_table
+from .streaming.matches import stream_matches
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules over events and document lines, with the totals of the report they give."""
+    rules = [Rule("//k[. > 90]", "large-k", severity="warning"), Rule("//line[contains(., 'password')]", "secret")]
+    sources = events_json(spark, sf_dir).unionByName(documents_text(spark, sf_dir))
+    return verdict(totals(run_rules(sources, rules, "check")))
+
+
+# -- relational plans over parsed trees ----------------------------------------------------------
+
+
+@query("SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events")
+def json_child_value(spark, sf_dir):
+    return relational.plan(node_table(events_json(spark, sf_dir), stage=False), "//k").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50")
+def json_predicate(spark, sf_dir):
+    return relational.plan(node_table(events_json(spark, sf_dir), stage=False), "//k[. > 50]").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("""
+WITH v AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT 'document' AS path, count(*) AS count, 0 AS n_values FROM v
+UNION ALL SELECT 'document/k', count(*), count(DISTINCT k) FROM v""")
+def json_schema_paths(spark, sf_dir):
+    return schema_paths(node_table(events_json(spark, sf_dir))).select("path", "count", F.size("values").alias("n_values"))
+
+
+@query("""SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS value FROM pages""")
+def html_links(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir), stage=False), "//a/@href").select("doc_id", "value")
+
+
+@query("""SELECT page_id AS doc_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<nav>.*?</nav>')) AS nav FROM pages)
+WHERE len(regexp_extract_all(nav, '<li>')) > 5 GROUP BY page_id""")
+def html_count_predicate(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//nav[count(.//li) > 5]").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&') AS value FROM pages WHERE html LIKE '%<title>%'""")
+def html_title_value(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir), stage=False), "//title/string()").select("doc_id", "value")
+
+
+@query("""SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS value FROM pages""")
+def html_comment_nodes(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir), stage=False), "//comment()").select("doc_id", F.col("text").alias("value"))
+
+
+@query("""SELECT page_id AS doc_id, replace(regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1)[2], '&amp;', '&') AS value FROM pages
+WHERE len(regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1)) >= 2""")
+def html_positional_step(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//ul/li[2]/a").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("""SELECT page_id AS doc_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id""")
+def html_descendant_axis(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//body//li").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) - 1 AS n FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1""")
+def html_sibling_axis(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//li/following-sibling::li").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, 1 AS n FROM pages WHERE html LIKE '%<li>%'""")
+def html_ancestor_axis(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//a/ancestor::nav").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, CAST(contains(html, '<title>') AS INT) + CAST(contains(html, '<h1>') AS INT) AS n FROM pages WHERE html LIKE '%<title>%' OR html LIKE '%<h1>%'""")
+def html_union(spark, sf_dir):
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//title | //h1").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages WHERE html LIKE '%<li>%'""")
+def html_intersect_except(spark, sf_dir):
+    found = relational.plan(node_table(pages_html(spark, sf_dir)), "(//nav//* intersect //li) except //a")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<(?:li|a)[ >]')) AS BIGINT) + 1 AS n FROM pages WHERE html LIKE '%<nav>%'""")
+def html_not_predicate(spark, sf_dir):
+    """Elements below nav that are neither empty of elements nor hold an article: every one."""
+    return relational.plan(node_table(pages_html(spark, sf_dir)), "//nav//*[not(article) and (a or not(li[zz]))]").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, string_split(text, chr(10))[1] AS value FROM documents WHERE text IS NOT NULL""")
+def lines_positional(spark, sf_dir):
+    return relational.plan(node_table(documents_text(spark, sf_dir)), "/document/line[1]").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("""SELECT doc_id, string_split(text, chr(10))[-1] AS value FROM documents WHERE text IS NOT NULL""")
+def lines_last(spark, sf_dir):
+    return relational.plan(node_table(documents_text(spark, sf_dir)), "/document/line[last()]").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL""")
+def lines_count(spark, sf_dir):
+    return relational.plan(node_table(documents_text(spark, sf_dir)), "count(//line)").select("doc_id", F.col("value").cast("double").alias("value"))
+
+
+@query("""SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_quantity > 40) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_quantity > 40) > 1""")
+def count_comparison(spark, sf_dir):
+    nodes = node_table(order_json(spark, sf_dir))
+    found = relational.plan(nodes, "/document[count(line[quantity > 40]) > 1]/line[quantity > 40]")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) AS value FROM lineitem GROUP BY l_orderkey""")
+def sum_per_document(spark, sf_dir):
+    return relational.plan(node_table(order_json(spark, sf_dir)), "sum(//quantity)").select("doc_id", "value")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT), l_returnflag) AS nxt FROM lineitem)
+SELECT l_orderkey AS doc_id, CAST(nxt AS VARCHAR) AS value FROM l WHERE l_returnflag = 'R' AND nxt IS NOT NULL""")
+def following_sibling_first(spark, sf_dir):
+    """The line right after each returned one: every line follows one other at most, so rows are per pair."""
+    rules = [Rule("//line[flag = 'R']/following-sibling::line[1]/n")]
+    found = run_rules(order_json(spark, sf_dir), rules, quoted=False)
+    return found.select("doc_id", "value")
+
+
+# -- interpreter -------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS doc_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN '\"high\"' ELSE '\"low\"' END AS value FROM events")
+def conditional_expression(spark, sf_dir):
+    return run_rules(events_json(spark, sf_dir), [Rule("if (//k > 50) then 'high' else 'low'")]).select("doc_id", "value")
+
+
+@query("SELECT event_id AS doc_id, '{\"k\": ' || json_extract_string(props, '$.k') || ', \"text\": \"k=' || json_extract_string(props, '$.k') || '\"}' AS tree FROM events")
+def map_constructor(spark, sf_dir):
+    return run_rules(events_json(spark, sf_dir), [Rule("//k ! map { 'k': number(.), 'text': 'k=' || . }", normalize=False)]).select("doc_id", "tree")
+
+
+@query("""SELECT l_orderkey AS doc_id, '[' || string_agg(CAST(l_linenumber * 10 AS VARCHAR), ', ' ORDER BY l_linenumber) || ']' AS tree FROM lineitem GROUP BY l_orderkey""")
+def array_constructor(spark, sf_dir):
+    return run_rules(order_json(spark, sf_dir), [Rule("array { for $n in //line/n return $n * 10 }", normalize=False)]).select("doc_id", "tree")
+
+
+@query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT) * l_linenumber) AS VARCHAR) AS value FROM lineitem GROUP BY l_orderkey""")
+def higher_order_fold(spark, sf_dir):
+    x = "fold-left(//line, 0, function($a, $l) { $a + $l/quantity * $l/n })"
+    return run_rules(order_json(spark, sf_dir), [Rule(x, normalize=False)]).select("doc_id", "value")
+
+
+@query("""SELECT l_orderkey AS doc_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS value FROM lineitem GROUP BY l_orderkey""")
+def distinct_values_join(spark, sf_dir):
+    x = "string-join(sort(distinct-values(//flag)), ',')"
+    return run_rules(order_json(spark, sf_dir), [Rule(x, normalize=False)], quoted=False).select("doc_id", "value")
+
+
+@query("""SELECT l_orderkey AS doc_id, bool_or(l_quantity > 45) AS some_large, bool_and(l_quantity > 5) AS every_above FROM lineitem GROUP BY l_orderkey""")
+def quantified_expressions(spark, sf_dir):
+    rules = [Rule("some $q in //quantity satisfies $q > 45"), Rule("every $q in //quantity satisfies $q > 5")]
+    found = run_rules(order_json(spark, sf_dir), rules)
+    value = lambda k, name: F.max(F.when(F.col("rule_index") == k, F.col("value") == "true")).alias(name)
+    return found.groupBy("doc_id").agg(value(0, "some_large"), value(1, "every_above"))
+
+
+@query("""SELECT 'events/' || event_id || '.json' AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 7""")
+def file_variable(spark, sf_dir):
+    return run_rules(events_json(spark, sf_dir), [Rule("//k[. = 7]/$file", normalize=False)], quoted=False).select("value")
+
+
+# -- typed plans -------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, c_name AS name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)""")
+def descendant_join(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    return t.where(typed.condition(t, "//customer[.//order/total > 300000]", "customer")).select("c_custkey", "name")
+
+
+@query("""SELECT c_custkey, c_name AS name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+def anti_predicate(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    return t.where(typed.condition(t, "not(order)")).select("c_custkey", "name")
+
+
+@query("""SELECT c.c_custkey, coalesce(bool_or(o_orderstatus = 'P'), false) AS any_p, coalesce(bool_and(o_totalprice > 50000), true) AS all_large
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def every_some(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    return t.select("c_custkey", typed.column(t, "some $o in order satisfies $o/status = 'P'").alias("any_p"), typed.column(t, "every $o in order satisfies $o/total > 50000").alias("all_large"))
+
+
+@query("""SELECT c.c_custkey, count(o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def count_per_doc(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    return t.select("c_custkey", typed.column(t, "count(order)").alias("n"))
+
+
+@query("""SELECT o_custkey AS c_custkey, o_orderkey AS key, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""")
+def for_map_projection(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    rows = typed.select(t, "for $o in order[priority = '1-URGENT'] return map { 'key': $o/key, 'total': $o/total }", keep=("c_custkey",))
+    return rows.select("c_custkey", "value.key", "value.total")
+
+
+@query("""SELECT c_custkey, o_orderkey AS key FROM (
+  SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS r FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r = 2""")
+def typed_positional(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    return typed.select(t, "order[2]/key", keep=("c_custkey",)).select("c_custkey", F.col("value").alias("key"))
+
+
+@query("""SELECT conv_id, string_agg(role, '>' ORDER BY turn, role, text) AS roles, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_assistant,
+  coalesce(max(length(text)) FILTER (role = 'user'), 0) AS longest_user FROM conversations GROUP BY conv_id""")
+def conversation_paths(spark, sf_dir):
+    t = conversation_tree(spark, sf_dir)
+    longest = typed.column(t, "max(turn[role = 'user']/text/string-length())")
+    return t.select("conv_id", typed.column(t, "string-join(turn/role, '>')").alias("roles"), typed.column(t, "count(turn[role = 'assistant'])").alias("n_assistant"), F.coalesce(longest, F.lit(0)).alias("longest_user"))
+
+
+@query("""SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'O'""")
+def typed_pushdown(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    return t.where(typed.condition(t, "o_totalprice > 400000 and o_orderstatus = 'O'")).select("o_orderkey", typed.column(t, "o_totalprice * 2").alias("twice"))
+
+
+# -- scalar functions --------------------------------------------------------------------------
+
+
+def _functions(df: DataFrame, key: str, **expressions: str) -> DataFrame:
+    return df.select(key, *[typed.column(df, x).alias(n) for n, x in expressions.items()])
+
+
+@query("""SELECT p_partkey, contains(p_name, 'a') AS has_a, starts_with(p_type, 'S') AS starts, ends_with(p_name, 'e') AS ends, length(p_name) AS n,
+  lower(p_brand) AS lo, upper(p_name) AS up, p_brand || '/' || p_type AS joined FROM part""")
+def fn_strings(spark, sf_dir):
+    return _functions(table(spark, sf_dir, "part"), "p_partkey", has_a="contains(p_name, 'a')", starts="starts-with(p_type, 'S')", ends="ends-with(p_name, 'e')", n="string-length(p_name)", lo="lower-case(p_brand)", up="upper-case(p_name)", joined="concat(p_brand, '/', p_type)")
+
+
+@query("""SELECT p_partkey, substr(p_name, 2, 3) AS sub, substr(p_name, 3) AS rest, CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, 1, instr(p_brand, '#') - 1) ELSE '' END AS before,
+  CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, instr(p_brand, '#') + 1) ELSE '' END AS after, translate(p_type, 'ABC', 'xy') AS tr FROM part""")
+def fn_substrings(spark, sf_dir):
+    return _functions(table(spark, sf_dir, "part"), "p_partkey", sub="substring(p_name, 2, 3)", rest="substring(p_name, 3)", before="substring-before(p_brand, '#')", after="substring-after(p_brand, '#')", tr="translate(p_type, 'ABC', 'xy')")
+
+
+@query("""SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS m, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, string_split(p_type, ' ')[1] AS first,
+  CAST(len(string_split(p_type, ' ')) AS BIGINT) AS words, trim(regexp_replace(p_type, '[ \\t\\r\\n]+', ' ', 'g')) AS norm FROM part""")
+def fn_patterns(spark, sf_dir):
+    return _functions(table(spark, sf_dir, "part"), "p_partkey", m="matches(p_name, '^[a-m]')", r="replace(p_name, '[aeiou]', '_')", first="string(tokenize(p_type, ' ')[1])", words="count(tokenize(p_type, ' '))", norm="normalize-space(p_type)")
+
+
+@query("""SELECT p_partkey, floor(p_retailprice) AS lo, ceil(p_retailprice) AS hi, floor(p_retailprice + 0.5) AS near, abs(p_size - 25) AS dist, p_size % 7 AS rem, TRY_CAST(p_brand AS DOUBLE) AS num, p_size > 10 AND NOT p_size = 20 AS test FROM part""")
+def fn_numbers(spark, sf_dir):
+    return _functions(table(spark, sf_dir, "part"), "p_partkey", lo="floor(p_retailprice)", hi="ceiling(p_retailprice)", near="round(p_retailprice)", dist="abs(p_size - 25)", rem="p_size mod 7", num="number(p_brand)", test="p_size > 10 and not(p_size = 20)")
+
+
+@query("""SELECT c_custkey, coalesce(round(sum(o_totalprice), 2), 0) AS total, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS kinds
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def fn_aggregates(spark, sf_dir):
+    t = customer_tree(spark, sf_dir)
+    c = lambda x: typed.column(t, x)
+    return t.select("c_custkey", F.round(c("sum(order/total)"), 2).alias("total"), F.round(c("avg(order/total)"), 6).alias("mean"), c("min(order/total)").alias("least"), c("max(order/total)").alias("most"), c("count(distinct-values(order/status))").alias("kinds"))
+
+
+@query("""SELECT c_custkey, string_agg(o_orderkey, ' ' ORDER BY o_orderkey DESC) AS back, min(o_orderkey) AS head FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def fn_sequences(spark, sf_dir):
+    t = customer_tree(spark, sf_dir).where("order is not null")
+    return t.select("c_custkey", typed.column(t, "string-join(reverse(order/key), ' ')").alias("back"), F.get(typed.column(t, "head(order/key)"), F.lit(0)).alias("head"))
+
+
+# -- rules, reports, sinks -----------------------------------------------------------------------
+
+_LINES = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
+_WORD = Rule("//line[contains(., 'password')]", "secret", "credential in text", message="{file}:{line} {value}")
+
+
+@query(f"""SELECT doc_id, source || '/' || doc_id || '.txt' AS file, CAST(n AS INT) AS line, 'secret' AS rule_id, 'error' AS severity FROM {_LINES} WHERE contains(l, 'password')""")
+def line_contains_rule(spark, sf_dir):
+    return Engine(documents_text(spark, sf_dir)).check(_WORD).matches.select("doc_id", "file", "line", "rule_id", "severity")
+
+
+@query(f"""SELECT source || '/' || doc_id || '.txt:' || n || ':1: error: ' || source || '/' || doc_id || '.txt:' || n || ' ' ||
+  CASE WHEN length(s) > 50 THEN substr(s, 1, 47) || '...' ELSE s END AS text
+FROM (SELECT *, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS s FROM {_LINES} WHERE contains(l, 'password'))""")
+def gcc_sink(spark, sf_dir):
+    return gcc_lines(Engine(documents_text(spark, sf_dir)).check(_WORD).matches).select("text")
+
+
+@query(f"""SELECT '::warning file=' || source || '/' || doc_id || '.txt,line=' || n || ',endLine=' || n || ',col=1,endColumn=' || (strlen(l) + 1) || '::' || 'long%25 line' AS text
+FROM {_LINES} WHERE length(l) > 2000""")
+def github_sink(spark, sf_dir):
+    rule = Rule("//line[string-length(.) > 2000]", "long", "long% line", "warning")
+    return github_lines(Engine(documents_text(spark, sf_dir)).check(rule).matches).select("text")
+
+
+@query(f"""SELECT doc_id, CAST(n AS INT) AS line, 'at ' || n || ': ' || l AS message FROM {_LINES} WHERE length(l) < 12 AND length(l) > 0""")
+def template_message(spark, sf_dir):
+    found = run_rules(documents_text(spark, sf_dir), [Rule("//line[string-length(.) < 12 and . != '']")], quoted=False)
+    return found.select("doc_id", "line", message_column("at {line}: {value}", F.col("value"), F.col("line"), F.col("column"), F.col("file"), short=False).alias("message"))
+
+
+@query("""SELECT count(*) AS results, count(DISTINCT f) AS files, 0 AS fatals, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings, 0 AS infos, 0 AS updated, 0 AS unchanged, count(*) FILTER (s = 'error') = 0 AS success
+FROM (SELECT event_id AS f, 'error' AS s FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 95
+  UNION ALL SELECT event_id, 'warning' FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 3)""")
+def severity_totals(spark, sf_dir):
+    rules = [Rule("//k[. > 95]", "high"), Rule("//k[. < 3]", "low", severity="warning")]
+    return Engine(events_json(spark, sf_dir)).check(rules).totals()
+
+
+@query(f"""SELECT source AS file_group, count(*) AS n, min(doc_id) AS first_doc FROM {_LINES} WHERE contains(l, '|') GROUP BY source""")
+def group_by_file_totals(spark, sf_dir):
+    found = run_rules(documents_text(spark, sf_dir), [Rule("//line[contains(., '|')]")])
+    return found.groupBy(F.substring_index("file", "/", 1).alias("file_group")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""SELECT source || '/' || doc_id || '.txt' AS file, string_agg(n, ',' ORDER BY n) AS lines FROM {_LINES} WHERE contains(l, 'password') GROUP BY ALL""")
+def grouped_results(spark, sf_dir):
+    found = run_rules(documents_text(spark, sf_dir), [_WORD], "check")
+    return grouped(found, ["file"], ["line"]).select("file", F.array_join(F.transform("results", lambda r: r["line"].cast("string")), ",").alias("lines"))
+
+
+@query("""SELECT 0 AS rule_index, count(*) FILTER (k > 200) AS results, 'none' AS expected, count(*) FILTER (k > 200) = 0 AS passed FROM (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+UNION ALL SELECT 1, count(*) FILTER (k = 5), 'some', count(*) FILTER (k = 5) > 0 FROM (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+UNION ALL SELECT 2, count(*), '3', count(*) = 3 FROM events""")
+def expectation_test(spark, sf_dir):
+    found = run_rules(events_json(spark, sf_dir), [Rule("//k[. > 200]"), Rule("//k[. = 5]"), Rule("//k")], "test")
+    return expectations(found, ["none", "some", 3])
+
+
+@query("""SELECT 'events/' || event_id || '.json' AS file, json_extract_string(props, '$.k') AS value FROM events ORDER BY file LIMIT 25""")
+def limit_topk(spark, sf_dir):
+    return Engine(events_json(spark, sf_dir)).query("//k", limit=25, fields=("value",)).matches.select("file", "value")
+
+
+_MANY = [Rule(f"//line[contains(., '{w}')]", w) for w in ("the", "die", "que", "los", "and", "der", "les", "de", "password", "token", "AKIA", "###", "***", "|", "!!", "%%%", "@", "+1", "http", "license")]
+
+
+def _rule_counts(spark, sf_dir, rules):
+    found = run_rules(documents_text(spark, sf_dir), rules, "check")
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"""SELECT 'the' AS rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_LINES} WHERE contains(l, 'the')""")
+def rules_1(spark, sf_dir):
+    """One rule over the corpus; rules_20 shows what nineteen more cost when texts are parsed once."""
+    return _rule_counts(spark, sf_dir, _MANY[:1])
+
+
+@query(f"""SELECT w AS rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_LINES},
+(SELECT unnest(['the', 'die', 'que', 'los', 'and', 'der', 'les', 'de', 'password', 'token', 'AKIA', '###', '***', '|', '!!', '%%%', '@', '+1', 'http', 'license']) AS w)
+WHERE contains(l, w) GROUP BY w""")
+def rules_20(spark, sf_dir):
+    return _rule_counts(spark, sf_dir, _MANY)
+
+
+# -- scopes and diffs ----------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, url FROM pages WHERE regexp_full_match(url, 'https?://[^/]*example\\.com/(?:[^/]+/)*[^/]+') AND NOT regexp_matches(url, '/[0-9]+\\.html$')""")
+def glob_include_exclude(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(in_scope(F.col("url"), ["http://*example.com/**", "https://*example.com/**"], ["*.html"])).select("page_id", "url")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'yaml' WHEN 2 THEN 'python' WHEN 3 THEN 'csharp' WHEN 4 THEN 'unknown' ELSE 'markdown' END AS language FROM part""")
+def language_detection(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("a.json", "b.YML", "c.py", "d.cs", "e.zzz", "f.md")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", language_of(F.concat(F.lit("src/"), ext)).alias("language"))
+
+
+@query(f"""SELECT doc_id, CAST(n AS INT) AS line FROM {_LINES} WHERE doc_id % 3 = 0 AND n BETWEEN 2 AND 4""")
+def diff_hunk_overlap(spark, sf_dir):
+    sources = documents_text(spark, sf_dir)
+    diff = sources.where("doc_id % 3 = 0").select(F.concat(F.lit("--- a/x\n+++ b/"), F.col("path"), F.lit("\n@@ -1,1 +2,3 @@\n+new\n@@ -9,4 +9,0 @@\n-old")).alias("diff"))
+    hunks = hunks_of_diff(diff)
+    return in_hunks(run_rules(only_changed(sources, hunks), [Rule("//line")]), hunks).select("doc_id", "line")
+
+
+@query(f"""SELECT doc_id, CAST(n AS INT) AS line, l AS source FROM {_LINES} WHERE contains(l, 'ß')""")
+def source_snippet(spark, sf_dir):
+    found = run_rules(documents_text(spark, sf_dir), [Rule("//line[contains(., 'ß')]")], fields=("source",))
+    return found.select("doc_id", "line", "source")
+
+
+@query("""SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 4) AS head, array_to_string(string_split(text, chr(10))[1:2], '|') AS two FROM documents WHERE text IS NOT NULL AND regexp_full_match(string_split(text, chr(10))[1], '[ -~]*')""")
+def snippet_expressions(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").where("text is not null").where(F.element_at(F.split("text", "\n", -1), 1).rlike("^[ -~]*$"))
+    return t.select("doc_id", snippet_column(F.col("text"), F.lit(1), F.lit(1), F.lit(5)).alias("head"), F.array_join(lines_column(F.col("text"), F.lit(1), F.lit(2)), "|").alias("two"))
+
+
+# -- mutation ------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id AS doc_id, 'updated' AS status, replace(props, json_extract_string(props, '$.k'), '777') AS output FROM events WHERE json_extract_string(props, '$.k') <> '777'""")
+def set_json_value(spark, sf_dir):
+    return mutate(events_json(spark, sf_dir), [Mapping("//k", "777")]).where("status = 'updated'").select("doc_id", "status", "output")
+
+
+@query("""SELECT event_id AS doc_id, left(props, length(props) - 1) || ', "seen": true}' AS output FROM events""")
+def set_inserts_value(spark, sf_dir):
+    return mutate(events_json(spark, sf_dir), [Mapping("//seen", "true", "boolean")]).select("doc_id", "output")
+
+
+# -- other languages -----------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey AS doc_id, n_name AS value FROM nation WHERE n_regionkey = 2""")
+def xml_attributes(spark, sf_dir):
+    text = F.format_string('<nation region="%d" key="%d"><name>%s</name><!-- c --></nation>', "n_regionkey", "n_nationkey", "n_name")
+    nodes = node_table(from_table(table(spark, sf_dir, "nation"), text, F.lit("nation.xml"), None, "n_nationkey"))
+    return relational.plan(nodes, "//nation[@region = '2']/name").select("doc_id", F.col("string_value").alias("value"))
+
+
+@query("""SELECT s_suppkey AS doc_id, CAST(s_suppkey * 2 AS VARCHAR) AS value FROM supplier WHERE s_nationkey < 10""")
+def yaml_nested(spark, sf_dir):
+    text = F.format_string("supplier:\n  nation: %d\n  items:\n    - id: %d\n      n: 'x'\n    - id: %d\n", "s_nationkey", "s_suppkey", F.col("s_suppkey") * 2)
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.yaml"), None, "s_suppkey")
+    return run_rules(src, [Rule("//supplier[nation < 10]/items[2]/id")]).select("doc_id", "value")
+
+
+@query("""SELECT s_suppkey AS doc_id, s_name AS value FROM supplier""")
+def toml_tables(spark, sf_dir):
+    text = F.format_string('[a]\nn = %d\n[[a.item]]\nname = "first"\n[[a.item]]\nname = "%s"\n', F.col("s_nationkey"), "s_name")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.toml"), None, "s_suppkey")
+    return run_rules(src, [Rule("//a/item/item[2]/name")]).select("doc_id", "value")
+
+
+@query("""SELECT s_suppkey AS doc_id, s_name AS ini_value, CAST(s_nationkey AS VARCHAR) AS env_value FROM supplier""")
+def ini_and_env(spark, sf_dir):
+    t = table(spark, sf_dir, "supplier")
+    ini = from_table(t, F.format_string("; c\n[owner.main]\nname = %s\n", "s_name"), F.lit("s.ini"), None, "s_suppkey")
+    env = from_table(t, F.format_string("# c\nexport NATION=%d\n", "s_nationkey"), F.lit("s.env"), None, "s_suppkey")
+    a = run_rules(ini, [Rule("//owner.main/name")]).select("doc_id", F.col("value").alias("ini_value"))
+    return a.join(run_rules(env, [Rule("//NATION")]).select("doc_id", F.col("value").alias("env_value")), "doc_id")
+
+
+@query("""SELECT p_partkey AS doc_id, CAST(p_size % 5 + 1 AS BIGINT) AS items, p_name AS heading FROM part""")
+def markdown_blocks(spark, sf_dir):
+    text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n\n"), F.repeat(F.lit("- x\n"), (F.col("p_size") % 5 + 1).cast("int")), F.lit("\n```sql\nselect\n```\n"))
+    src = from_table(table(spark, sf_dir, "part"), text, F.lit("p.md"), None, "p_partkey")
+    found = run_rules(src, [Rule("count(//list[unordered]/item)"), Rule("//heading[h1]"), Rule("//code_block[language='sql']")])
+    pick = lambda k: F.max(F.when(F.col("rule_index") == k, F.col("value")))
+    return found.groupBy("doc_id").agg(pick(0).cast("bigint").alias("items"), pick(1).alias("heading"))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'f' || s_suppkey AS name, CAST(s_nationkey AS VARCHAR) AS returned FROM supplier""")
+def python_structure(spark, sf_dir):
+    text = F.format_string("# note\ndef f%d(a, b):\n    return %d\n\nclass K:\n    async def g(self): pass\n", "s_suppkey", "s_nationkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.py"), None, "s_suppkey")
+    found = run_rules(src, [Rule("//module/function[body/return]/name"), Rule("//function[not(async)]/body/return/int")])
+    pick = lambda k: F.max(F.when(F.col("rule_index") == k, F.col("value")))
+    return found.groupBy("doc_id").agg(pick(0).alias("name"), pick(1).alias("returned"))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'M' || s_suppkey AS value FROM supplier""")
+def code_declarations(spark, sf_dir):
+    text = F.format_string("namespace N {\n  public class C {\n    private int x;\n    public static int M%d(int a) { return F(a); }\n    void Q() { }\n  }\n}\n", "s_suppkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.cs"), None, "s_suppkey")
+    return run_rules(src, [Rule("//class[public]//method[public][static]/name")]).select("doc_id", "value")
+
+
+@query("""SELECT s_suppkey AS doc_id, 2 AS n FROM supplier""")
+def multi_operation_run(spark, sf_dir):
+    config = """
+set: {mappings: [{xpath: //port, value: 81}]}
+operations:
+  - check: {rules: [{id: p, xpath: "//port[. = 81]", severity: warning}]}
+"""
+    text = F.format_string('{"id": %d, "port": 80}', "s_suppkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.json"), None, "s_suppkey")
+    return Engine(src).run(config).matches.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+
+
+# -- streaming -----------------------------------------------------------------------------------
 
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+@query("""SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 90""")
+def streamed_matches(spark, sf_dir):
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    path = F.concat(F.lit("events/"), F.col("event_id").cast("string"), F.lit(".json"))
+    return stream_matches(from_table(stream, "props", path, "json", "event_id"), [Rule("//k[. > 90]")]).select("doc_id", "value")

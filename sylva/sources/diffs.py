@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HUNK_SCHEMA = "path string, first int, last int"
@@ -12,11 +12,10 @@ HUNK_SCHEMA = "path string, first int, last int"
 
 def hunks_of_diff(diff: DataFrame, text: str = "diff") -> DataFrame:
     """path, first, last: new-side line ranges of unified diffs (one whole diff per row); pure deletions have none."""
-    lines = diff.select(F.monotonically_increasing_id().alias("diff"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    whole = diff.select(F.monotonically_increasing_id().alias("diff"), F.split(text, "\n").alias("rows"))
+    lines = whole.select("diff", F.posexplode("rows").alias("at", "line"))
     marked = lines.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ "))
     file = F.when(F.col("line").startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("diff").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     ranged = marked.withColumn("path", F.last(file, ignorenulls=True).over(before)).where(F.col("line").startswith("@@ "))
     first = F.regexp_extract("line", r"\+(\d+)", 1).cast("int")

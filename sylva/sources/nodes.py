@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..staging import settle
-from .parsers import parse
+from .parsers import BAD_TEXT, parse
 from .tree import Node
 
 COLUMNS = (
@@ -57,7 +57,7 @@ def node_table(sources: DataFrame, mode: str | None = None, inner_values: bool =
                     continue
                 try:
                     doc = parse(text, language, mode, ignore_whitespace, parse_depth)
-                except Exception:  # a document that does not parse is left out, as a file is
+                except BAD_TEXT:  # a document that does not parse is left out, as a file is
                     continue
                 rows.extend(_rows(doc_id, path, doc, inner_values))
                 if len(rows) >= BATCH_ROWS:

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from xml.parsers.expat import ExpatError
+
+import yaml
+
 from ..languages import canonical, default_mode, supports_data_mode
 from ..tree import Node, number
 from . import braces, ini_env, json_tree, markdown, markup, plain, python_code, sql, toml_tree, yaml_tree
@@ -34,6 +38,10 @@ class ParseError(ValueError):
     """The text cannot be parsed in the asked language and mode."""
 
 
+#: What a text that its language does not allow raises.
+BAD_TEXT = (ValueError, SyntaxError, RecursionError, IndexError, yaml.YAMLError, ExpatError)
+
+
 def register(language: str, mode: str, parser: Callable[[str], Node]) -> None:
     _PARSERS[canonical(language), mode] = parser
 

@@ -30,8 +30,9 @@ def structure(text: str) -> Node:
                 last = k == len(keys) - 1
                 now = reader.child(now, key, span)
                 if many and last:
+                    reader.tables.add(id(now))
                     now = now.element("item").at(span)
-                elif now.children and now.children[-1].name == "item" and not last:
+                elif id(now) in reader.tables:
                     now = now.children[-1]
             at = text.index("\n", at) if "\n" in text[at:] else len(text)
         else:
@@ -41,6 +42,7 @@ def structure(text: str) -> Node:
 class _Reader:
     def __init__(self, text: str, where: Positions):
         self.text, self.where = text, where
+        self.tables: set[int] = set()  # elements of arrays of tables
 
     def skip(self, at: int, lines: bool) -> int:
         spaces = " \t\r\n" if lines else " \t"
