@@ -158,6 +158,18 @@ class Compiler:
             return F.coalesce(v.column != 0, F.lit(False))
         return F.coalesce(F.length(v.column.cast("string")) > 0, F.lit(False))
 
+    def keeps(self, e: tuple, context: Value | None) -> Column:
+        """Like test, for a filter, where null is as good as false: comparisons of plain fields stay bare, so readers can apply them."""
+        if e[0] == "paren":
+            return self.keeps(e[1], context)
+        if e[0] == "op" and e[1] in ("and", "or"):
+            return {"and": operator.and_, "or": operator.or_}[e[1]](self.keeps(e[2], context), self.keeps(e[3], context))
+        if e[0] == "op" and e[1] in _COMPARE:
+            left, right = self.value(e[2], context), self.value(e[3], context)
+            if not left.many and not right.many and _is_number(left.kind) == _is_number(right.kind):
+                return _COMPARE[e[1]](left.column, right.column)
+        return self.test(e, context)
+
     def compare(self, op: str, left: Value, right: Value) -> Column:
         def pair(a: Value, b: Value) -> Column:
             x, y = a.column, b.column
@@ -400,23 +412,20 @@ def column(df: DataFrame, xpath: str, root: str | None = None) -> Column:
 
     With root the root element has that name, as in //customer/order.
     """
-    kind = df.schema if root is None else T.StructType([T.StructField(root, df.schema)])
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    v = Value(own if root is None else F.struct(own.alias(root)), kind)
+    v = _root(df, root)
     return Compiler(v).value(parse(xpath), v).column
 
 
 def condition(df: DataFrame, xpath: str, root: str | None = None) -> Column:
-    """The truth of an expression for each row of df."""
-    kind = df.schema if root is None else T.StructType([T.StructField(root, df.schema)])
-    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    v = Value(own if root is None else F.struct(own.alias(root)), kind)
-    return Compiler(v).test(parse(xpath), v)
+    """The truth of an expression for each row of df, for use in a filter."""
+    v = _root(df, root)
+    return Compiler(v).keeps(parse(xpath), v)
 
 
 def select(df: DataFrame, xpath: str, root: str | None = None, keep: tuple[str, ...] = (), name: str = "value") -> DataFrame:
     """One row per item of the expression's sequence, with the kept columns and the item's position in it."""
-    v = Compiler(_root(df, root)).value(parse(xpath), _root(df, root))
+    context = _root(df, root)
+    v = Compiler(context).value(parse(xpath), context)
     if not v.many:
         return df.select(*keep, F.lit(1).alias("position"), v.column.alias(name)).where(F.col(name).isNotNull())
     return df.select(*keep, F.posexplode(v.column).alias("position", name)).withColumn("position", F.col("position") + 1)

@@ -48,7 +48,8 @@ def matches_any(path: Column, patterns: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
         regex = to_regex(p)
-        out = out | path.rlike(regex if p.startswith(("/", "**")) or "://" in p else "(^|/)" + regex[1:])
+        begin = "^" if p.startswith("/") or "://" in p else "(^|/)"
+        out = out | path.rlike(begin + regex[1:])
     return out
 
 
