@@ -58,10 +58,21 @@ class BoostedTrees:
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a, b of the calibrated probability 1 / (1 + exp(-(a * margin + b))), by Newton steps."""
-    x, w = np.stack([margin, np.ones(len(margin))], 1), np.array([1.0, 0.0])
+    """a, b of the calibrated probability 1 / (1 + exp(-(a * margin + b))): Newton steps, halved until the loss falls."""
+    x, start = np.stack([margin, np.ones(len(margin))], 1), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 5e-4 * ((w - start) ** 2).sum())
+
+    w = start
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 1e-3 * (w - np.array([1.0, 0.0])))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        step, size = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * (w - start)), 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     return float(w[0]), float(w[1])

@@ -12,10 +12,10 @@ completely in blocks of bounded size: pairs across components whose signatures a
 only links that join two components leave it.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
-nothing (their own component, kept); rows that share a doc_id count as one vertex, and repeated rows
-are returned as often as they come; a null doc_id has a null component unless its set has another
-document, and is kept if it has none; an empty table gives no rows. Columns other than doc_id and
-text are not read.
+nothing (their own component, kept); repeated rows are returned as often as they come, and rows that
+share a doc_id are each judged by their own text; a row with a null doc_id gets the component of its
+set, or null and kept if no row with an id has that set; an empty table gives no rows. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -187,10 +187,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     files = max(12, docs.count() // FILE_ROWS)
     signed = settle(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "dedup-signed", files)
-    sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("doc_id").alias("root"))
-    # nulls sort first in a struct: the row that carries the root is taken by its own id
-    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("f"))
-    vertices = settle(firsts.select(F.col("f.doc_id").alias("v"), F.col("f.text_hash").alias("text_hash"), F.col("f.n_shingles").alias("n_shingles"), F.col("f.sig").alias("sig")), "dedup-vertices", files)
+    # nulls sort first in a struct, so rows without an id stand for no set
+    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("f")).select("set_key", F.col("f.doc_id").alias("least"), "f.text_hash", "f.n_shingles", "f.sig")
+    # a vertex is named by the least id of its set; where an id stands for several sets, by a hash of id and text
+    twice = firsts.groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1")
+    name = F.when(F.col("sets").isNull(), F.col("least")).otherwise(F.xxhash64("least", "text_hash"))
+    vertices = settle(firsts.join(twice, "least", "left").select(name.alias("v"), "set_key", "least", "text_hash", "n_shingles", "sig"), "dedup-vertices", files)
 
     width = 2 * BAND_ROWS
     bands = F.posexplode(F.expr(f"transform(sequence(0, {2 * PERMUTATIONS // BAND_ROWS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
@@ -209,8 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def texts_of(ends: DataFrame) -> DataFrame:
         """v, text: the texts of the vertices."""
-        held = ends.distinct().join(vertices.select("v", "text_hash"), "v")
-        found = texts.join(held, (texts["doc_id"] == held["v"]) & (texts["text_hash"] == held["text_hash"])).select("v", "text")
+        held = ends.distinct().join(vertices.select("v", "least", "text_hash"), "v")
+        found = texts.join(held, (texts["doc_id"] == held["least"]) & (texts["text_hash"] == held["text_hash"])).select("v", "text")
         return found.dropDuplicates(["v"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -252,7 +254,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(with_sets.groupBy(*block).applyInPandas(_settle_pairs, "a long, b long"), "dedup-links", files)
     comps = components(links.unionByName(as_edges(comps)), "dedup-comps", files)
 
-    roots = sets.select("set_key", "root").join(comps, sets["root"] == comps["id"], "left").select("set_key", F.coalesce(comps["root"], sets["root"]).alias("component_id"))
+    placed = vertices.select("v", "set_key", "least").join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "set_key", "least", F.coalesce("root", "v").alias("comp"))
+    joined = comps.select(F.col("root").alias("comp")).distinct()
+    lows = placed.join(joined, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("low"))
+    # written first, so that both sides of the last join are plain and a set with very many documents can be divided
+    roots = settle(placed.join(lows, "comp", "left").select("set_key", F.coalesce("low", "least").alias("component_id")), "dedup-roots", files)
     out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

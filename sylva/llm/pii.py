@@ -150,7 +150,7 @@ def _written(rng: np.random.Generator) -> tuple[list[list[float]], list[int], li
             pick("token: ", "password: ") + word(), some(digit, int(rng.integers(16, 30))), word() + "_" + word() + "_" + word() + some(digit, 2), "id " + some(digit, 8) + "-" + some(digit, 8)),
         "tel": lambda: pick(
             f"{some('12', 1)}{some(digit, 3)}-{some('01', 1)}{some(digit, 1)}-{some('012', 1)}{some(digit, 1)}", f"{some(digit, 2)}/{some(digit, 2)}/20{some(digit, 2)}",
-            f"pages {some(digit, 3)}-{some(digit, 3)}", f"version {some(digit, 2)}.{some(digit, 2)}.{some(digit, 3)}", f"order {some(digit, 4)} {some(digit, 3)}", f"total {some(digit, 3)} {some(digit, 3)}", f"{some(digit, 2)} {some(digit, 2)}"),
+            f"pages {some(digit, 3)}-{some(digit, 3)}", f"version {some(digit, 2)}.{some(digit, 2)}.{some(digit, 3)}", f"order {some(digit, 4)} {some(digit, 3)}", f"total {some(digit, 3)} {some(digit, 3)}", f"{some(digit, 2)} {some(digit, 2)}", " ".join(some(digit, 4) for _ in range(4))),
         "ssn": lambda: pick("order ", "invoice ", "id ") + f"{some(digit, 3)}-{some(digit, 2)}-{some(digit, 4)}",
         "iban": lambda: pick("", "order ", "id ") + pick(*"AB") + pick(*"XY") + some(digit, 2) + some(capitals + digit, 16),
     }
