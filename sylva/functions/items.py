@@ -115,3 +115,10 @@ def item_to_data(x, depth: int | None = None, sequences: list | None = None, pat
 
 def item_to_json(x, depth: int | None = None, sequences: list | None = None) -> str:
     return json.dumps(item_to_data(x, depth, sequences), ensure_ascii=False)
+
+
+def sequence_warnings(x) -> list[str]:
+    """What to say about map entries that became arrays because they held several items."""
+    found: list[str] = []
+    item_to_data(x, None, found)
+    return [f'"{k.rpartition(".")[2]}" matched several values and became an array; write array {{ ... }} to have one always, or (...)[1] for a single value' for k in found]

@@ -79,7 +79,7 @@ def match_document(content: str, path: str, language: str, rules: Sequence[tuple
             if "lines" in wanted and isinstance(x, Node):
                 row["lines"] = line_range(lines, line, end_line)
             if "tree" in wanted or row["item_type"] in ("map", "array"):
-                row["tree"] = item_to_json(x)
+                row["tree"] = item_to_json(x, parsing.get("tree_depth"))
             if command == "check":
                 row |= {"reason": rule.said, "severity": rule.severity}
             if rule.message:
@@ -91,8 +91,8 @@ def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t, _ in COLUMNS], NAMES)
 
 
-def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query", fields: Iterable[str] = (), quoted: bool = True, errors: bool = False, mode: str | None = None, ignore_whitespace: bool = False, parse_depth: int | None = None) -> DataFrame:
-    """Matches of all rules over all sources, unordered; fields names the costly columns to fill."""
+def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query", fields: Iterable[str] = (), quoted: bool = True, errors: bool = False, mode: str | None = None, ignore_whitespace: bool = False, parse_depth: int | None = None, tree_depth: int | None = None) -> DataFrame:
+    """Matches of all rules over all sources, unordered; fields names the costly columns to fill, tree_depth cuts trees."""
     rules, wanted = list(rules), frozenset(fields) & frozenset(COSTLY)
     work = sources.select("doc_id", "path", "language", "content", applicable(rules, F.col("path"), F.col("language")).alias("rules")).where("content is not null and size(rules) > 0")
 
@@ -100,7 +100,7 @@ def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query",
         rows: list[dict] = []
         for b in batches:
             for doc_id, path, language, own, content in zip(*(b.column(c).to_pylist() for c in ("doc_id", "path", "language", "rules")), b.column("content"), strict=True):
-                found = match_document(content.as_py(), path, language, [(k, rules[k]) for k in own], command, wanted, quoted, errors, mode=mode, ignore_whitespace=ignore_whitespace, parse_depth=parse_depth)
+                found = match_document(content.as_py(), path, language, [(k, rules[k]) for k in own], command, wanted, quoted, errors, mode=mode, ignore_whitespace=ignore_whitespace, parse_depth=parse_depth, tree_depth=tree_depth)
                 rows.extend({"doc_id": doc_id, **r} for r in found)
                 if len(rows) >= BATCH_ROWS:
                     yield to_batch(rows)

@@ -29,6 +29,8 @@ class Rule:
     valid: tuple[str, ...] = ()
     invalid: tuple[str, ...] = ()
     normalize: bool = True
+    #: Only the fixed list of beginnings keeps an expression from being looked for below any node.
+    strict: bool = False
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self):
@@ -37,7 +39,7 @@ class Rule:
 
     @property
     def expression(self) -> str:
-        return normalized(self.xpath) if self.normalize else self.xpath
+        return normalized(self.xpath, self.strict) if self.normalize else self.xpath
 
     @property
     def said(self) -> str:

@@ -124,6 +124,7 @@ class Report:
         shown = [f for f in fields if f in FIELDS]
         extra = [f for f in ("severity", "reason", "origin", "lines") if f not in shown]
         rows = [r.asDict(recursive=True) for r in self.matches.orderBy(*ORDER).collect()]
+        outputs = [{"file": r["file"], "content": r["output"]} for r in rows if r.get("output") is not None and "output" not in shown]
 
         def one(r: dict, skip: Sequence[str]) -> dict:
             out = {}
@@ -145,7 +146,13 @@ class Report:
                 if not key and by[k] != "file":
                     out += nest(own, k + 1)
                 else:
-                    out.append({by[k]: key} | ({"group": by[k + 1]} if k + 1 < len(by) else {}) | {"results": nest(own, k + 1)})
+                    group = {by[k]: key} | ({"group": by[k + 1]} if k + 1 < len(by) else {})
+                    # a file's only output stands in its group, which names the file already
+                    mine = [o for o in outputs if o["file"] == key] if by[k] == "file" else []
+                    if len(mine) == 1:
+                        outputs.remove(mine[0])
+                        group["output"] = mine[0]["content"]
+                    out.append(group | {"results": nest(own, k + 1)})
             return out
 
         out: dict = {}
@@ -153,11 +160,10 @@ class Report:
             out["summary"] = self.summary()
         if by:
             out["group"] = by[0]
-        outputs = [{"file": r["file"], "content": r["output"]} for r in rows if r.get("output") is not None and "output" not in shown]
+        results = nest(rows, 0)
         if outputs:
             out["outputs"] = outputs
-        out["results"] = nest(rows, 0)
-        return out
+        return out | {"results": results}
 
     def to_json(self, fields: Sequence[str], by: Sequence[str] = (), **options) -> str:
         return json.dumps(self.envelope(fields, by, **options), indent=2, ensure_ascii=False)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, pages_html, table
 from .functions.text import lines_column, message_column, snippet_column
+from .operators.comments import comment_blocks
 from .operators.engine import Engine
 from .operators.matching import run_rules
 from .operators.mutation import Mapping, mutate
@@ -22,6 +23,7 @@ from .plans import relational, typed
 from .sources.diffs import hunks_of_diff, in_hunks, only_changed
 from .sources.documents import from_table, language_of
 from .sources.globs import in_scope
+from .sources.languages import languages_table
 from .sources.nodes import node_table
 from .streaming.matches import stream_matches
 
@@ -496,6 +498,35 @@ def code_declarations(spark, sf_dir):
     return run_rules(src, [Rule("//class[public]//method[public][static]/name")]).select("doc_id", "value")
 
 
+@query("""SELECT s_suppkey AS doc_id, 1 AS line, 2 AS end_line, 'a' || chr(10) || 'b' || s_suppkey AS text, 2 AS comments, true AS leading FROM supplier
+UNION ALL SELECT s_suppkey, 5, 5, 'c', 1, false FROM supplier""")
+def comment_runs(spark, sf_dir):
+    text = F.format_string("; a\n; b%d\nk = 1\n\n; c\n", "s_suppkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.ini"), None, "s_suppkey")
+    return comment_blocks(node_table(src), sign="").select("doc_id", "line", "end_line", "text", F.col("comments").cast("int").alias("comments"), "leading")
+
+
+@query("""SELECT s_suppkey AS doc_id, 1 AS plus, 1 AS equal, 's' || s_suppkey AS left_name FROM supplier""")
+def operator_markers(spark, sf_dir):
+    text = F.format_string("x = s%d + 1\nif x == 2: pass\n", "s_suppkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.py"), None, "s_suppkey")
+    found = run_rules(src, [Rule("count(//binary[op/plus])"), Rule("count(//compare[op/equals])"), Rule("//binary/left/name")])
+    pick = lambda k: F.max(F.when(F.col("rule_index") == k, F.col("value")))
+    return found.groupBy("doc_id").agg(pick(0).cast("int").alias("plus"), pick(1).cast("int").alias("equal"), pick(2).alias("left_name"))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'List<T' || s_suppkey || '>' AS value FROM supplier""")
+def generic_types(spark, sf_dir):
+    text = F.format_string("class C {\n  [MaxLength(5)]\n  public List<T%d> Items { get; set; }\n}\n", "s_suppkey")
+    src = from_table(table(spark, sf_dir, "supplier"), text, F.lit("s.cs"), None, "s_suppkey")
+    return run_rules(src, [Rule("//property[attributes[contains(., 'MaxLength')]]/type[generic][arguments/type[starts-with(., 'T')]]")]).select("doc_id", "value")
+
+
+@query("""SELECT 'json' AS language, 'data' AS default_mode, true AS renders UNION ALL SELECT 'yaml', 'data', true UNION ALL SELECT 'csharp', 'structure', true""")
+def language_table(spark, sf_dir):
+    return languages_table(spark).where("renders").select("language", "default_mode", "renders")
+
+
 @query("""SELECT s_suppkey AS doc_id, 2 AS n FROM supplier""")
 def multi_operation_run(spark, sf_dir):
     config = """

@@ -68,3 +68,9 @@ def supports_data_mode(language: str) -> bool:
 
 def default_mode(language: str) -> str:
     return "data" if canonical(language) in DATA_DEFAULT else "structure"
+
+
+def languages_table(spark):
+    """language, extensions, aliases, default_mode, data_tree, renders: one row per language."""
+    rows = [(n, list(e), list(a), default_mode(n), supports_data_mode(n), n in ("json", "yaml", "csharp")) for n, (e, a) in LANGUAGES.items()]
+    return spark.createDataFrame(rows, "language string, extensions array<string>, aliases array<string>, default_mode string, data_tree boolean, renders boolean")

@@ -1,4 +1,4 @@
-"""Languages with braces (and Ruby): declarations, their names, modifiers, parameters and bodies, calls and comments.
+"""Languages with braces (and Ruby): declarations with names, types, modifiers, parameters and bodies; imports, calls, binary operations and comments.
 
 No grammar of these languages can be had offline, so only declaration-level elements are made; a
 grammar library can be plugged in with register().
@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..operators_table import add_op
 from ..tree import Node, Positions, document
 
 
@@ -35,10 +36,14 @@ _JS = (
     ("class", rf"\bclass\s+(?P<name>{_ID})"), ("interface", rf"\binterface\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("function", rf"\bfunction\b\s*\*?\s*(?P<name>{_ID})\s*(?=[(<])"),
     ("alias", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*(?==)"), ("variable", rf"\b(?P<kind>let|const|var)\s+(?P<name>{_ID})"),
 )
+_BINARY = re.compile(rf"(?P<left>[\w.$]+(?:\([^()]*\))?)\s*(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%])(?!=)\s*(?=(?P<right>[\w.$]+))")
+_IMPORT = re.compile(r"^[ \t]*(?:using|import|use|require|from|#include)\b[^\n;(]*", re.M)
+#: Words before a name that are no type.
+_NO_TYPES = frozenset("function func fn def class interface enum struct record namespace package trait impl mod let const var type module macro import using".split())
 _NOT_CALLS = frozenset("if for while switch catch return function func fn new sizeof match elif using lock foreach typeof await def class".split())
 
 SHAPES: dict[str, Shape] = {
-    "csharp": Shape("unit", (*_C_TYPES, ("method", _METHOD)), frozenset("static async virtual override abstract sealed readonly partial const".split()) | _ACCESS, {"class": "internal", "method": "private", "interface": "internal", "enum": "internal", "struct": "internal"}, _ACCESS),
+    "csharp": Shape("unit", (*_C_TYPES, ("property", rf"(?P<name>{_ID})\s*(?=\{{\s*(?:get|set|init)\b)"), ("method", _METHOD)), frozenset("static async virtual override abstract sealed readonly partial const".split()) | _ACCESS, {"class": "internal", "method": "private", "property": "private", "interface": "internal", "enum": "internal", "struct": "internal"}, _ACCESS),
     "java": Shape("program", (*_C_TYPES[1:], ("method", _METHOD)), frozenset("static final abstract synchronized".split()) | _ACCESS, {"class": "package-private", "method": "package-private", "interface": "package-private", "enum": "package-private"}, _ACCESS),
     "rust": Shape("file", (("function", rf"\bfn\s+(?P<name>{_ID})"), ("struct", rf"\bstruct\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("trait", rf"\btrait\s+(?P<name>{_ID})"), ("impl", rf"\bimpl\b(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*(?={{)"), ("mod", rf"\bmod\s+(?P<name>{_ID})"), ("let", rf"\blet\s+(?:mut\s+)?(?P<name>{_ID})"), ("macro", rf"(?P<name>{_ID})!\s*(?=[(\[{{])")), frozenset("pub async unsafe const static mut".split()), {"function": "private", "struct": "private", "enum": "private", "trait": "private"}, frozenset(["pub"])),
     "go": Shape("file", (("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?(?P<name>{_ID})"), ("struct", rf"\btype\s+(?P<name>{_ID})\s+struct\b"), ("interface", rf"\btype\s+(?P<name>{_ID})\s+interface\b"), ("package", rf"\bpackage\s+(?P<name>{_ID})"), ("variable", rf"\bvar\s+(?P<name>{_ID})")), by_name=lambda n: "exported" if n[:1].isupper() else "unexported"),
@@ -106,7 +111,10 @@ def _parse(text: str, shape: Shape) -> Node:
             before = code[begin : m.start()]
             if name in ("method", "function_definition") and "P<name2>" not in pattern and pattern is _METHOD:
                 after = code[_matching(code, code.index("(", m.end()), "(", ")") :].lstrip()
-                if not before.strip() or re.search(r"[=.(,]|\b(?:return|new|await|throw|else)\s*$", before) or not after.startswith(("{", ";", "=>", "throws", "where", ":", "const")):
+                bare = before
+                while (less := re.sub(r"<[^<>]*>", "", bare)) != bare:
+                    bare = less
+                if not bare.strip() or re.search(r"[=.(,]|\b(?:return|new|await|throw|else)\s*$", bare) or not after.startswith(("{", ";", "=>", "throws", "where", ":", "const")):
                     continue
             e = Node("element", name)
             words = re.findall(r"[\w-]+", before) + re.findall(r"[\w-]+", m.group()[: at - m.start()])
@@ -119,8 +127,14 @@ def _parse(text: str, shape: Shape) -> Node:
                 e.element(shape.default_access[name])
             if shape.by_name:
                 e.element(shape.by_name(word))
-            e.element("name", field="name").at(where.span(at, at + len(word))).add_text(word)
             start = begin + len(before) - len(before.lstrip())
+            if name in ("method", "property", "function_definition"):
+                kind = re.sub(rf"\b(?:{'|'.join(sorted(shape.modifiers | {'public'}))})\b", " ", text[start:at]).strip()
+                if kind and not set(re.findall(r"\w+", kind)) & _NO_TYPES and not kind.startswith(("@", "[")):
+                    _type(e if name == "property" else e.element("returns", field="returns"), kind)
+            if held := re.search(r"((?:\[[^\[\]\n]*\]\s*)+)$", text[max(0, start - 600) : start]) if shape.root == "unit" else None:
+                e.element("attributes").add_text(held.group(1).strip())
+            e.element("name", field="name").at(where.span(at, at + len(word))).add_text(word)
             end = _body(e, code, text, m.end(), where)
             taken.add(at)
             found.append((start, end, e.at(where.span(start, end))))
@@ -131,9 +145,21 @@ def _parse(text: str, shape: Shape) -> Node:
         e = Node("element", "call").at(where.span(m.start(), end))
         e.element("name").add_text(m.group("name"))
         found.append((m.start(), end, e))
-    for c in comments:
+    for m in _BINARY.finditer(code):
+        if m.group("left") in _NOT_CALLS:
+            continue
+        e = Node("element", "binary").at(where.span(m.start(), m.end("right")))
+        e.element("left", field="left").add_text(text[m.start("left") : m.end("left")])
+        add_op(e, m.group("op"))
+        e.element("right", field="right").add_text(text[m.start("right") : m.end("right")])
+        found.append((m.start(), m.end("right"), e))
+    for m in _IMPORT.finditer(code):
+        e = Node("element", "import").at(where.span(m.start(), m.end()))
+        e.element("name").add_text(text[m.start() : m.end()].split(None, 1)[-1].strip().strip("\"'<>"))
+        found.append((m.start(), m.end(), e))
+    for c in _grouped(comments, text) if shape.line_comment == "//" else comments:
         start = where.starts[c.line - 1] + len(text[where.starts[c.line - 1] :].encode()[: c.column - 1].decode("utf-8", "ignore"))
-        found.append((start, start + len(c.children[0].text), c))
+        found.append((start, start + 1, c))
     stack: list[tuple[int, Node]] = [(len(text) + 1, root)]
     for start, end, e in sorted(found, key=lambda x: (x[0], -x[1])):
         while stack[-1][0] <= start:
@@ -145,6 +171,57 @@ def _parse(text: str, shape: Shape) -> Node:
     return document(root)
 
 
+def _type(parent: Node, text: str) -> None:
+    """A type with markers of generic and nullable types; its string value is the text."""
+    e = parent.element("type", field="type")
+    if text.endswith("?"):
+        e.element("nullable")
+    m = re.match(r"([\w.]+)<(.*)>(.*)$", text, re.S)
+    if not m:
+        e.add_text(text)
+        return
+    e.element("generic")
+    e.add_text(m.group(1))
+    arguments = e.element("arguments")
+    arguments.add_text("<")
+    depth, at, parts = 0, 0, []
+    for k, c in enumerate(m.group(2)):
+        depth += (c in "<([") - (c in ">)]")
+        if c == "," and not depth:
+            parts.append(m.group(2)[at:k])
+            at = k + 1
+    parts.append(m.group(2)[at:])
+    for k, p in enumerate(parts):
+        if k:
+            arguments.add_text("," + p[: len(p) - len(p.lstrip())])
+        _type(arguments, p.strip())
+    arguments.add_text(">")
+    e.add_text(m.group(3))
+
+
+def _grouped(comments: list[Node], text: str) -> list[Node]:
+    """Line comments on adjacent lines as one; a comment right above code is leading, one after code on its line trailing."""
+    rows = text.split("\n")
+    out: list[Node] = []
+    for c in comments:
+        last = out[-1] if out else None
+        own_line = not rows[c.line - 1].encode()[: c.column - 1].strip()
+        said = c.children[0].text
+        if last is not None and said.startswith("//") and last.children[0].text.startswith("//") and own_line and last.end_line + 1 == c.line and not rows[last.line - 1].encode()[: last.column - 1].strip():
+            last.children[0].text += "\n" + said
+            last.end_line, last.end_column = c.end_line, c.end_column
+        else:
+            out.append(c)
+    for c in out:
+        before = rows[c.line - 1].encode()[: c.column - 1].strip()
+        below = rows[c.end_line].strip() if c.end_line < len(rows) else ""
+        if before:
+            c.element("trailing")
+        elif below and not below.startswith(("//", "/*", "}", "*")):
+            c.element("leading")
+    return out
+
+
 def _body(e: Node, code: str, text: str, at: int, where: Positions) -> int:
     """Parameters and body that follow a declaration's name; where the declaration ends."""
     m = re.compile(r"\s*(?:<[^<>()]*>)?\s*\(").match(code, at)

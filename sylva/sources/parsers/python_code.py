@@ -6,6 +6,7 @@ import ast
 import io
 import tokenize
 
+from ..operators_table import add_op
 from ..tree import Node, document
 
 _OPERATORS = {
@@ -65,7 +66,7 @@ def _operation(parent: Node, name: str, n: ast.AST, op: ast.AST, operands: list,
     e = _element(parent, name, n)
     if len(operands) > 1:
         _put(e.element("left", field="left"), operands[0], lines)
-    e.element("op").add_text(_OPERATORS[type(op)])
+    add_op(e, _OPERATORS[type(op)])
     _put(e.element("right" if len(operands) > 1 else "argument"), operands[-1], lines)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..operators_table import add_op
 from ..tree import Node, Positions, document
 
 _TOKEN = re.compile(r"(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<string>N?'(?:[^']|'')*')|(?P<number>\d+(?:\.\d+)?)|(?P<name>\[[^\]]+\]|\"[^\"]+\"|[@#]{0,2}[A-Za-z_][\w$]*)|(?P<op><>|!=|<=|>=|[-+*/%=<>(),.;])|(?P<space>\s+)|(?P<other>.)", re.S)
@@ -78,7 +79,7 @@ def structure(text: str) -> Node:
             parent = stack[-1][0] if stack else root
             if kind == "op" and word in ("=", "<", ">", "<=", ">=", "<>", "!="):
                 e = parent.element("compare").at(span)
-                e.element("op").add_text(word)
+                add_op(e, word)
             elif kind == "op" and word == "*":
                 parent.element("star").at(span)
             elif kind == "name" and nxt == "(" and not low.startswith("@") and low not in ("in", "and", "or", "not", "as"):
