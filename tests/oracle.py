@@ -6,11 +6,12 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(frame) -> list[str]:
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if hasattr(v, "item"):
             v = v.item()
