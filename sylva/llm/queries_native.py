@@ -95,5 +95,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP10_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS n, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT n, page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(v, rh, rp)),
+f AS (
+  SELECT n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN r
+  ON (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp) GROUP BY n),
+u AS (SELECT n, host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS url FROM h),
+l AS (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (
+    SELECT DISTINCT n, src, translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+e AS (
+  SELECT 'trust' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM l
+  UNION ALL SELECT 'distrust', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM l),
+s AS (
+  SELECT 'trust' AS kind, host, count(*) FILTER (v = 'allow') AS seed FROM h JOIN f USING (n) WHERE host <> '' GROUP BY host
+  UNION ALL SELECT 'distrust', host, count(*) FILTER (v = 'block') FROM h JOIN f USING (n) WHERE host <> '' GROUP BY host),
+walk AS (
+  SELECT 0 AS k, kind, host, seed / CAST(sum(seed) OVER (PARTITION BY kind) AS DOUBLE) AS x FROM s WHERE seed > 0
+  UNION ALL SELECT k + 1, walk.kind, dst, sum(share * x) FROM walk JOIN e ON e.kind = walk.kind AND src = host WHERE k < 12 GROUP BY k, walk.kind, dst),
+g AS (
+  SELECT host, coalesce(sum(y) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(y) FILTER (kind = 'distrust'), 0) AS d
+  FROM (SELECT kind, host, x * power(0.85, k) * CASE WHEN k < 12 THEN 0.15 ELSE 1 END AS y FROM walk) GROUP BY host)
+SELECT page_id, coalesce(h.host, '') AS host, coalesce(path, '') AS path, rule,
+  coalesce(v, CASE WHEN d > 1e-9 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN f USING (n) LEFT JOIN g ON g.host = h.host
+"""
+
 QUERIES = {"op4_chat_format": op4_chat_format, "op9_mix_sources": op9_mix_sources, "op10_url_filter": op10_url_filter}
-ORACLES = {"op4_chat_format": OP4_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES = {"op4_chat_format": OP4_SQL, "op9_mix_sources": OP9_SQL, "op10_url_filter": OP10_SQL}

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm.queries_native import URL_RULES, op10_url_filter
+from sylva.llm.queries_native import OP10_SQL, URL_RULES, op10_url_filter
 from sylva.llm.urls import MAX_RULES, host_links, host_of, judge_urls, match_rule, path_of
 
 SCHEMA = "page_id long, url string, html string"
@@ -106,6 +106,19 @@ def test_cases(spark, clash, same):
     same(judge_urls(clash(df), URL_RULES), judge_urls(df, URL_RULES))
 
 
+def test_query(spark, tiny, tmp_path):
+    from .tests_oracle import assert_same
+
+    assert_same(spark, tiny, op10_url_filter, OP10_SQL)
+    rng = random.Random(8)
+    hosts = [f"h{k}.{rng.choice(['org', 'com', 'net'])}" for k in range(25)]
+    link = lambda: f'<A href="https://{rng.choice(hosts).upper()}/p">t</a>'
+    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(['/fr/1', '/de/1', '/x', ''])}", "".join(link() for _ in range(rng.randrange(5)))) for k in range(150)]
+    spark.createDataFrame([*rows, (None, None, None)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/raw")
+    next(tmp_path.joinpath("raw").glob("part-*")).rename(tmp_path / "pages.parquet")
+    assert_same(spark, str(tmp_path), op10_url_filter, OP10_SQL)
+
+
 def test_native_and_whole(spark, tiny):
     out = op10_url_filter(spark, tiny)
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
