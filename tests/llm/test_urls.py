@@ -114,7 +114,7 @@ def test_query(spark, tiny, tmp_path):
     hosts = [f"h{k}.{rng.choice(['org', 'com', 'net'])}" for k in range(25)]
     link = lambda: f'<A href="https://{rng.choice(hosts).upper()}/p">t</a>'
     rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(['/fr/1', '/de/1', '/x', ''])}", "".join(link() for _ in range(rng.randrange(5)))) for k in range(150)]
-    spark.createDataFrame([*rows, (None, None, None)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/raw")
+    spark.createDataFrame([*rows, (999, None, None)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/raw")
     next(tmp_path.joinpath("raw").glob("part-*")).rename(tmp_path / "pages.parquet")
     assert_same(spark, str(tmp_path), op10_url_filter, OP10_SQL)
 
