@@ -66,8 +66,8 @@ def personalised_rank(links: DataFrame, seeds: DataFrame, name: str, damping: fl
     A host without outgoing links gives its rank back to nobody (the walk ends there), so no
     global sum is needed between rounds. Lineage is cut every four rounds.
     """
-    total = seeds.agg(F.sum("seed").alias("total"))
-    start = seeds.crossJoin(F.broadcast(total)).where("seed > 0").select("host", (F.col("seed") / F.col("total")).alias("restart"))
+    total = seeds.agg(F.sum("seed")).first()[0] or 1.0
+    start = seeds.where("seed > 0").select("host", (F.col("seed") / F.lit(total)).alias("restart"))
     out = links.groupBy("src").agg(F.sum("weight").alias("out"))
     steps = settle(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "urls-steps")
     start = settle(start, "urls-seeds")
@@ -100,12 +100,9 @@ def judge_urls(
     )
     links = settle(host_links(pages), "urls-links")
     if links.isEmpty():  # no link carries anything: every host keeps what it restarts with
-        sums = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        ranks = seeds.crossJoin(F.broadcast(sums)).select(
-            "host",
-            ((1 - damping) * F.col("good") / F.greatest("g", F.lit(1.0))).alias("trust"),
-            ((1 - damping) * F.col("bad") / F.greatest("b", F.lit(1.0))).alias("distrust"),
-        )
+        sums = seeds.agg(F.sum("good"), F.sum("bad")).first()
+        shares = [((1 - damping) * F.col(c) / F.lit(max(1.0, s or 0.0))).alias(name) for c, s, name in (("good", sums[0], "trust"), ("bad", sums[1], "distrust"))]
+        ranks = seeds.select("host", *shares)
     else:
         trust = personalised_rank(links, seeds.select("host", F.col("good").alias("seed")), "trust", damping, rounds)
         against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
