@@ -393,6 +393,34 @@ def rules_20(spark, sf_dir):
     return _rule_counts(spark, sf_dir, _MANY)
 
 
+def _scenario(spark, sf_dir, xpath):
+    found = run_rules(documents_text(spark, sf_dir), [Rule(xpath)], "check")
+    return found.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+_SCENARIO = f"SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_LINES} WHERE "
+
+
+@query(_SCENARIO + "contains(l, 'qqqq')")
+def scenario_none(spark, sf_dir):
+    return _scenario(spark, sf_dir, "//line[contains(., 'qqqq')]")
+
+
+@query(_SCENARIO + "contains(l, '555-')")
+def scenario_sparse(spark, sf_dir):
+    return _scenario(spark, sf_dir, "//line[contains(., '555-')]")
+
+
+@query(_SCENARIO + "contains(l, '!!')")
+def scenario_dense(spark, sf_dir):
+    return _scenario(spark, sf_dir, "//line[contains(., '!!')]")
+
+
+@query(_SCENARIO + "true")
+def scenario_all(spark, sf_dir):
+    return _scenario(spark, sf_dir, "//line")
+
+
 # -- scopes and diffs ----------------------------------------------------------------------------
 
 
