@@ -26,31 +26,45 @@ class Shape:
     line_comment: str = "//"
     #: A marker made from the name itself.
     by_name: Callable[[str], str] | None = None
+    #: Calls hold what is called in a function element: a reference, or a member of an object.
+    call_function: bool = False
+    #: Further elements: a pattern with a group called at, and their name.
+    more: tuple[tuple[str, str], ...] = ()
+    #: Names of the list of parameters and of one of them.
+    parameters: tuple[str, str] = ("params", "param")
+    #: Markup elements stand in expressions.
+    markup: bool = False
 
 
+#: Stands for each character of a string literal.
+FILL = "\x01"
 _ID = r"[A-Za-z_$][\w$]*"
 _C_TYPES = (("namespace", rf"\bnamespace\s+(?P<name>[\w.]+)"), ("class", rf"\bclass\s+(?P<name>{_ID})"), ("interface", rf"\binterface\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("struct", rf"\bstruct\s+(?P<name>{_ID})"), ("record", rf"\brecord\s+(?P<name>{_ID})"))
 _METHOD = rf"(?:(?<=[\s>\]])|^)(?P<name>{_ID})(?:<[^<>()]*>)?\s*(?=\()"
 _ACCESS = frozenset("public private protected internal".split())
 _JS = (
     ("class", rf"\bclass\s+(?P<name>{_ID})"), ("interface", rf"\binterface\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("function", rf"\bfunction\b\s*\*?\s*(?P<name>{_ID})\s*(?=[(<])"),
-    ("alias", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*(?==)"), ("variable", rf"\b(?P<kind>let|const|var)\s+(?P<name>{_ID})"),
+    ("alias", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*(?==)"), ("variable", rf"\b(?P<kind>let|const|var)\s+(?P<name>{_ID}|[\[{{][^=;]*?[\]}}](?=\s*=))"),
 )
-_BINARY = re.compile(rf"(?P<left>[\w.$]+(?:\([^()]*\))?)\s*(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%])(?!=)\s*(?=(?P<right>[\w.$]+))")
+_BINARY = re.compile(rf"(?P<left>[\w.$]+(?:\([^()]*\))?|\x01+)\s*(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%])(?!=)\s*(?=(?P<right>[\w.$]+|\x01+))")
 _IMPORT = re.compile(r"^[ \t]*(?:using|import|use|require|from|#include)\b[^\n;(]*", re.M)
 #: Words before a name that are no type.
 _NO_TYPES = frozenset("function func fn def class interface enum struct record namespace package trait impl mod let const var type module macro import using".split())
-_NOT_CALLS = frozenset("if for while switch catch return function func fn new sizeof match elif using lock foreach typeof await def class".split())
+_NOT_FIELDS = frozenset("return using import package new throw else goto await yield case namespace class enum struct interface record var".split())
+_NOT_CALLS = frozenset("pub import super if for while switch catch return function func fn new sizeof match elif using lock foreach typeof await def class".split())
+
+_LAMBDA = (r"(?P<at>(?:\([^()]*\)|\b[A-Za-z_$][\w$]*)\s*(?::\s*[\w<>\[\]. |]+?)?\s*=>)", "lambda")
+_TYPED_NAME = rf"(?P<type>[A-Za-z_][\w.]*(?:<[^;(){{}}=]*>)?(?:\[\])?\??)\s+(?P<name>{_ID})\s*(?=[;=](?!=))"
 
 SHAPES: dict[str, Shape] = {
-    "csharp": Shape("unit", (*_C_TYPES, ("property", rf"(?P<name>{_ID})\s*(?=\{{\s*(?:get|set|init)\b)"), ("method", _METHOD)), frozenset("static async virtual override abstract sealed readonly partial const".split()) | _ACCESS, {"class": "internal", "method": "private", "property": "private", "interface": "internal", "enum": "internal", "struct": "internal"}, _ACCESS),
+    "csharp": Shape("unit", (*_C_TYPES, ("property", rf"(?P<name>{_ID})\s*(?=\{{\s*(?:get|set|init)\b)"), ("method", _METHOD), ("field", _TYPED_NAME)), frozenset("static async virtual override abstract sealed readonly partial const".split()) | _ACCESS, {"class": "internal", "method": "private", "property": "private", "interface": "internal", "enum": "internal", "struct": "internal", "field": "private"}, _ACCESS, more=(_LAMBDA, (r"(?<![\w.])(?P<at>\d+)(?![\w.])", "int"), (r"\b(?P<at>new\s+(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}]*>)?)(?=\s*\())", "new"), (r"(?P<at>\b\w+!\.\w+)", "member"), (r"(?P<at>\b\w+!)(?![=\w])", "postfix_unary_expression")), parameters=("parameters", "parameter")),
     "java": Shape("program", (*_C_TYPES[1:], ("method", _METHOD)), frozenset("static final abstract synchronized".split()) | _ACCESS, {"class": "package-private", "method": "package-private", "interface": "package-private", "enum": "package-private"}, _ACCESS),
     "rust": Shape("file", (("function", rf"\bfn\s+(?P<name>{_ID})"), ("struct", rf"\bstruct\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("trait", rf"\btrait\s+(?P<name>{_ID})"), ("impl", rf"\bimpl\b(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*(?={{)"), ("mod", rf"\bmod\s+(?P<name>{_ID})"), ("let", rf"\blet\s+(?:mut\s+)?(?P<name>{_ID})"), ("macro", rf"(?P<name>{_ID})!\s*(?=[(\[{{])")), frozenset("pub async unsafe const static mut".split()), {"function": "private", "struct": "private", "enum": "private", "trait": "private"}, frozenset(["pub"])),
     "go": Shape("file", (("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?(?P<name>{_ID})"), ("struct", rf"\btype\s+(?P<name>{_ID})\s+struct\b"), ("interface", rf"\btype\s+(?P<name>{_ID})\s+interface\b"), ("package", rf"\bpackage\s+(?P<name>{_ID})"), ("variable", rf"\bvar\s+(?P<name>{_ID})")), by_name=lambda n: "exported" if n[:1].isupper() else "unexported"),
-    "javascript": Shape("program", _JS, frozenset("async static export default".split())),
-    "typescript": Shape("program", _JS, frozenset("async static export default public private protected readonly abstract declare".split())),
-    "tsx": Shape("program", _JS, frozenset("async static export default public private protected readonly abstract declare".split())),
-    "ruby": Shape("program", (("class", rf"\bclass\s+(?P<name>[\w:]+)"), ("module", rf"\bmodule\s+(?P<name>[\w:]+)"), ("method", rf"\bdef\s+(?:self\.)?(?P<name>[\w]+[?!=]?)")), line_comment="#"),
+    "javascript": Shape("program", _JS, frozenset("async static export default".split()), call_function=True, more=(_LAMBDA,), markup=True),
+    "typescript": Shape("program", _JS, frozenset("async static export default public private protected readonly abstract declare".split()), call_function=True, more=(_LAMBDA,), markup=False),
+    "tsx": Shape("program", _JS, frozenset("async static export default public private protected readonly abstract declare".split()), call_function=True, more=(_LAMBDA,), markup=True),
+    "ruby": Shape("program", (("class", rf"\bclass\s+(?P<name>[\w:]+)"), ("module", rf"\bmodule\s+(?P<name>[\w:]+)"), ("method", rf"\bdef\s+(?:self\.)?(?P<name>[\w]+[?!=]?)")), line_comment="#", more=((r"^\s*(?P<at>(?P<name>(?!(?:def|class|module|end|if|unless|while|until|return|else|elsif|case|when|do|begin|rescue|ensure|yield|then|and|or|not)\b)[a-z_]\w*)[ \t]+(?=[\x01:\w@\[]).*)$", "call"),)),
     "cpp": Shape("translation_unit", (*_C_TYPES[:2], _C_TYPES[4], _C_TYPES[3], ("function_definition", _METHOD)), frozenset("static virtual inline const".split())),
     "c": Shape("translation_unit", (_C_TYPES[4], _C_TYPES[3], ("function_definition", _METHOD)), frozenset("static inline const".split())),
     "css": Shape("stylesheet", (("rule_set", r"(?:^|[};])\s*(?P<name>[^{};@]+?)\s*(?=\{)"),)),
@@ -72,7 +86,7 @@ def parser(language: str, mode: str) -> Callable[[str], Node]:
 
 
 def _blank(text: str, shape: Shape, where: Positions, comments: list[Node]) -> str:
-    """The text with strings and comments blanked out, so that patterns and braces see code alone."""
+    """The text with comments blanked out and literals filled, so that patterns and braces see code alone."""
     c = re.escape(shape.line_comment)
     skip = re.compile(rf"{c}[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 
@@ -80,7 +94,8 @@ def _blank(text: str, shape: Shape, where: Positions, comments: list[Node]) -> s
         if m.group().startswith((shape.line_comment, "/*")):
             comments.append(Node("element", "comment").at(where.span(*m.span())))
             comments[-1].add_text(m.group())
-        return re.sub(r"[^\n]", " ", m.group())
+            return re.sub(r"[^\n]", " ", m.group())
+        return re.sub(r"[^\n]", FILL, m.group())
 
     return skip.sub(hide, text)
 
@@ -104,7 +119,7 @@ def _parse(text: str, shape: Shape) -> Node:
         for m in re.finditer(pattern, code, re.M):
             word = m.groupdict().get("name") or m.groupdict().get("name2")
             at = m.start("name") if m.group("name") else m.start("name2")
-            if word in _NOT_CALLS or at in taken:
+            if word in _NOT_CALLS or at in taken or (name == "field" and m.group("type") in _NOT_FIELDS):
                 continue
             line = code.rfind("\n", 0, m.start()) + 1
             begin = max(line, code.rfind(";", line, m.start()) + 1, code.rfind("{", line, m.start()) + 1, code.rfind("}", line, m.start()) + 1)
@@ -116,7 +131,12 @@ def _parse(text: str, shape: Shape) -> Node:
                     bare = less
                 if not bare.strip() or re.search(r"[=.(,]|\b(?:return|new|await|throw|else)\s*$", bare) or not after.startswith(("{", ";", "=>", "throws", "where", ":", "const")):
                     continue
-            e = Node("element", name)
+            if name == "function" and shape.root == "file" and shape.default_access and _signature(code, m.end()):
+                continue
+            if name == "method" and shape.default_access and not _typed(before, shape):
+                e = Node("element", "constructor")
+            else:
+                e = Node("element", name)
             words = re.findall(r"[\w-]+", before) + re.findall(r"[\w-]+", m.group()[: at - m.start()])
             for w in dict.fromkeys(words):
                 if w in shape.modifiers or (w == m.groupdict().get("kind")):
@@ -128,23 +148,45 @@ def _parse(text: str, shape: Shape) -> Node:
             if shape.by_name:
                 e.element(shape.by_name(word))
             start = begin + len(before) - len(before.lstrip())
-            if name in ("method", "property", "function_definition"):
+            if name == "field":
+                _type(e, m.group("type"))
+            elif name in ("method", "property", "function_definition") and e.name != "constructor":
                 kind = re.sub(rf"\b(?:{'|'.join(sorted(shape.modifiers | {'public'}))})\b", " ", text[start:at]).strip()
                 if kind and not set(re.findall(r"\w+", kind)) & _NO_TYPES and not kind.startswith(("@", "[")):
                     _type(e if name == "property" else e.element("returns", field="returns"), kind)
             if held := re.search(r"((?:\[[^\[\]\n]*\]\s*)+)$", text[max(0, start - 600) : start]) if shape.root == "unit" else None:
                 e.element("attributes").add_text(held.group(1).strip())
             e.element("name", field="name").at(where.span(at, at + len(word))).add_text(word)
-            end = _body(e, code, text, m.end(), where)
+            end = _body(e, code, text, m.end(), where, shape)
             taken.add(at)
             found.append((start, end, e.at(where.span(start, end))))
     for m in re.finditer(rf"(?P<name>{_ID}(?:\.{_ID})*)\s*\(", code):
         if m.start("name") in taken or m.group("name") in _NOT_CALLS or re.search(r"\b(?:function|def|fn|func|new)\s+$|[!@]$", code[max(0, m.start() - 12) : m.start()]):
             continue
         end = _matching(code, m.end() - 1, "(", ")")
+        if shape.by_name and re.match(r"[ \t]+[A-Za-z*\[(]", code[end : end + 40]):
+            continue  # a method of an interface
         e = Node("element", "call").at(where.span(m.start(), end))
-        e.element("name").add_text(m.group("name"))
+        if shape.call_function:
+            _called(e.element("function", field="function"), m.group("name"))
+        else:
+            e.element("name").add_text(m.group("name"))
         found.append((m.start(), end, e))
+    for pattern, name in shape.more:
+        for m in re.finditer(pattern, code, re.M):
+            if m.groupdict().get("name") not in _NOT_CALLS:
+                e = Node("element", name).at(where.span(m.start("at"), m.end("at")))
+                if m.groupdict().get("name"):
+                    e.element("name").add_text(m.group("name"))
+                elif m.groupdict().get("type"):
+                    _type(e, m.group("type"))
+                elif name == "member":
+                    e.element("property", field="property").add_text(text[m.start("at") : m.end("at")].rpartition(".")[2])
+                else:
+                    e.add_text(text[m.start("at") : m.end("at")])
+                found.append((m.start("at"), m.end("at"), e))
+    if shape.markup:
+        _jsx(code, text, where, found)
     for m in _BINARY.finditer(code):
         if m.group("left") in _NOT_CALLS:
             continue
@@ -166,11 +208,108 @@ def _parse(text: str, shape: Shape) -> Node:
             stack.pop()
         parent = stack[-1][1]
         inner = next((c for c in parent.children if c.name == "body" and c.kind == "element"), parent)
+        if e.name == "field" and any(n.name in ("method", "constructor", "property") for _, n in stack):
+            e.name = "variable"
         inner.add(e)
         stack.append((end, e))
     return document(root)
 
 
+def _typed(before: str, shape: Shape) -> bool:
+    """Whether a type stands before a name."""
+    return bool(set(re.findall(r"[\w<>\[\]?.]+", before)) - shape.modifiers - {"public"})
+
+
+def _signature(code: str, at: int) -> bool:
+    """Whether a declaration ends without a body."""
+    stop = re.compile(r"[{;]").search(code, at)
+    return bool(stop and stop.group() == ";")
+
+
+def _called(e: Node, name: str) -> None:
+    holder, dot, last = name.rpartition(".")
+    if not dot:
+        e.element("ref")
+        e.add_text(name)
+        return
+    member = e.element("member")
+    member.element("object", field="object").add_text(holder)
+    member.element("property", field="property").add_text(last)
+
+
+_TAG = re.compile(r"<(?P<name>[A-Za-z][\w.]*)(?=[\s/>])")
+
+
+def _jsx(code: str, text: str, where: Positions, found: list) -> None:
+    """Markup elements with their tags, attributes, expressions and texts."""
+
+    def put(name: str, a: int, b: int, content: str | None = None) -> None:
+        e = Node("element", name).at(where.span(a, b))
+        if content:
+            e.add_text(content)
+        found.append((a, b, e))
+
+    def element(m: re.Match) -> int:
+        at = m.end()
+        while at < len(code):  # attributes
+            if code[at] == "{":
+                at = _matching(code, at, "{", "}")
+            elif code[at] == ">" or code.startswith("/>", at):
+                break
+            elif a := re.compile(r"[\w-]+(\s*=\s*)?").match(code, at):
+                end = a.end()
+                if a.group(1):
+                    value = code[end : end + 1]
+                    stop = _matching(code, end, "{", "}") if value == "{" else re.compile(r"\x01*").match(code, end).end()
+                    if value == "{":
+                        put("jsx_expression", end, stop, text[end:stop])
+                    end = stop
+                put("jsx_attribute", at, end)
+                at = max(end, at + 1)
+            else:
+                at += 1
+        closed = code.startswith("/>", at)
+        at = min(at + 1 + closed, len(code))
+        put("jsx_self_closing_element" if closed else "jsx_opening_element", m.start(), at)
+        if not closed:
+            at = children(at)
+            end = code.find(">", at) + 1 or len(code)
+            put("jsx_closing_element", at, end)
+            put("jsx_element", m.start(), end)
+            return end
+        return at
+
+    def children(at: int) -> int:
+        begin = at
+        while at < len(code) and not code.startswith("</", at):
+            if code[at] not in "{<":
+                at += 1
+                continue
+            said(begin, at)
+            if code[at] == "{":
+                end = _matching(code, at, "{", "}")
+                put("jsx_expression", at, end)
+                search(at + 1, end)
+                at = end
+            else:
+                m = _TAG.match(code, at)
+                at = element(m) if m else at + 1
+            begin = at
+        said(begin, at)
+        return at
+
+    def said(a: int, b: int) -> None:
+        if text[a:b].strip():
+            put("jsx_text", a, b, text[a:b].strip())
+
+    def search(at: int, end: int) -> None:
+        while m := _TAG.search(code, at, end):
+            before = code[:m.start()].rstrip()
+            at = element(m) if not before or before[-1] in "({[,;:?=&|>" or before.endswith("return") else m.end()
+
+    search(0, len(code))
+
+
 def _type(parent: Node, text: str) -> None:
     """A type with markers of generic and nullable types; its string value is the text."""
     e = parent.element("type", field="type")
@@ -222,14 +361,22 @@ def _grouped(comments: list[Node], text: str) -> list[Node]:
     return out
 
 
-def _body(e: Node, code: str, text: str, at: int, where: Positions) -> int:
+def _body(e: Node, code: str, text: str, at: int, where: Positions, shape: Shape) -> int:
     """Parameters and body that follow a declaration's name; where the declaration ends."""
     m = re.compile(r"\s*(?:<[^<>()]*>)?\s*\(").match(code, at)
     if m:
         end = _matching(code, m.end() - 1, "(", ")")
-        params = e.element("params").at(where.span(m.end() - 1, end))
+        params = e.element(shape.parameters[0]).at(where.span(m.end() - 1, end))
         for p in filter(str.strip, re.split(r",(?![^<(\[]*[>)\]])", text[m.end() : end - 1])):
-            param = params.element("param")
+            param = params.element(shape.parameters[1])
+            typed = re.match(r"\s*(?P<marks>(?:(?:this|ref|out|in|params|final)\s+)*)(?P<type>[\w.]+(?:<.*>)?(?:\[\])?\??)\s+(?P<name>\w+)\s*(?:=.*)?$", p, re.S) if shape.root in ("unit", "program") and shape.default_access else None
+            if typed:
+                for w in typed.group("marks").split():
+                    param.element(w)
+                _type(param, typed.group("type"))
+                param.add_text(" ")
+                param.element("name", field="name").add_text(typed.group("name"))
+                continue
             if ":" in p or "?" in p:
                 param.element("optional" if "?" in p.split(":")[0] or "=" in p else "required")
             param.add_text(p.strip())

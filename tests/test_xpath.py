@@ -96,7 +96,7 @@ LANGUAGES = [
     ("env", 'export A=1\n# c\nB="x y"\n', [("//A[.='1']", 1), ("//B[.='x y']", 1), ("//comment", 1)]),
     ("markdown", "# A\n\ntext\n\n## B\n\n- x\n- y\n\n1. a\n2. b\n3. c\n\n> q\n\n```python\np\n```\n\n```\nz\n```\n\n---\n", [("//heading", 2), ("//heading[h1]", 1), ("//list[ordered]", 1), ("//list[unordered]", 1), ("//item", 5), ("//blockquote", 1), ("//code_block[language='python']", 1), ("//code_block[not(language)]", 1), ("//hr", 1)]),
     ("python", 'import os\n\ndef add(a, b):\n    return a + b\n\nasync def f(x: int) -> int:\n    # c\n    return g(x)\n\nclass K(B):\n    def m(self): pass\n\nprint(add(1, 2))\n', [("function", 3), ("function[name='add']", 1), ("module", 1), ("return", 2), ("binary[op='+']", 1), ("call", 3), ("function[async]", 1), ("//function[body/return/binary]", 1), ("//function[count(body/return/binary)>0]", 1), ("comment", 1)]),
-    ("csharp", "using System;\nnamespace N {\n  public class Sample {\n    private int x;\n    public Sample() { }\n    public static int Add(int a, int b) { return a + b; }\n    void Foo() { Add(1,2); }\n  }\n  interface IX { }\n}\n", [("class[name='Sample']", 1), ("method[private]", 1), ("static", 1), ("unit", 1), ("interface[internal]", 1), ("//method[name='Add'][count(params/param)=2]", 1)]),
+    ("csharp", "using System;\nnamespace N {\n  public class Sample {\n    private int x;\n    public Sample() { }\n    public static int Add(int a, int b) { return a + b; }\n    void Foo() { Add(1,2); }\n  }\n  interface IX { }\n}\n", [("class[name='Sample']", 1), ("method[private]", 1), ("static", 1), ("unit", 1), ("interface[internal]", 1), ("//method[name='Add'][count(parameters/parameter)=2]", 1)]),
     ("rust", "pub fn a(x: i32) -> i32 { x }\nfn b() { a(1); }\npub(crate) fn c() {}", [("function", 3), ("function[pub]", 2), ("function[private]", 1), ("function[pub[crate]]", 1)]),
     ("javascript", "let x = 1; const y = 2;\nfunction add(a, b) { return f(a); }", [("function[name='add']", 1), ("variable", 2), ("variable[const]", 1), ("call", 1), ("program", 1)]),
     ("typescript", "function f(a: string, b?: number) {}", [("//param[optional]", 1), ("//param[required]", 1)]),
