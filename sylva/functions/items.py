@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from ..plans.evaluate import Array, Function, Map, Untyped, string_of
+from ..plans.evaluate import FUNCTIONS, Array, Function, Map, Untyped, string_of
 from ..sources.tree import Node, subtree_text
 
 
@@ -122,3 +122,11 @@ def sequence_warnings(x) -> list[str]:
     found: list[str] = []
     item_to_data(x, None, found)
     return [f'"{k.rpartition(".")[2]}" matched several values and became an array; write array {{ ... }} to have one always, or (...)[1] for a single value' for k in found]
+
+
+def _serialize(_c, seq: list, _options=None) -> list:
+    """fn:serialize: nodes as XML, maps and arrays as JSON, values as text."""
+    return ["".join(item_to_xml(x) if isinstance(x, Node) else item_to_json(x) if isinstance(x, (Map, Array)) else string_of(x) for x in seq)]
+
+
+FUNCTIONS["serialize"] = (1, 2, _serialize)

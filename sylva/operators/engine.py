@@ -120,7 +120,7 @@ class Engine:
     def set(self, mappings: str | Mapping | Sequence[Mapping], value: str | None = None, verify: bool = False, **options) -> Report:
         """Updates or inserts values; output holds the new texts. With verify a source that would change is a failure."""
         if isinstance(mappings, str):
-            mappings = [Mapping(mappings, value, "string")] if mappings.startswith("/") and value is not None else declared(mappings, value)
+            mappings = declared(mappings, value)
         changed = mutate(self.sources, [mappings] if isinstance(mappings, Mapping) else mappings, "set", **options)
         failed = bool(verify and changed.where("status = 'updated'").limit(1).count())
         return Report(changed, "set", failed=failed)

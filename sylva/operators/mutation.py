@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..plans.evaluate import evaluate
+from ..plans.evaluate import Context, compile_expr, evaluate
 from ..plans.xpath import normalized, parse
 from ..sources.languages import canonical
 from ..sources.parsers import BAD_TEXT
@@ -30,7 +30,7 @@ class MutationError(ValueError):
 
 @dataclass(frozen=True)
 class Mapping:
-    """An expression and the value its nodes get; kind is string, number, boolean, null or None for what was there."""
+    """An expression and the value its nodes get; kind is string, number, boolean, null, or None: as it was, and text where nothing was."""
 
     xpath: str
     value: str
@@ -40,50 +40,98 @@ class Mapping:
 
 # -- declarative expressions -------------------------------------------------------------------
 
-_SEGMENT = re.compile(r"\s*([A-Za-z_][\w.\-]*)")
-_PREDICATE = re.compile(r"\[\s*([A-Za-z_][\w.\-]*)\s*=\s*('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[^\]\s]+)\s*\]")
+_NAME = re.compile(r"\s*([A-Za-z_][\w.\-]*)\s*")
+_STRING = re.compile(r"'((?:[^']|'')*)'|\"((?:[^\"]|\"\")*)\"")
+_BARE = re.compile(r"[^\]\s]+")
+
+
+class _Declaration:
+    """A path of names with predicates: each predicate sets a value, holds further ones, or is a bare mark."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def fail(self, message: str):
+        raise MutationError(f"{message} at {self.at} in {self.text!r}")
+
+    def path(self) -> list[tuple[str, list]]:
+        """(name, predicates) of each segment; a predicate is (path, value and kind or nothing)."""
+        out = []
+        while True:
+            m = _NAME.match(self.text, self.at)
+            if not m:
+                self.fail("expected a name")
+            self.at, predicates = m.end(), []
+            while self.text[self.at : self.at + 1] == "[":
+                self.at += 1
+                inner = self.path()
+                value = None
+                if self.text[self.at : self.at + 1] == "=":
+                    self.at += 1
+                    value = self.literal()
+                while self.text[self.at : self.at + 1] == " ":
+                    self.at += 1
+                if self.text[self.at : self.at + 1] != "]":
+                    self.fail("expected ]")
+                self.at += 1
+                predicates.append((inner, value))
+            out.append((m.group(1), predicates))
+            if self.text[self.at : self.at + 1] != "/":
+                return out
+            self.at += 1
+
+    def literal(self) -> tuple[str, str]:
+        while self.text[self.at : self.at + 1] == " ":
+            self.at += 1
+        if m := _STRING.match(self.text, self.at):
+            self.at = m.end()
+            return (m.group(1).replace("''", "'"), "string") if m.group(1) is not None else (m.group(2).replace('""', '"'), "string")
+        m = _BARE.match(self.text, self.at)
+        word = m.group() if m else ""
+        if word in ("true()", "false()"):
+            value = (word[:-2], "boolean")
+        elif word == "null()":
+            value = ("null", "null")
+        elif re.fullmatch(r"-?\d+(\.\d+)?", word):
+            value = (word, "number")
+        else:
+            self.fail(f"invalid bare value {word!r}: quote it, or write true() or false()")
+        self.at = m.end()
+        return value
+
+
+def _mappings(path: list, prefix: str, value: tuple[str, str] | None) -> list[Mapping]:
+    """What a path sets: its value, what its last predicates say, or null for a bare name. Earlier predicates choose."""
+    xpath = prefix
+    for k, (name, predicates) in enumerate(path):
+        xpath += ("/" if xpath and not xpath.endswith("/") else "") + name
+        if k < len(path) - 1:
+            xpath += "".join("[" + "/".join(n for n, _ in inner) + (f"={_quoted(*v)}" if v else "") + "]" for inner, v in predicates)
+    if value is not None:
+        return [Mapping(xpath, *value)]
+    last = path[-1][1]
+    if not last:
+        return [Mapping(xpath, "null", "null")]
+    return [m for inner, v in last for m in _mappings(inner, xpath, v)]
 
 
-def _literal(raw: str) -> tuple[str, str]:
-    if raw[:1] in "\"'":
-        return raw[1:-1].replace(raw[0] * 2, raw[0]), "string"
-    if raw in ("true", "false"):
-        return raw, "boolean"
-    if raw == "null":
-        return raw, "null"
-    return raw, "number" if re.fullmatch(r"-?\d+(\.\d+)?", raw) else "string"
+def _quoted(value: str, kind: str) -> str:
+    return "'" + value.replace("'", "''") + "'" if kind == "string" else value if kind == "number" else f"'{value}'"
 
 
 def declared(expression: str, value: str | None = None) -> list[Mapping]:
-    """Mappings of an expression such as db[host='x'][port=1] or db/host = 'x'.
+    """Mappings of an expression such as db[host='x'][port=1][user[name='a']].
 
-    With an equals sign (or a value) the path gets the value; without one the predicates of the last
-    segment are what is set, and those of earlier segments choose.
+    With a value the whole expression chooses what gets it (predicates of its last segment too).
     """
-    text, at, path = expression.strip(), 0, ""
-    last: list[tuple[str, str, str]] = []
-    while True:
-        m = _SEGMENT.match(text, at)
-        if not m:
-            raise MutationError(f"expected a name at {at} in {expression!r}")
-        path += ("/" if path else "") + m.group(1)
-        at, last = m.end(), []
-        while p := _PREDICATE.match(text, at):
-            last.append((p.group(1), *_literal(p.group(2))))
-            at = p.end()
-        if text[at : at + 1] != "/":
-            break
-        path += "".join(f"[{n}='{v}']" for n, v, _ in last)
-        at += 1
-    rest = text[at:].strip()
-    if rest.startswith("="):
-        v, kind = _literal(rest[1:].strip())
-        return [Mapping("//" + path + "".join(f"[{n}='{x}']" for n, x, _ in last), v, kind)]
-    if rest:
-        raise MutationError(f"unexpected {rest!r} in {expression!r}")
     if value is not None:
-        return [Mapping("//" + path + "".join(f"[{n}='{x}']" for n, x, _ in last), value, "string")]
-    return [Mapping(f"//{path}/{n}", v, kind) for n, v, kind in last]
+        text = expression.strip()
+        return [Mapping(text if text.startswith("/") else "//" + text, value)]
+    reader = _Declaration(expression.strip())
+    path = reader.path()
+    if reader.at != len(reader.text):
+        reader.fail("expected the end")
+    return _mappings(path, "//", None)
 
 
 # -- splicing ----------------------------------------------------------------------------------
@@ -118,7 +166,9 @@ def spliced(text: str, edits: list[tuple[int, int, str]]) -> str:
 
 
 def _rendered(language: str, value: str, kind: str | None, old: str = "") -> str:
-    """A value as the language writes it; quotes in YAML follow what was there."""
+    """A value as the language writes it; quotes in YAML follow what was there. A value that its kind cannot hold is text."""
+    if kind in ("number", "boolean", "null", "true", "false") and not re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null|~", value):
+        kind = "string"
     if language == "json":
         return value if kind in ("number", "boolean", "null", "true", "false") else json.dumps(value, ensure_ascii=False)
     if language == "yaml":
@@ -153,8 +203,6 @@ def _missing_tail(xpath: str, doc: Node) -> tuple[Node, list[str]]:
 
 
 def _evaluate(e: tuple, doc: Node) -> list[Node]:
-    from ..plans.evaluate import Context, compile_expr
-
     return [n for n in compile_expr(e)(Context(doc)) if isinstance(n, Node) and n.kind == "element"]
 
 

@@ -141,6 +141,9 @@ def test_schema(spark, engine):
     [
         ("json", '{"a": 1}', "//a", "2", None, '{"a": 2}'),
         ("json", '{"a": "x"}', "//a", "y", None, '{"a": "y"}'),
+        ("json", '{"a": 1}', "//a", "x", None, '{"a": "x"}'),
+        ("yaml", "p:\n  - v: old\n  - v: old\n", "//p/v[.='old']", "new", None, "p:\n  - v: new\n  - v: new\n"),
+        ("json", '{"a": 1}', "//b", "1", None, '{"a": 1, "b": "1"}'),
         ("json", '{"a": 1}', "//b", "x", "string", '{"a": 1, "b": "x"}'),
         ("json", "{}", "//b/c", "true", "boolean", '{"b": {"c": true}}'),
         ("json", '{\n  "a": {\n    "x": 1\n  }\n}\n', "//a/y", "2", "number", '{\n  "a": {\n    "x": 1,\n    "y": 2\n  }\n}\n'),
@@ -168,16 +171,43 @@ def test_upsert_refusals():
         spliced("abc", [(0, 2, "x"), (1, 3, "y")])
 
 
-def test_declared():
-    assert [(m.xpath, m.value, m.kind) for m in declared("db[host='x'][port=1]")] == [("//db/host", "x", "string"), ("//db/port", "1", "number")]
-    assert declared("db/host", "v")[0].xpath == "//db/host"
-    assert declared("a[k='1']/b = true")[0] == Mapping("//a[k='1']/b", "true", "boolean")
+@pytest.mark.parametrize(
+    "expression,expected",
+    [
+        ("database[host='localhost'][port=5432]", [("//database/host", "localhost", "string"), ("//database/port", "5432", "number")]),
+        ("database[host='l'][user[name='admin'][password='secret']]", [("//database/host", "l", "string"), ("//database/user/name", "admin", "string"), ("//database/user/password", "secret", "string")]),
+        ("database/host", [("//database/host", "null", "null")]), ("database/host[port=8080]", [("//database/host/port", "8080", "number")]), ("a[b[c[d='deep']]]", [("//a/b/c/d", "deep", "string")]),
+        ("parent[sub[marker]]", [("//parent/sub/marker", "null", "null")]), ("config[enabled][name='test']", [("//config/enabled", "null", "null"), ("//config/name", "test", "string")]), ('db[host="x"]', [("//db/host", "x", "string")]),
+        ("config[debug=true()][verbose=false()]", [("//config/debug", "true", "boolean"), ("//config/verbose", "false", "boolean")]), ("s[k='it''s']/p[n=1]", [("//s[k='it''s']/p/n", "1", "number")]),
+    ],
+)
+def test_declared(expression, expected):
+    assert [(m.xpath, m.value, m.kind) for m in declared(expression)] == expected
+
+
+def test_declared_refusals_and_selectors():
+    for bad in ("config[debug=true]", "a[", "a[b=]", "a]", "", "a[b='x'] c"):
+        with pytest.raises(MutationError):
+            declared(bad)
+    assert declared("database[host='x']/port", "1") == [Mapping("//database[host='x']/port", "1")]
+    assert declared("//database/port", "1") == [Mapping("//database/port", "1")]
+
+
+def test_declared_sets(spark):
+    def one(text, language, expression, value=None):
+        return Engine(inline(spark, [(None, language, text)])).set(expression, value).matches.first()["output"]
+
+    assert json.loads(one("{}", "json", "database[host='localhost'][port=5432][user[name='admin']]")) == {"database": {"host": "localhost", "port": 5432, "user": {"name": "admin"}}}
+    assert json.loads(one("{}", "json", "database/host")) == {"database": {"host": None}}
+    yaml = "servers:\n  - host: localhost\n    port: 5432\n  - host: prod-db\n    port: 5432\n"
+    assert one(yaml, "yaml", "servers[host='localhost']/port", "5433") == yaml.replace("5432", "5433", 1)
+    assert one("name: test\n", "yaml", "database[host='localhost'][port=5432]") == "name: test\ndatabase:\n  host: localhost\n  port: 5432\n"
 
 
 def test_set_and_update(engine):
     report = engine.set("//port", "81")
     rows = {r["file"]: (r["status"], r["output"]) for r in report.matches.where("severity is null").collect()}
-    assert rows["b.json"] == ("updated", '{"port": "81", "tags": ["q", "r"]}')
+    assert rows["b.json"] == ("updated", '{"port": 81, "tags": ["q", "r"]}')
     assert report.matches.where("severity = 'fatal'").count() == 1  # the text that does not parse
     assert engine.update("//nope", "1").failed
     assert not engine.update("//port", "1").failed
