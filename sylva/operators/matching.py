@@ -18,6 +18,7 @@ from ..functions.items import item_to_json, item_type, item_value
 from ..functions.text import line_range, lines_of, rule_message, snippet
 from ..plans.evaluate import Context, compiled
 from ..sources.parsers import BAD_TEXT, parse
+from ..sources.partitions import spread
 from ..sources.tree import Node
 from .rules import Rule, applicable
 
@@ -107,7 +108,7 @@ def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query",
                     rows = []
         yield to_batch(rows)
 
-    return work.mapInArrow(run, SCHEMA)
+    return spread(work).mapInArrow(run, SCHEMA)
 
 
 #: Order of a report: file, position, then rule and item.

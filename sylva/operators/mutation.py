@@ -20,6 +20,7 @@ from ..plans.xpath import normalized, parse
 from ..sources.languages import canonical
 from ..sources.parsers import BAD_TEXT
 from ..sources.parsers import parse as parse_tree
+from ..sources.partitions import spread
 from ..sources.tree import Node, Positions
 from .matching import SCHEMA, location, to_batch
 
@@ -308,7 +309,7 @@ def mutate(sources: DataFrame, mappings: Sequence[Mapping], command: str = "set"
                 rows.append(row)
             yield to_batch(rows)
 
-    return sources.where("content is not null").select("doc_id", "path", "language", "content").mapInArrow(run, SCHEMA)
+    return spread(sources.where("content is not null").select("doc_id", "path", "language", "content")).mapInArrow(run, SCHEMA)
 
 
 def write_back(changed: DataFrame, folder: str) -> DataFrame:

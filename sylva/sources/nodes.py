@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..staging import settle
 from .parsers import BAD_TEXT, parse
+from .partitions import spread
 from .tree import Node
 
 COLUMNS = (
@@ -64,5 +65,5 @@ def node_table(sources: DataFrame, mode: str | None = None, inner_values: bool =
                     yield batch()
         yield batch()
 
-    nodes = sources.select("doc_id", "path", "language", "content").mapInArrow(run, SCHEMA)
+    nodes = spread(sources.select("doc_id", "path", "language", "content")).mapInArrow(run, SCHEMA)
     return settle(nodes, "nodes") if stage else nodes
