@@ -5,7 +5,7 @@ kept as their formats say. All other proposals - credentials, national phone num
 security numbers, bank accounts - are scored by boosted trees over format and context features; the
 scores are calibrated on examples that the trees have not seen, and each kind keeps the spans above
 the lowest threshold that gives the asked precision there. Kept spans do not overlap base spans or
-each other: the likelier one stays.
+each other: a credential with its name stays as a whole, of others the likelier one.
 
 There are no labels for personal data in the tables, so the trees learn from EXAMPLES written spans
 in written contexts (seeded, the same each time), half of them look-alikes: hashes, versions, dates,
@@ -17,6 +17,7 @@ scanned; an empty table gives no rows. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -41,13 +42,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: A named value: in quotes everything up to the closing one in its line, else up to a space or separator. Possessive, so linear at any length.
+_KEYED = re.compile(
+    r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[\"'](?=\s*+[=:]))?\s*+[=:]\s*+"
+    r"(?:\"(?=[^\"\n]{4})(?P<double>(?:[^\"\\\n]++|\\[^\n])*+)\"|'(?=[^'\n]{4})(?P<single>(?:[^'\\\n]++|\\[^\n])*+)'|[\"']?+(?P<plain>[^\s\"',;]{4,}+))"
+)
 _RULES = (
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[^\s\"',;]{4,200}")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,200}[0-9])[A-Za-z0-9_/+-]{16,200}(?![A-Za-z0-9_/+-])")),
+    ("secret", _KEYED),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+")),
     ("tel", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")),
 )
+_PART = re.compile(r"[_/+-]")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "tel", "phone", "call", "fax", "mobil", "ssn", "social", "iban", "bank", "account", "konto", "cuenta", "compte")
 _AGAINST = ("sha", "hash", "commit", "md5", "checksum", "integrity", "version", "v.", "isbn", "date", "order", "invoice", "page", "fig", "id", "total", "eur", "usd")
 
@@ -90,7 +97,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that the rules propose, overlaps included."""
-    return [(kind, m.start(), m.end()) for kind, rule in _RULES for m in rule.finditer(text)] if _DIGIT.search(text) else []
+    digits = _DIGIT.search(text)
+    return [(kind, m.start(), m.end()) for kind, rule in _RULES if digits or kind == "secret" for m in rule.finditer(text)]
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -102,6 +110,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     upper, lower = sum("A" <= c <= "Z" for c in span), sum("a" <= c <= "z" for c in span)
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
     head = span[:40].lower()
+    keyed = _KEYED.fullmatch(span) if kind == "secret" else None
+    value = keyed[keyed.lastgroup] if keyed else span
     return [
         float(ADDED.index(kind)), float(n), entropy, len(digits) / n, upper / n, lower / n,
         sum(c in "0123456789abcdef" for c in span) / n, float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)), float(len(digits)),
@@ -109,6 +119,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(x in before for x in _HINTS)), float(any(x in before for x in _AGAINST)), float(span[:4].isupper() and span[:4].isalpha()),
         float(start > 0 and text[start - 1] in "\"'"), float(len(set(map(str.isdigit, span))) == 2 and upper > 0), _mod97(span) if kind == "iban" else 0.0,
         float(sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False)) / n), float(span[0] == "("), float(groups[0] > 1900 if groups and len(groups) == 1 else 0),
+        float(keyed is not None), float(keyed is not None and keyed.lastgroup != "plain"), float(keyed is not None and "=" in span[: keyed.start(keyed.lastgroup)]), float(len(value)), float(value.islower() and value.isalpha()),
+        float(any(c in "(.[{$<" for c in value)), float(sum(a.islower() != b.islower() for a, b in zip(value, value[1:], strict=False)) / n), float(max(map(len, _PART.split(value)))), float(sum(c in "_/+-" for c in value) / n),
     ]
 
 
@@ -130,6 +142,21 @@ def _written(rng: np.random.Generator) -> tuple[list[list[float]], list[int], li
     def word() -> str:
         return some(letters, int(rng.integers(2, 9)))
 
+    def capital() -> str:
+        return some(capitals, 1)
+
+    def key() -> str:
+        name = pick("password", "passwd", "pwd", "secret", "token", "api_key", "access_key")
+        return pick(name, name.upper(), name.title(), f'"{name}"') + pick("=", ": ", " = ", ":")
+
+    def quoted(value: str) -> str:
+        mark = pick('"', '"', "'")
+        return mark + value + mark
+
+    def long() -> str:
+        pieces = [some(letters + capitals + digit + "_-", int(rng.integers(20, 300))) for _ in range(3)]
+        return ".".join(pieces) if rng.random() < 0.5 else "".join(pieces)
+
     def iban() -> str:
         country, body = pick("DE", "FR", "ES", "GB"), some(digit, int(rng.integers(14, 21)))
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
@@ -139,7 +166,10 @@ def _written(rng: np.random.Generator) -> tuple[list[list[float]], list[int], li
         "secret": lambda: pick("", "", word() + " ") + pick(
             pick("password", "passwd", "secret", "token", "api_key") + pick("=", ": ", " = ") + some(hexa, int(rng.integers(10, 33))),
             pick("AKIA", "ASIA") + some(capitals + digit, 16), pick("ghp_", "sk_live_", "xoxb-") + some(letters + capitals + digit, int(rng.integers(20, 40))),
-            pick("key ", "token ", "secret ") + some(letters + capitals + digit, 32), pick("password", "pwd") + "=" + some(letters + digit, 10)),
+            pick("key ", "token ", "secret ") + some(letters + capitals + digit, 32), pick("password", "pwd") + "=" + some(letters + digit, 10),
+            key() + quoted(some(hexa, pick(32, 40, 64))), key() + quoted(some(letters + capitals + digit + "!@#$%&*.", int(rng.integers(6, 24)))), key() + quoted(pick(word() + word() + word(), word() + " " + word() + " " + word(), some(letters + capitals, int(rng.integers(6, 40))))),
+            pick("password", "pwd", "secret") + pick("=", " = ") + pick(some(letters, int(rng.integers(6, 14))), some(letters + capitals + "!@#%&*", int(rng.integers(8, 20)))),
+            key() + pick("", '"') + long(), pick("", "key ", "token ", "Bearer ") + long(), pick("sk_live_", "ghp_", "key ", "token ") + some(letters + capitals, int(rng.integers(24, 40)))),
         "tel": lambda: pick("call ", "tel ", "phone: ", "mobile ", "") + f"({some(digit, 3)}) {some(digit, 3)}-{some(digit, 4)}" if rng.random() < 0.6 else pick("call ", "tel. ", "fax ") + f"{some(digit, 3)} {some(digit, 3)} {some(digit, 4)}",
         "ssn": lambda: pick("ssn ", "social security ", "", "") + f"{some('12345678', 3)}-{some(digit, 2)}-{some(digit, 4)}",
         "iban": lambda: pick("iban ", "account ", "konto ", "") + iban(),
@@ -147,7 +177,9 @@ def _written(rng: np.random.Generator) -> tuple[list[list[float]], list[int], li
     no = {
         "secret": lambda: pick(
             pick("sha256:", "commit ", "hash ", "md5 ", '"') + some(hexa, pick(32, 40, 64)), "https-" + word() + "-" + word() + "-" + some(digit, 4),
-            pick("token: ", "password: ") + word(), some(digit, int(rng.integers(16, 30))), word() + "_" + word() + "_" + word() + some(digit, 2), "id " + some(digit, 8) + "-" + some(digit, 8)),
+            pick("token: ", "password: ") + word(), some(digit, int(rng.integers(16, 30))), word() + "_" + word() + "_" + word() + some(digit, 2), "id " + some(digit, 8) + "-" + some(digit, 8),
+            pick("token", "secret", "key", "password") + pick(" = ", "=", ": ") + word() + pick(".", "(", "[") + word() + pick("()", ")", "]", "." + word()), pick("token: ", "password: ", "secret: ", "Token: ") + pick("the ", "and ", "a ") + word(),
+            pick("", "/") + pick("/", "-", "_", "+").join(word() for _ in range(int(rng.integers(3, 30)))), pick("", "", capital()) + word() + word() + word() + word(), some(pick("-", "_", "/", "a", "x", "=-"), int(rng.integers(16, 300))), some(capitals, int(rng.integers(16, 24)))),
         "tel": lambda: pick(
             f"{some('12', 1)}{some(digit, 3)}-{some('01', 1)}{some(digit, 1)}-{some('012', 1)}{some(digit, 1)}", f"{some(digit, 2)}/{some(digit, 2)}/20{some(digit, 2)}",
             f"pages {some(digit, 3)}-{some(digit, 3)}", f"version {some(digit, 2)}.{some(digit, 2)}.{some(digit, 3)}", f"order {some(digit, 4)} {some(digit, 3)}", f"total {some(digit, 3)} {some(digit, 3)}", f"{some(digit, 2)} {some(digit, 2)}", " ".join(some(digit, 4) for _ in range(4))),
@@ -199,7 +231,15 @@ class SpanModel:
         if proposed := candidates(text):
             p = self._probability(self.trees.margin(np.array([features(text, *c) for c in proposed])))
             taken = sorted((s, e) for _, s, e, _ in kept)
-            for i in np.argsort(-p, kind="stable"):
+            # a named value goes as a whole, before what lies in it, and is as likely as the likeliest secret in it
+            named = [i for i, (k, s, e) in enumerate(proposed) if k == "secret" and _KEYED.fullmatch(text, s, e)]
+            ends, at = [proposed[i][2] for i in named], 0
+            for i, (k, s, e) in enumerate(proposed):
+                if k == "secret" and (at := bisect.bisect_left(ends, e)) < len(named) and proposed[named[at]][1] <= s:
+                    p[named[at]] = max(p[named[at]], p[i])
+            first = np.zeros(len(p), bool)
+            first[named] = p[named] >= self.thresholds["secret"]
+            for i in np.lexsort((-p, ~first)):
                 kind, s, e = proposed[i]
                 if p[i] >= self.thresholds[kind] and _free(taken, s, e):
                     kept.append((kind, s, e, float(p[i])))
@@ -209,8 +249,6 @@ class SpanModel:
 
 def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether the span overlaps none that are taken; then it is taken too."""
-    import bisect
-
     k = bisect.bisect_left(taken, (start, end))
     # base spans of different kinds may overlap each other, so more than one neighbour is looked at
     if any(s < end and start < e for s, e in taken[max(0, k - 4) : k + 4]):

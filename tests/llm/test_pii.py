@@ -107,3 +107,49 @@ def test_boosting_learns_and_calibrates():
     a, b = platt(m, noisy)
     p = 1 / (1 + np.exp(-np.clip(a * m + b, -50, 50)))
     assert abs(p[m > 0].mean() - noisy[m > 0].mean()) < 0.05
+
+
+def written_credentials(rng):
+    """Credentials in quotes, long or without digits, each with the text around it."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    key = rng.choice(["password", "token", "api_key", "SECRET", '"token"'])
+    return [
+        (f'{key} = "', some("0123456789abcdef", 40), '" and more'), (f"{key}: '", some(letters + "0123456789!%", 9), "' and more"), (f'{key} = "', some(letters, 12), '"; more'), (f"{key}=", some(letters + "0123456789-_.", 300), " more"),
+        ("see ", some(letters + "0123456789-_", 400), " more"), (f'{key}: "', some(letters, 17) + " " + some(letters, 5) + "!", '" more'), ("sk_live_", some(letters, 30), " more"), (f'{key}    =    "', some(letters + "0123456789", 10), '"'),
+    ]
+
+
+def test_quoted_long_and_digit_free_credentials_leave_whole(model):
+    rng = random.Random(17)
+    left = {}
+    for _ in range(60):
+        for form, (before, value, after) in enumerate(written_credentials(rng)):
+            text = redacted(f"some words {before}{value}{after}", model.spans(f"some words {before}{value}{after}"))
+            left.setdefault(form, []).append(any(value[i : i + 6] in text for i in range(len(value) - 5)))
+            assert text.endswith(after[1:] if after[0] in "\"'" else after)
+    assert all(sum(x) <= 3 for x in left.values()), {k: sum(x) for k, x in left.items()}
+
+
+@pytest.mark.parametrize(
+    "text", ["token = parser.next()", "password: the garden", "Donaudampfschifffahrtsgesellschaft", "see /usr/local/lib/python/site-packages/foo", "internationalization-of-things", "-" * 300, "the token in this long and plain sentence"]
+)
+def test_texts_without_credentials(model, text):
+    assert model.spans(text) == []
+
+
+def test_credential_rules_on_long_runs(model):
+    for text in ("a" * 100_000, 'token ="' * 20_000, "password='\"" * 20_000, "token" + " " * 100_000, 'token="\\' * 20_000, "token=" + "a1" * 100_000):
+        model.spans(text)
+
+
+def test_credentials_of_documents(spark, model):
+    seen = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        text = r["text"] or ""
+        spans = None
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text):
+            spans = model.spans(text) if spans is None else spans
+            assert any(k == "secret" and s == m.start() and e == m.end() for k, s, e, _ in spans)
+            seen += 1
+    assert seen
