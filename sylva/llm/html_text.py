@@ -1,21 +1,21 @@
-"""HTML extraction (operator 8): structure first, a host suffix index for what structure leaves open.
+"""HTML extraction (operator 8): a host suffix index decides what repeats, structure where the text is.
 
 A page becomes blocks of text in page order. Blocks inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments - by element, role, class or id - are
-dropped. If the page marks its article (article, else main), the text is that; the rest is no part
-of it. If it marks none, the remaining blocks are a page's open blocks, and the host's other pages
-tell which of them are boilerplate: the token streams outside articles of a host's pages are put
-side by side, suffixes that begin with the same RUN tokens meet, and a run of tokens that PAGES
-pages of different content share is covered. Open blocks of which COVERED is covered go, the others
-stay whole.
+dropped. The token streams of all of a host's pages are put side by side, suffixes that begin with
+the same RUN tokens meet, and a run of tokens that PAGES pages of different content share is covered.
 
-The suffixes of a host are grouped by their first RUN tokens over all tasks and counted in two steps,
-so a host with a third of all pages is no single task's work. Hosts whose pages all mark
-their article have nothing to decide and send no suffixes.
+The text lies in the articles if they hold SHARE of the tokens that are not covered, else in main if
+that does, else anywhere. Blocks there of which COVERED is covered go, the others stay whole. An
+article or main of which COPIED is covered is itself a copy and loses nothing.
+
+Every page sends the hashes of its suffixes, each once, and they are counted in two steps, so a host
+with a third of all pages is no single task's work. Up to KEYS repeated suffixes are looked up in a
+broadcast, more in a join; both give the same.
 
 Defined results: null and empty html give empty text; text outside any element is a block; an
 unclosed comment, script or tag runs to the end; repeated rows are each returned; pages of equal
-content count once in what repeats; a null url has the empty host; an empty table gives no rows.
+content (dropped blocks aside) count once in what repeats; a null url has the empty host; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,6 +35,9 @@ from .urls import host_of
 
 #: Tokens of a suffix that must be equal, pages of different content that must share it, share of a block that must be covered.
 RUN, PAGES, COVERED = 8, 3, 0.8
+#: Share of the tokens that an article or main must hold, share of it that must be covered in a copy, repeated suffixes that are broadcast.
+SHARE, COPIED, KEYS = 1 / 3, 0.5, 2_000_000
+DROP, OPEN, MAIN, ARTICLE, INNER = range(5)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
@@ -81,7 +83,12 @@ def _drops(tag: str, raw: str) -> bool:
 
 def page_blocks(source: str | None) -> list[tuple[str, str]]:
     """(zone, text) of each block: article, main, open, or dropped."""
-    out: list[tuple[str, str]] = []
+    return [(("dropped", "open", "main", "article", "article")[z], t) for z, t in _blocks(source)]
+
+
+def _blocks(source: str | None) -> list[tuple[int, str]]:
+    """(DROP, OPEN, MAIN, ARTICLE, or INNER for an article in main; text) of each block."""
+    out: list[tuple[int, str]] = []
     if not source:
         return out
     stack: list[tuple[str, bool]] = []  # element, whether it drops
@@ -90,7 +97,7 @@ def page_blocks(source: str | None) -> list[tuple[str, str]]:
     lost: list[str] = []  # what inline elements that drop hold of it
 
     def flush() -> None:
-        for pieces, zone in ((text, "article" if articles else "main" if mains else "open"), (lost, "dropped")):
+        for pieces, zone in ((text, (INNER if mains else ARTICLE) if articles else MAIN if mains else OPEN), (lost, DROP)):
             if pieces:
                 if joined := " ".join("".join(pieces).split()):
                     out.append((zone, joined))
@@ -170,30 +177,13 @@ def page_blocks(source: str | None) -> list[tuple[str, str]]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("zone", pa.int8()), ("text", pa.string())]))
     for batch in batches:
-        texts, opens, grams, contents = [], [], [], []
-        for source in batch.column("html"):
-            blocks = page_blocks(source.as_py())
-            zones = {z for z, _ in blocks}
-            best = "article" if "article" in zones else "main" if "main" in zones else None
-            texts.append("\n\n".join(t for z, t in blocks if z == best) if best else None)
-            tokens: list[str] = []
-            own = []
-            for z, t in blocks:
-                if z in ("open", "dropped"):
-                    start = len(tokens)
-                    tokens += t.split()
-                    if z == "open" and not best:
-                        own.append({"text": t, "start": start, "end": len(tokens)})
-            opens.append(own)
-            width = min(RUN, len(tokens))
-            grams.append([_signed(xxhash.xxh64_intdigest("\n".join(tokens[i : i + width]))) for i in range(len(tokens) - width + 1)] if width else [])
-            contents.append(_signed(xxhash.xxh64_intdigest("\n".join(t for _, t in blocks))))
+        blocks = [_blocks(source.as_py()) for source in batch.column("html")]
+        contents = [_signed(xxhash.xxh64_intdigest("\n".join(t for z, t in own if z != DROP))) for own in blocks]
         rest = [n for n in batch.schema.names if n != "html"]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in rest), pa.array(texts, pa.string()), pa.array(opens, kind), pa.array(grams, pa.list_(pa.int64())), pa.array(contents, pa.int64())],
-            [*rest, "text", "blocks", "suffixes", "content"],
+            [*(batch.column(n) for n in rest), pa.array([[{"zone": z, "text": t} for z, t in own] for own in blocks], kind), pa.array(contents, pa.int64())], [*rest, "blocks", "content"]
         )
 
 
@@ -201,29 +191,83 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The text of open pages: blocks that are not covered."""
-    for pdf in batches:
-        texts = []
-        for blocks, repeated in zip(pdf["blocks"], pdf["repeated"], strict=True):
-            end = max((b["end"] for b in blocks), default=0)
-            covered = np.zeros(end + RUN, bool)
-            for p in repeated if repeated is not None else []:
-                covered[min(p, end) : p + RUN] = True
-            texts.append("\n\n".join(b["text"] for b in blocks if covered[b["start"] : b["end"]].mean() < COVERED))
-        yield pdf[["row", "page_id", "url"]].assign(text=texts)
+def _suffixes(host: str, blocks: list[dict]) -> np.ndarray:
+    """Hash of host and first RUN tokens of each suffix of a page that has so many; the whole of a shorter page."""
+    tokens = [xxhash.xxh64_intdigest(w) for b in blocks for w in b["text"].split()]
+    if not tokens:
+        return np.zeros(0, np.int64)
+    n, width = np.array(tokens, np.uint64), min(RUN, len(tokens))
+    key = np.full(len(n) - width + 1, xxhash.xxh64_intdigest(f"{width} {host}"), np.uint64)
+    for k in range(width):
+        key = (key ^ n[k : k + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _each(distinct: bool) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_suffixes(h.as_py(), b.as_py()) for h, b in zip(batch.column("host"), batch.column("blocks"), strict=True)]
+            keys = pa.array([np.unique(k) if distinct else k for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), keys], ["row", "keys"])
+
+    return run
+
+
+def _text(blocks: list[dict], places: np.ndarray) -> str:
+    """Text of a page whose suffixes at the places are repeated."""
+    ends = np.cumsum([0, *(len(b["text"].split()) for b in blocks)])
+    steps = np.zeros(ends[-1] + RUN + 1, np.int64)
+    np.add.at(steps, places, 1)
+    np.add.at(steps, places + RUN, -1)
+    before = np.concatenate([[0], np.cumsum(np.cumsum(steps)[: ends[-1]] > 0)])
+    sizes, covered = np.diff(ends), before[ends[1:]] - before[ends[:-1]]
+    zones = np.array([b["zone"] for b in blocks], np.int64)
+    stay = (zones != DROP) & (covered < COVERED * sizes)
+    for zone in (zones >= ARTICLE, (zones == MAIN) | (zones == INNER)):
+        if zone.any():
+            copy = covered[zone].sum() >= COPIED * sizes[zone].sum()
+            own = (sizes if copy else sizes - covered)[zone].sum()
+            if own >= SHARE * (own + (sizes - covered)[~zone & (zones != DROP)].sum()):
+                stay = zone if copy else zone & stay
+                break
+    return "\n\n".join(b["text"] for b, s in zip(blocks, stay, strict=True) if s)
+
+
+def _keep(repeated) -> object:
+    """Rows with their text; the places of repeated suffixes are a column or, if there is a broadcast, looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, blocks, texts = batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), []
+            for k, own in enumerate(blocks):
+                if repeated is not None:
+                    keys, known = _suffixes(hosts[k], own), repeated.value
+                    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                    places = np.flatnonzero(known[at] == keys) if len(known) else np.zeros(0, np.int64)
+                else:
+                    places = np.array(batch.column("places")[k].as_py() or [], np.int64)
+                texts.append(_text(own, places))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.monotonically_increasing_id().alias("row"), "html")
-    read = settle(pages.mapInArrow(_read, "page_id long, url string, host string, row long, text string, blocks array<struct<text:string,start:int,end:int>>, suffixes array<bigint>, content long"), "html-read")
-    marked = read.where("text is not null").select("page_id", "url", "text")
-    left = read.where("text is null")
-    hosts = left.where("size(blocks) > 0").select("host").distinct()
-    suffixes = read.join(hosts, "host", "left_semi").select("host", "content", F.explode("suffixes").alias("suffix"))
-    repeated = suffixes.distinct().groupBy("host", "suffix").count().where(F.col("count") >= PAGES).select("host", "suffix")
-    where = left.select("row", "host", F.posexplode("suffixes").alias("place", "suffix")).join(repeated, ["host", "suffix"], "left_semi")
-    where = where.groupBy("row").agg(F.collect_list("place").alias("repeated"))
-    rest = left.select("row", "page_id", "url", "blocks").join(where, "row", "left").mapInPandas(_keep, "row long, page_id long, url string, text string")
-    return marked.unionByName(rest.drop("row")).withColumn("n_chars", F.length("text").cast("long"))
+    read = settle(pages.mapInArrow(_read, "page_id long, url string, host string, row long, blocks array<struct<zone:tinyint,text:string>>, content long"), "html-read")
+    copies = settle(read.groupBy("host", "content").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("host", "content", "first"), "html-copies")
+    once = read.join(copies, ["host", "content"], "left").where("first is null or row = first")
+    keys = once.select("row", "host", "blocks").mapInArrow(_each(True), "row long, keys array<bigint>").select(F.explode("keys").alias("key"))
+    repeated = settle(keys.groupBy("key").count().where(F.col("count") >= PAGES).select("key"), "html-repeated")
+    known, columns = None, ["page_id", "url", "host", "blocks"]
+    if repeated.count() <= KEYS:
+        known = spark.sparkContext.broadcast(np.sort(repeated.toPandas()["key"].to_numpy(np.int64)))
+    else:
+        places = read.select("row", "host", "blocks").mapInArrow(_each(False), "row long, keys array<bigint>").select("row", F.posexplode("keys").alias("place", "key"))
+        places = places.join(repeated, "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
+        read, columns = read.join(places, "row", "left"), [*columns, "places"]
+    out = read.select(columns).mapInArrow(_keep(known), "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))

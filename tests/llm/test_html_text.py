@@ -88,3 +88,26 @@ def test_query_on_the_pages(spark, tiny):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", source[r["page_id"]], re.S).group(1)
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*(>|\Z)", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|div)\b[^>]*>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_repeated_runs_of_marked_pages(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    notice, story, rows, want = text(12), text(60), [], {}
+    for k in range(8):  # a notice without a telling class inside each article
+        own = text(40)
+        rows.append((k, "http://a.org/x", f"<nav>{text(9)}</nav><article><p>{own}</p><p>{notice}</p></article>"))
+        want[k] = own
+    for k in range(10, 14):  # copies under other menus and with one other line
+        line = text(9)
+        rows.append((k, "http://a.org/y", f"<nav>{text(9)}</nav><article><p>{story}</p><p>{line}</p></article>"))
+        want[k] = f"{story}\n\n{line}"
+    body, teaser = text(80), text(6)
+    rows.append((20, "http://a.org/z", f"<article>{teaser}</article><main><p>{body}</p></main>"))
+    rows.append((21, "http://a.org/z", f"<article>{teaser}</article><div>{body}</div>"))
+    rows.append((22, "http://b.org/z", f"<main><p>{body}</p><article>{teaser}</article></main>"))
+    rows.append((23, "http://b.org/z", f"<article><p>{notice}</p><p>{body}</p></article>"))
+    want |= {20: body, 21: f"{teaser}\n\n{body}", 22: f"{body}\n\n{teaser}", 23: f"{notice}\n\n{body}"}
+    assert run(spark, rows) == want
+    monkeypatch.setattr("sylva.llm.html_text.KEYS", 0)
+    assert run(spark, rows) == want
