@@ -54,7 +54,12 @@ def source_targets(sources: DataFrame, weights: Sequence[int], share: float, lim
 
 def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, pass, start, finish, words: one row per copy in the queues, range-sorted by finish."""
-    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key")), "mix-sizes")
+    return numbered_schedule(docs, weights, share, limit).drop("row")
+
+
+def numbered_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
+    """fair_schedule with a number of the input row."""
+    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     rows = sized.count()
     digits = 1
     while 16**digits * BUCKET_ROWS < rows:
@@ -65,10 +70,10 @@ def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
     offsets = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source")).select("o.*", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("upto", F.sum("size").over(inside))
     queued = queued.alias("q").join(offsets.alias("o"), F.expr("q.source <=> o.source and q.bucket = o.bucket"))
-    queued = queued.select("q.doc_id", "q.source", "q.size", "o.source_size", "o.target", (F.col("o.offset") + F.col("q.upto")).alias("upto"))
+    queued = queued.select("q.row", "q.doc_id", "q.source", "q.size", "o.source_size", "o.target", (F.col("o.offset") + F.col("q.upto")).alias("upto"))
     copies = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
     end = F.col("pass") * F.col("source_size") + F.col("upto")
     cut = F.floor(F.col("target") + 0.5)
@@ -77,6 +82,6 @@ def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
         "doc_id", "source", "size", "source_size", "target", "pass",
         F.when(F.col("target") > 0, (end - F.col("size")) / F.col("target")).alias("start"),
         F.when(F.col("target") > 0, end / F.col("target")).alias("finish"),
-        words.cast("long").alias("words"),
+        words.cast("long").alias("words"), "row",
     )
     return timed.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id")

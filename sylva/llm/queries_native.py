@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, masked_text, parse_formatted
 from .common import table
-from .mixing import fair_schedule
+from .mixing import numbered_schedule
 from .urls import judge_urls
 
 #: (verdict, host, path)
@@ -61,10 +61,9 @@ FROM c GROUP BY conv_id
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = fair_schedule(table(spark, sf_dir, "documents"))
-    # the copies of one queue position stand side by side, so equal ids stay apart by their place
-    place = F.round(F.col("finish") * F.col("target")).cast("long") - F.col("pass") * F.col("source_size")
-    out = copies.groupBy("doc_id", "source", "size", "source_size", "target", place.alias("place")).agg(F.sum("words").alias("taken"))
+    copies = numbered_schedule(table(spark, sf_dir, "documents"))
+    # equal ids, and rows without words at one place of the queue, stay apart by their row
+    out = copies.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

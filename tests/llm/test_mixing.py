@@ -87,3 +87,9 @@ def test_cases(spark, docs, clash, same):
 
 def test_query(spark, tiny):
     assert_same(spark, tiny, op9_mix_sources, OP9_SQL)
+
+
+def test_rows_without_words_and_equal_ids_stay(spark, tmp_path):
+    rows = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (None, None, None), (None, None, None), (2, "x y", "a"), (2, "x y", "a"), (3, "", "b"), (3, "", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op9_mix_sources(spark, str(tmp_path)).count() == len(rows)
