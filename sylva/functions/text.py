@@ -73,9 +73,9 @@ def gutter(lines: list[str], first: int, column: int, end_column: int) -> str:
 
 
 def snippet_column(content: Column, line: Column, column: Column, end_column: Column) -> Column:
-    """The source of a match inside one line, by byte columns."""
+    """The source of a match inside one line, by byte columns; parts of a cut character become U+FFFD."""
     row = F.regexp_replace(F.element_at(F.split(content, "\n", -1), line), "\r$", "")
-    return F.decode(F.substring(F.encode(row, "UTF-8"), column, end_column - column), "UTF-8")
+    return F.make_valid_utf8(F.substring(F.encode(row, "UTF-8"), column, end_column - column).cast("string"))
 
 
 def lines_column(content: Column, line: Column, end_line: Column) -> Column:

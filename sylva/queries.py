@@ -455,6 +455,13 @@ def snippet_expressions(spark, sf_dir):
     return t.select("doc_id", snippet_column(F.col("text"), F.lit(1), F.lit(1), F.lit(5)).alias("head"), F.array_join(lines_column(F.col("text"), F.lit(1), F.lit(2)), "|").alias("two"))
 
 
+@query(None)
+def snippet_all_documents(spark, sf_dir):
+    t, text = table(spark, sf_dir, "documents").where("text is not null"), F.col("text")
+    cuts = [snippet_column(text, F.lit(1), F.lit(a), F.lit(b)).alias(name) for name, a, b in (("head", 1, 5), ("within", 3, 12))]
+    return t.select("doc_id", *cuts, F.array_join(lines_column(text, F.lit(1), F.lit(2)), "|").alias("two"))
+
+
 # -- mutation ------------------------------------------------------------------------------------
 
 
