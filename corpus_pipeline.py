@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of docs. run() writes what a stage returns to the shared folder and reads it for the next one.
 
 Defined results: rows with a null doc_id pass the stages that judge by id; rows that repeat a doc_id
-leave near-dedup once; null and empty texts have no language and go in the first stage; columns
+leave near-dedup once for each group of copies their texts are in; null and empty texts have no language and go in the first stage; columns
 beside those of documents, whatever their names, are carried to the last stage and end there; empty
 tables give no rows.
 """
@@ -18,7 +18,7 @@ from sylva.llm.common import n_words, settle, table
 from sylva.llm.decontaminate import contaminated_pairs
 from sylva.llm.langid import UNKNOWN, fit_language_model, label_documents
 from sylva.llm.mixing import fair_schedule
-from sylva.llm.near_dedup import near_duplicates
+from sylva.llm.near_dedup import near_groups
 from sylva.llm.pii import redact_documents
 
 #: A text of at least SURE_WORDS words whose best language has a smaller mean than this is in none of them.
@@ -34,9 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of exact and near copies: the one with the smallest id, of its texts that with the smallest hash."""
+    groups = near_groups(docs).where("kept and doc_id is not null")
+    kept = groups.groupBy("doc_id", "comp", F.when(F.col("comp").isNull(), F.col("text_hash")).alias("own")).agg(F.min("text_hash").alias("hash")).select("doc_id", "hash").distinct()
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    named = named.join(kept, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 

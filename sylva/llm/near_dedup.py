@@ -184,6 +184,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """Beside these columns text_hash and comp, which names the group even where an id has texts of several; null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     files = max(12, docs.count() // FILE_ROWS)
     signed = settle(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "dedup-signed", files)
@@ -258,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = comps.select(F.col("root").alias("comp")).distinct()
     lows = placed.join(joined, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("low"))
     # written first, so that both sides of the last join are plain and a set with very many documents can be divided
-    roots = settle(placed.join(lows, "comp", "left").select("set_key", F.coalesce("low", "least").alias("component_id")), "dedup-roots", files)
-    out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
+    roots = settle(placed.join(lows, "comp", "left").select("set_key", "comp", F.coalesce("low", "least").alias("component_id")), "dedup-roots", files)
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(roots, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "text_hash", "n_shingles", "comp", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

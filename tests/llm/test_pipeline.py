@@ -86,3 +86,15 @@ def test_cases(spark, docs, clash, tiny):
     named = [r["doc_id"] for r in cp.near_dedup(spark, docs, tiny).where("doc_id is not null").collect()]
     assert len(named) == len(set(named))
     assert cp.mix(spark, docs, tiny).where("taken > 2 * size").count() == 0
+
+
+def test_near_dedup_of_one_id_for_different_texts(spark, tiny):
+    a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
+    near = " ".join([*c[:-1], "other"])
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (9, c), (9, near), (9, a), (11, "!"), (11, "?"), (11, "?"), (None, a)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], table(spark, tiny, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    out = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, df, tiny).collect()), key=repr)
+    left = [x for x in out if x[0] != 9]
+    assert left == sorted([(3, a), (5, b), (11, "!"), (11, "?"), (None, a)], key=repr)
+    assert [x for x in out if x[0] == 9] in ([(9, c)], [(9, near)])
