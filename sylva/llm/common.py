@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import settle, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "crc_mod", "n_words", "settle", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "crc_is", "n_words", "received", "send", "settle", "shared_dir", "table"]
 
 #: Words are runs of characters other than these (space and \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,9 +23,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def crc_mod(id_col: str, n: int) -> Column:
-    """crc32 of the id written as text, modulo n."""
-    return F.crc32(F.col(id_col).cast("string")) % F.lit(n)
+def crc_is(id_col: str, n: int, rest: int) -> Column:
+    """Whether crc32 of the id written as text leaves this rest by n; not so for a null id, which has none."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(n) == rest, F.lit(False))
+
+
+def send(spark: SparkSession, model):
+    """Broadcasts a model pickled by value, so that executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(sent):
+    """The model of a broadcast, unpacked once for each worker."""
+    if not hasattr(sent, "unpacked"):
+        sent.unpacked = cloudpickle.loads(sent.value)
+    return sent.unpacked
 
 
 def n_words(c: Column) -> Column:

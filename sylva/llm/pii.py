@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, platt
+from .common import received, send
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "tel", "ssn", "iban")
@@ -273,7 +274,7 @@ def _scan(model, redact: bool) -> object:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: SpanModel = model.value
+        m: SpanModel = received(model)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [t.as_py() for t in batch.column(at)]
@@ -291,13 +292,13 @@ def _scan(model, redact: bool) -> object:
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, score) of each row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(SpanModel())
+    model = send(docs.sparkSession, SpanModel())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_scan(model, False), f"doc_id long, spans {SPAN_TYPE}")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced, n_chars (if there) counted anew, other columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(SpanModel())
+    model = send(docs.sparkSession, SpanModel())
     out = docs.mapInArrow(_scan(model, True), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
