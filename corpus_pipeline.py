@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import n_words, settle, table
-from sylva.llm.decontaminate import contaminated_pairs
+from sylva.llm.decontaminate import clean_documents
 from sylva.llm.langid import UNKNOWN, fit_language_model, label_documents
 from sylva.llm.mixing import fair_schedule
 from sylva.llm.near_dedup import near_groups
@@ -44,8 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

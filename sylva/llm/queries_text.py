@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_is, table
 from .decontaminate import contaminated_pairs
 from .langid import fit_language_model, label_documents
 from .near_dedup import near_duplicates
@@ -19,7 +19,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod("doc_id", 3) == 1
+    held_out = crc_is("doc_id", 3, 1)
     model = fit_quality_model(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = score_documents(docs, model, "doc_id")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -32,25 +32,34 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH dw AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+', ' ', 'g')), ' ') AS w FROM documents),
-iw AS (SELECT row_number() OVER () AS k, item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+', ' ', 'g')), ' ') AS w FROM benchmark),
+iw AS (
+  SELECT row_number() OVER () AS k, item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+', ' ', 'g')), ' ') AS w,
+    greatest(8, CAST(pow(2, ceil(log2(len(w)))) AS BIGINT)) AS top FROM benchmark),
 ish AS (
-  SELECT k, item_id, p, greatest(1, len(w) - 4) AS n, least(5, len(w)) AS width,
+  SELECT k, item_id, p AS i, greatest(1, len(w) - 4) AS n, least(5, len(w)) AS width, CASE WHEN top > 8 AND len(w) <= top // 4 * 3 THEN top // 4 * 3 ELSE top END AS size,
     array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS s
   FROM iw, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(p) WHERE w[1] <> ''),
 dsh AS (
-  SELECT DISTINCT r, doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) t(p)
-  UNION SELECT r, doc_id, array_to_string(w[p:p + width - 1], ' ') FROM dw, (SELECT DISTINCT width FROM ish WHERE width < 5), unnest(range(1, len(w) - width + 2)) t(p)),
+  SELECT r, doc_id, p - 1 AS pos, array_to_string(w[p:p + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) t(p)
+  UNION ALL SELECT r, doc_id, p - 1, array_to_string(w[p:p + width - 1], ' ') FROM dw, (SELECT DISTINCT width FROM ish WHERE width < 5), unnest(range(1, len(w) - width + 2)) t(p)),
+m AS (
+  SELECT r, doc_id, k, item_id, n, i, width, size, pos, unnest([pos // size - 1, pos // size]) AS passage
+  FROM ish JOIN dsh USING (s)),
 f AS (
-  SELECT r, doc_id, k, item_id, n, count(*) FILTER (p <= (n + 1) // 2) AS q, count(*) FILTER (p > (n + 1) // 2) AS a
-  FROM ish JOIN dsh USING (s) GROUP BY ALL)
-SELECT doc_id, item_id, n AS item_shingles, q AS question_found, a AS answer_found FROM f
-WHERE 100 * (q + a) >= 75 * n AND 100 * q >= 50 * ((n + 1) // 2) AND 100 * a >= 50 * (n - (n + 1) // 2)
+  SELECT r, doc_id, k, item_id, n, passage, count(DISTINCT i) FILTER (i <= (n + 1) // 2) AS q, count(DISTINCT i) FILTER (i > (n + 1) // 2) AS a
+  FROM m WHERE passage >= 0 AND pos + width <= (passage + 2) * size GROUP BY ALL),
+best AS (
+  SELECT doc_id, item_id, n, max({'both': q + a, 'q': q}) AS x FROM f
+  WHERE 100 * (q + a) >= 75 * n AND 100 * q >= 50 * ((n + 1) // 2) AND 100 * a >= 50 * (n - (n + 1) // 2)
+  GROUP BY r, doc_id, k, item_id, n)
+SELECT doc_id, item_id, n AS item_shingles, x.q AS question_found, x.both - x.q AS answer_found FROM best
 """
 
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = crc_mod("doc_id", 4) == 2
-    model = fit_language_model(docs.where(~held_out))
+    held_out = crc_is("doc_id", 4, 2)
+    model = fit_language_model(docs.where(~held_out & F.col("doc_id").isNotNull()))
     return label_documents(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", "n_other")
 
 
