@@ -24,16 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str, files: int | None = None, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing.
 
-    files is the most files to write, where many small partitions are likely.
+    files is the most files to write, where many small partitions are likely; codec zstd makes texts smaller.
     """
     spark = df.sparkSession
     if files is not None:
         df = df.coalesce(files)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
