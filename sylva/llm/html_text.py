@@ -2,20 +2,30 @@
 
 A page becomes blocks of text in page order. Blocks inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments - by element, role, class or id - are
-dropped. The token streams of all of a host's pages are put side by side, suffixes that begin with
-the same RUN tokens meet, and a run of tokens that PAGES pages of different content share is covered.
+dropped. A class or id that names such a thing among other words (social-impact) only makes a block doubtful.
+
+The token streams of the other blocks of all of a host's pages are put side by side and suffixes that begin
+with the same RUN tokens meet. The tokens that lie in a run of RUN or more which PAGES pages of different
+content share are covered, which is what a suffix array of the host gives whose neighbours have RUN tokens
+in common. Not every suffix needs to be sent for that: of WINDOW suffixes in a row the one with the smallest
+hash, and those that begin a block, stand for the others. So a shared run of RUN + WINDOW - 1 tokens, or one of RUN
+at the begin of a block, always has one of them; blocks that hold a repeated one then send all
+their suffixes, and those are counted.
 
 The text lies in the articles if they hold SHARE of the tokens that are not covered, else in main if
-that does, else anywhere. Blocks there of which COVERED is covered go, the others stay whole. An
-article or main of which COPIED is covered is itself a copy and loses nothing.
+that does, else anywhere. Anywhere, blocks of which COVERED is covered go, and so do doubtful ones. Inside an article or main
+only runs that HOST_SHARE of the host's pages have are covered: what some articles share is text, what
+most pages of a host share is not. An article or main of which COPIED is covered is itself a copy and
+loses nothing. The unique blocks stay whole.
 
-Every page sends the hashes of its suffixes, each once, and they are counted in two steps, so a host
-with a third of all pages is no single task's work. Up to KEYS repeated suffixes are looked up in a
-broadcast, more in a join; both give the same.
+Suffixes are counted in two steps, so a host with a third of all pages is no single task's work. Up to KEYS
+repeated suffixes are looked up in a broadcast (18 MB), more in a join; both give the same.
 
 Defined results: null and empty html give empty text; text outside any element is a block; an
 unclosed comment, script or tag runs to the end; repeated rows are each returned; pages of equal
-content (dropped blocks aside) count once in what repeats; a null url has the empty host; an empty table gives no rows.
+content (dropped blocks aside) count once in what repeats; a null url has the empty host; a run that as many pages hold as
+are asked is covered; a very long page is one page in one task, about 30 bytes a token; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,14 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import received, send, settle
 from .urls import host_of
 
-#: Tokens of a suffix that must be equal, pages of different content that must share it, share of a block that must be covered.
-RUN, PAGES, COVERED = 8, 3, 0.8
-#: Share of the tokens that an article or main must hold, share of it that must be covered in a copy, repeated suffixes that are broadcast.
-SHARE, COPIED, KEYS = 1 / 3, 0.5, 2_000_000
+#: Tokens of a suffix that must be equal, suffixes of which one is sent, pages of different content that must share it, share of a block that must be covered.
+RUN, WINDOW, PAGES, COVERED = 8, 8, 3, 0.8
+#: Share of a host's pages that must share what goes from an article, of the tokens that an article or main must hold, and of it that must be covered in a copy.
+HOST_SHARE, SHARE, COPIED = 0.5, 1 / 3, 0.5
+#: Repeated suffixes that are broadcast at most, and the parts that a host's suffixes are divided into where its pages are counted in.
+KEYS, PARTS = 2_000_000, 16
 DROP, OPEN, MAIN, ARTICLE, INNER = range(5)
+#: Added to the zone of a doubtful block.
+DOUBT = 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
@@ -54,50 +68,58 @@ MARKS = frozenset(
 )
 #: Names that say an element holds content in spite of such marks, and words that say another element is there.
 CONTENT, BESIDE = frozenset("content article post entry story".split()), frozenset("has with no without".split())
-READERS = frozenset("comment comments respond disqus".split())
+#: Words that say nothing of what an element holds.
+STRUCTURE = frozenset(
+    "area bar block bottom box btn button buttons col column container css fixed footer form global group header icon icons id info inner item items js left line link links list "
+    "main message meta module outer page panel primary right row secondary section site slot sticky text title top unit view wrap wrapper".split()
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z]+")
 
 
-def _drops(tag: str, raw: str) -> bool:
-    """Whether an element's name or attributes say it is not part of the text."""
+def _drops(tag: str, raw: str) -> int:
+    """2 if an element's name or attributes say it is not part of the text, 1 if they may say so, else 0."""
     if tag in DROPPED:
-        return True
+        return 2
     if not raw or tag in ("html", "body"):
-        return False
+        return 0
+    doubt = 0
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
+            return 2
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return 2
         if name in ("class", "id"):
             for part in value.split():
                 words = set(_NAME.findall(part))
-                if words & MARKS and not words & BESIDE and (words & READERS or not words & CONTENT):
-                    return True
-    return False
+                if words & MARKS and not words & BESIDE:
+                    if words <= MARKS | STRUCTURE:
+                        return 2
+                    doubt = max(doubt, int(not words & CONTENT))
+    return doubt
 
 
 def page_blocks(source: str | None) -> list[tuple[str, str]]:
-    """(zone, text) of each block: article, main, open, or dropped."""
-    return [(("dropped", "open", "main", "article", "article")[z], t) for z, t in _blocks(source)]
+    """(zone, text) of each block: article, main, open, or dropped; with a question mark if doubtful."""
+    return [(("dropped", "open", "main", "article", "article")[z % DOUBT] + "?" * (z // DOUBT), t) for z, t in _blocks(source)]
 
 
 def _blocks(source: str | None) -> list[tuple[int, str]]:
-    """(DROP, OPEN, MAIN, ARTICLE, or INNER for an article in main; text) of each block."""
+    """(DROP, or OPEN, MAIN, ARTICLE, INNER for an article in main, with DOUBT added if doubtful; text) of each block."""
     out: list[tuple[int, str]] = []
     if not source:
         return out
-    stack: list[tuple[str, bool]] = []  # element, whether it drops
-    dropping = articles = mains = headings = headers = 0
+    stack: list[tuple[str, int]] = []  # element, whether it drops
+    dropping = doubts = articles = mains = headings = headers = 0
     text: list[str] = []  # of the block at hand
     lost: list[str] = []  # what inline elements that drop hold of it
 
     def flush() -> None:
-        for pieces, zone in ((text, (INNER if mains else ARTICLE) if articles else MAIN if mains else OPEN), (lost, DROP)):
+        own = (INNER if mains else ARTICLE) if articles else MAIN if mains else OPEN
+        for pieces, zone in ((text, own + DOUBT * (doubts > 0)), (lost, DROP)):
             if pieces:
                 if joined := " ".join("".join(pieces).split()):
                     out.append((zone, joined))
@@ -107,10 +129,11 @@ def _blocks(source: str | None) -> list[tuple[int, str]]:
         (text if not dropping or (headers == dropping and headings and articles) else lost).append(piece)
 
     def pop() -> None:
-        nonlocal dropping, articles, mains, headings, headers
+        nonlocal dropping, doubts, articles, mains, headings, headers
         tag, drops = stack.pop()
-        dropping -= drops
-        headers -= drops and tag == "header"
+        dropping -= drops == 2
+        doubts -= drops == 1
+        headers -= drops == 2 and tag == "header"
         articles -= tag == "article"
         mains -= tag == "main"
         headings -= len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -167,8 +190,9 @@ def _blocks(source: str | None) -> list[tuple[int, str]]:
                 close("th", "tr", "table")
             drops = _drops(tag, raw)
             stack.append((tag, drops))
-            dropping += drops
-            headers += drops and tag == "header"
+            dropping += drops == 2
+            doubts += drops == 1
+            headers += drops == 2 and tag == "header"
             articles += tag == "article"
             mains += tag == "main"
             headings += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -191,83 +215,139 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _suffixes(host: str, blocks: list[dict]) -> np.ndarray:
-    """Hash of host and first RUN tokens of each suffix of a page that has so many; the whole of a shorter page."""
-    tokens = [xxhash.xxh64_intdigest(w) for b in blocks for w in b["text"].split()]
-    if not tokens:
-        return np.zeros(0, np.int64)
-    n, width = np.array(tokens, np.uint64), min(RUN, len(tokens))
+def _suffixes(host: str, blocks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of host and first RUN tokens of each suffix of a page that has so many, the whole of a shorter page; and where blocks begin and the last ends.
+
+    Dropped blocks have no tokens here.
+    """
+    words = [b["text"].split() if b["zone"] != DROP else [] for b in blocks]
+    ends = np.cumsum([0, *map(len, words)])
+    n = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, ends[-1])
+    if not len(n):
+        return np.zeros(0, np.int64), ends
+    width = min(RUN, len(n))
     key = np.full(len(n) - width + 1, xxhash.xxh64_intdigest(f"{width} {host}"), np.uint64)
     for k in range(width):
         key = (key ^ n[k : k + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return key.view(np.int64), ends
+
+
+def _anchors(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the suffixes that stand for the others."""
+    width = min(WINDOW, len(keys))
+    if not width:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(keys, width).argmin(axis=1) + np.arange(len(keys) - width + 1)
+    return np.unique(np.concatenate([least, ends[:-1][ends[:-1] < len(keys)]]))
+
+
+def _around(keys: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places of all suffixes that begin in a block that some of the suffixes at the places touch."""
+    held = np.zeros(len(ends) + 1, np.int64)
+    last = np.minimum(places + RUN, ends[-1]) - 1
+    np.add.at(held, np.searchsorted(ends, places, "right") - 1, 1)
+    np.add.at(held, np.searchsorted(ends, last, "right"), -1)
+    return np.flatnonzero(np.repeat(np.cumsum(held)[: len(ends) - 1] > 0, np.diff(ends))[: len(keys)])
+
+
+def _finder(known) -> object:
+    """Places of a page's repeated suffixes and whether most of its host's pages have them: looked up in a broadcast, or of the column places."""
+
+    def find(batch: pa.RecordBatch, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if known is None:
+            own = np.array(batch.column("places")[k].as_py() or [], np.int64)
+            return own // 2, own % 2 == 1
+        repeated, most = received(known)
+        at = np.minimum(np.searchsorted(repeated, keys), max(0, len(repeated) - 1))
+        places = np.flatnonzero(repeated[at] == keys) if len(repeated) else np.zeros(0, np.int64)
+        return places, most[at[places]] if len(repeated) else np.zeros(0, bool)
 
+    return find
+
+
+def _keys(pick) -> object:
+    """Rows with the hashes of suffixes: those that pick names, each once, or all in their places if there is none."""
 
-def _each(distinct: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_suffixes(h.as_py(), b.as_py()) for h, b in zip(batch.column("host"), batch.column("blocks"), strict=True)]
-            keys = pa.array([np.unique(k) if distinct else k for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), keys], ["row", "keys"])
+            out = []
+            for k, (host, blocks) in enumerate(zip(batch.column("host"), batch.column("blocks"), strict=True)):
+                keys, ends = _suffixes(host.as_py(), blocks.as_py())
+                out.append(np.unique(keys[pick(batch, k, keys, ends)]) if pick else keys)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "host", "content")), pa.array(out, pa.list_(pa.int64()))], ["row", "host", "content", "keys"])
 
     return run
 
 
-def _text(blocks: list[dict], places: np.ndarray) -> str:
+_KEYED = "row long, host string, content long, keys array<bigint>"
+
+
+def _text(blocks: list[dict], ends: np.ndarray, places: np.ndarray, most: np.ndarray) -> str:
     """Text of a page whose suffixes at the places are repeated."""
-    ends = np.cumsum([0, *(len(b["text"].split()) for b in blocks)])
-    steps = np.zeros(ends[-1] + RUN + 1, np.int64)
-    np.add.at(steps, places, 1)
-    np.add.at(steps, places + RUN, -1)
-    before = np.concatenate([[0], np.cumsum(np.cumsum(steps)[: ends[-1]] > 0)])
-    sizes, covered = np.diff(ends), before[ends[1:]] - before[ends[:-1]]
+
+    def covered(places: np.ndarray) -> np.ndarray:
+        steps = np.zeros(ends[-1] + RUN + 1, np.int64)
+        np.add.at(steps, places, 1)
+        np.add.at(steps, places + RUN, -1)
+        before = np.concatenate([[0], np.cumsum(np.cumsum(steps)[: ends[-1]] > 0)])
+        return before[ends[1:]] - before[ends[:-1]]
+
+    sizes, some, lasting = np.diff(ends), covered(places), covered(places[most])
     zones = np.array([b["zone"] for b in blocks], np.int64)
-    stay = (zones != DROP) & (covered < COVERED * sizes)
+    doubtful, zones = zones >= DOUBT, zones % DOUBT
+    repeated = some >= COVERED * sizes
+    stay = (zones != DROP) & ~repeated
     for zone in (zones >= ARTICLE, (zones == MAIN) | (zones == INNER)):
         if zone.any():
-            copy = covered[zone].sum() >= COPIED * sizes[zone].sum()
-            own = (sizes if copy else sizes - covered)[zone].sum()
-            if own >= SHARE * (own + (sizes - covered)[~zone & (zones != DROP)].sum()):
-                stay = zone if copy else zone & stay
+            copy = lasting[zone].sum() >= COPIED * sizes[zone].sum()
+            own = (sizes if copy else sizes - lasting)[zone].sum()
+            if own >= SHARE * (own + (sizes - some)[~zone & (zones != DROP)].sum()):
+                stay = zone & (copy | ((lasting < COVERED * sizes) & ~(doubtful & repeated)))
                 break
     return "\n\n".join(b["text"] for b, s in zip(blocks, stay, strict=True) if s)
 
 
-def _keep(repeated) -> object:
-    """Rows with their text; the places of repeated suffixes are a column or, if there is a broadcast, looked up."""
-
+def _keep(find) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, blocks, texts = batch.column("host").to_pylist(), batch.column("blocks").to_pylist(), []
-            for k, own in enumerate(blocks):
-                if repeated is not None:
-                    keys, known = _suffixes(hosts[k], own), repeated.value
-                    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                    places = np.flatnonzero(known[at] == keys) if len(known) else np.zeros(0, np.int64)
-                else:
-                    places = np.array(batch.column("places")[k].as_py() or [], np.int64)
-                texts.append(_text(own, places))
+            texts = []
+            for k, (host, blocks) in enumerate(zip(batch.column("host"), batch.column("blocks"), strict=True)):
+                own = blocks.as_py()
+                keys, ends = _suffixes(host.as_py(), own)
+                texts.append(_text(own, ends, *find(batch, k, keys)) if own else "")
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return run
 
 
+def _with_places(read: DataFrame, repeated: DataFrame) -> tuple[DataFrame, object]:
+    """Rows and a finder of their suffixes in repeated (key, most)."""
+    if repeated.count() <= KEYS:
+        held = repeated.toPandas().sort_values("key")
+        return read, _finder(send(read.sparkSession, (held["key"].to_numpy(np.int64), held["most"].to_numpy(bool))))
+    places = read.mapInArrow(_keys(None), _KEYED).select("row", F.posexplode("keys").alias("place", "key")).join(repeated, "key")
+    places = places.groupBy("row").agg(F.collect_list(2 * F.col("place") + F.col("most").cast("int")).alias("places"))
+    return read.join(places, "row", "left"), _finder(None)
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.monotonically_increasing_id().alias("row"), "html")
-    read = settle(pages.mapInArrow(_read, "page_id long, url string, host string, row long, blocks array<struct<zone:tinyint,text:string>>, content long"), "html-read")
-    copies = settle(read.groupBy("host", "content").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("host", "content", "first"), "html-copies")
-    once = read.join(copies, ["host", "content"], "left").where("first is null or row = first")
-    keys = once.select("row", "host", "blocks").mapInArrow(_each(True), "row long, keys array<bigint>").select(F.explode("keys").alias("key"))
-    repeated = settle(keys.groupBy("key").count().where(F.col("count") >= PAGES).select("key"), "html-repeated")
-    known, columns = None, ["page_id", "url", "host", "blocks"]
-    if repeated.count() <= KEYS:
-        known = spark.sparkContext.broadcast(np.sort(repeated.toPandas()["key"].to_numpy(np.int64)))
-    else:
-        places = read.select("row", "host", "blocks").mapInArrow(_each(False), "row long, keys array<bigint>").select("row", F.posexplode("keys").alias("place", "key"))
-        places = places.join(repeated, "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-        read, columns = read.join(places, "row", "left"), [*columns, "places"]
-    out = read.select(columns).mapInArrow(_keep(known), "page_id long, url string, text string")
+    read = settle(pages.mapInArrow(_read, "page_id long, url string, host string, row long, blocks array<struct<zone:tinyint,text:string>>, content long"), "html-read", codec="zstd")
+    contents = read.groupBy("host", "content").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    copies = settle(contents.where("n > 1").select("host", "content", "first"), "html-copies")
+    sizes = contents.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    def counted(rows: DataFrame, pick) -> DataFrame:
+        """host, key, n: in how many pages of different content each picked suffix is."""
+        keyed = rows.mapInArrow(_keys(pick), _KEYED).where(F.size("keys") > 0).join(copies, ["host", "content"], "left")
+        return keyed.where("first is null or row = first").select("host", F.explode("keys").alias("key")).groupBy("key").agg(F.min("host").alias("host"), F.count("*").alias("n")).where(F.col("n") >= PAGES)
+
+    anchors = settle(counted(read, lambda batch, k, keys, ends: _anchors(keys, ends)).select("key", F.lit(False).alias("most")), "html-anchors")
+    rows, find = _with_places(read, anchors)
+    runs = counted(rows, lambda batch, k, keys, ends: _around(keys, ends, find(batch, k, keys)[0])).withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int"))
+    runs = runs.join(sizes, ["host", "part"]).select("key", (F.col("n") >= F.lit(HOST_SHARE) * F.col("pages")).alias("most"))
+    rows, find = _with_places(read, settle(runs, "html-repeated"))
+    out = rows.mapInArrow(_keep(find), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
