@@ -1,22 +1,23 @@
 """Approximate nearest neighbours (operator 5): a permutation index.
 
-A vector is represented by the order of a fixed set of pivots by nearness to it. It is posted in the
-inverted file of its nearest pivot; files are divided into chunks of bounded size. A query looks into
-the files of its PROBES nearest pivots, ranks what is posted there by the footrule distance between
-orders (the sum of differences of pivot positions), and those within its radius are ranked again by
-cosine on the original vectors in double precision.
-
-Positions are kept in LEVELS steps as thermometer codes, so a footrule distance is the number of bits
-in which two codes differ. A query's radius is the distance within which WITHIN of a bounded sample
-lies, the same for all files; with a sample of fewer than SMALL vectors there is no radius and every
-file is looked into.
-
-Queries and posted vectors meet in blocks of at most CHUNK vectors and QUERY_BLOCK queries.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do rows with a null id; rows with the query's id are not its
-candidates; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives
-none.
+A vector is represented by the order of a fixed set of pivots by nearness to it, and posted with its
+position in each pivot's inverted file; positions of POSTED and beyond count as POSTED (not posted).
+Files are divided into shards of CHUNK vectors drawn by a hash, so each shard is a sample of all. A query reads its pivots' files of
+a shard, adds up the differences of positions - the footrule distance between the two orders - and the
+SHARE of the shard with the least is ranked again by cosine on the original vectors in double
+precision; never fewer than k are, so no query lacks answers.
+
+Nearness to pivots is measured from the mean of a bounded sample, else a dense mass of vectors sees all pivots in
+one order. Half of the pivots are drawn, half are those farthest from the ones before, so that outliers have pivots near them.
+
+Queries and shards meet in blocks of at most QUERY_BLOCK and CHUNK rows; nothing depends on the number of vectors but the
+number of blocks. Vectors of different lengths have no cosine; each length has pivots, files and queries
+of its own. The broadcast holds SAMPLE / PIVOTS vectors a length at most.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
+do rows with a null id; a query's candidates are all other rows of its length, rows with its id too if it is repeated, and each of
+the rows with that id asks for itself; ties in cosine, and in footrule, go to the smaller id; fewer candidates than k give fewer rows; an
+empty table gives none; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,112 +29,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drawn_rows, received, send, settle
 
-PIVOTS = 128
-LEVELS = 17
-PROBES = 112
-WITHIN = 0.35
-#: Vectors drawn for pivots and radii.
+#: Pivots, and the positions that are posted (at most 255).
+PIVOTS, POSTED = 128, 128
+#: Share of a shard that is ranked again by cosine.
+SHARE = 0.15
+#: Vectors of each length drawn for pivots and their mean.
 SAMPLE = 1_500
-SMALL = 600
-CHUNK = 4_096
-QUERY_BLOCK = 1_024
+CHUNK, QUERY_BLOCK = 8_192, 2_048
 
 
 def usable(v: Column) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    # scaled first, so that squares of very large or small components stay finite
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class PermutationCoder:
-    """Orders of pivots and their codes."""
+    """Pivots, and the positions that a vector has in their files."""
 
     def __init__(self, sample: np.ndarray, pivots: int = PIVOTS):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.pivots = unit[:pivots]
-        self.sample_codes = self.code(self.ranks(sample))
-        self.small = len(sample) < SMALL
-
-    def ranks(self, x: np.ndarray) -> np.ndarray:
-        near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ self.pivots.T
+        unit = np.unique(_unit(sample), axis=0)
+        unit = unit[np.random.default_rng(7).permutation(len(unit))]
+        self.mean = unit.mean(axis=0)
+        chosen, far = [], np.full(len(unit), np.inf)
+        while len(chosen) < min(pivots // 2, len(unit)):
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((unit - unit[chosen[-1]]) ** 2).sum(axis=1))
+        taken = set(chosen)
+        chosen += [i for i in range(len(unit)) if i not in taken][: pivots - len(chosen)]
+        out = unit[chosen] - self.mean
+        self.pivots = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    def positions(self, x: np.ndarray) -> np.ndarray:
+        """One row of positions for each vector."""
+        near = (_unit(x) - self.mean) @ self.pivots.T
         order = np.argsort(-near, axis=1, kind="stable")
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+        ranks = np.empty(order.shape, np.uint8)
+        np.put_along_axis(ranks, order, np.broadcast_to(np.minimum(np.arange(order.shape[1]), POSTED).astype(np.uint8), order.shape), axis=1)
         return ranks
 
-    def code(self, ranks: np.ndarray) -> np.ndarray:
-        """uint64 words, one row per vector: for each pivot as many bits set as its step is high."""
-        m = ranks.shape[1]
-        step = ranks * LEVELS // m
-        bits = step[:, :, None] > np.arange(LEVELS - 1)
-        packed = np.packbits(bits.reshape(len(ranks), -1), axis=1)
-        pad = -packed.shape[1] % 8
-        return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, pad)))).view(np.uint64)
-
-    def radius(self, codes: np.ndarray) -> np.ndarray:
-        if self.small:
-            return np.full(len(codes), 1 << 30)
-        return np.array([np.quantile(footrule(self.sample_codes.T, c), WITHIN, method="higher") for c in codes], np.int64)
-
-    def probes(self, ranks: np.ndarray) -> np.ndarray:
-        """For each vector the pivots whose files are looked into, nearest first."""
-        order = np.argsort(ranks, axis=1, kind="stable")
-        return order if self.small else order[:, :PROBES]
-
 
-def footrule(columns: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Bits in which each coded vector differs from a code; columns holds word k of all vectors in row k."""
-    total = np.zeros(columns.shape[1], np.uint16)
-    for words, own in zip(columns, code, strict=True):
-        total += np.bitwise_count(words ^ own)
-    return total
+def footrule(files: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sum of differences of positions; a row of files for each pivot, a column for each vector."""
+    own = own[:, None]
+    return (np.maximum(files, own) - np.minimum(files, own)).sum(axis=0, dtype=np.uint16)
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def least(distance: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least, of equal ones the first."""
+    if n >= len(distance):
+        return np.arange(len(distance))
+    edge = np.partition(distance, n - 1)[n - 1]
+    below = np.flatnonzero(distance < edge)
+    return np.concatenate([below, np.flatnonzero(distance == edge)[: n - len(below)]])
 
 
-def _post(coder) -> object:
+def _post(sent) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: PermutationCoder = coder.value
+        coders = received(sent)
         for pdf in batches:
             if len(pdf):
-                x = _vectors(pdf["v"])
-                ranks = c.ranks(x)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "cell": ranks.argmin(axis=1), "v": [r.tobytes() for r in x], "code": [r.tobytes() for r in c.code(ranks)]})
+                positions = np.empty(len(pdf), object)
+                vectors = [np.asarray(v, np.float64) for v in pdf["v"]]
+                sizes = pdf["n"].to_numpy()
+                for n in np.unique(sizes):
+                    at = np.flatnonzero(sizes == n)
+                    for k, p in zip(at, coders[int(n)].positions(np.stack([vectors[i] for i in at])), strict=True):
+                        positions[k] = p.tobytes()
+                yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "n": pdf["n"], "v": [v.tobytes() for v in vectors], "positions": positions})
 
     return run
 
 
-def _ask(coder) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: PermutationCoder = coder.value
-        for pdf in batches:
-            if len(pdf):
-                ranks = c.ranks(np.stack([np.frombuffer(v, np.float64) for v in pdf["v"]]))
-                yield pdf.assign(radius=c.radius(c.code(ranks)), cells=list(c.probes(ranks).astype(np.int32)))
-
-    return run
+def _stacked(column: pd.Series, kind: type) -> np.ndarray:
+    return np.stack([np.frombuffer(v, kind) for v in column])
 
 
 def _meet(k: int) -> object:
     def run(posted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})
-        if not len(posted) or not len(asked):
-            return none
-        posted = posted.sort_values("vec_id", kind="stable")
-        ids, x = posted["vec_id"].to_numpy(), np.stack([np.frombuffer(v, np.float64) for v in posted["v"]])
-        norms = np.sqrt((x * x).sum(axis=1))
-        columns = np.ascontiguousarray(np.stack([np.frombuffer(c, np.uint64) for c in posted["code"]]).T)
-        out = []
-        for qid, v, code, radius in zip(asked["vec_id"], asked["v"], asked["code"], asked["radius"], strict=True):
-            near = np.flatnonzero((footrule(columns, np.frombuffer(code, np.uint64)) <= radius) & (ids != qid))
-            if len(near):
-                q = np.frombuffer(v, np.float64)
-                score = (x[near] @ q) / (norms[near] * np.sqrt((q * q).sum()))
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        if len(posted) and len(asked):
+            posted = posted.sort_values("vec_id", kind="stable")
+            rows, ids, x = posted["row"].to_numpy(), posted["vec_id"].to_numpy(), _unit(_stacked(posted["v"], np.float64))
+            files = np.ascontiguousarray(_stacked(posted["positions"], np.uint8).T)
+            n = max(k + 1, int(np.ceil(SHARE * len(ids))))
+            for row, qid, v, own in zip(asked["row"], asked["vec_id"], asked["v"], asked["positions"], strict=True):
+                near = least(footrule(files, np.frombuffer(own, np.uint8)), n)
+                near = near[rows[near] != row]
+                score = x[near] @ _unit(np.frombuffer(v, np.float64)[None])[0]
                 best = np.lexsort((ids[near], -score))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out) if out else none
+                out.append((np.full(len(best), row), np.full(len(best), qid), ids[near][best], score[best]))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("row", "query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -141,27 +133,27 @@ def _meet(k: int) -> object:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 17) -> DataFrame:
     """query_id, rank, vec_id, score: rows of vectors (vec_id, embedding) for which is_query (of vec_id) holds, against all rows."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull()).where(usable(F.col("v")))
-    schema = "query_id long, rank int, vec_id long, score double"
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == lengths[0]["n"])
-    share = min(1.0, 1.3 * SAMPLE / lengths[0]["count"])
-    drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000))
-    sample = rows.where(drawn < int(share * 1_000_000) + 1).orderBy(drawn, "vec_id").select("v").limit(SAMPLE).collect()
-    coder = spark.sparkContext.broadcast(PermutationCoder(np.array([r["v"] for r in sample], np.float64)))
-
-    posted = settle(rows.mapInPandas(_post(coder), "vec_id long, cell int, v binary, code binary"), "ann-posted")
-    asked = posted.where(is_query).mapInPandas(_ask(coder), "vec_id long, cell int, v binary, code binary, radius long, cells array<int>")
-    asked = settle(asked.select("vec_id", "v", "code", "radius", F.explode("cells").alias("cell")), "ann-asked")
-    # one row for each pivot at most
-    sizes = posted.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("q")), "cell")
-    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("blocks")))
-    left = posted.join(sizes, "cell").select("cell", "vec_id", "v", "code", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = asked.join(sizes, "cell").select("cell", "vec_id", "v", "code", "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
-    keys = ["cell", "chunk", "block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.where(F.col("vec_id").isNotNull()).where(usable(F.col("v"))).withColumn("n", F.size("v"))
+    counts = {r["n"]: r["count"] for r in rows.groupBy("n").count().collect()}
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    samples: dict[int, list] = {}
+    for r in drawn_rows(rows.select("n", "v"), "n", counts, F.xxhash64("v", F.lit(seed)), SAMPLE).collect():
+        samples.setdefault(r["n"], []).append(r["v"])
+    coders = send(spark, {n: PermutationCoder(np.array(sorted(own), np.float64)) for n, own in samples.items()})
+
+    posted = settle(rows.mapInPandas(_post(coders), "row long, vec_id long, n int, v binary, positions binary"), "ann-posted")
+    asked = posted.where(is_query)
+    # one row for each length
+    sizes = posted.groupBy("n").agg(F.count("*").alias("rows")).join(asked.groupBy("n").agg(F.count("*").alias("queries")), "n")
+    sizes = F.broadcast(sizes.select("n", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("queries") / QUERY_BLOCK).cast("int").alias("blocks")))
+    chunk, block = (F.pmod(F.xxhash64("row", F.lit(seed)), F.col(c)).cast("int") for c in ("chunks", "blocks"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = [F.col(c).alias(c) for c in ("n", "row", "vec_id", "v", "positions")]  # names of their own for either side
+    left = posted.join(sizes, "n").select(*own, chunk.alias("chunk"), each("blocks").alias("block"))
+    right = asked.join(sizes, "n").select(*own, each("chunks").alias("chunk"), block.alias("block"))
+    keys = ["n", "chunk", "block"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

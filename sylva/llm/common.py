@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import settle, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "crc_is", "n_words", "received", "send", "settle", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "crc_is", "drawn_rows", "n_words", "received", "send", "settle", "shared_dir", "table"]
 
 #: Words are runs of characters other than these (space and \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,21 @@ def received(sent):
     return sent.unpacked
 
 
+def drawn_rows(rows: DataFrame, kind: str, counts: dict, draw: Column, most: int) -> DataFrame:
+    """At most so many rows of each kind, those with the smallest draw; counts: rows of each kind.
+
+    Rows with a draw far above what most should have go first, so what meets in one task is about twice
+    the sample, unless a row is repeated very often; of those each partition sends no more than the sample.
+    """
+    share = F.lit(1.0)
+    for value, n in counts.items():
+        share = F.when(F.col(kind) == value, F.lit(min(1.0, (2 * most + 50) / n))).otherwise(share)
+    rows = rows.withColumn("_draw", draw)
+    near = F.pmod("_draw", F.lit(1_000_003)) < F.ceil(share * 1_000_003)
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.pmod("_draw", F.lit(1_000_003)), "_draw"))
+    return rows.where(near).withColumn("_place", place).where(F.col("_place") <= most).orderBy(kind, "_place").drop("_draw", "_place")
+
+
 def n_words(c: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylva.llm import ann
-from sylva.llm.ann import PermutationCoder, footrule, nearest
+from sylva.llm.ann import PermutationCoder, footrule, least, nearest
 from sylva.llm.queries_pages import op5_nearest
 
 
@@ -57,8 +57,8 @@ def test_cases(spark, clash, same):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [0.0, 2.0]), (None, [1.0, 0.0]), (0, [1.0, 0.0]), (8, [1.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = found(nearest(df, F.col("vec_id") == 0))
-    # the query comes twice and finds each candidate for either row
-    assert {v for _, v, _ in got[0]} == {6, 7}
+    # the query comes twice: either row is a candidate of the other
+    assert {v for _, v, _ in got[0]} == {0, 6, 7} and len(got[0]) == 6
     one = df.where("vec_id is null or vec_id != 0").unionByName(df.where("vec_id = 0").limit(1))
     assert [(v, round(s, 12)) for _, v, s in found(nearest(one, F.col("vec_id") == 0))[0]] == [(6, round(0.5**0.5, 12)), (7, 0.0)]
     assert nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -66,12 +66,41 @@ def test_cases(spark, clash, same):
     same(nearest(clash(one), F.col("vec_id") == 0), nearest(one, F.col("vec_id") == 0))
 
 
-def test_codes_give_the_footrule():
+def test_positions_and_footrule():
     rng = np.random.default_rng(1)
     coder = PermutationCoder(rng.normal(size=(40, 6)), pivots=16)
-    ranks = coder.ranks(rng.normal(size=(30, 6)))
+    ranks = coder.positions(rng.normal(size=(30, 6)))
     assert (np.sort(ranks, axis=1) == np.arange(16)).all()
-    codes = coder.code(ranks)
-    step = ranks * ann.LEVELS // 16
     for k in range(30):
-        assert (footrule(np.ascontiguousarray(codes.T), codes[k]) == np.abs(step - step[k]).sum(1)).all()
+        want = np.abs(ranks.astype(int) - ranks[k]).sum(1)
+        assert (footrule(np.ascontiguousarray(ranks.T), ranks[k]) == want).all()
+        assert least(want, 7).tolist() == sorted(np.lexsort((np.arange(30), want))[:7], key=lambda i: (want[i] == np.sort(want)[6], i))
+    assert PermutationCoder(np.ones((5, 3))).positions(np.ones((2, 3))).tolist() == [[0], [0]]
+
+
+def shapes(name):
+    rng = np.random.default_rng(3)
+    if name == "mass":  # a dense mass and queries far from it
+        x = np.concatenate([rng.normal(size=32) + 0.02 * rng.normal(size=(1_470, 32)), rng.normal(size=(30, 32))])
+        return x, np.arange(1_470, 1_500)
+    if name == "clusters":
+        return rng.normal(size=(30, 32))[rng.integers(0, 30, 1_500)] + 0.2 * rng.normal(size=(1_500, 32)), np.arange(0, 1_500, 50)
+    return rng.normal(size=(int(name), 32)), np.arange(0, int(name), 25)
+
+
+@pytest.mark.parametrize("name", ["mass", "clusters", "500", "700", "2000"])
+def test_recall_on_shapes(spark, name):
+    x, queries = shapes(name)
+    ids = np.arange(len(x))
+    wanted = F.col("vec_id").isin(*queries.tolist())
+    got = found(nearest(spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), wanted))
+    want = brute(ids, x, queries)
+    shares = [len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) / 5 for q in want]
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.4 and all(len(got[q]) == 5 for q in want)
+
+
+def test_lengths_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=3 + k % 2).tolist()) for k in range(60)]
+    got = found(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 4))
+    assert all(len(got[q]) == 5 and all(v % 2 == q % 2 for _, v, _ in got[q]) for q in range(4))
