@@ -104,10 +104,14 @@ r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es
 f AS (
   SELECT n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN r
   ON (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp) GROUP BY n),
-u AS (SELECT n, host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS url FROM h),
+u AS (SELECT n, host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*([^"''\s>]+)', 1)) AS href FROM h),
+a AS (
+  SELECT n, src, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(href, '(?i)&(?:#0*47|#x0*2f|sol);', '/', 'g'), '(?i)&(?:#0*58|#x0*3a|colon);', ':', 'g'),
+    '(?i)&(?:#0*46|#x0*2e|period);', '.', 'g'), '(?i)&(?:#0*45|#x0*2d);', '-', 'g'), '(?i)&(?:#0*38|#x0*26|amp);', '&', 'g') AS href FROM u),
 l AS (
   SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (
-    SELECT DISTINCT n, src, translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u)
+    SELECT DISTINCT n, src, translate(regexp_extract(href, '^(?i:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM a WHERE regexp_matches(href, '^(?i:[a-z][a-z0-9+.-]*:)?//'))
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 e AS (
   SELECT 'trust' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM l
@@ -122,7 +126,7 @@ g AS (
   SELECT host, coalesce(sum(y) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(y) FILTER (kind = 'distrust'), 0) AS d
   FROM (SELECT kind, host, x * power(0.85, k) * CASE WHEN k < 12 THEN 0.15 ELSE 1 END AS y FROM walk) GROUP BY host)
 SELECT page_id, coalesce(h.host, '') AS host, coalesce(path, '') AS path, rule,
-  coalesce(v, CASE WHEN d > 1e-9 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(v, CASE WHEN d * (SELECT sum(seed) FROM s WHERE kind = 'distrust') > 1e-6 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN f USING (n) LEFT JOIN g ON g.host = h.host
 """
 
