@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sylva.llm.common import n_words, settle, table
 from sylva.llm.decontaminate import clean_documents
 from sylva.llm.langid import UNKNOWN, fit_language_model, label_documents
-from sylva.llm.mixing import fair_schedule
+from sylva.llm.mixing import taken_words
 from sylva.llm.near_dedup import near_groups
 from sylva.llm.pii import redact_documents
 
@@ -54,7 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of: their columns, size in words, and the words taken."""
-    sums = fair_schedule(docs).groupBy("doc_id", "source", "size").agg(F.sum("words").alias("words"), F.count(F.when(F.col("pass") == 0, 1)).alias("rows"))
+    sums = taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
     own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("size", n_words(F.col("text")))
     same = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and d.size = m.size")
     taken = (F.col("m.words") / F.col("m.rows")).cast("long")

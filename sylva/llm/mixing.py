@@ -2,16 +2,20 @@
 
 Each source is a queue: its documents in a shuffled order, the whole queue once for each allowed
 pass. A source is served at the rate of its target, so a copy has the virtual start and finish times
-(words queued before it) / target and (words up to its end) / target. At virtual time 1 all sources
-have been given exactly their targets, which is the total budget: what finishes later is cut there,
-and the one copy of a source that time 1 falls into gives the words before the cut.
+(words queued before it) / target and (words up to its end) / target. All copies of all sources are sorted by range of
+finish; running sums over that order say how many words were given before each copy, and the mix ends where the
+total budget is spent. At virtual time 1 each source has been given its target, so the one copy of a source that time 1
+falls into gives only the words before it.
 
-Running sums never put a source into one task: a source is divided into buckets of the shuffle key,
-bucket sums are added up first, and rows are summed inside their bucket.
+Running sums never put a source into one task: rows that are equal in id, source and size are counted first and stay one row of the
+queue, a source is divided into buckets of the shuffle key, bucket sums are added up first, and rows are summed inside their
+bucket. Counted rows are opened in parts of OPEN again. The sorted copies are summed inside their
+range, ranges first. The windows over all sources, buckets of a source and ranges hold one row for each.
 
 Defined results: null text has size 0 and is never taken; a null source is a source, ordered last;
 with no words at all every target is 0; rows with equal ids are ordered by size and share their
-digest key; an empty table gives no rows.
+digest key, rows without an id have a key of their size, and each row is returned; a very long text is one document like any other; an empty table gives no rows; columns other than doc_id, source and
+text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .common import n_words, settle
 
 #: Rows of one source that one task sums at most, about.
 BUCKET_ROWS = 50_000
+#: Equal rows that are opened at once.
+OPEN = 10_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int], share: float, limit: int) -> DataFrame:
@@ -52,36 +58,58 @@ def source_targets(sources: DataFrame, weights: Sequence[int], share: float, lim
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, pass, start, finish, words: one row per copy in the queues, range-sorted by finish."""
-    return numbered_schedule(docs, weights, share, limit).drop("row")
-
-
-def numbered_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
-    """fair_schedule with a number of the input row."""
-    sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("key"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
-    rows = sized.count()
-    digits = 1
-    while 16**digits * BUCKET_ROWS < rows:
+def _queues(docs: DataFrame, weights: Sequence[int], share: float, limit: int) -> DataFrame:
+    """doc_id, source, size, key, rows, source_size, target, all_size, before: counted rows with the words queued before them in their source."""
+    counted = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string"))))
+    counted = settle(counted.withColumn("key", key), "mix-sizes")
+    total, digits = counted.count(), 1
+    while 16**digits * BUCKET_ROWS < total:
         digits += 1
-    sized = sized.withColumn("bucket", F.substring(F.coalesce("key", F.lit("0" * digits)), 1, digits))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    counted = counted.withColumn("bucket", F.substring("key", 1, digits)).withColumn("words", F.col("size") * F.col("rows"))
+    sums = counted.groupBy("source", "bucket").agg(F.sum("words").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, limit)
+    targets = targets.withColumn("all_size", F.sum("source_size").over(Window.partitionBy()))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
-    offsets = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source")).select("o.*", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("upto", F.sum("size").over(inside))
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    offsets = offsets.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source")).select("o.source", "o.bucket", "o.offset", "t.source_size", "t.target", "t.all_size")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    queued = counted.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     queued = queued.alias("q").join(offsets.alias("o"), F.expr("q.source <=> o.source and q.bucket = o.bucket"))
-    queued = queued.select("q.row", "q.doc_id", "q.source", "q.size", "o.source_size", "o.target", (F.col("o.offset") + F.col("q.upto")).alias("upto"))
-    copies = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
-    end = F.col("pass") * F.col("source_size") + F.col("upto")
-    cut = F.floor(F.col("target") + 0.5)
-    words = F.greatest(F.lit(0), F.least(F.col("size"), cut - (end - F.col("size"))))
+    return queued.select("q.doc_id", "q.source", "q.size", "q.key", "q.rows", "o.source_size", "o.target", "o.all_size", (F.col("o.offset") + F.col("q.within")).alias("before"))
+
+
+def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
+    """doc_id, source, size, number, source_size, target, pass, start, finish, words: one row per copy in the queues, in the order of finish.
+
+    number tells rows with the same id, source and size apart; words is what the mix takes of the copy.
+    """
+    queued = settle(_queues(docs, weights, share, limit), "mix-queues")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / OPEN))).alias("part")
+    few, many = queued.where(F.col("rows") <= OPEN).select("*", F.lit(0).cast("long").alias("part")), queued.where(F.col("rows") > OPEN).select("*", part)
+    parts = few.unionByName(many.repartition("key", "part")).withColumn("first", F.col("part") * OPEN)
+    opened = parts.withColumn("number", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + OPEN, "rows") - 1)))
+    copies = opened.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
+    end = F.col("pass") * F.col("source_size") + F.col("before") + F.col("size") * (F.col("number") + 1)
+    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - (end - F.col("size"))))
     timed = copies.select(
-        "doc_id", "source", "size", "source_size", "target", "pass",
+        "doc_id", "source", "size", "number", "source_size", "target", "all_size", "key", "pass",
         F.when(F.col("target") > 0, (end - F.col("size")) / F.col("target")).alias("start"),
         F.when(F.col("target") > 0, end / F.col("target")).alias("finish"),
-        words.cast("long").alias("words"), "row",
+        words.cast("long").alias("due"),
     )
-    return timed.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id")
+    order = ["finish", F.col("source").asc_nulls_last(), "pass", "key", "doc_id", "size", "number"]
+    ranged = settle(timed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-order")
+    sums = ranged.groupBy("range").agg(F.sum("due").alias("due"))
+    given = sums.select("range", F.coalesce(F.sum("due").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("given"))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    served = ranged.withColumn("within", F.coalesce(F.sum("due").over(inside), F.lit(0))).join(given, "range")
+    left = F.ceil(F.lit(share) * F.col("all_size")) - F.col("given") - F.col("within")
+    taken = F.greatest(F.lit(0), F.least(F.col("due"), left)).cast("long")
+    return served.select("doc_id", "source", "size", "number", "source_size", "target", "pass", "start", "finish", taken.alias("words"))
+
+
+def taken_words(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
+    """doc_id, source, size, number, source_size, target, taken: one row for each row of docs."""
+    copies = fair_schedule(docs, weights, share, limit)
+    return copies.groupBy("doc_id", "source", "size", "number", "source_size", "target").agg(F.sum("words").alias("taken"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, masked_text, parse_formatted
 from .common import table
-from .mixing import numbered_schedule
+from .mixing import taken_words
 from .urls import judge_urls
 
 #: (verdict, host, path)
@@ -61,15 +61,13 @@ FROM c GROUP BY conv_id
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = numbered_schedule(table(spark, sf_dir, "documents"))
-    # equal ids, and rows without words at one place of the queue, stay apart by their row
-    out = copies.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    row_number() OVER () AS n FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, ([3, 1, 2])[CAST((k - 1) % 3 + 1 AS INT)] AS w FROM s),
 l AS (
@@ -80,12 +78,18 @@ t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size,
     (SELECT level FROM l WHERE level * w <= 2.0::DOUBLE * source_size ORDER BY source_size / w::DOUBLE, k LIMIT 1) * w) AS target FROM l),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS cut,
-    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT n, doc_id, d.source, size, t.source_size, t.target, coalesce(md5(CAST(doc_id AS VARCHAR)), md5('size ' || size)) AS key,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), md5('size ' || size)), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CASE WHEN target > 0 THEN (pass * source_size + upto) / target END AS finish,
+    greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - (pass * source_size + upto - size))) AS due
+  FROM q, unnest([0, 1]) p(pass)),
+g AS (
+  SELECT *, CAST(coalesce(sum(due) OVER (ORDER BY finish NULLS FIRST, source NULLS LAST, pass, key, doc_id, size, upto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS given FROM c)
 SELECT doc_id, size, source_size, target,
-  greatest(0, least(size, cut - (upto - size))) + greatest(0, least(size, cut - (source_size + upto - size))) AS taken
-FROM q
+  CAST(sum(greatest(0, least(due, (SELECT CAST(ceil(1.5::DOUBLE * sum(size)) AS BIGINT) FROM d) - given))) AS BIGINT) AS taken
+FROM g GROUP BY n, doc_id, size, source_size, target
 """
 
 

@@ -8,7 +8,7 @@ from sylva.llm import mixing
 from sylva.llm.mixing import fair_schedule, source_targets
 from sylva.llm.queries_native import OP9_SQL, op9_mix_sources
 
-from .tests_oracle import assert_same
+from .tests_oracle import assert_same, connection
 
 
 def refilled(sizes, weights=(3, 1, 2), share=1.5, limit=2):
@@ -57,8 +57,7 @@ def test_each_source_gets_its_target(mixed):
 
 def test_virtual_times(mixed):
     rows = fair_schedule(mixed).collect()
-    finishes = [r["finish"] for r in rows]
-    assert finishes == sorted(finishes)
+    rows.sort(key=lambda r: r["finish"])
     queues = defaultdict(list)
     for r in rows:
         queues[r["source"]].append(r)
@@ -89,7 +88,25 @@ def test_query(spark, tiny):
     assert_same(spark, tiny, op9_mix_sources, OP9_SQL)
 
 
-def test_rows_without_words_and_equal_ids_stay(spark, tmp_path):
-    rows = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (None, None, None), (None, None, None), (2, "x y", "a"), (2, "x y", "a"), (3, "", "b"), (3, "", "b")]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert op9_mix_sources(spark, str(tmp_path)).count() == len(rows)
+def as_documents(spark, rows, folder):
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(folder / "raw"))
+    next((folder / "raw").glob("part-*")).rename(folder / "documents.parquet")
+    return str(folder)
+
+
+REPEATED = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (None, None, None), (None, None, None), (2, "x y", "a"), (2, "x y", "a"), (3, "", "b"), (3, "", "b"), (None, "p q r", "b"), (None, "s t u", "b"), (None, "v", "b")]
+
+
+@pytest.mark.parametrize("rows", [REPEATED, [(k % 3, None, "ab"[k % 2]) for k in range(7)], [], [(5, "one two three", "a")] * 40 + REPEATED, [(1, "a", "z")]])
+def test_query_on_repeated_and_empty_rows(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "OPEN", 8)
+    folder = as_documents(spark, rows, tmp_path)
+    got, want = op9_mix_sources(spark, folder), connection(folder).execute(OP9_SQL)
+    assert got.columns == [c[0] for c in want.description] and got.count() == len(rows)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_the_mix_ends_at_the_budget(mixed):
+    rows = fair_schedule(mixed).collect()
+    sizes = {r["source"]: r["source_size"] for r in rows}
+    assert sum(r["words"] for r in rows) <= -(-3 * sum(sizes.values()) // 2)
