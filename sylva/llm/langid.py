@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, send
+from .common import drawn_rows, received, send
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -272,13 +272,12 @@ class Labeller:
 def fit_language_model(docs: DataFrame, seed: int = 5) -> Chain:
     """A chain learned from the labelled rows of docs (doc_id, text, lang), a bounded sample of each language."""
     draw = F.xxhash64("doc_id", "text", F.lit(seed))
+    usable = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"[^\x00-@\[-`{-\x7f]"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     first = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    usable = docs.where("lang is not null and text is not null").select("lang", F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
-    # the rank is cut in every partition before the shuffle, so no task gets more than partitions times the sample
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    cut = usable.select("lang", F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
     texts: dict[str, list] = {}
-    held = usable.where(F.col("text").rlike(r"[^\x00-@\[-`{-\x7f]")).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
-    for r in held.orderBy("lang", "place").collect():
+    for r in drawn_rows(cut, "lang", counts, F.col("draw"), SAMPLE_DOCS).collect():
         if w := letters(r["text"]):
             texts.setdefault(r["lang"], []).append(w)
     langs = sorted(texts)
