@@ -6,6 +6,7 @@ import json
 import math
 
 from ..plans.evaluate import FUNCTIONS, Array, Function, Map, Untyped, string_of
+from ..plans.moments import Moment, Span
 from ..sources.tree import Node, subtree_text
 
 
@@ -110,7 +111,7 @@ def item_to_data(x, depth: int | None = None, sequences: list | None = None, pat
         return None
     if isinstance(x, float) and x == int(x):
         return int(x)
-    return str(x) if isinstance(x, str) else x
+    return str(x) if isinstance(x, (str, Moment, Span)) else x
 
 
 def item_to_json(x, depth: int | None = None, sequences: list | None = None) -> str:
