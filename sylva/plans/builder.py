@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from ..sources.tree import Node
+from ..sources.tree import Node, document, number
 
 
 @dataclass(frozen=True)
@@ -90,3 +90,24 @@ def build_query(picks: Sequence[Pick]) -> str:
         rest = hung.get(id(n), [])
         out += own(n) + "".join(f"[{below(h, n, rest, True)}]" for h in tops(rest))
     return out
+
+
+@dataclass(frozen=True)
+class PathPick:
+    """A picked path of element names, as a schema shows it."""
+
+    path: tuple[str, ...]
+    condition: str | None = None
+    target: bool = False
+
+
+def build_query_from_paths(picks: Sequence[PathPick]) -> str:
+    """The expression of picked paths: that of the nodes of a tree in which every path is there once."""
+    doc = document()
+    nodes: dict[tuple[str, ...], Node] = {(): doc}
+    for p in picks:
+        for k in range(1, len(p.path) + 1):
+            if p.path[:k] not in nodes:
+                nodes[p.path[:k]] = nodes[p.path[: k - 1]].element(p.path[k - 1])
+    number(doc)
+    return build_query([Pick(nodes[p.path], p.condition, p.target) for p in picks if p.path])

@@ -1,7 +1,7 @@
-"""Languages with braces (and Ruby): declarations with names, types, modifiers, parameters and bodies; imports, calls, binary operations and comments.
+"""Languages with braces (and Ruby): declarations with names, types, modifiers, parameters and bodies; statements, imports, calls, binary operations and comments.
 
-No grammar of these languages can be had offline, so only declaration-level elements are made; a
-grammar library can be plugged in with register().
+No grammar of these languages can be had offline: declarations and expressions come from patterns, statements from
+their keywords and brackets. A grammar library can be plugged in with register().
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from ..operators_table import add_op
 from ..tree import Node, Positions, document
+from .statements import GRAMMARS, RUBY, Code, Statements, ruby_blocks
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,9 @@ _METHOD = rf"(?:(?<=[\s>\]])|^)(?P<name>{_ID})(?:<[^<>()]*>)?\s*(?=\()"
 _ACCESS = frozenset("public private protected internal".split())
 _JS = (
     ("class", rf"\bclass\s+(?P<name>{_ID})"), ("interface", rf"\binterface\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("function", rf"\bfunction\b\s*\*?\s*(?P<name>{_ID})\s*(?=[(<])"),
-    ("alias", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*(?==)"), ("variable", rf"\b(?P<kind>let|const|var)\s+(?P<name>{_ID}|[\[{{][^=;]*?[\]}}](?=\s*=))"),
+    ("typealias", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*(?==)"), ("variable", rf"\b(?P<kind>let|const|var)\s+(?P<name>{_ID}|[\[{{][^=;]*?[\]}}](?=\s*=))"),
 )
-_BINARY = re.compile(rf"(?P<left>[\w.$]+(?:\([^()]*\))?|\x01+)\s*(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%])(?!=)\s*(?=(?P<right>[\w.$]+|\x01+))")
+_BINARY = re.compile(rf"(?P<left>[\w.$]+(?:\([^()]*\))?|\x01+)\s*(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\?\?|[-+*/%]|(?<=\s)[<>](?=\s))(?!=)\s*(?=(?P<right>[\w.$]+|\x01+))")
 _IMPORT = re.compile(r"^[ \t]*(?:using|import|use|require|from|#include)\b[^\n;(]*", re.M)
 #: Words before a name that are no type.
 _NO_TYPES = frozenset("function func fn def class interface enum struct record namespace package trait impl mod let const var type module macro import using".split())
@@ -59,7 +60,7 @@ _TYPED_NAME = rf"(?P<type>[A-Za-z_][\w.]*(?:<[^;(){{}}=]*>)?(?:\[\])?\??)\s+(?P<
 SHAPES: dict[str, Shape] = {
     "csharp": Shape("unit", (*_C_TYPES, ("property", rf"(?P<name>{_ID})\s*(?=\{{\s*(?:get|set|init)\b)"), ("method", _METHOD), ("field", _TYPED_NAME)), frozenset("static async virtual override abstract sealed readonly partial const".split()) | _ACCESS, {"class": "internal", "method": "private", "property": "private", "interface": "internal", "enum": "internal", "struct": "internal", "field": "private"}, _ACCESS, more=(_LAMBDA, (r"(?<![\w.])(?P<at>\d+)(?![\w.])", "int"), (r"\b(?P<at>new\s+(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}]*>)?)(?=\s*\())", "new"), (r"(?P<at>\b\w+!\.\w+)", "member"), (r"(?P<at>\b\w+!)(?![=\w])", "postfix_unary_expression")), parameters=("parameters", "parameter")),
     "java": Shape("program", (*_C_TYPES[1:], ("method", _METHOD)), frozenset("static final abstract synchronized".split()) | _ACCESS, {"class": "package-private", "method": "package-private", "interface": "package-private", "enum": "package-private"}, _ACCESS),
-    "rust": Shape("file", (("function", rf"\bfn\s+(?P<name>{_ID})"), ("struct", rf"\bstruct\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("trait", rf"\btrait\s+(?P<name>{_ID})"), ("impl", rf"\bimpl\b(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*(?={{)"), ("mod", rf"\bmod\s+(?P<name>{_ID})"), ("let", rf"\blet\s+(?:mut\s+)?(?P<name>{_ID})"), ("macro", rf"(?P<name>{_ID})!\s*(?=[(\[{{])")), frozenset("pub async unsafe const static mut".split()), {"function": "private", "struct": "private", "enum": "private", "trait": "private"}, frozenset(["pub"])),
+    "rust": Shape("file", (("function", rf"\bfn\s+(?P<name>{_ID})"), ("struct", rf"\bstruct\s+(?P<name>{_ID})"), ("enum", rf"\benum\s+(?P<name>{_ID})"), ("trait", rf"\btrait\s+(?P<name>{_ID})"), ("impl", rf"\bimpl\b(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*(?={{)"), ("mod", rf"\bmod\s+(?P<name>{_ID})"), ("let", rf"(?<!while )(?<!if )\blet\s+(?:mut\s+)?(?P<name>{_ID})"), ("macro", rf"(?P<name>{_ID})!\s*(?=[(\[{{])")), frozenset("pub async unsafe const static mut".split()), {"function": "private", "struct": "private", "enum": "private", "trait": "private"}, frozenset(["pub"])),
     "go": Shape("file", (("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?(?P<name>{_ID})"), ("struct", rf"\btype\s+(?P<name>{_ID})\s+struct\b"), ("interface", rf"\btype\s+(?P<name>{_ID})\s+interface\b"), ("package", rf"\bpackage\s+(?P<name>{_ID})"), ("variable", rf"\bvar\s+(?P<name>{_ID})")), by_name=lambda n: "exported" if n[:1].isupper() else "unexported"),
     "javascript": Shape("program", _JS, frozenset("async static export default".split()), call_function=True, more=(_LAMBDA,), markup=True),
     "typescript": Shape("program", _JS, frozenset("async static export default public private protected readonly abstract declare".split()), call_function=True, more=(_LAMBDA,), markup=False),
@@ -78,11 +79,40 @@ SHAPES: dict[str, Shape] = {
     "julia": Shape("source_file", (("function_definition", r"\bfunction\s+(?P<name>[\w.!]+)"), ("struct_definition", r"\bstruct\s+(?P<name>\w+)")), line_comment="#"),
 }
 LANGUAGES = frozenset(SHAPES)
+#: Names that grammars give these elements in languages whose names stay as they are (fixed values).
+RAW_NAMES = {
+    "c": {"call": "call_expression", "binary": "binary_expression", "import": "preproc_include"},
+    "cpp": {"call": "call_expression", "binary": "binary_expression", "import": "preproc_include"},
+    "php": {"call": "function_call_expression", "binary": "binary_expression", "import": "namespace_use_declaration"},
+    "scala": {"call": "call_expression", "binary": "infix_expression", "import": "import_declaration"},
+    "lua": {"call": "function_call", "binary": "binary_expression"},
+    "julia": {"call": "call_expression", "binary": "binary_expression", "import": "import_statement"},
+    "r": {"binary": "binary_operator"},
+    "css": {"import": "import_statement"},
+    "go": {},
+}
+#: Parts of statements that stand in elements of their own (fixed values).
+WRAPPERS = frozenset("condition consequence alternative body value".split())
+_ATOM = r"[\w.$\x01]+(?:\([^()]*\)|\[[^\[\]]*\])*"
+_NEW = (rf"\bnew\s+{_ATOM}", "new")
+_AWAIT = (rf"\bawait\s+{_ATOM}", "await")
+_ASSIGN = (rf"(?<![\w.?<>=!$])(?<![\w>\]?]\s){_ATOM}\s*(?<![<>=!])=(?![=>])\s*[^;{{}}\n]+(?=;)", "assign")
+_CONDITION = rf"(?<![\w.$])(?!(?:return|case|else|throw|yield)\b){_ATOM}(?:\s*(?:[<>]=?|[=!]==?|&&|\|\|)\s*{_ATOM})*"
+_TERNARY = (rf"{_CONDITION}\s*\?\s*(?![.?\[>,)])[^;{{}}?:\n]+:\s*[^;{{}}:,)\n]+", "ternary")
+#: Expressions inside statements, by patterns.
+EXPRESSIONS = {
+    "csharp": (_AWAIT, _ASSIGN, _TERNARY),
+    "java": (_NEW, _ASSIGN, _TERNARY),
+    "javascript": (_AWAIT, _NEW, _TERNARY),
+    "rust": ((r"[\w.]+(?:\([^()]*\))?\.await\b", "await"), (r"(?<![\w|])\|[^|;{}\n]*\|\s*(?=[\w({&*!])[^;,{}\n()]*(?:\([^()]*\))*", "closure")),
+    "ruby": ((r"(?<![\w.])return\b[^\n]*?(?=\s+(?:if|unless)\b|\n|$)", "return"),),
+}
+EXPRESSIONS |= {"typescript": EXPRESSIONS["javascript"], "tsx": EXPRESSIONS["javascript"]}
 
 
 def parser(language: str, mode: str) -> Callable[[str], Node]:
     shape = SHAPES[language]
-    return lambda text: _parse(text, shape)
+    return lambda text: _parse(text, shape, language)
 
 
 def _blank(text: str, shape: Shape, where: Positions, comments: list[Node]) -> str:
@@ -100,21 +130,22 @@ def _blank(text: str, shape: Shape, where: Positions, comments: list[Node]) -> s
     return skip.sub(hide, text)
 
 
-def _matching(code: str, at: int, open_: str, close: str) -> int:
-    depth = 0
-    for k in range(at, len(code)):
-        depth += (code[k] == open_) - (code[k] == close)
-        if not depth:
-            return k + 1
-    return len(code)
+def _matching(code: Code, at: int, open_: str, close: str) -> int:
+    return code.after(at)
 
 
-def _parse(text: str, shape: Shape) -> Node:
+def _parse(text: str, shape: Shape, language: str = "") -> Node:
     where, root, comments = Positions(text), Node("element", shape.root), []
     root.at(where.span(0, len(text)))
-    code = _blank(text, shape, where, comments)
+    code = Code(_blank(text, shape, where, comments))
+    raw = RAW_NAMES.get(language, {})
+    blocks = {start: end for _, start, end in ruby_blocks(code)} if language == "ruby" else {}
     found: list[tuple[int, int, Node]] = []
     taken: set[int] = set()
+    # statements and their parts, calls and variables hold all of their text: they take in what lies between their elements
+    whole: dict[int, tuple[int, int]] = {}
+    places: dict[int, list[tuple[int, int, Node]]] = {}
+    classes = set(re.findall(rf"\bclass\s+({_ID})", code)) if shape.default_access else set()
     for name, pattern in shape.declarations:
         for m in re.finditer(pattern, code, re.M):
             word = m.groupdict().get("name") or m.groupdict().get("name2")
@@ -129,12 +160,12 @@ def _parse(text: str, shape: Shape) -> Node:
                 bare = before
                 while (less := re.sub(r"<[^<>]*>", "", bare)) != bare:
                     bare = less
-                if not bare.strip() or re.search(r"[=.(,]|\b(?:return|new|await|throw|else)\s*$", bare) or not after.startswith(("{", ";", "=>", "throws", "where", ":", "const")):
+                if (not bare.strip() and word not in classes) or re.search(r"[=.(,]|\b(?:return|new|await|throw|else)\s*$", bare) or not after.startswith(("{", ";", "=>", "throws", "where", ":", "const")):
                     continue
             if name == "function" and shape.root == "file" and shape.default_access and _signature(code, m.end()):
                 continue
             if name == "method" and shape.default_access and not _typed(before, shape):
-                e = Node("element", "constructor")
+                e = Node("element", "ctor" if shape.root == "program" else "constructor")
             else:
                 e = Node("element", name)
             words = re.findall(r"[\w-]+", before) + re.findall(r"[\w-]+", m.group()[: at - m.start()])
@@ -150,27 +181,33 @@ def _parse(text: str, shape: Shape) -> Node:
             start = begin + len(before) - len(before.lstrip())
             if name == "field":
                 _type(e, m.group("type"))
-            elif name in ("method", "property", "function_definition") and e.name != "constructor":
+            elif name in ("method", "property", "function_definition") and e.name not in ("constructor", "ctor"):
                 kind = re.sub(rf"\b(?:{'|'.join(sorted(shape.modifiers | {'public'}))})\b", " ", text[start:at]).strip()
                 if kind and not set(re.findall(r"\w+", kind)) & _NO_TYPES and not kind.startswith(("@", "[")):
                     _type(e if name == "property" else e.element("returns", field="returns"), kind)
             if held := re.search(r"((?:\[[^\[\]\n]*\]\s*)+)$", text[max(0, start - 600) : start]) if shape.root == "unit" else None:
                 e.element("attributes").add_text(held.group(1).strip())
             e.element("name", field="name").at(where.span(at, at + len(word))).add_text(word)
-            end = _body(e, code, text, m.end(), where, shape)
+            end = blocks.get(start) or _body(e, code, text, m.end(), where, shape)
             taken.add(at)
             found.append((start, end, e.at(where.span(start, end))))
+            if name in ("field", "variable", "let") and all(c.name in ("name", "type", "body") or not c.children for c in e.children):
+                spot = {"name": (at, at + len(word)), "type": m.span("type") if name == "field" else (start, start)}
+                whole[id(e)] = (start, end)
+                places[id(e)] = [(*spot.get(c.name, (start, start)), c) for c in e.children if c.name != "body"]
     for m in re.finditer(rf"(?P<name>{_ID}(?:\.{_ID})*)\s*\(", code):
         if m.start("name") in taken or m.group("name") in _NOT_CALLS or re.search(r"\b(?:function|def|fn|func|new)\s+$|[!@]$", code[max(0, m.start() - 12) : m.start()]):
             continue
         end = _matching(code, m.end() - 1, "(", ")")
         if shape.by_name and re.match(r"[ \t]+[A-Za-z*\[(]", code[end : end + 40]):
             continue  # a method of an interface
-        e = Node("element", "call").at(where.span(m.start(), end))
+        e = Node("element", raw.get("call", "call")).at(where.span(m.start(), end))
         if shape.call_function:
             _called(e.element("function", field="function"), m.group("name"))
         else:
             e.element("name").add_text(m.group("name"))
+        whole[id(e)] = (m.start(), end)
+        places[id(e)] = [(m.start(), m.end("name"), e.children[0])]
         found.append((m.start(), end, e))
     for pattern, name in shape.more:
         for m in re.finditer(pattern, code, re.M):
@@ -180,6 +217,7 @@ def _parse(text: str, shape: Shape) -> Node:
                     e.element("name").add_text(m.group("name"))
                 elif m.groupdict().get("type"):
                     _type(e, m.group("type"))
+                    whole[id(e)], places[id(e)] = m.span("at"), [(*m.span("type"), e.children[0])]
                 elif name == "member":
                     e.element("property", field="property").add_text(text[m.start("at") : m.end("at")].rpartition(".")[2])
                 else:
@@ -187,34 +225,89 @@ def _parse(text: str, shape: Shape) -> Node:
                 found.append((m.start("at"), m.end("at"), e))
     if shape.markup:
         _jsx(code, text, where, found)
+    operands: dict[int, list[tuple[int, int, Node]]] = {}
+    chain: list[tuple[int, int, Node]] = []  # the operation at hand, from its first operand on
     for m in _BINARY.finditer(code):
         if m.group("left") in _NOT_CALLS:
             continue
-        e = Node("element", "binary").at(where.span(m.start(), m.end("right")))
-        e.element("left", field="left").add_text(text[m.start("left") : m.end("left")])
+        e = Node("element", raw.get("binary", "binary"))
+        left, at = Node("element", "left", attrs={"field": "left"}), m.span("left")
+        if chain and chain[-1][1] == at[1]:
+            # what was the right operand so far begins a further operation: the one before is its left
+            begin, end, before = chain.pop()
+            left.add(before)
+            at = (begin, end)
+            whole[id(left)], places[id(left)] = at, [(begin, end, before)]
+        else:
+            found += chain
+            left.add_text(text[slice(*at)])
+            chain = []
+        e.add(left)
         add_op(e, m.group("op"))
         e.element("right", field="right").add_text(text[m.start("right") : m.end("right")])
-        found.append((m.start(), m.end("right"), e))
+        whole[id(e)] = (at[0], m.end("right"))
+        places[id(e)] = list(zip((at[0], m.start("op"), m.start("right")), (at[1], m.end("op"), m.end("right")), e.children, strict=True))
+        operands[id(e)] = [places[id(e)][0], places[id(e)][2]]
+        chain = [(at[0], m.end("right"), e.at(where.span(at[0], m.end("right"))))]
+    found += chain
     for m in _IMPORT.finditer(code):
-        e = Node("element", "import").at(where.span(m.start(), m.end()))
+        e = Node("element", raw.get("import", "import")).at(where.span(m.start(), m.end()))
         e.element("name").add_text(text[m.start() : m.end()].split(None, 1)[-1].strip().strip("\"'<>"))
         found.append((m.start(), m.end(), e))
     for c in _grouped(comments, text) if shape.line_comment == "//" else comments:
         start = where.starts[c.line - 1] + len(text[where.starts[c.line - 1] :].encode()[: c.column - 1].decode("utf-8", "ignore"))
         found.append((start, start + 1, c))
+    def put(name: str, start: int, end: int) -> None:
+        e = Node("element", name, attrs={"field": name} if name in WRAPPERS else {}).at(where.span(start, end))
+        whole[id(e)] = (start, end)
+        found.append((start, end, e))
+
+    if language in GRAMMARS:
+        Statements(code, GRAMMARS[language], put).run()
+    for pattern, name in EXPRESSIONS.get(language, ()):
+        for m in re.finditer(pattern, code):
+            put(name, *m.span())
+    if language == "ruby":
+        for kind, start, end in ruby_blocks(code):
+            if kind not in ("class", "module", "def", "do"):
+                put(RUBY[kind], start, end)
     stack: list[tuple[int, Node]] = [(len(text) + 1, root)]
-    for start, end, e in sorted(found, key=lambda x: (x[0], -x[1])):
+    for start, end, e in sorted(found, key=lambda x: (x[0], -x[1], x[2].name not in WRAPPERS)):
         while stack[-1][0] <= start:
             stack.pop()
         parent = stack[-1][1]
-        inner = next((c for c in parent.children if c.name == "body" and c.kind == "element"), parent)
-        if e.name == "field" and any(n.name in ("method", "constructor", "property") for _, n in stack):
+        # the body of a declaration takes what the declaration holds
+        inner = parent if id(parent) in whole else next((c for c in parent.children if c.name == "body" and c.kind == "element" and id(c) not in whole), parent)
+        holder: Node | None = parent
+        while holder is not None:
+            place = next(((a, b, c) for a, b, c in operands.get(id(holder), ()) if a <= start and end <= b), None)
+            holder = None
+            if place:
+                inner = place[2]
+                whole.setdefault(id(inner), place[:2])
+                holder = next((c for c in inner.children if id(c) in operands), None)
+        if e.name == "field" and any(n.name in ("method", "constructor", "ctor", "property") for _, n in stack):
             e.name = "variable"
         inner.add(e)
+        if id(inner) in whole:
+            places.setdefault(id(inner), []).append((start, min(end, whole[id(inner)][1]), e))
         stack.append((end, e))
+    for e in root.descendants() if whole else ():
+        if id(e) in whole:
+            _filled(e, *whole[id(e)], places.get(id(e), []), text)
     return document(root)
 
 
+def _filled(e: Node, start: int, end: int, inner: list[tuple[int, int, Node]], text: str) -> None:
+    """Puts the text between the elements of a statement among them."""
+    e.children, at = [], start
+    for a, b, c in inner:
+        e.add_text(text[at:a])
+        e.add(c)
+        at = max(at, b)
+    e.add_text(text[at:end])
+
+
 def _typed(before: str, shape: Shape) -> bool:
     """Whether a type stands before a name."""
     return bool(set(re.findall(r"[\w<>\[\]?.]+", before)) - shape.modifiers - {"public"})

@@ -33,7 +33,7 @@ def structure(text: str) -> Node:
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             if t.type == tokenize.COMMENT:
-                e = Node("element", "comment").at((t.start[0], t.start[1] + 1, t.end[0], t.end[1] + 1))
+                e = Node("element", "comment").at((t.start[0], len(t.line[: t.start[1]].encode()) + 1, t.end[0], len(t.line[: t.end[1]].encode()) + 1))
                 e.add_text(t.string)
                 _place(root, e)
     except (tokenize.TokenError, IndentationError):
