@@ -52,6 +52,8 @@ KEYS, PARTS = 2_000_000, 16
 DROP, OPEN, MAIN, ARTICLE, INNER = range(5)
 #: Added to the zone of a doubtful block.
 DOUBT = 8
+#: Base of the sums that tokens are hashed by.
+ODD = 0x9E3779B97F4A7C15
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
@@ -215,16 +217,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _suffixes(host: str, blocks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Host, zones and texts of the blocks of each page."""
+    column = batch.column("blocks")
+    ends, held = column.offsets.to_numpy(), column.values
+    zones, texts = held.field("zone").to_numpy(zero_copy_only=False), held.field("text").to_pylist()
+    for k, host in enumerate(batch.column("host").to_pylist()):
+        yield host, zones[ends[k] : ends[k + 1]], texts[ends[k] : ends[k + 1]]
+
+
+class TokenHashes:
+    """Hashes of the tokens of a text that single spaces part: sums of bytes times powers of an odd number, all tokens at once."""
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        b = np.frombuffer(text, np.uint8)
+        if len(b) > len(self.powers):
+            n = max(1 << 16, 2 * len(b))
+            self.powers, self.inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (ODD, pow(ODD, -1, 1 << 64)))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(b * self.powers[: len(b)], out=sums[1:])
+        breaks = np.flatnonzero(b == 32)
+        start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(b)]])
+        h = (sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+def _suffixes(host: str, zones: np.ndarray, texts: list[str], hashes: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hash of host and first RUN tokens of each suffix of a page that has so many, the whole of a shorter page; and where blocks begin and the last ends.
 
-    Dropped blocks have no tokens here.
+    Dropped blocks have no tokens here. Texts hold no white space but single spaces.
     """
-    words = [b["text"].split() if b["zone"] != DROP else [] for b in blocks]
-    ends = np.cumsum([0, *map(len, words)])
-    n = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, ends[-1])
-    if not len(n):
+    kept = (zones != DROP).tolist()
+    ends = np.cumsum([0, *(t.count(" ") + 1 if k else 0 for k, t in zip(kept, texts, strict=True))])
+    if not ends[-1]:
         return np.zeros(0, np.int64), ends
+    n = hashes(" ".join([t for k, t in zip(kept, texts, strict=True) if k]).encode("utf-8", "surrogatepass"))
     width = min(RUN, len(n))
     key = np.full(len(n) - width + 1, xxhash.xxh64_intdigest(f"{width} {host}"), np.uint64)
     for k in range(width):
@@ -270,10 +302,11 @@ def _keys(pick) -> object:
     """Rows with the hashes of suffixes: those that pick names, each once, or all in their places if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
         for batch in batches:
             out = []
-            for k, (host, blocks) in enumerate(zip(batch.column("host"), batch.column("blocks"), strict=True)):
-                keys, ends = _suffixes(host.as_py(), blocks.as_py())
+            for k, page in enumerate(_pages(batch)):
+                keys, ends = _suffixes(*page, hashes)
                 out.append(np.unique(keys[pick(batch, k, keys, ends)]) if pick else keys)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "host", "content")), pa.array(out, pa.list_(pa.int64()))], ["row", "host", "content", "keys"])
 
@@ -283,10 +316,12 @@ def _keys(pick) -> object:
 _KEYED = "row long, host string, content long, keys array<bigint>"
 
 
-def _text(blocks: list[dict], ends: np.ndarray, places: np.ndarray, most: np.ndarray) -> str:
+def _text(zones: np.ndarray, texts: list[str], ends: np.ndarray, places: np.ndarray, most: np.ndarray) -> str:
     """Text of a page whose suffixes at the places are repeated."""
 
     def covered(places: np.ndarray) -> np.ndarray:
+        if not len(places):
+            return np.zeros(len(texts), np.int64)
         steps = np.zeros(ends[-1] + RUN + 1, np.int64)
         np.add.at(steps, places, 1)
         np.add.at(steps, places + RUN, -1)
@@ -294,7 +329,6 @@ def _text(blocks: list[dict], ends: np.ndarray, places: np.ndarray, most: np.nda
         return before[ends[1:]] - before[ends[:-1]]
 
     sizes, some, lasting = np.diff(ends), covered(places), covered(places[most])
-    zones = np.array([b["zone"] for b in blocks], np.int64)
     doubtful, zones = zones >= DOUBT, zones % DOUBT
     repeated = some >= COVERED * sizes
     stay = (zones != DROP) & ~repeated
@@ -305,18 +339,18 @@ def _text(blocks: list[dict], ends: np.ndarray, places: np.ndarray, most: np.nda
             if own >= SHARE * (own + (sizes - some)[~zone & (zones != DROP)].sum()):
                 stay = zone & (copy | ((lasting < COVERED * sizes) & ~(doubtful & repeated)))
                 break
-    return "\n\n".join(b["text"] for b, s in zip(blocks, stay, strict=True) if s)
+    return "\n\n".join(t for t, s in zip(texts, stay.tolist(), strict=True) if s)
 
 
 def _keep(find) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
         for batch in batches:
-            texts = []
-            for k, (host, blocks) in enumerate(zip(batch.column("host"), batch.column("blocks"), strict=True)):
-                own = blocks.as_py()
-                keys, ends = _suffixes(host.as_py(), own)
-                texts.append(_text(own, ends, *find(batch, k, keys)) if own else "")
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            out = []
+            for k, (host, zones, texts) in enumerate(_pages(batch)):
+                keys, ends = _suffixes(host, zones, texts, hashes)
+                out.append(_text(zones, texts, ends, *find(batch, k, keys)) if texts else "")
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return run
 
