@@ -31,6 +31,8 @@ from .common import n_words, settle
 BUCKET_ROWS = 50_000
 #: Equal rows that are opened at once.
 OPEN = 10_000
+#: Rows of a file of the tables written on the way, at least: an executor's buffers outside the heap grow with the files it reads.
+FILE_ROWS = 100_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int], share: float, limit: int) -> DataFrame:
@@ -58,11 +60,15 @@ def source_targets(sources: DataFrame, weights: Sequence[int], share: float, lim
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _files(rows: int) -> int:
+    return max(12, rows // FILE_ROWS)
+
+
 def _queues(docs: DataFrame, weights: Sequence[int], share: float, limit: int) -> DataFrame:
     """doc_id, source, size, key, rows, source_size, target, all_size, before: counted rows with the words queued before them in their source."""
     counted = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string"))))
-    counted = settle(counted.withColumn("key", key), "mix-sizes")
+    counted = settle(counted.withColumn("key", key), "mix-sizes", _files(docs.count()))
     total, digits = counted.count(), 1
     while 16**digits * BUCKET_ROWS < total:
         digits += 1
@@ -84,7 +90,8 @@ def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
 
     number tells rows with the same id, source and size apart; words is what the mix takes of the copy.
     """
-    queued = settle(_queues(docs, weights, share, limit), "mix-queues")
+    files = _files(limit * docs.count())
+    queued = settle(_queues(docs, weights, share, limit), "mix-queues", files)
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / OPEN))).alias("part")
     few, many = queued.where(F.col("rows") <= OPEN).select("*", F.lit(0).cast("long").alias("part")), queued.where(F.col("rows") > OPEN).select("*", part)
     parts = few.unionByName(many.repartition("key", "part")).withColumn("first", F.col("part") * OPEN)
@@ -99,7 +106,7 @@ def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
         words.cast("long").alias("due"),
     )
     order = ["finish", F.col("source").asc_nulls_last(), "pass", "key", "doc_id", "size", "number"]
-    ranged = settle(timed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-order")
+    ranged = settle(timed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-order", files)
     sums = ranged.groupBy("range").agg(F.sum("due").alias("due"))
     given = sums.select("range", F.coalesce(F.sum("due").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("given"))
     inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
