@@ -45,6 +45,13 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(lines, F.to_json(F.struct(F.col("l_orderkey").alias("key"), "line")), F.lit("orders.json"), "json", "l_orderkey")
 
 
+def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, line (n, quantity, flag): an order's lines in order."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag")))).alias("line")
+    )
+
+
 def conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn (n, role, text): turns in order."""
     t = table(spark, sf_dir, "conversations")

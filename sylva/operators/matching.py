@@ -1,5 +1,6 @@
 """Matching: every source parsed once, all its rules evaluated, one row per item found.
 
+Rules over lines of plain text are expressions of their own (plans/lines.py); the rest is interpreted.
 Which rules apply to a source is an array column computed below Python; sources without any rule are
 filtered out before they are parsed. Inside a document rules are grouped by language and tree mode, so
 each tree is built once. A document that does not parse, or an expression that fails on it, gives no
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.items import item_to_json, item_type, item_value
 from ..functions.text import line_range, lines_of, rule_message, snippet
+from ..plans import lines as line_plans
 from ..plans.evaluate import Context, compiled
+from ..sources.languages import canonical
 from ..sources.parsers import BAD_TEXT, parse
-from ..sources.partitions import spread
+from ..sources.partitions import certainly_empty, spread
 from ..sources.tree import Node
 from .rules import Rule, applicable
 
@@ -95,7 +98,21 @@ def to_batch(rows: list[dict]) -> pa.RecordBatch:
 def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query", fields: Iterable[str] = (), quoted: bool = True, errors: bool = False, mode: str | None = None, ignore_whitespace: bool = False, parse_depth: int | None = None, tree_depth: int | None = None) -> DataFrame:
     """Matches of all rules over all sources, unordered; fields names the costly columns to fill, tree_depth cuts trees."""
     rules, wanted = list(rules), frozenset(fields) & frozenset(COSTLY)
-    work = sources.select("doc_id", "path", "language", "content", applicable(rules, F.col("path"), F.col("language")).alias("rules")).where("content is not null and size(rules) > 0")
+    native = []
+    if not sources.isStreaming and mode is None and not ignore_whitespace and parse_depth is None and "tree" not in wanted:
+        native = [(k, r, p) for k, r in enumerate(rules) if r.tree_mode is None and canonical(r.language or "text") == "text" and (p := line_plans.predicates(r.expression)) is not None]
+    texts, others = sources.where("language = 'text'"), sources.where("language is null or language != 'text'")
+    if native and not certainly_empty(texts):
+        found = line_plans.matched_lines(texts, native, command, wanted, SCHEMA)
+        if len(native) == len(rules) and certainly_empty(others):
+            return found
+    else:
+        native, found = [], None
+    marks = applicable(rules, F.col("path"), F.col("language"))
+    if native:
+        done = F.array(*[F.lit(k) for k, _, _ in native])
+        marks = F.when(F.col("language") == "text", F.array_except(marks, done)).otherwise(marks)
+    work = sources.select("doc_id", "path", "language", "content", marks.alias("rules")).where("content is not null and size(rules) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -108,7 +125,8 @@ def run_rules(sources: DataFrame, rules: Sequence[Rule], command: str = "query",
                     rows = []
         yield to_batch(rows)
 
-    return spread(work).mapInArrow(run, SCHEMA)
+    out = spread(work).mapInArrow(run, SCHEMA)
+    return out if found is None else found.unionByName(out)
 
 
 #: Order of a report: file, position, then rule and item.

@@ -386,6 +386,27 @@ class Compiler:
             if isinstance(v.kind, T.IntegralType):
                 return Value(F.abs(x) if name == "abs" else x, v.kind)
             return Value({"abs": F.abs, "floor": lambda c: F.floor(c).cast("double"), "ceiling": lambda c: F.ceil(c).cast("double"), "round": lambda c: F.floor(c + 0.5).cast("double")}[name](x), _DOUBLE)
+        if name == "fold-left" and args[2][0] == "function":
+            v, zero, inner = arg(0), arg(1), args[2]
+            before, kinds = dict(self.variables), []
+
+            def folded(kind: T.DataType):
+                def step(total: Column, x: Column) -> Column:
+                    self.variables |= {inner[1][0]: Value(total, kind), inner[1][1]: Value(x, v.kind)}
+                    got = self.value(inner[2], context)
+                    if got.many:
+                        raise Unsupported("a fold to a sequence")
+                    kinds.append(got.kind)
+                    return got.column.cast(kind)
+
+                return F.aggregate(self.sequence(v), zero.column.cast(kind), step)
+
+            try:
+                # the first draft tells the type of the result, the second one keeps it
+                folded(zero.kind)
+                return Value(folded(kinds[0]), kinds[0])
+            finally:
+                self.variables = before
         if name in ("for-each", "filter") and args[1][0] == "function":
             inner = args[1]
             if name == "for-each":

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, pages_html, table
+from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, order_tree, pages_html, table
 from .functions.text import lines_column, message_column, snippet_column
 from .operators.comments import comment_blocks
 from .operators.engine import Engine
@@ -145,9 +145,9 @@ def lines_count(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_quantity > 40) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_quantity > 40) > 1""")
 def count_comparison(spark, sf_dir):
-    nodes = node_table(order_json(spark, sf_dir))
-    found = relational.plan(nodes, "/document[count(line[quantity > 40]) > 1]/line[quantity > 40]")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    t = order_tree(spark, sf_dir)
+    large = typed.column(t, "count(line[quantity > 40])")
+    return t.where(typed.condition(t, "count(line[quantity > 40]) > 1")).select(F.col("key").alias("doc_id"), large.alias("n"))
 
 
 @query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) AS value FROM lineitem GROUP BY l_orderkey""")
@@ -185,8 +185,9 @@ def array_constructor(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT) * l_linenumber) AS VARCHAR) AS value FROM lineitem GROUP BY l_orderkey""")
 def higher_order_fold(spark, sf_dir):
-    x = "fold-left(//line, 0, function($a, $l) { $a + $l/quantity * $l/n })"
-    return run_rules(order_json(spark, sf_dir), [Rule(x, normalize=False)]).select("doc_id", "value")
+    t = order_tree(spark, sf_dir)
+    x = "fold-left(line, 0, function($a, $l) { $a + $l/quantity * $l/n })"
+    return t.select(F.col("key").alias("doc_id"), typed.column(t, x).cast("string").alias("value"))
 
 
 @query("""SELECT l_orderkey AS doc_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS value FROM lineitem GROUP BY l_orderkey""")
@@ -197,10 +198,9 @@ def distinct_values_join(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS doc_id, bool_or(l_quantity > 45) AS some_large, bool_and(l_quantity > 5) AS every_above FROM lineitem GROUP BY l_orderkey""")
 def quantified_expressions(spark, sf_dir):
-    rules = [Rule("some $q in //quantity satisfies $q > 45"), Rule("every $q in //quantity satisfies $q > 5")]
-    found = run_rules(order_json(spark, sf_dir), rules)
-    value = lambda k, name: F.max(F.when(F.col("rule_index") == k, F.col("value") == "true")).alias(name)
-    return found.groupBy("doc_id").agg(value(0, "some_large"), value(1, "every_above"))
+    t = order_tree(spark, sf_dir)
+    some, every = typed.column(t, "some $q in line/quantity satisfies $q > 45"), typed.column(t, "every $q in line/quantity satisfies $q > 5")
+    return t.select(F.col("key").alias("doc_id"), some.alias("some_large"), every.alias("every_above"))
 
 
 @query("""SELECT 'events/' || event_id || '.json' AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 7""")

@@ -114,3 +114,34 @@ def test_tree_invariants(value):
         assert all(c.parent is n and c.depth == n.depth + 1 for c in n.children)
         if n.kind == "element":
             assert n.string_value() == "".join(d.text for d in inside if d.kind == "text")
+
+
+LINE_RULES = [
+    "//line", "//line[contains(., 'ab')]", "/document/line[starts-with(., 'a')]", "//line[string-length(.) < 3 and . != '']", "//line[not(contains(., 'é'))]", "//line[. = 'x' or ends-with(., 'b')]", "//line[lower-case(.) = 'ab']",
+    "//line[contains(., 'zz')]", "//line[2]", "//line[. > 3]", "//line[true()][string-length(normalize-space(.)) >= 2]",
+]
+
+
+def test_line_rules_equal_the_interpreter(spark):
+    from sylva.operators.matching import SCHEMA, run_rules
+    from sylva.operators.rules import Rule
+    from sylva.plans import lines
+
+    texts = ["ab\nAB\n\nx é\r\nabb\r", "", "\n\n", "x", "a" * 500 + "\nb 12\n5\n", "tail\r\n"]
+    sources = inline(spark, [(f"d/{k}.txt", "text", t) for k, t in enumerate(texts)] + [("j.json", "json", '{"line": "ab"}')])
+    rules = [Rule(x, f"r{k}", severity="warning", message="{file}:{line} {value}" if k % 2 else None, include=("d/*",) if k == 1 else ()) for k, x in enumerate(LINE_RULES)]
+    assert [lines.predicates(r.expression) is not None for r in rules] == [x not in ("//line[2]", "//line[. > 3]") for x in LINE_RULES]
+    names = [c.split()[0].strip("`") for c in SCHEMA.split(", ")]
+    for command in ("query", "check"):
+        got = run_rules(sources, rules, command, ("source", "lines"))
+        want = run_rules(sources, rules, command, ("source", "lines"), parse_depth=9)
+        assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, map(tuple, want.select(names).collect())))
+
+
+def test_line_rules_stay_out_of_python(spark, tiny):
+    from sylva.corpora import documents_text
+    from sylva.operators.matching import run_rules
+    from sylva.operators.rules import Rule
+
+    found = run_rules(documents_text(spark, tiny), [Rule("//line[contains(., 'password')]"), Rule("//line[string-length(.) > 9]")], "check")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
