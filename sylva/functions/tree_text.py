@@ -42,6 +42,22 @@ def tree_text(n: Node, depth: int | None = None) -> str:
     return "\n".join(rows)
 
 
+def side_by_side(content: str, n: Node, depth: int | None = None, gap: str = "  | ") -> str:
+    """Source lines on the left; on the right the elements that begin on each line, indented by their depth."""
+    rows = content.split("\n")
+    own: dict[int, list[str]] = {}
+    for e in n.descendants():
+        if e.kind == "element" and e.line is not None and (depth is None or e.depth <= depth):
+            marks = " and ".join(c.name for c in e.children if c.kind == "element" and not c.children)
+            own.setdefault(e.line, []).append("  " * (e.depth - 1) + e.name + (f"[{marks}]" if marks else ""))
+    width = max(map(len, rows), default=0)
+    out = []
+    for k, row in enumerate(rows, 1):
+        right = own.get(k, [""])
+        out += [f"{(row if i == 0 else ''):<{width}}{gap}{text}".rstrip() for i, text in enumerate(right)]
+    return "\n".join(out)
+
+
 def marked_source(content: str, spans: list[tuple[int, int, int, int]], mark: tuple[str, str] = ("»", "«")) -> str:
     """The whole text with spans (line, column, end line, end column in bytes) between marks."""
     rows = [r.encode() for r in content.split("\n")]

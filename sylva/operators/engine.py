@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..plans.xpath import problem
 from ..sources import config as configs
 from ..sources import diffs
-from ..sources.documents import inline, scoped
+from ..sources.documents import diagnosed, inline, scoped
+from ..staging import settle
+from .debugging import marked_sources
 from .matching import SCHEMA, limited, run_rules
 from .mutation import Mapping, declared, mutate
 from .reports import expectation
@@ -48,10 +50,24 @@ def invalid(rules: Sequence[Rule], command: str) -> list[dict]:
 
 
 class Engine:
-    """Operations over sources (doc_id, path, language, content)."""
+    """Operations over sources (doc_id, path, language, content); problems are rows that every report gets first (see diagnosed)."""
 
-    def __init__(self, sources: DataFrame):
-        self.sources, self.spark = sources, sources.sparkSession
+    def __init__(self, sources: DataFrame, problems: Sequence[str] = ()):
+        self.sources, self.spark, self.problems = sources, sources.sparkSession, tuple(problems)
+
+    @classmethod
+    def of_files(cls, spark, patterns: Sequence[str], exclude: Sequence[str] = (), **options) -> Engine:
+        """An engine over files; what is wrong with the patterns becomes fatal rows instead of an exception."""
+        return cls(*diagnosed(spark, patterns, exclude, **options))
+
+    def debug(self, xpaths, limit: int | None = None, **parsing) -> DataFrame:
+        """file, matches, output: each source that matches, its matches marked; the limit runs on from file to file."""
+        found = self.query(xpaths, limit, ("value",), **parsing).matches
+        return marked_sources(self.sources, found)
+
+    def _wrong(self, rules: Sequence[Rule], command: str) -> list[dict]:
+        """Fatal rows that stop an operation: problems of the input, then expressions that cannot be read."""
+        return [_fatal(p, "config", command) for p in self.problems] + invalid(rules, command)
 
     def _changed(self, hunks: DataFrame | None, changed: DataFrame | None) -> DataFrame:
         """Sources that changed; files without a changed line are left out before they are parsed."""
@@ -66,7 +82,7 @@ class Engine:
         """Matches of expressions, in order, at most limit; no verdict."""
         rules = _as_rules(xpaths)
         shown = view("query", fields) if fields is None or isinstance(fields, str) else fields
-        if wrong := invalid(rules, "query"):
+        if wrong := self._wrong(rules, "query"):
             return Report(_diagnostics(self.spark, wrong), "query", derive=False)
         found = self._matches(rules, "query", shown, hunks, changed, **parsing)
         return Report(limited(found, limit), "query", derive=False, query="; ".join(r.expression for r in rules))
@@ -74,7 +90,7 @@ class Engine:
     def check(self, rules, fields: Sequence[str] | None = None, examples: bool = True, hunks: DataFrame | None = None, changed: DataFrame | None = None, **parsing) -> Report:
         """Matches of rules as problems; rules with examples are tried on them first. There is no limit."""
         rules = _as_rules(rules)
-        if wrong := invalid(rules, "check"):
+        if wrong := self._wrong(rules, "check"):
             return Report(_diagnostics(self.spark, wrong), "check")
         found = self._matches(rules, "check", DEFAULT_VIEW["check"] if fields is None else fields, hunks, changed, **parsing)
         if examples and any(r.valid or r.invalid for r in rules):
@@ -105,7 +121,7 @@ class Engine:
     def test(self, assertions: Sequence[tuple[str, str | int]], limit: int | None = None, fields: Sequence[str] = (), **parsing) -> Report:
         """Matches of assertions, each compared with what is expected of its count after the limit."""
         rules = [Rule(x) for x, _ in assertions]
-        if wrong := invalid(rules, "test"):
+        if wrong := self._wrong(rules, "test"):
             return Report(_diagnostics(self.spark, wrong), "test")
         found = run_rules(self.sources, rules, "test", fields, **parsing)
         if limit is not None:
@@ -122,12 +138,14 @@ class Engine:
         if isinstance(mappings, str):
             mappings = declared(mappings, value)
         changed = mutate(self.sources, [mappings] if isinstance(mappings, Mapping) else mappings, "set", **options)
+        # looked at twice, so it is written once
+        changed = settle(changed, "changed") if verify else changed
         failed = bool(verify and changed.where("status = 'updated'").limit(1).count())
         return Report(changed, "set", failed=failed)
 
     def update(self, xpath: str, value: str, **options) -> Report:
         """Sets values of nodes that exist; it fails if there are none."""
-        changed = mutate(self.sources, [Mapping(xpath, value)], "update", **options)
+        changed = settle(mutate(self.sources, [Mapping(xpath, value)], "update", **options), "changed")
         return Report(changed, "update", failed=not changed.where("status = 'updated'").limit(1).count())
 
     def run(self, operations: Sequence[configs.Operation] | str, changed_by: dict[str, DataFrame] | None = None) -> Report:
@@ -153,6 +171,8 @@ class Engine:
                 if s.get("expression"):
                     mappings += declared(s["expression"], None if s.get("value") is None else str(s["value"]))
                 done = engine.set(mappings, verify=bool(s.get("verify")))
+                if not s.get("verify"):
+                    done.matches = settle(done.matches, "changed")
                 reports.append(done)
                 new = done.matches.select("doc_id", F.col("output").alias("_new"))
                 sources = sources.join(new, "doc_id", "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import ORDER
@@ -71,24 +71,32 @@ def grouped(matches: DataFrame, by: Sequence[str], fields: Sequence[str]) -> Dat
     return out.orderBy("_order").drop("_order")
 
 
-def schema_paths(nodes: DataFrame) -> DataFrame:
-    """path, count and distinct trimmed own texts (first seen first) of all elements of a node table.
+def schema_paths(nodes: DataFrame, most: int = 5) -> DataFrame:
+    """path, count, n_values and the first values of each path of elements of a node table.
 
-    Paths are put together level by level: one equi-join on the parent for each level of depth.
+    Values are distinct trimmed own texts, first seen first, at most so many; n_values counts them all. Counts and
+    values are aggregated by path before they are shuffled, and the first values are cut in every partition.
     """
-    elements = nodes.where("kind = 'element'").select("doc_id", "pre", "parent", "depth", "name")
-    deepest = elements.agg(F.max("depth")).first()[0] or 0
-    level = elements.where("depth = 1").select("doc_id", "pre", F.col("name").alias("path"))
-    every = level
-    for d in range(2, deepest + 1):
-        below = elements.where(F.col("depth") == d).select("doc_id", F.col("pre").alias("c"), "parent", "name")
-        level = below.join(level, (below["doc_id"] == level["doc_id"]) & (below["parent"] == level["pre"])).select(below["doc_id"], F.col("c").alias("pre"), F.concat_ws("/", "path", "name").alias("path"))
-        every = every.unionByName(level)
-    text = nodes.where("kind = 'text'").select("doc_id", F.col("parent").alias("pre"), F.trim("text").alias("own"), F.col("pre").alias("at")).where("own != ''")
-    counts = every.groupBy("path").agg(F.count("*").alias("count"))
-    first = every.join(text, ["doc_id", "pre"]).groupBy("path", "own").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    values = first.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "own"))), lambda r: r["own"]).alias("values"))
-    return counts.join(values, "path", "left").select("path", "count", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    counts = nodes.where("kind = 'element'").groupBy("path").agg(F.count("*").alias("count"))
+    text = nodes.where("kind = 'text'").select("path", "doc_id", "pre", F.trim("text").alias("own")).where("own != '' and path is not null")
+    values = text.groupBy("path", "own").agg(F.min(F.struct("doc_id", "pre")).alias("first"))
+    numbers = values.groupBy("path").agg(F.count("*").alias("n_values"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("first", "own"))
+    firsts = values.withColumn("place", place).where(F.col("place") <= most).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("held"))
+    out = counts.join(numbers, "path", "left").join(firsts, "path", "left")
+    none = F.array().cast("array<string>")
+    return out.select("path", "count", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"), F.coalesce(F.transform("held", lambda r: r["own"]), none).alias("values"))
+
+
+def grouped_rows(matches: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The rows of grouped without arrays, so that a group of any size stays divisible: keys, first (where the group begins), fields, in report order."""
+    for d in by:
+        if d not in DIMENSIONS:
+            raise ValueError(f"cannot group by {d}")
+    first = matches.groupBy(*by).agg(F.min(F.struct(*ORDER)).alias("first"))
+    same = F.expr(" and ".join(f"m.{d} <=> g.{d}" for d in by))
+    rows = matches.alias("m").join(first.alias("g"), same).select(*[f"m.{d}" for d in by], "g.first", *[F.col(f"m.{f}") for f in dict.fromkeys((*ORDER, *fields)) if f not in by])
+    return rows.orderBy("first", *[c for c in ORDER if c not in by])
 
 
 def schema_text(rows: list, depth: int = 4, most: int = 5) -> str:
@@ -99,7 +107,7 @@ def schema_text(rows: list, depth: int = 4, most: int = 5) -> str:
         level = path.count("/")
         if level >= depth:
             continue
-        values = list(by_path[path]["values"])
-        shown = ", ".join(f'"{v}"' for v in values[:most]) + (f", … (+{len(values) - most})" if len(values) > most else "")
+        values, n = list(by_path[path]["values"])[:most], by_path[path]["n_values"]
+        shown = ", ".join(f'"{v}"' for v in values) + (f", … (+{n - len(values)})" if n > len(values) else "")
         out.append("  " * level + f"{path.rpartition('/')[2]} ({by_path[path]['count']})" + (f" = {shown}" if values else ""))
     return "\n".join(out)

@@ -30,6 +30,14 @@ class ViewError(ValueError):
     pass
 
 
+class ReportError(ValueError):
+    """A report that does not fit one document."""
+
+
+#: Matches that one report document holds at most; larger results are saved as lines.
+MAX_MATCHES = 200_000
+
+
 def view(command: str, spec: str | None = None) -> tuple[str, ...]:
     """The fields that a spec asks for: a list, or + and - on the default."""
     if spec is None:
@@ -94,12 +102,32 @@ def summary_text(total: dict) -> str:
 class Report:
     """What an operation gives: matches, totals and verdict, and their renderings.
 
-    matches stays a DataFrame; the documents made here are for results that fit a report.
+    matches stays a DataFrame. The documents made here hold at most MAX_MATCHES of them, else ReportError;
+    lines and save have no such limit, their rows stay distributed.
     """
 
     def __init__(self, matches: DataFrame, command: str, failed: bool = False, derive: bool = True, expected: str | None = None, query: str | None = None):
         self.matches, self.command, self.failed, self.derive, self.expected, self.query = matches, command, failed, derive, expected, query
 
+    def rows(self) -> list:
+        """All matches in report order, on the driver."""
+        found = self.matches.orderBy(*ORDER).limit(MAX_MATCHES + 1).collect()
+        if len(found) > MAX_MATCHES:
+            raise ReportError(f"more than {MAX_MATCHES} matches; save them as lines")
+        return found
+
+    def lines(self, kind: str = "gcc", fields: Sequence[str] = FIELDS) -> DataFrame:
+        """The report as lines of text (gcc, github or json), in order."""
+        made = {"gcc": gcc_lines, "github": github_lines}.get(kind)
+        if made is None and kind != "json":
+            raise ViewError(f"no lines of kind {kind}")
+        out = made(self.matches) if made else json_lines(self.matches, fields)
+        return out.orderBy(*ORDER).select("text")
+
+    def save(self, path: str, kind: str = "json", fields: Sequence[str] = FIELDS) -> None:
+        """Writes the lines below a path, part after part in report order."""
+        self.lines(kind, fields).write.text(path)
+
     def totals(self) -> DataFrame:
         return verdict(totals(self.matches), self.failed, self.derive)
 
@@ -123,7 +151,7 @@ class Report:
         """The report as nested data: summary, group, results, captured outputs."""
         shown = [f for f in fields if f in FIELDS]
         extra = [f for f in ("severity", "reason", "origin", "lines") if f not in shown]
-        rows = [r.asDict(recursive=True) for r in self.matches.orderBy(*ORDER).collect()]
+        rows = [r.asDict(recursive=True) for r in self.rows()]
         outputs = [{"file": r["file"], "content": r["output"]} for r in rows if r.get("output") is not None and "output" not in shown]
 
         def one(r: dict, skip: Sequence[str]) -> dict:
@@ -174,8 +202,8 @@ class Report:
         return yaml.safe_dump(self.envelope(fields, by, **options), sort_keys=False, allow_unicode=True)
 
     def to_xml(self, fields: Sequence[str], by: Sequence[str] = ("file",)) -> str:
-        data = self.envelope(fields, (), None)
-        rows = [r.asDict(recursive=True) for r in self.matches.orderBy(*ORDER).collect()]
+        data = {"summary": self.summary()} if self.derive else {}
+        rows = [r.asDict(recursive=True) for r in self.rows()]
         out = ['<?xml version="1.0" encoding="UTF-8"?>', "<report>"]
         if "summary" in data:
             s = data["summary"]
@@ -211,7 +239,7 @@ class Report:
 
     def to_gcc(self) -> str:
         blocks = []
-        for r in self.matches.orderBy(*ORDER).collect():
+        for r in self.rows():
             head = f"{r['file']}:{r['line']}:{r['column']}: {r['severity'] or 'error'}: {r['message'] or r['reason'] or r['value'] or ''}"
             body = gutter(r["lines"] or [], r["line"], r["column"], r["end_column"])
             blocks.append(head + ("\n" + body if body else ""))
@@ -221,7 +249,7 @@ class Report:
     def to_text(self, fields: Sequence[str]) -> str:
         """Matches as blocks of their fields, a place first where it is shown."""
         blocks = []
-        for r in self.matches.orderBy(*ORDER).collect():
+        for r in self.rows():
             rows = []
             if "file" in fields:
                 rows.append(r["file"] + (f":{r['line']}" if "line" in fields else "") + (f":{r['column']}" if "column" in fields else ""))

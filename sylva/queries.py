@@ -66,7 +66,7 @@ WITH v AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
 SELECT 'document' AS path, count(*) AS count, 0 AS n_values FROM v
 UNION ALL SELECT 'document/k', count(*), count(DISTINCT k) FROM v""")
 def json_schema_paths(spark, sf_dir):
-    return schema_paths(node_table(events_json(spark, sf_dir))).select("path", "count", F.size("values").alias("n_values"))
+    return schema_paths(node_table(events_json(spark, sf_dir), inner_values=False)).select("path", "count", "n_values")
 
 
 @query("""SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS value FROM pages""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,26 @@ def from_files(spark: SparkSession, patterns: Iterable[str], exclude: Iterable[s
     return found.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), lang.alias("language"), text.alias("content"))
 
 
+def diagnosed(spark: SparkSession, patterns: Sequence[str], exclude: Sequence[str] = (), diff_lines: bool = False, **options) -> tuple[DataFrame, list[str]]:
+    """Sources of files, and in words what is wrong with the patterns; with a problem there are no sources."""
+    none = spark.createDataFrame([], SCHEMA)
+    if not patterns:
+        return none, ["no file patterns specified: give files, or name them in the configuration"]
+    if bad := [p for p in exclude if not p or "\x00" in p]:
+        return none, [f"invalid exclude pattern {p!r}" for p in bad]
+    if diff_lines and any(p == PATHLESS for p in patterns):
+        return none, ["changed lines need a file path to compare with"]
+    try:
+        found = from_files(spark, patterns, exclude, **options)
+    except SourceError as e:
+        return none, [str(e)]
+    except AnalysisException as e:
+        return none, [f"file patterns matched 0 files: {', '.join(patterns)}"] if e.getCondition() == "PATH_NOT_FOUND" else [str(e)]
+    if found.limit(1).count():
+        return found, []
+    return none, ["file patterns matched 0 files: " + ", ".join(patterns)]
+
+
 def from_paths(spark: SparkSession, lines: str, **options) -> DataFrame:
     """Sources of a list of paths, one in a line (as piped in)."""
     return from_files(spark, [x.strip() for x in lines.splitlines() if x.strip()], **options)

@@ -1,6 +1,6 @@
 """The node table: one row per node of each document's tree.
 
-pre numbers the nodes in document order and post is the last descendant's number, so containment is an
+path names the elements from the root to an element or to what holds another node. pre numbers the nodes in document order and post is the last descendant's number, so containment is an
 interval test. Parsing runs batch by batch in Python; everything after it is relational.
 """
 
@@ -19,7 +19,7 @@ from .tree import Node
 COLUMNS = (
     ("doc_id", pa.int64(), "long"), ("file", pa.string(), "string"), ("pre", pa.int32(), "int"), ("post", pa.int32(), "int"), ("parent", pa.int32(), "int"), ("depth", pa.int32(), "int"), ("ord", pa.int32(), "int"),
     ("kind", pa.string(), "string"), ("name", pa.string(), "string"), ("text", pa.string(), "string"), ("string_value", pa.string(), "string"),
-    ("line", pa.int32(), "int"), ("column", pa.int32(), "int"), ("end_line", pa.int32(), "int"), ("end_column", pa.int32(), "int"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"),
+    ("line", pa.int32(), "int"), ("column", pa.int32(), "int"), ("end_line", pa.int32(), "int"), ("end_column", pa.int32(), "int"), ("path", pa.string(), "string"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"),
 )
 SCHEMA = ", ".join(f"`{n}` {t}" for n, _, t in COLUMNS)
 #: Rows that are handed to Spark at once.
@@ -27,11 +27,16 @@ BATCH_ROWS = 50_000
 
 
 def _rows(doc_id: int, file: str, doc: Node, inner_values: bool) -> Iterator[tuple]:
+    paths: dict[int, str] = {}
     for n in (doc, *doc.descendants()):
+        above = paths.get(id(n.parent))
+        path = above
+        if n.kind == "element":
+            path = paths[id(n)] = f"{above}/{n.name}" if above else n.name
         leaf = inner_values or all(c.kind != "element" for c in n.children)
         yield (
             doc_id, file, n.pre, n.post, n.parent.pre if n.parent is not None else None, n.depth, n.ord, n.kind, n.name, n.text, n.string_value() if leaf else None,
-            n.line, n.column, n.end_line, n.end_column, list(n.attrs.items()),
+            n.line, n.column, n.end_line, n.end_column, path, list(n.attrs.items()),
         )
 
 
