@@ -1,12 +1,10 @@
-"""Registered queries over the driver's tables, and their SQL.
+"""Registered queries over the driver's tables, and their SQL; more in queries_code, queries_functions and queries_operations.
 
 Each query runs through this library's operators; the SQL states the same result over the plain tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from .operators.reports import expectations, grouped, schema_paths, totals, verd
 from .operators.rules import Rule
 from .operators.sinks import gcc_lines, github_lines
 from .plans import relational, typed
+from .registry import ORACLES, QUERIES, query
 from .sources.diffs import hunks_of_diff, in_hunks, only_changed
 from .sources.documents import from_table, language_of
 from .sources.globs import in_scope
@@ -27,20 +26,6 @@ from .sources.languages import languages_table
 from .sources.nodes import node_table
 from .streaming.matches import stream_matches
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rules over events and document lines, with the totals of the report they give."""
     rules = [Rule("//k[. > 90]", "large-k", severity="warning"), Rule("//line[contains(., 'password')]", "secret")]
@@ -217,10 +202,10 @@ def descendant_join(spark, sf_dir):
     return t.where(typed.condition(t, "//customer[.//order/total > 300000]", "customer")).select("c_custkey", "name")
 
 
-@query("""SELECT c_custkey, c_name AS name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+@query("""SELECT c_custkey, c_name AS name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')""")
 def anti_predicate(spark, sf_dir):
     t = customer_tree(spark, sf_dir)
-    return t.where(typed.condition(t, "not(order)")).select("c_custkey", "name")
+    return t.where(typed.condition(t, "not(order[priority = '1-URGENT'])")).select("c_custkey", "name")
 
 
 @query("""SELECT c.c_custkey, coalesce(bool_or(o_orderstatus = 'P'), false) AS any_p, coalesce(bool_and(o_totalprice > 50000), true) AS all_large
@@ -311,17 +296,17 @@ def fn_sequences(spark, sf_dir):
 # -- rules, reports, sinks -----------------------------------------------------------------------
 
 _LINES = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
-_WORD = Rule("//line[contains(., 'password')]", "secret", "credential in text", message="{file}:{line} {value}")
+_WORD = Rule("//line[contains(., 'token')]", "secret", "credential in text", message="{file}:{line} {value}")
 
 
-@query(f"""SELECT doc_id, source || '/' || doc_id || '.txt' AS file, CAST(n AS INT) AS line, 'secret' AS rule_id, 'error' AS severity FROM {_LINES} WHERE contains(l, 'password')""")
+@query(f"""SELECT doc_id, source || '/' || doc_id || '.txt' AS file, CAST(n AS INT) AS line, 'secret' AS rule_id, 'error' AS severity FROM {_LINES} WHERE contains(l, 'token')""")
 def line_contains_rule(spark, sf_dir):
     return Engine(documents_text(spark, sf_dir)).check(_WORD).matches.select("doc_id", "file", "line", "rule_id", "severity")
 
 
 @query(f"""SELECT source || '/' || doc_id || '.txt:' || n || ':1: error: ' || source || '/' || doc_id || '.txt:' || n || ' ' ||
   CASE WHEN length(s) > 50 THEN substr(s, 1, 47) || '...' ELSE s END AS text
-FROM (SELECT *, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS s FROM {_LINES} WHERE contains(l, 'password'))""")
+FROM (SELECT *, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS s FROM {_LINES} WHERE contains(l, 'token'))""")
 def gcc_sink(spark, sf_dir):
     return gcc_lines(Engine(documents_text(spark, sf_dir)).check(_WORD).matches).select("text")
 
@@ -353,7 +338,7 @@ def group_by_file_totals(spark, sf_dir):
     return found.groupBy(F.substring_index("file", "/", 1).alias("file_group")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query(f"""SELECT source || '/' || doc_id || '.txt' AS file, string_agg(n, ',' ORDER BY n) AS lines FROM {_LINES} WHERE contains(l, 'password') GROUP BY ALL""")
+@query(f"""SELECT source || '/' || doc_id || '.txt' AS file, string_agg(n, ',' ORDER BY n) AS lines FROM {_LINES} WHERE contains(l, 'token') GROUP BY ALL""")
 def grouped_results(spark, sf_dir):
     found = run_rules(documents_text(spark, sf_dir), [_WORD], "check")
     return grouped(found, ["file"], ["line"]).select("file", F.array_join(F.transform("results", lambda r: r["line"].cast("string")), ",").alias("lines"))
@@ -435,10 +420,12 @@ def language_detection(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", language_of(F.concat(F.lit("src/"), ext)).alias("language"))
 
 
-@query(f"""SELECT doc_id, CAST(n AS INT) AS line FROM {_LINES} WHERE doc_id % 3 = 0 AND n BETWEEN 2 AND 4""")
+@query(f"""SELECT doc_id, CAST(n AS INT) AS line FROM {_LINES} JOIN (SELECT doc_id, 1 + length(text) % 4 AS first FROM documents) USING (doc_id) WHERE n BETWEEN first AND first + 2""")
 def diff_hunk_overlap(spark, sf_dir):
+    """Every document is in the diff; which of its lines changed follows from its length."""
     sources = documents_text(spark, sf_dir)
-    diff = sources.where("doc_id % 3 = 0").select(F.concat(F.lit("--- a/x\n+++ b/"), F.col("path"), F.lit("\n@@ -1,1 +2,3 @@\n+new\n@@ -9,4 +9,0 @@\n-old")).alias("diff"))
+    first = (F.length("content") % 4 + 1).cast("string")
+    diff = sources.select(F.concat(F.lit("--- a/x\n+++ b/"), F.col("path"), F.lit("\n@@ -1,1 +"), first, F.lit(",3 @@\n+new\n@@ -9,4 +9,0 @@\n-old")).alias("diff"))
     hunks = hunks_of_diff(diff)
     return in_hunks(run_rules(only_changed(sources, hunks), [Rule("//line")]), hunks).select("doc_id", "line")
 
@@ -582,3 +569,7 @@ def streamed_matches(spark, sf_dir):
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     path = F.concat(F.lit("events/"), F.col("event_id").cast("string"), F.lit(".json"))
     return stream_matches(from_table(stream, "props", path, "json", "event_id"), [Rule("//k[. > 90]")]).select("doc_id", "value")
+
+
+# the queries of operations, languages and functions register themselves
+from . import queries_code, queries_functions, queries_operations  # noqa: E402, F401
