@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of docs. run() writes what a stage returns to the shared folder and reads it for the next one.
 
-Defined results: rows with a null doc_id pass the stages that judge by id; rows that repeat a doc_id
-leave near-dedup once for each group of copies their texts are in; null and empty texts have no language and go in the first stage; columns
-beside those of documents, whatever their names, are carried to the last stage and end there; empty
+Defined results: language, contamination and personal data are judged by a row's own text, whatever its id; rows that repeat a doc_id
+leave near-dedup once for each group of copies their texts are in; a row with a null doc_id goes there if a row with an id is its
+copy, and equal texts without an id leave once; null and empty texts have no language and go in the first stage; very long texts are
+whole in every stage; columns beside those of documents, whatever their names, are carried to the last stage and end there; empty
 tables give no rows.
 """
 
@@ -35,11 +36,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id, of its texts that with the smallest hash."""
-    groups = near_groups(docs).where("kept and doc_id is not null")
+    every = near_groups(docs).where("kept")
+    groups = every.where("doc_id is not null")
     kept = groups.groupBy("doc_id", "comp", F.when(F.col("comp").isNull(), F.col("text_hash")).alias("own")).agg(F.min("text_hash").alias("hash")).select("doc_id", "hash").distinct()
     named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
     named = named.join(kept, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
-    return named.unionByName(docs.where("doc_id is null"))
+    alone = every.where("doc_id is null").select(F.col("text_hash").alias("hash")).distinct()
+    unnamed = docs.where("doc_id is null").select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"))
+    unnamed = unnamed.join(alone, "hash", "left_semi").dropDuplicates(["hash"]).select("row.*")
+    return named.unionByName(unnamed)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

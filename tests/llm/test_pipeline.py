@@ -81,7 +81,6 @@ def test_cases(spark, docs, clash, tiny):
         if name != "mix":
             assert out.columns == wide.columns
         assert stage(spark, wide.limit(0), tiny).count() == 0
-    # rows without an id pass the stages that go by id
     assert cp.near_dedup(spark, docs, tiny).where(F.col("doc_id").isNull()).count() == 1
     named = [r["doc_id"] for r in cp.near_dedup(spark, docs, tiny).where("doc_id is not null").collect()]
     assert len(named) == len(set(named))
@@ -92,9 +91,46 @@ def test_near_dedup_of_one_id_for_different_texts(spark, tiny):
     a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
     near = " ".join([*c[:-1], "other"])
     a, b, c = (" ".join(x) for x in (a, b, c))
-    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (9, c), (9, near), (9, a), (11, "!"), (11, "?"), (11, "?"), (None, a)]
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (9, c), (9, near), (9, a), (11, "!"), (11, "?"), (11, "?"), (None, a), (None, "only without an id " * 9), (None, "only without an id " * 9)]
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], table(spark, tiny, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema)
     out = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, df, tiny).collect()), key=repr)
     left = [x for x in out if x[0] != 9]
-    assert left == sorted([(3, a), (5, b), (11, "!"), (11, "?"), (None, a)], key=repr)
+    assert left == sorted([(3, a), (5, b), (11, "!"), (11, "?"), (None, "only without an id " * 9)], key=repr)
     assert [x for x in out if x[0] == 9] in ([(9, c)], [(9, near)])
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, tiny):
+    item = max((r["text"] for r in table(spark, tiny, "benchmark").collect()), key=len)
+    rows = [(1, item), (1, "other words that are no item of any kind at all"), (None, f"before {item} after"), (None, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], table(spark, tiny, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert [(r["doc_id"], r["text"]) for r in cp.decontaminate(spark, df, tiny).collect()] == [rows[1], rows[3]]
+
+
+def test_models_reach_workers_without_the_package(tmp_path):
+    """The operators with a model, run from elsewhere by workers that cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.abspath(cp.__file__))
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+def blind(rows):
+    try:
+        import sylva
+        return ["seen"]
+    except ImportError:
+        return ["blind"]
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(blind).collect() == ["blind"]
+for name in ("op2_language_id", "op3_personal_data", "op5_nearest", "op6_quality", "op7_decontaminate", "op8_html_text"):
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0, name
+print("all ran")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
