@@ -63,12 +63,44 @@ class Plan:
         }
         if axis == "attribute":
             raise Unsupported("attributes end a path")
+        if self._is_set(step, origin):
+            found = self._swept(axis, n, context)
+            for p in predicates:
+                found = self.keep(found, p)
+            return found
         found = n.join(c, same & within[axis])
         reverse = axis in ("ancestor", "ancestor-or-self", "preceding", "preceding-sibling", "parent")
         for p in predicates:
             found = self._positional(found, p, reverse) if _is_position(p) else self.keep(found, p)
         return found.withColumn("from_pre", F.col("c_from")).drop("c_doc", "c_pre", "c_post", "c_parent", "c_from") if origin else found.drop("c_doc", "c_pre", "c_post", "c_parent")
 
+    @staticmethod
+    def _is_set(step: tuple, origin: bool) -> bool:
+        """Whether only the nodes that a step reaches count, not from where."""
+        return not origin and step[1] not in ("child", "self", "parent") and not any(map(_is_position, step[3]))
+
+    @staticmethod
+    def _swept(axis: str, nodes: DataFrame, context: DataFrame) -> DataFrame:
+        """The nodes that an axis reaches from any context node, each once and without comparing pairs.
+
+        Subtrees are nested intervals, so one number for each document, parent or place is enough: the first or last context node, the
+        farthest end of those before, the next one behind.
+        """
+        if axis in ("following", "preceding", "following-sibling", "preceding-sibling"):
+            keys = ["doc_id", "parent"] if axis.endswith("sibling") else ["doc_id"]
+            edge = {"following": F.min("post"), "preceding": F.max("pre"), "following-sibling": F.min("pre"), "preceding-sibling": F.max("pre")}[axis]
+            edges = context.groupBy(*keys).agg(edge.alias("_edge"))
+            beyond = F.col("pre") > F.col("_edge") if axis.startswith("following") else F.col("post" if axis == "preceding" else "pre") < F.col("_edge")
+            return nodes.join(edges, keys).where(beyond).drop("_edge").select(nodes.columns)
+        down, own = axis.startswith("descendant"), 0 if axis.endswith("self") else -1
+        marks = context.select("doc_id", "pre", F.col("post" if down else "pre").alias("_edge"), F.lit(True).alias("_mark"))
+        every = nodes.withColumn("_edge", F.lit(None).cast("int")).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        # going up, nodes come from the end of the document, so that what counts lies before a row there too
+        order = Window.partitionBy("doc_id").orderBy(F.col("pre") if down else F.col("pre").desc()).rangeBetween(Window.unboundedPreceding, own)
+        edge = (F.max if down else F.min)("_edge").over(order)
+        inside = F.col("_near") >= F.col("pre") if down else F.col("_near") <= F.col("post")
+        return every.withColumn("_near", edge).where(~F.col("_mark")).where(inside).select(nodes.columns)
+
     def _positional(self, found: DataFrame, p: tuple, reverse: bool) -> DataFrame:
         order = F.col("pre").desc() if reverse else F.col("pre").asc()
         context = Window.partitionBy("doc_id", "c_pre")
@@ -113,7 +145,7 @@ class Plan:
                 continue
             now = self._step(self.nodes.where("kind = 'document'") if now is None else now, s, origin)
             key = [*KEY, "from_pre"] if origin else [*KEY]
-            if s[1] != "child" and s[1] != "self":
+            if s[1] != "child" and s[1] != "self" and not self._is_set(s, origin):
                 now = now.dropDuplicates(key)
         if now is None:
             raise Unsupported("an empty path")
