@@ -41,8 +41,8 @@ SIMILARITY = 75
 SCREEN = 0.6
 #: Documents for each file of the tables written on the way, at least.
 FILE_ROWS = 20_000
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 2_000
+#: Rows of a bucket that one task compares with as many others, and rows whose pairs are all made at once.
+BLOCK, SMALL_BLOCK = 2_000, 64
 
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,47 +106,93 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[linked, ["a", "b"]]
 
 
-def _open_pairs(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row, other rows and their signature agreement: pairs of the block in two components that look alike.
-
-    Side 0 is compared with side 1, or with itself if there is no other side. A pair belongs to the
-    first band that both share, so it comes up in one bucket only.
-    """
-    sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
-    bands = sig.view("<u8")
-    band, values = int(pdf["band"].iloc[0]), sig.shape[1]
-    side, comp, n, v = (pdf[c].to_numpy() for c in ("side", "comp", "n_shingles", "v"))
-    right = np.flatnonzero(side == 1)
-    alone = not len(right)
-    others = slice(0) if alone else slice(int(right[0]), int(right[-1]) + 1)
-    least = int(np.ceil(SCREEN * values))
-    for i in np.flatnonzero(side == 0):
-        at = slice(int(i) + 1, len(pdf)) if alone else others
+class _Block:
+    """The rows of one or more blocks as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
+        self.bands = self.sig.view("<u8")
+        self.band, self.side, self.comp, self.n, self.v = (pdf[c].to_numpy() for c in ("band", "side", "comp", "n_shingles", "v"))
+
+    def _alike(self, i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are open, and in how many values their signatures agree."""
+        found = np.flatnonzero((self.comp[i] != self.comp[k]) & (100 * np.minimum(self.n[i], self.n[k]) >= SIMILARITY * np.maximum(self.n[i], self.n[k])) & (self.v[i] != self.v[k]))
+        i, k = i[found], k[found]
         # a row of equal marks is added up eight at a time
-        marks = (sig[at] == sig[i]).view(np.uint64).sum(axis=1)
+        marks = (self.sig[k] == self.sig[i]).view(np.uint64).sum(axis=1)
         equal = (marks * np.uint64(0x0101010101010101)) >> np.uint64(56)
-        found = np.flatnonzero((equal >= least) & (comp[at] != comp[i]) & (100 * np.minimum(n[at], n[i]) >= SIMILARITY * np.maximum(n[at], n[i])) & (v[at] != v[i]))
-        if len(found):
-            rows = found + at.start
-            own = ~(bands[rows, :band] == bands[i, :band]).any(axis=1)
-            if own.any():
-                yield i, rows[own], equal[found[own]].astype(np.int32)
-
+        alike = np.flatnonzero(equal >= int(np.ceil(SCREEN * self.sig.shape[1])))
+        i, k = i[alike], k[alike]
+        band = int(self.band[i[0]]) if len(i) else 0
+        own = ~(self.bands[k, :band] == self.bands[i, :band]).any(axis=1)
+        return found[alike[own]], equal[alike[own]].astype(np.int32)
+
+    def open_pairs(self, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, other rows and their signature agreement: pairs of the block from start to end in two components that look alike.
+
+        Side 0 is compared with side 1, or with itself if there is no other side; it stands first. A pair belongs to the
+        first band that both share, so it comes up in one bucket only.
+        """
+        first = start + int((self.side[start:end] == 0).sum())
+        if first == end and end - start <= SMALL_BLOCK:
+            i, k = (x + start for x in _TRIANGLES[end - start])
+            at, equal = self._alike(i, k)
+            if len(at):
+                yield i[at], k[at], equal
+            return
+        for row in range(start, first):
+            k = np.arange(row + 1, end) if first == end else np.arange(first, end)
+            if len(k):
+                i = np.full(len(k), row)
+                at, equal = self._alike(i, k)
+                if len(at):
+                    yield i[at], k[at], equal
+
+
+class _Triangles(dict):
+    """Both rows of all pairs of so many rows, remembered."""
+
+    def __missing__(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self[m] = np.triu_indices(m, 1)
+        return found
+
+    def __reduce__(self):
+        return _Triangles, ()
+
+
+_TRIANGLES = _Triangles()
+
+
+def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that are in an open pair of their block; blocks follow each other, side 0 first, and may go on in the next batch."""
+    held: pd.DataFrame | None = None
+
+    def flagged(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        block, marks = _Block(pdf), np.zeros(len(pdf), bool)
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            for i, k, _ in block.open_pairs(start, end):
+                marks[i] = True
+                marks[k] = True
+        return pdf.loc[marks]
 
-def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a block that are in an open pair, side 0 first."""
-    pdf = pdf.sort_values("side", kind="stable", ignore_index=True)
-    flagged = np.zeros(len(pdf), bool)
-    for i, at, _ in _open_pairs(pdf):
-        flagged[i] = True
-        flagged[at] = True
-    return pdf.loc[flagged]
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        key = np.stack([pdf[c].to_numpy() for c in ("bucket", "lo", "hi")])
+        bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        held = pdf.iloc[bounds[-1] :].reset_index(drop=True)
+        if len(bounds) > 1:
+            yield flagged(pdf.iloc[: bounds[-1]], bounds)
+    if held is not None and len(held):
+        yield flagged(held, [0, len(held)])
 
 
 def _settle_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links among the open pairs of a block, confirmed on full sets; pairs already joined by a link found here are passed over."""
     pdf = pdf.sort_values("side", kind="stable", ignore_index=True)
-    open_ = [(np.full(len(at), i, np.int32), at.astype(np.int32), alike) for i, at, alike in _open_pairs(pdf)]
+    open_ = list(_Block(pdf).open_pairs(0, len(pdf)))
     if not open_:
         return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
     left, right, alike = (np.concatenate(x) for x in zip(*open_, strict=True))
@@ -253,7 +299,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
     sided = sided.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "v", "n_shingles", "comp", "sig")
     block = ["bucket", "lo", "hi"]
-    flagged = settle(sided.groupBy(*block).applyInPandas(_flag, sided.schema), "dedup-open", files)
+    # blocks are many and most are small, so a task takes all of its own in one pass instead of group by group
+    flagged = settle(sided.repartition(*block).sortWithinPartitions(*block, "side", "v").mapInPandas(_flag, sided.schema), "dedup-open", files)
     sets_of = settle(texts_of(flagged.select("v")).mapInArrow(_to_sets, "v long, shingles binary"), "dedup-sets", files)
     with_sets = flagged.join(sets_of, "v")
     links = settle(with_sets.groupBy(*block).applyInPandas(_settle_pairs, "a long, b long"), "dedup-links", files)
