@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .graph import components
+from .graph import components, divided_join
 from .shingles import WordHashes, jaccard_counts, shingle_set
 
 PERMUTATIONS = 64
@@ -239,11 +239,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     files = max(12, docs.count() // FILE_ROWS)
     signed = settle(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "dedup-signed", files)
     # nulls sort first in a struct, so rows without an id stand for no set
-    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("f")).select("set_key", F.col("f.doc_id").alias("least"), "f.text_hash", "f.n_shingles", "f.sig")
+    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sig")).alias("f"), F.count("*").alias("copies"))
+    firsts = firsts.select("set_key", F.col("f.doc_id").alias("least"), "f.text_hash", "f.n_shingles", "f.sig", "copies")
     # a vertex is named by the least id of its set; where an id stands for several sets, by a hash of id and text
     twice = firsts.groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1")
     name = F.when(F.col("sets").isNull(), F.col("least")).otherwise(F.xxhash64("least", "text_hash"))
-    vertices = settle(firsts.join(twice, "least", "left").select(name.alias("v"), "set_key", "least", "text_hash", "n_shingles", "sig"), "dedup-vertices", files)
+    vertices = settle(firsts.join(twice, "least", "left").select(name.alias("v"), "set_key", "least", "text_hash", "n_shingles", "sig", "copies"), "dedup-vertices", files)
 
     width = 2 * BAND_ROWS
     bands = F.posexplode(F.expr(f"transform(sequence(0, {2 * PERMUTATIONS // BAND_ROWS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
@@ -306,11 +307,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = settle(with_sets.groupBy(*block).applyInPandas(_settle_pairs, "a long, b long"), "dedup-links", files)
     comps = components(links.unionByName(as_edges(comps)), "dedup-comps", files)
 
-    placed = vertices.select("v", "set_key", "least").join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "set_key", "least", F.coalesce("root", "v").alias("comp"))
+    placed = vertices.select("v", "set_key", "least", "copies").join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "set_key", "least", "copies", F.coalesce("root", "v").alias("comp"))
     joined = comps.select(F.col("root").alias("comp")).distinct()
     lows = placed.join(joined, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("low"))
-    # written first, so that both sides of the last join are plain and a set with very many documents can be divided
-    roots = settle(placed.join(lows, "comp", "left").select("set_key", "comp", F.coalesce("low", "least").alias("component_id")), "dedup-roots", files)
-    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(roots, "set_key", "left")
+    roots = settle(placed.join(lows, "comp", "left").select("set_key", "comp", F.coalesce("low", "least").alias("component_id"), "copies"), "dedup-roots", files)
+    # rows without a set meet nothing, those of a set with very many documents stay where they are
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_key")
+    found = divided_join(rows.where("set_key is not null"), roots, "set_key", "copies", "left")
+    out = found.unionByName(rows.where("set_key is null"), allowMissingColumns=True)
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", "comp", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -103,3 +103,45 @@ def test_empty_and_clashing(spark, docs, clash, same):
 def test_components(spark, edges, expected):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["id"]: r["root"] for r in components(df).collect()} == expected
+
+
+def test_hot_sets_and_stars(spark, docs, monkeypatch, same):
+    """Keys of many rows take the other way of the joins, with the same result."""
+    from sylva.llm import graph
+
+    want = near_duplicates(docs).collect()
+    edges = spark.createDataFrame([(1, k) for k in range(2, 60)] + [(k, k + 100) for k in range(2, 30)] + [(500, 501)], "a long, b long")
+    roots = {(r["id"], r["root"]) for r in graph.components(edges).collect()}
+    monkeypatch.setattr(graph, "HOT", 1)
+    assert sorted(map(repr, map(tuple, near_duplicates(docs).collect()))) == sorted(map(repr, map(tuple, want)))
+    assert {(r["id"], r["root"]) for r in graph.components(edges).collect()} == roots
+    assert roots == {(k, 1) for k in (*range(2, 60), *range(102, 130))} | {(501, 500)}
+
+
+def test_blocks_of_any_size_flag_the_same(spark):
+    """Small blocks whose pairs are made at once, larger ones and blocks over several batches."""
+    import numpy as np
+    import pandas as pd
+
+    from sylva.llm import near_dedup as nd
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, (40, 128)).astype("<u2")
+    rows = []
+    for block in range(30):
+        for _ in range(int(rng.choice([2, 3, 10, 80]))):
+            sig = base[rng.integers(0, 40)].copy()
+            sig[rng.integers(0, 128, int(rng.choice([0, 5, 40])))] = 7
+            rows.append((block, 31, 0, 0, 0, len(rows), 50, int(rng.integers(0, 4)), sig.tobytes()))
+    pdf = pd.DataFrame(rows, columns=["bucket", "band", "lo", "hi", "side", "v", "n_shingles", "comp", "sig"])
+    want = set()
+    for _, own in pdf.groupby("bucket"):
+        sigs = [np.frombuffer(s, "<u2") for s in own["sig"]]
+        for i in range(len(own)):
+            for k in range(i + 1, len(own)):
+                same_band = any((sigs[i].view("<u8")[j] == sigs[k].view("<u8")[j]) for j in range(31))
+                if own["comp"].iloc[i] != own["comp"].iloc[k] and (sigs[i] == sigs[k]).mean() >= nd.SCREEN and not same_band:
+                    want |= {int(own["v"].iloc[i]), int(own["v"].iloc[k])}
+    for size in (7, 50, 10_000):
+        got = pd.concat(list(nd._flag(pdf.iloc[i : i + size] for i in range(0, len(pdf), size))))
+        assert set(got["v"]) == want
