@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn_rows, received, send, settle
+from .common import drawn_rows, first_drawn, received, send, settle
 
 #: Pivots, and the positions that are posted (at most 255).
 PIVOTS, POSTED = 128, 128
@@ -138,9 +138,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 17) ->
     counts = {r["n"]: r["count"] for r in rows.groupBy("n").count().collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    samples: dict[int, list] = {}
-    for r in drawn_rows(rows.select("n", "v"), "n", counts, F.xxhash64("v", F.lit(seed)), SAMPLE).collect():
-        samples.setdefault(r["n"], []).append(r["v"])
+    drawn = drawn_rows(rows.select("n", "v"), "n", counts, F.xxhash64("v", F.lit(seed)), SAMPLE).collect()
+    samples = {n: [r["v"] for r in own] for n, own in first_drawn(drawn, "n", SAMPLE).items()}
     coders = send(spark, {n: PermutationCoder(np.array(sorted(own), np.float64)) for n, own in samples.items()})
 
     posted = settle(rows.mapInPandas(_post(coders), "row long, vec_id long, n int, v binary, positions binary"), "ann-posted")

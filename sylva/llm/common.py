@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import settle, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "crc_is", "drawn_rows", "n_words", "received", "send", "settle", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "crc_is", "drawn_rows", "first_drawn", "n_words", "received", "send", "settle", "shared_dir", "table"]
 
 #: Words are runs of characters other than these (space and \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,18 +41,27 @@ def received(sent):
 
 
 def drawn_rows(rows: DataFrame, kind: str, counts: dict, draw: Column, most: int) -> DataFrame:
-    """At most so many rows of each kind, those with the smallest draw; counts: rows of each kind.
+    """About a fifth more than so many rows of each kind, those whose draw (in the column drawn) is small; counts: rows of each kind.
 
-    Rows with a draw far above what most should have go first, so what meets in one task is about twice
-    the sample, unless a row is repeated very often; of those each partition sends no more than the sample.
+    Rows of the same draw are copies and become one, before the shuffle and by draw, so no kind and no
+    repeated row is one task's work. first_drawn cuts what the driver gets.
     """
     share = F.lit(1.0)
     for value, n in counts.items():
-        share = F.when(F.col(kind) == value, F.lit(min(1.0, (2 * most + 50) / n))).otherwise(share)
-    rows = rows.withColumn("_draw", draw)
-    near = F.pmod("_draw", F.lit(1_000_003)) < F.ceil(share * 1_000_003)
-    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.pmod("_draw", F.lit(1_000_003)), "_draw"))
-    return rows.where(near).withColumn("_place", place).where(F.col("_place") <= most).orderBy(kind, "_place").drop("_draw", "_place")
+        share = F.when(F.col(kind) == value, F.lit(min(1.0, (1.2 * most + 50) / n))).otherwise(share)
+    others = [c for c in rows.columns if c != kind]
+    near = rows.withColumn("drawn", draw).where(F.pmod("drawn", F.lit(1_000_003)) < F.ceil(share * 1_000_003))
+    return near.groupBy(kind, "drawn").agg(F.min(F.struct(*others)).alias("own")).select(kind, "drawn", "own.*")
+
+
+def first_drawn(rows: list, kind: str, most: int) -> dict:
+    """The rows of each kind with the smallest draws, in their order."""
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["drawn"] % 1_000_003, r["drawn"])):
+        own = out.setdefault(r[kind], [])
+        if len(own) < most:
+            own.append(r)
+    return out
 
 
 def n_words(c: Column) -> Column:

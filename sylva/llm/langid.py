@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn_rows, received, send
+from .common import drawn_rows, first_drawn, received, send
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -276,11 +276,9 @@ def fit_language_model(docs: DataFrame, seed: int = 5) -> Chain:
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     first = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     cut = usable.select("lang", F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
-    texts: dict[str, list] = {}
-    for r in drawn_rows(cut, "lang", counts, F.col("draw"), SAMPLE_DOCS).collect():
-        if w := letters(r["text"]):
-            texts.setdefault(r["lang"], []).append(w)
-    langs = sorted(texts)
+    sample = first_drawn(drawn_rows(cut, "lang", counts, F.col("draw"), SAMPLE_DOCS).collect(), "lang", SAMPLE_DOCS)
+    texts = {lang: [w for r in rows if (w := letters(r["text"]))] for lang, rows in sample.items()}
+    langs = sorted(lang for lang, own in texts.items() if own)
     return Chain(langs).fit([texts[lang] for lang in langs], seed) if langs else Chain([])
 
 
