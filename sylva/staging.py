@@ -34,6 +34,22 @@ def settle(df: DataFrame, name: str, files: int | None = None, codec: str = "sna
         df = df.coalesce(files)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    files, jvm_path = _place(spark, path)
+    files.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing is read from any more; other DataFrames are left alone."""
+    for t in tables:
+        if path := t.__dict__.get("settled_at"):
+            files, jvm_path = _place(t.sparkSession, path)
+            files.delete(jvm_path, True)
