@@ -154,11 +154,11 @@ def rule_examples(spark, sf_dir):
     return Engine(_regions(spark, sf_dir)).check_examples(rules).select("rule_id", "reason")
 
 
-@query("""SELECT * FROM (VALUES ('clean', true, 0), ('errors', false, 1), ('single', NULL, 1), ('query', NULL, 0), ('expected', true, 0)) t(name, success, status)""")
+@query("""SELECT * FROM (VALUES ('clean', 'true', 0), ('errors', 'false', 1), ('single', 'none', 1), ('query', 'none', 0), ('expected', 'true', 0)) t(name, success, status)""")
 def verdicts_and_status(spark, sf_dir):
     e = Engine(_regions(spark, sf_dir))
     reports = {"clean": e.check(Rule("//nope", "x")), "errors": e.check(Rule("//name", "x")), "single": e.query("//nope"), "query": e.query("//name"), "expected": e.test([("//name", 5), ("//nope", "none")])}
-    return _rows(spark, "name string, success boolean, status int", *[(n, r.summary()["success"], r.exit_status(n == "single")) for n, r in reports.items()])
+    return _rows(spark, "name string, success string, status int", *[(n, str(r.summary()["success"]).lower(), r.exit_status(n == "single")) for n, r in reports.items()])
 
 
 @query("""SELECT 'fatal' AS severity, 'xpath' AS origin, true AS named UNION ALL SELECT 'fatal', 'config', true""")
