@@ -185,8 +185,8 @@ def _parse(text: str, shape: Shape, language: str = "") -> Node:
                 kind = re.sub(rf"\b(?:{'|'.join(sorted(shape.modifiers | {'public'}))})\b", " ", text[start:at]).strip()
                 if kind and not set(re.findall(r"\w+", kind)) & _NO_TYPES and not kind.startswith(("@", "[")):
                     _type(e if name == "property" else e.element("returns", field="returns"), kind)
-            if held := re.search(r"((?:\[[^\[\]\n]*\]\s*)+)$", text[max(0, start - 600) : start]) if shape.root == "unit" else None:
-                e.element("attributes").add_text(held.group(1).strip())
+            if shape.root == "unit" and (held := code.lists_before(start)) < start:
+                e.element("attributes").add_text(text[held:start].strip())
             e.element("name", field="name").at(where.span(at, at + len(word))).add_text(word)
             end = blocks.get(start) or _body(e, code, text, m.end(), where, shape)
             taken.add(at)

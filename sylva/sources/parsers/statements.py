@@ -82,8 +82,19 @@ class Code(str):
                 open_[m[0]].append(m.start())
             elif mine := open_[_OPENS[_CLOSES.index(m[0])]]:
                 self.close[mine.pop()] = m.end()
+        self.open = {end: start for start, end in self.close.items()}
         return self
 
+    def lists_before(self, at: int) -> int:
+        """Where the square brackets begin that stand right before a place, one after the other."""
+        while True:
+            k = at
+            while k and self[k - 1].isspace():
+                k -= 1
+            if not k or self[k - 1] != "]" or k not in self.open:
+                return at
+            at = self.open[k]
+
     def after(self, at: int) -> int:
         """Where the bracket at a place is closed, behind it."""
         return self.close.get(at, len(self))

@@ -63,6 +63,12 @@ def test_brackets():
     assert (code.after(1), code.after(3), code.after(5)) == (10, 9, 8) and Code("((").after(0) == 2
 
 
+def test_attributes_of_any_length():
+    listed = "\n".join(f'  [Rule("{k}", new[] {{ {k} }})]' for k in range(200))
+    doc = parse(f"class C {{\n  [MaxLength(5)]\n{listed}\n  public string Name {{ get; set; }}\n  int[] other;\n}}", "csharp")
+    assert len(evaluate("//property[attributes[contains(., 'MaxLength')][contains(., '199')]]", doc)) == 1
+
+
 def test_text_of_statements_is_whole():
     doc = parse(CSHARP, "csharp")
     for n in evaluate("//if | //foreach | //for | //try | //while | //using | //return", doc):
