@@ -37,6 +37,8 @@ class Shape:
     markup: bool = False
 
 
+#: Comments over lines by a language's root element and line comment; the rest have those of C (fixed values).
+BLOCK_COMMENTS = {("chunk", "--"): r"--\[\[.*?\]\]|", ("haskell", "--"): r"\{-.*?-\}|", ("compilation_unit", "(*"): r"\(\*.*?\*\)", ("source_file", "#"): r"#=.*?=#|"}
 #: Stands for each character of a string literal.
 FILL = "\x01"
 _ID = r"[A-Za-z_$][\w$]*"
@@ -117,11 +119,12 @@ def parser(language: str, mode: str) -> Callable[[str], Node]:
 
 def _blank(text: str, shape: Shape, where: Positions, comments: list[Node]) -> str:
     """The text with comments blanked out and literals filled, so that patterns and braces see code alone."""
-    c = re.escape(shape.line_comment)
-    skip = re.compile(rf"{c}[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
+    c = re.escape(shape.line_comment) + r"[^\n]*"
+    c = BLOCK_COMMENTS.get((shape.root, shape.line_comment), "") + (c if shape.line_comment != "(*" else "")
+    skip = re.compile(rf"{c}|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 
     def hide(m: re.Match) -> str:
-        if m.group().startswith((shape.line_comment, "/*")):
+        if m.group().startswith((shape.line_comment, "/*", "{-")):
             comments.append(Node("element", "comment").at(where.span(*m.span())))
             comments[-1].add_text(m.group())
             return re.sub(r"[^\n]", " ", m.group())

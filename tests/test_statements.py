@@ -75,3 +75,15 @@ def test_text_of_statements_is_whole():
         lines = CSHARP.split("\n")
         source = "\n".join([lines[n.line - 1][n.column - 1 :], *lines[n.line : n.end_line]]) if n.end_line > n.line else lines[n.line - 1][n.column - 1 : n.end_column - 1]
         assert n.string_value() == source
+
+
+@pytest.mark.parametrize(
+    "language,text,comments,names",
+    [
+        ("lua", "--[[ a\n function no() ]] function yes() end -- z\n", 2, ["yes"]), ("ocaml", "(* let no = \n 1 *) let yes = 2\n", 1, ["yes"]), ("haskell", "{- data No\n -}\nyes :: Int -- c\n", 2, ["yes"]),
+        ("julia", "#= function no() =# function yes() end # c\n", 2, ["yes"]), ("scala", "class A { /* class No */ def f() = 1 // x\n }", 2, ["A", "f"]), ("go", "func F() { /* x */ } // y\n", 2, ["F"]),
+    ],
+)
+def test_block_comments(language, text, comments, names):
+    doc = parse(text, language)
+    assert len(evaluate("//comment", doc)) == comments and [n.string_value() for n in evaluate("//name", doc)] == names
