@@ -436,9 +436,12 @@ def source_snippet(spark, sf_dir):
     return found.select("doc_id", "line", "source")
 
 
-@query("""SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 4) AS head, array_to_string(string_split(text, chr(10))[1:2], '|') AS two FROM documents WHERE text IS NOT NULL AND regexp_full_match(string_split(text, chr(10))[1], '[ -~]*')""")
+@query("""SELECT doc_id, array_to_string(list_transform(range(1, 5), lambda i: CASE WHEN i > length(l) THEN '' WHEN strlen(substr(l, 1, i)) <= 4 THEN substr(l, i, 1)
+  WHEN strlen(substr(l, 1, i - 1)) < 4 THEN chr(65533) ELSE '' END), '') AS head, two
+FROM (SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '\r$', '') AS l, array_to_string(list_transform(string_split(text, chr(10))[1:2], lambda x: regexp_replace(x, '\r$', '')), '|') AS two FROM documents WHERE text IS NOT NULL)""")
 def snippet_expressions(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("text is not null").where(F.element_at(F.split("text", "\n", -1), 1).rlike("^[ -~]*$"))
+    """The first four bytes of the first line, a cut character as U+FFFD, and the first two lines."""
+    t = table(spark, sf_dir, "documents").where("text is not null")
     return t.select("doc_id", snippet_column(F.col("text"), F.lit(1), F.lit(1), F.lit(5)).alias("head"), F.array_join(lines_column(F.col("text"), F.lit(1), F.lit(2)), "|").alias("two"))
 
 
