@@ -6,9 +6,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import settle, shared_dir
+from ..staging import discard, settle, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "crc_is", "drawn_rows", "first_drawn", "n_words", "received", "send", "settle", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "crc_is", "discard", "drawn_rows", "first_drawn", "n_words", "received", "send", "settle", "shared_dir", "table"]
 
 #: Words are runs of characters other than these (space and \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,8 +32,8 @@ def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str
 def components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """id, root: every vertex of edges (a, b) but the roots, with the smallest vertex it reaches.
 
-    Each step only groups by a vertex to find its smallest neighbour, then joins that one row back (divided_join),
-    so a vertex with very many neighbours is pre-aggregated and its rows stay where they are. Edges
+    Each step only groups by a vertex to find its smallest neighbour, then joins that one row back,
+    so a vertex with very many neighbours is pre-aggregated and its rows stay divisible. Edges
     shrink to stars; the loop ends when a round leaves them as they were. Null ends are ignored. files
     is the most files that the first edges are written to.
     """
@@ -41,11 +41,12 @@ def components(edges: DataFrame, name: str = "components", files: int | None = N
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = divided_join(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = divided_join(large, least, "a", "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = settle(small, name, 1 + 2 * mark[0] // FILE_EDGES)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
+        earlier, now = now, settle(small, name, 1 + 2 * mark[0] // FILE_EDGES)
+        discard(earlier)
         before, mark = mark, _mark(now)
         if mark == before:
             break
