@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import n_words, settle, table
+from sylva.llm.common import discard, n_words, settle, table
 from sylva.llm.decontaminate import clean_documents
 from sylva.llm.langid import UNKNOWN, fit_language_model, label_documents
 from sylva.llm.mixing import taken_words
@@ -81,7 +81,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        earlier, docs = docs, settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(earlier)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

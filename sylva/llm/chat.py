@@ -5,8 +5,8 @@ order; null turns come first). An automaton over roles tells whether the order o
 template allows. Every turn becomes three segments: header, text and end mark. Only the texts of
 roles that the template trains carry the loss flag.
 
-Defined results: null text and null role count as empty; an empty table gives no rows; rows with a
-null conv_id form one conversation; conversations the automaton refuses are still formatted, with
+Defined results: null text and null role count as empty; an empty table gives no rows; repeated rows are turns of their own; rows with a
+null conv_id form one conversation; a conversation, however long its texts, is one row of at most 2 GB, which is the only bound of a group; conversations the automaton refuses are still formatted, with
 valid = false; other columns of the input, whatever their names, are not read.
 """
 

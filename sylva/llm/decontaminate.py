@@ -35,13 +35,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, send, settle
+from .common import discard, received, send, settle
 
 K1, B = 1.2, 0.75
 #: Neighbouring items in a block.
@@ -177,16 +178,18 @@ class LengthClass:
         step = max(1, STEP // r.shape[1])
         for i in range(0, len(p), step):
             own, block = p[i : i + step], b[i : i + step]
-            key = r[own].astype(np.int64) * self.blocks + block[:, None]
+            ranks = r[own]
+            row, column = np.nonzero(ranks)
+            key = ranks[row, column].astype(np.int64) * self.blocks + block[row]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (r[own] > 0)
-            high = np.where(hit, self.block_max[at], 0).sum(axis=1) >= EDGE
-            own, block, at, hit = own[high], block[high], at[high], hit[high]
-            row, column = np.nonzero(hit)
-            impacts = self.impacts[at[row, column]]
-            score = np.stack([np.bincount(row, impacts[:, c], len(own)) for c in range(BLOCK)], axis=1)
-            for k, c in zip(*np.nonzero(score >= EDGE), strict=True):
-                yield int(own[k]), int(self.items[block[k] * BLOCK + c]), float(score[k, c])
+            hit = self.keys[at] == key
+            row, at = row[hit], at[hit]
+            high = np.bincount(row, self.block_max[at], len(own)) >= EDGE
+            row, at = row[high[row]], at[high[row]]
+            for c in range(BLOCK):
+                score = np.bincount(row, self.impacts[at, c], len(own))
+                for k in np.flatnonzero(score >= EDGE).tolist():
+                    yield int(own[k]), int(self.items[block[k] * BLOCK + c]), float(score[k])
 
 
 class ItemIndex:
@@ -216,8 +219,7 @@ class ItemIndex:
         ]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, other = self.terms.get, len(self.terms)
-        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.terms.get, words, repeat(len(self.terms))), np.int64, len(words))
 
     def pairs(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """Item position, share of its own score, shingles, and how many of the question's and the answer's a passage holds: the verified items of a text."""
@@ -279,6 +281,7 @@ def _indexes(items: DataFrame) -> Iterator:
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
         own = df.join(part.select(F.explode("words").alias("word")).distinct(), "word").orderBy("word")
         yield send(spark, ItemIndex([(r["item_id"], [bytes(w) for w in r["words"]]) for r in part.orderBy("item").collect()], {bytes(r["word"]): r["n"] for r in own.collect()}, total["n"], total["mean"]))
+    discard(items, df)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

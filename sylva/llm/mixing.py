@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, settle
+from .common import discard, n_words, settle
 
 #: Rows of one source that one task sums at most, about.
 BUCKET_ROWS = 50_000
@@ -107,6 +107,7 @@ def fair_schedule(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
     )
     order = ["finish", F.col("source").asc_nulls_last(), "pass", "key", "doc_id", "size", "number"]
     ranged = settle(timed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-order", files)
+    discard(queued)
     sums = ranged.groupBy("range").agg(F.sum("due").alias("due"))
     given = sums.select("range", F.coalesce(F.sum("due").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("given"))
     inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,8 +14,9 @@ only links that join two components leave it.
 Defined results: null text, empty text and text without words have an empty set and are linked with
 nothing (their own component, kept); repeated rows are returned as often as they come, and rows that
 share a doc_id are each judged by their own text; a row with a null doc_id gets the component of its
-set, or null and kept if no row with an id has that set; an empty table gives no rows. Columns other
-than doc_id and text are not read.
+set, or null and kept if no row with an id has that set; a similarity of exactly the limit links; a very long text is one
+set in one task, 8 bytes a shingle, whose signature is made 4,096 shingles at a time; an empty table gives no rows. Columns other
+than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 from .graph import components, divided_join
 from .shingles import WordHashes, jaccard_counts, shingle_set
 
@@ -272,7 +273,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct(), "dedup-pairs", files)
         found = settle(texts_of(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))), "dedup-texts", files)
         full = with_side(with_side(pairs, "a", found, "text"), "b", found, "text")
-        return settle(full.mapInPandas(_confirm, "a long, b long"), "dedup-links", files)
+        links = settle(full.mapInPandas(_confirm, "a long, b long"), "dedup-links", files)
+        discard(pairs, found)
+        return links
 
     alike = settle(with_side(with_side(stars, "a", sig, "sig"), "b", sig, "sig").mapInPandas(_alike, "a long, b long, alike double"), "dedup-alike", files)
     ends = alike.select(F.col("a").alias("v"), "a", "b", "alike").unionByName(alike.select(F.col("b").alias("v"), "a", "b", "alike"))
@@ -304,13 +307,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     flagged = settle(sided.repartition(*block).sortWithinPartitions(*block, "side", "v").mapInPandas(_flag, sided.schema), "dedup-open", files)
     sets_of = settle(texts_of(flagged.select("v")).mapInArrow(_to_sets, "v long, shingles binary"), "dedup-sets", files)
     with_sets = flagged.join(sets_of, "v")
+    discard(members, alike)
     links = settle(with_sets.groupBy(*block).applyInPandas(_settle_pairs, "a long, b long"), "dedup-links", files)
+    discard(flagged, sets_of)
     comps = components(links.unionByName(as_edges(comps)), "dedup-comps", files)
 
     placed = vertices.select("v", "set_key", "least", "copies").join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "set_key", "least", "copies", F.coalesce("root", "v").alias("comp"))
     joined = comps.select(F.col("root").alias("comp")).distinct()
     lows = placed.join(joined, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("low"))
     roots = settle(placed.join(lows, "comp", "left").select("set_key", "comp", F.coalesce("low", "least").alias("component_id"), "copies"), "dedup-roots", files)
+    discard(vertices)
     # rows without a set meet nothing, those of a set with very many documents stay where they are
     rows = signed.select("doc_id", "text_hash", "n_shingles", "set_key")
     found = divided_join(rows.where("set_key is not null"), roots, "set_key", "copies", "left")

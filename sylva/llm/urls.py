@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, discard, settle
 
 #: Rules that become one expression at most.
 MAX_RULES = 500
@@ -102,13 +102,16 @@ def personalised_ranks(edges: DataFrame, seeds: DataFrame, damping: float, round
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     steps = settle(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out")).alias("share")), "urls-steps")
     start = settle(seeds, "urls-seeds")
-    rank = start.select("kind", "host", F.col("restart").alias("r"))
+    rank, held = start.select("kind", "host", F.col("restart").alias("r")), None
     back = start.select("kind", "host", ((1 - damping) * F.col("restart")).alias("r"))
     for k in range(1, rounds + 1):
         moved = steps.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("r")).alias("r"))
         rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if k % 4 == 0:
             rank = settle(rank, "urls-rank")
+            if held is not None:
+                discard(held)
+            held = rank
     return rank
 
 

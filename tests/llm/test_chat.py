@@ -69,7 +69,7 @@ def test_native(spark, tiny):
 
 
 def test_query(spark, tiny):
-    from .tests_oracle import assert_same
+    from .oracles import assert_same
 
     assert_same(spark, tiny, op4_chat_format, OP4_SQL)
     row = op4_chat_format(spark, tiny).where("conv_id = -7").first()

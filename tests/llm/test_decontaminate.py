@@ -10,7 +10,7 @@ from sylva.llm import decontaminate as d
 from sylva.llm.decontaminate import ItemIndex, clean_documents, contaminated_pairs, is_contaminated, shingles, tokens
 from sylva.llm.queries_text import OP7_SQL, op7_decontaminate
 
-from .tests_oracle import assert_same
+from .oracles import assert_same
 
 VOCABULARY = [f"w{k}" for k in range(60)] + [f"rare{k}" for k in range(600)]
 

@@ -8,7 +8,7 @@ from sylva.llm import mixing
 from sylva.llm.mixing import fair_schedule, source_targets
 from sylva.llm.queries_native import OP9_SQL, op9_mix_sources
 
-from .tests_oracle import assert_same, connection
+from .oracles import assert_same, connection
 
 
 def refilled(sizes, weights=(3, 1, 2), share=1.5, limit=2):

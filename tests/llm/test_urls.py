@@ -133,7 +133,7 @@ def test_cases(spark, clash, same):
 
 
 def test_query(spark, tiny, tmp_path):
-    from .tests_oracle import assert_same
+    from .oracles import assert_same
 
     assert_same(spark, tiny, op10_url_filter, OP10_SQL)
     rng = random.Random(8)
