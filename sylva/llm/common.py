@@ -37,6 +37,7 @@ def received(sent):
     """The model of a broadcast, unpacked once for each worker."""
     if not hasattr(sent, "unpacked"):
         sent.unpacked = cloudpickle.loads(sent.value)
+        sent.__dict__.pop("_value", None)  # the bytes would stay beside the model
     return sent.unpacked
 
 

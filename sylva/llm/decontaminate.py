@@ -19,7 +19,7 @@ passed-over terms by their list maxima; where the bound reaches 1, the passed-ov
 the bound is drawn again, and only then items are scored. At most STEP postings are laid out at a
 time: passages, then ranges of blocks, are taken in parts where there are more.
 
-The index is sent to all tasks, about 25 bytes a character of its items at most; items beyond MAX_INDEX_CHARS are taken in slices,
+The index is sent to all tasks, about 7 bytes a character of its items (110 MB for MAX_INDEX_CHARS); items beyond MAX_INDEX_CHARS are taken in slices,
 each with its own index and pass. Document frequencies and mean length are those of all items, and
 verified pairs do not depend on the slices.
 
