@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .corpora import events_json, order_json, pages_html, table
+from .functions import playground
 from .functions.highlight import COLOURS, RESET, category, coloured_tree, highlighted
 from .functions.items import data_to_xml, node_to_data, sequence_warnings
 from .functions.rendering import render
@@ -257,6 +258,18 @@ def highlighted_source(spark, sf_dir):
     return applied(table(spark, sf_dir, "nation"), "n_nationkey", F.concat_ws("|", "n_regionkey", "n_name"), look, "source", "kind", "mark", "tree").withColumnRenamed("n_nationkey", "doc_id")
 
 
+@query("""SELECT n_nationkey AS doc_id, '<document><name>' || n_name || '</name></document>' AS xml, 'true' AS valid, '1:10 "' || n_name || '"' AS place, 'document=1 document/name=1' AS schema FROM nation""")
+def interactive_functions(spark, sf_dir):
+    """One text at a time: its tree, a check of an expression, the place and source of a match, its schema."""
+
+    def look(text: str) -> dict:
+        m = playground.found(text, "json", "name")[0]
+        schema = " ".join(f"{k}={v}" for k, v in playground.schema(text, "json").items())
+        return {"xml": playground.to_xml(text, "json", indent=None), "valid": str(playground.validated("//name")["valid"]).lower(), "place": f"{m['line']}:{m['column']} {m['source']}", "schema": schema}
+
+    return applied(table(spark, sf_dir, "nation"), "n_nationkey", F.format_string('{"name": "%s"}', "n_name"), look, "xml", "valid", "place", "schema").withColumnRenamed("n_nationkey", "doc_id")
+
+
 @query("""SELECT n_nationkey AS doc_id, '//nation[name[.=''' || n_name || ''']]/region' AS picked, '//nation[name[.=''' || n_name || ''']]//code' AS of_paths, CAST(n_regionkey AS VARCHAR) AS value, true AS valid, 'unexpected' AS problem FROM nation""")
 def built_queries(spark, sf_dir):
     """Expressions from picked nodes and from picked paths, run again on the text; and what is wrong with a broken one."""

@@ -83,3 +83,13 @@ def test_text_helpers():
     assert rule_message("{value}|{line}|{nope}", "a\n  b" + "x" * 60, 3, 4, "f").startswith("a b" + "x" * 44 + "...|3|{nope}")
     assert gutter([str(k) for k in range(9)], 1, 1, 2).count("\n") == 4
     assert marked_source("abc\ndéf", [(1, 2, 1, 3), (2, 2, 2, 4)]) == "a»b«c\nd»é«f"
+
+
+def test_playground():
+    from sylva.functions import playground as p
+
+    assert p.to_xml('{"a": [1, 2]}', "json", indent=None) == "<document><a>1</a><a>2</a></document>"
+    assert p.validated("//a[b]") == {"valid": True} and p.validated("//a[")["valid"] is False and p.validated(" ")["valid"] is False
+    assert p.found('{"port": 80}', "json", "port") == [{"type": "node", "value": "80", "line": 1, "column": 10, "end_line": 1, "end_column": 12, "source": "80"}]
+    assert p.schema('{"a": {"b": 1}, "c": [1, 2]}', "json") == {"document": 1, "document/a": 1, "document/a/b": 1, "document/c": 2}
+    assert "\x1b[" in p.coloured("return 1", "python")
