@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import drawn_rows, first_drawn, received, send
 
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 10_000
 BITS = 17
 BLOCK = 64
 #: Words whose potentials one worker remembers.
