@@ -148,3 +148,16 @@ def test_parse_rejects():
         parse("")
     with pytest.raises(ValueError):
         parse_text('{"a": }', "json")
+
+
+@pytest.mark.parametrize(
+    "xpath,want",
+    [
+        ("//l[q = //l[f = 'R']/q]/n/string()", ["1", "3"]), ("//l[not(q = //l[f = 'R']/q)]/n/string()", ["2"]), ("for $x in ('R', 'N') return count(//l[f = $x])", [1, 2]), ("//l ! count(//l)", [3, 3, 3]), ("//l/(//l[1]/n)/string()", ["1"]),
+        ("//q = ('5', '9')", [True]), ("//q = ('8', '9')", [False]), ("//l[q != //l/q]/n/string()", ["1", "2", "3"]), ("(for $l in //l return (//l[q > $l/q])/n) ! string()", ["2", "2"]), ("//q = 5", [True]),
+        ("serialize(parse-xml('<l><q>7</q></l>')//q)", ["<q>7</q>"]), ("count(parse-xml('<r><l/></r>')/r[//l]) + count(//l)", [4]),
+    ],
+)
+def test_paths_from_the_root_inside_others(xpath, want):
+    doc = parse_text("<r><l><n>1</n><q>5</q><f>R</f></l><l><n>2</n><q>6</q><f>N</f></l><l><n>3</n><q>5</q><f>N</f></l></r>", "xml")
+    assert evaluate(xpath, doc) == want
