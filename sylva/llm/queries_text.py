@@ -9,6 +9,7 @@ from .common import crc_is, table
 from .decontaminate import contaminated_pairs
 from .langid import fit_language_model, label_documents
 from .near_dedup import near_duplicates
+from .periodic import periodic_runs, rewritten
 from .pii import BASE, personal_spans
 from .quality import fit_quality_model, score_documents
 
@@ -78,5 +79,38 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_personal_data": op3_personal_data, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=rewritten, keep_text=False)
+    digest = F.sha2(F.col("runs").cast("binary"), 256).alias("runs_sha256")
+    return found.select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", digest, "collapsed_sha256")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+crc AS (
+  SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM raw),
+a AS (SELECT *, h // 10 AS g, (h // 10) % n AS a FROM crc),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+t AS (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.r, x.i AS i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i),
+isle AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k, i FROM e),
+m AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM isle GROUP BY r, q, k HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS (SELECT r, start, length, min(q) AS period FROM m GROUP BY r, start, length),
+summed AS (
+  SELECT r, count(*) AS n_runs, min({'l': -length, 's': start, 'p': period}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM t ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, (1000 * -best.l) // best.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op3_personal_data": op3_personal_data, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op1_near_dedup": op1_near_dedup, "op11_periodic_runs": op11_periodic_runs}
+ORACLES: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL}
