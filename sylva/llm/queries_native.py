@@ -1,4 +1,4 @@
-"""Queries of operators 4, 9 and 10."""
+"""Queries of operators 4, 9, 10 and 13."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, masked_text, parse_formatted
 from .common import table
+from .host_rules import judged_documents
 from .mixing import taken_words
 from .urls import judge_urls
 
@@ -134,5 +135,41 @@ SELECT page_id, coalesce(h.host, '') AS host, coalesce(path, '') AS path, rule,
 FROM h LEFT JOIN f USING (n) LEFT JOIN g ON g.host = h.host
 """
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op9_mix_sources": op9_mix_sources, "op10_url_filter": op10_url_filter}
-ORACLES = {"op4_chat_format": OP4_SQL, "op9_mix_sources": OP9_SQL, "op10_url_filter": OP10_SQL}
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judged_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    CASE WHEN contains(source, '://') THEN translate(regexp_extract(substr(source, instr(source, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE source END AS host
+  FROM documents),
+g AS (SELECT r, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM d)),
+twice AS (SELECT r, unnest(list(i)) AS i FROM g GROUP BY r, s HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(5)) t(k) GROUP BY r),
+l AS (SELECT r, count(*) AS n, count(DISTINCT line) AS own FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.own, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
+f AS (
+  SELECT host, rule, count(*) AS docs, CAST(count_if(failed) AS DOUBLE) AS failed FROM (
+    SELECT host, unnest([
+      {'rule': 1, 'failed': n_words < 10}, {'rule': 2, 'failed': 100 * n_repeat_words > 20 * n_words}, {'rule': 3, 'failed': 10 * n_symbols > n_words},
+      {'rule': 4, 'failed': n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)}, {'rule': 5, 'failed': 100 * n_dup_lines > 30 * n_lines}], recursive := true)
+    FROM m WHERE host IS NOT NULL) GROUP BY host, rule),
+p AS (
+  SELECT rule, sum(failed) / sum(docs) AS m, count(*) AS k, sum(docs) AS n, sum(docs::DOUBLE * docs) AS q, sum(failed * failed / docs) AS s FROM f GROUP BY rule),
+v AS (SELECT rule, m, (s - n * m * m - (k - 1) * m * (1 - m)) / nullif(n - q / n, 0) AS spread FROM p),
+b AS (SELECT rule, m, CASE WHEN spread > 0 THEN greatest(0, m * (1 - m) / spread - 1) END AS worth FROM v),
+h AS (
+  SELECT host, bool_or(CASE WHEN worth IS NULL THEN m ELSE (failed + worth * m) / (docs + worth) END > 0.5) AS refused FROM f JOIN b USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(refused, false) AS kept
+FROM m LEFT JOIN h USING (host)
+"""
+
+QUERIES = {"op4_chat_format": op4_chat_format, "op9_mix_sources": op9_mix_sources, "op10_url_filter": op10_url_filter, "op13_quality_rules": op13_quality_rules}
+ORACLES = {"op4_chat_format": OP4_SQL, "op9_mix_sources": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_quality_rules": OP13_SQL}
