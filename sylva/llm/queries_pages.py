@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .html_text import main_texts
+from .whitening import whitened_rows
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +19,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op8_html_text": op8_html_text, "op5_nearest": op5_nearest}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened_rows(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+QUERIES = {"op8_html_text": op8_html_text, "op5_nearest": op5_nearest, "op12_whitening": op12_whitening}
 ORACLES: dict[str, str] = {}
