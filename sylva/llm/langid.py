@@ -7,8 +7,7 @@ code-switched text gets its switches labelled. A document's language is the one
 mean over its words.
 
 Fitting takes a bounded sample of labelled rows: of each language the SAMPLE_DOCS with the smallest
-hashes of id and text, of a longer text a run of SAMPLE_CHARS characters that begins at a place drawn by the same
-hash. The model holds 2^BITS floats for each language. Rows carry one language each, so code-switched chains for learning are put together
+hashes of id and text, each with its whole text. The model holds 2^BITS floats for each language. Rows carry one language each, so code-switched chains for learning are put together
 from runs of words of different rows.
 
 Inference is exact and vectorised: chains are cut into blocks of BLOCK words, each block's transfer
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import drawn_rows, first_drawn, received, send
 
+#: Labelled rows of each language that the chain learns from.
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 10_000
 BITS = 17
 BLOCK = 64
 #: Words whose potentials one worker remembers.
@@ -274,9 +273,8 @@ def fit_language_model(docs: DataFrame, seed: int = 5) -> Chain:
     draw = F.xxhash64("doc_id", "text", F.lit(seed))
     usable = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"[^\x00-@\[-`{-\x7f]"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    first = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = usable.select("lang", F.substring("text", first, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw"))
-    sample = first_drawn(drawn_rows(cut, "lang", counts, F.col("draw"), SAMPLE_DOCS).collect(), "lang", SAMPLE_DOCS)
+    rows = usable.select("lang", "text", draw.alias("draw"))
+    sample = first_drawn(drawn_rows(rows, "lang", counts, F.col("draw"), SAMPLE_DOCS).collect(), "lang", SAMPLE_DOCS)
     texts = {lang: [w for r in rows if (w := letters(r["text"]))] for lang, rows in sample.items()}
     langs = sorted(lang for lang, own in texts.items() if own)
     return Chain(langs).fit([texts[lang] for lang in langs], seed) if langs else Chain([])
