@@ -2,7 +2,9 @@
 
 A page becomes blocks of text in page order. Blocks inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments - by element, role, class or id - are
-dropped. A class or id that names such a thing among other words (social-impact) only makes a block doubtful.
+dropped. A class or id that names such a thing among other words (social-impact) only makes a block doubtful. Inside an article or
+main a name drops only a container that is plainly named as an advert, notice, menu, sidebar or comments; any other name there (widget, related), and every name
+of a heading, paragraph or other element of TEXTUAL, only makes it doubtful: the index decides.
 
 The token streams of the other blocks of all of a host's pages are put side by side and suffixes that begin
 with the same RUN tokens meet. The tokens that lie in a run of RUN or more which PAGES pages of different
@@ -21,8 +23,8 @@ loses nothing. The unique blocks stay whole.
 Suffixes are counted in two steps, so a host with a third of all pages is no single task's work. Up to KEYS
 repeated suffixes are looked up in a broadcast (18 MB), more in a join; both give the same.
 
-Defined results: null and empty html give empty text; text outside any element is a block; an
-unclosed comment, script or tag runs to the end; repeated rows are each returned; pages of equal
+Defined results: null and empty html give empty text; text outside any element is a block; a page that lies wholly inside a form is
+empty; an unclosed comment, script or tag runs to the end; repeated rows are each returned; pages of equal
 content (dropped blocks aside) count once in what repeats; a null url has the empty host; a run that as many pages hold as
 are asked is covered; a very long page is one page in one task, about 30 bytes a token; an empty table gives no rows; other columns,
 whatever their names, are not read.
@@ -68,6 +70,12 @@ MARKS = frozenset(
     "masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup share sharing social related recommended comment comments respond disqus "
     "pagination pager widget widgets toolbar skip".split()
 )
+#: Marks that drop inside an article or main too, and elements that no name drops there.
+PLAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sidebar menu navbar nav breadcrumb breadcrumbs cookie cookies consent gdpr newsletter subscribe signup "
+    "share sharing comment comments respond disqus pagination pager".split()
+)
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th tr table tbody caption figure figcaption a b i em strong span code q cite time sup sub small mark abbr".split())
 #: Names that say an element holds content in spite of such marks, and words that say another element is there.
 CONTENT, BESIDE = frozenset("content article post entry story".split()), frozenset("has with no without".split())
 #: Words that say nothing of what an element holds.
@@ -81,8 +89,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 _NAME = re.compile(r"[a-z]+")
 
 
-def _drops(tag: str, raw: str) -> int:
-    """2 if an element's name or attributes say it is not part of the text, 1 if they may say so, else 0."""
+def _drops(tag: str, raw: str, within: bool = False) -> int:
+    """2 if an element's name or attributes say it is not part of the text, 1 if they may say so, else 0; within an article or main names say less."""
     if tag in DROPPED:
         return 2
     if not raw or tag in ("html", "body"):
@@ -98,7 +106,7 @@ def _drops(tag: str, raw: str) -> int:
             for part in value.split():
                 words = set(_NAME.findall(part))
                 if words & MARKS and not words & BESIDE:
-                    if words <= MARKS | STRUCTURE:
+                    if words <= MARKS | STRUCTURE and not (within and (tag in TEXTUAL or not words & PLAIN)):
                         return 2
                     doubt = max(doubt, int(not words & CONTENT))
     return doubt
@@ -190,7 +198,7 @@ def _blocks(source: str | None) -> list[tuple[int, str]]:
             elif tag in ("tr", "td", "th"):
                 close("td", "tr", "table")
                 close("th", "tr", "table")
-            drops = _drops(tag, raw)
+            drops = _drops(tag, raw, articles > 0 or mains > 0)
             stack.append((tag, drops))
             dropping += drops == 2
             doubts += drops == 1

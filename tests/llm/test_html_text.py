@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -125,3 +126,18 @@ def test_repeated_runs_of_marked_pages(spark, monkeypatch):
     assert run(spark, rows) == want
     monkeypatch.setattr("sylva.llm.html_text.KEYS", 0)
     assert run(spark, rows) == want
+
+
+@pytest.mark.parametrize(
+    "inner,kept",
+    [
+        ('<h2 id="navigation">Navigation</h2>', True), ('<h2 id="related">Related work</h2>', True), ('<p class="comment">A comment on the law</p>', True), ('<div class="widget">How a widget is made</div>', True), ('<section id="social">Of social life</section>', True),
+        ('<blockquote class="share">A share of the land</blockquote>', True), ('<div class="ad">Buy now</div>', False), ('<div id="comments">First!</div>', False), ('<ul class="menu"><li>Home</li></ul>', False), ('<div class="cookie-notice">We use cookies</div>', False), ('<p hidden>Not shown</p>', False),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_names_inside_articles(spark, inner, kept, around):
+    page = f"<{around}><p>One two three.</p>{inner}<p>Four five six.</p></{around}>"
+    text = main_texts(spark.createDataFrame([(1, "http://h/1", page)], "page_id long, url string, html string")).first()["text"]
+    own = re.sub("<[^>]*>", "", inner)
+    assert text == "\n\n".join(["One two three.", *[own] * kept, "Four five six."])
