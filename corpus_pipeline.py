@@ -6,13 +6,14 @@ of docs. run() writes what a stage returns to the shared folder and reads it for
 Defined results: language, contamination and personal data are judged by a row's own text, whatever its id; rows that repeat a doc_id
 leave near-dedup once for each group of copies their texts are in; a row with a null doc_id goes there if a row with an id is its
 copy, and equal texts without an id leave once; null and empty texts have no language and go in the first stage; very long texts are
-whole in every stage; columns beside those of documents, whatever their names, are carried to the last stage and end there; empty
+whole in every stage; rows that tie in id, source and size share the words taken of them, one more word at most for some, and lose none;
+columns beside those of documents, whatever their names, are carried to the last stage and end there; empty
 tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import discard, n_words, settle, table
@@ -59,11 +60,34 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of: their columns, size in words, and the words taken."""
-    sums = taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
+    sums = settle(taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.count("*").alias("rows")), "mix-words")
     own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("size", n_words(F.col("text")))
     same = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and d.size = m.size")
-    taken = (F.col("m.words") / F.col("m.rows")).cast("long")
-    return own.alias("d").join(sums.alias("m"), same).select("d.*", taken.alias("taken")).where("taken > 0")
+    one = own.alias("d").join(sums.where("rows = 1").alias("m"), same).select("d.*", F.col("m.words").alias("taken"))
+    alike = settle(own.alias("d").join(F.broadcast(sums.where(F.col("rows") > ALIKE)).alias("m"), same).select("d.*", "m.words", "m.rows")
+        .unionByName(own.alias("d").join(sums.where((F.col("rows") > 1) & (F.col("rows") <= ALIKE)).alias("m"), same).select("d.*", "m.words", "m.rows"))
+        .withColumn("part", F.spark_partition_id()), "mix-alike")
+    return one.unionByName(_shared(alike)).where("taken > 0")
+
+
+#: Rows of equal id, source and size up to which they meet their sum in one task; keys of more are broadcast, one row for so many rows at most.
+ALIKE = 100_000
+
+
+def _shared(alike: DataFrame) -> DataFrame:
+    """Rows of equal id, source and size with their shares of the words taken of all of them, to the word: the k-th gets floor(words (k + 1) / rows) - floor(words k / rows).
+
+    Rows are numbered inside the part that holds them; a part's first number is the sum of the parts before.
+    """
+    key = ["doc_id", "source", "size"]
+    parts = alike.groupBy(*key, "part").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.expr("a.doc_id <=> p.doc_id and a.source <=> p.source and a.size = p.size and a.part = p.part")
+    k = F.row_number().over(Window.partitionBy(*key, "part").orderBy("text", "lang", "n_chars")) - 1
+    numbered = alike.withColumn("k", k).alias("a").join(parts.withColumn("before", before).alias("p"), same).select("a.*", "p.before").withColumn("k", F.col("before") + F.col("k"))
+    words, rows = F.col("words").cast("decimal(38,0)"), F.col("rows")
+    upto = lambda n: F.floor(words * n / rows)
+    return numbered.withColumn("taken", (upto(F.col("k") + 1) - upto(F.col("k"))).cast("long")).drop("words", "rows", "part", "k", "before")
 
 
 STAGES = [
