@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sources.documents import from_table
+from .sources.shred import typed_nodes
+from .staging import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,11 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of order_tree, a document for each order, without a parser; written once."""
+    return settle(typed_nodes(order_tree(spark, sf_dir).withColumn("doc_id", F.col("key")), "doc_id", F.lit("orders.json")), "nodes")
+
+
 def conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn (n, role, text): turns in order."""
     t = table(spark, sf_dir, "conversations")

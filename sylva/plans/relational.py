@@ -8,6 +8,7 @@ this subset; the interpreter takes those.
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,7 +186,9 @@ class Plan:
         if kind == "path":
             if p[2] and p[2][-1][0] == "axis" and p[2][-1][1] == "attribute":
                 return self._value_test(context, p, lambda c: c.isNotNull())
-            return context.join(self._reached(context, p).select("doc_id", F.col("from_pre").alias("pre")).distinct(), list(KEY), "left_semi")
+            own = self.children(p)
+            reached = self._reached(context, p).select("doc_id", F.col("from_pre").alias("pre")) if own is None else own.select("doc_id", F.col("parent").alias("pre"))
+            return context.join(reached.distinct(), list(KEY), "left_semi")
         raise Unsupported(f"predicate {p[0]}")
 
     def _reached(self, context: DataFrame, e: tuple) -> DataFrame:
@@ -194,6 +197,15 @@ class Plan:
         start = context.select("doc_id", "pre", "post", "parent").dropDuplicates(list(KEY)).withColumn("from_pre", F.col("pre"))
         return self.path(e, start, origin=True)
 
+    def children(self, e: tuple) -> DataFrame | None:
+        """The nodes of a path that is one child step, whatever their parent; nothing for other paths. Each names its parent, so no join is needed to tell whose they are."""
+        if e[0] != "path" or e[1] or len(e[2]) != 1 or e[2][0][0] != "axis" or e[2][0][1] != "child" or any(map(_is_position, e[2][0][3])):
+            return None
+        found = self._tested(e[2][0][2])
+        for p in e[2][0][3]:
+            found = self.keep(found, p)
+        return found
+
     def _value(self, e: tuple) -> Column | None:
         """The value of an expression that only needs the context row."""
         if e == ("context",) or (e[0] == "call" and e[1] in ("string", "number", "data") and (not e[2] or e[2][0] == ("context",))):
@@ -215,6 +227,10 @@ class Plan:
             e = e[2][0]
         if e[0] != "path":
             raise Unsupported(f"value of {e[0]}")
+        own = self.children(e)
+        if own is not None:
+            hits = own.where(test(F.col("string_value"))).select("doc_id", F.col("parent").alias("pre"))
+            return context.join(hits.distinct(), list(KEY), "left_semi")
         if e[2][-1][0] == "axis" and e[2][-1][1] == "attribute":
             name = e[2][-1][2][1]
             owners = self._reached(context, ("path", False, e[2][:-1]))
@@ -226,7 +242,8 @@ class Plan:
     def _count_test(self, context: DataFrame, e: tuple, op: str, n) -> DataFrame:
         if e[0] != "path":
             raise Unsupported("count of values")
-        reached = self._reached(context, e)
+        own = self.children(e)
+        reached = self._reached(context, e) if own is None else own.withColumn("from_pre", F.col("parent"))
         if (op, n) in ((">", 0), (">=", 1), ("!=", 0)):
             return context.join(reached.select("doc_id", F.col("from_pre").alias("pre")).distinct(), list(KEY), "left_semi")
         if (op, n) in (("=", 0), ("<", 1)):
@@ -248,11 +265,10 @@ class Plan:
         return context.where(_COMPARE[p[1]](number(p[2]), number(p[3])))
 
 
-def attribute(name: str) -> Column:
-    """An attribute's value; positions are attributes too."""
-    if name in ("line", "column", "end_line", "end_column"):
-        return F.coalesce(F.element_at("attrs", F.lit(name)), F.col(name).cast("string"))
-    return F.element_at("attrs", F.lit(name))
+def attribute(name: str, of: Callable[[str], Column] = F.col) -> Column:
+    """An attribute's value; positions are attributes too. of gives the columns of the node."""
+    own = F.element_at(of("attrs"), F.lit(name))
+    return F.coalesce(own, of(name).cast("string")) if name in ("line", "column", "end_line", "end_column") else own
 
 
 def _compared(c: Column, op: str, literal) -> Column:

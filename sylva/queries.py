@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, order_tree, pages_html, table
+from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, order_nodes, order_tree, pages_html, table
 from .functions.text import lines_column, message_column, snippet_column
 from .operators.comments import comment_blocks
 from .operators.engine import Engine
@@ -17,7 +17,7 @@ from .operators.mutation import Mapping, mutate
 from .operators.reports import expectations, grouped, schema_paths, totals, verdict
 from .operators.rules import Rule
 from .operators.sinks import gcc_lines, github_lines
-from .plans import relational, typed
+from .plans import lifted, relational, typed
 from .registry import ORACLES, QUERIES, query
 from .sources.diffs import hunks_of_diff, in_hunks, only_changed
 from .sources.documents import from_table, language_of
@@ -137,7 +137,7 @@ def count_comparison(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) AS value FROM lineitem GROUP BY l_orderkey""")
 def sum_per_document(spark, sf_dir):
-    return relational.plan(node_table(order_json(spark, sf_dir)), "sum(//quantity)").select("doc_id", "value")
+    return relational.plan(order_nodes(spark, sf_dir), "sum(//quantity)").select("doc_id", "value")
 
 
 @query("""
@@ -145,9 +145,7 @@ WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, lead(l_linenumber) OVE
 SELECT l_orderkey AS doc_id, CAST(nxt AS VARCHAR) AS value FROM l WHERE l_returnflag = 'R' AND nxt IS NOT NULL""")
 def following_sibling_first(spark, sf_dir):
     """The line right after each returned one: every line follows one other at most, so rows are per pair."""
-    rules = [Rule("//line[flag = 'R']/following-sibling::line[1]/n")]
-    found = run_rules(order_json(spark, sf_dir), rules, quoted=False)
-    return found.select("doc_id", "value")
+    return lifted.rows(order_nodes(spark, sf_dir), "//line[flag = 'R']/following-sibling::line[1]/n").select("doc_id", "value")
 
 
 # -- interpreter -------------------------------------------------------------------------------
@@ -177,8 +175,7 @@ def higher_order_fold(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS doc_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS value FROM lineitem GROUP BY l_orderkey""")
 def distinct_values_join(spark, sf_dir):
-    x = "string-join(sort(distinct-values(//flag)), ',')"
-    return run_rules(order_json(spark, sf_dir), [Rule(x, normalize=False)], quoted=False).select("doc_id", "value")
+    return lifted.columns(order_nodes(spark, sf_dir), value="string-join(sort(distinct-values(//flag)), ',')")
 
 
 @query("""SELECT l_orderkey AS doc_id, bool_or(l_quantity > 45) AS some_large, bool_and(l_quantity > 5) AS every_above FROM lineitem GROUP BY l_orderkey""")
@@ -190,7 +187,7 @@ def quantified_expressions(spark, sf_dir):
 
 @query("""SELECT 'events/' || event_id || '.json' AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 7""")
 def file_variable(spark, sf_dir):
-    return run_rules(events_json(spark, sf_dir), [Rule("//k[. = 7]/$file", normalize=False)], quoted=False).select("value")
+    return lifted.rows(node_table(events_json(spark, sf_dir)), "//k[. = 7]/$file", normalize=False).select("value")
 
 
 # -- typed plans -------------------------------------------------------------------------------

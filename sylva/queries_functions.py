@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpora import events_json, order_json, pages_html, table
+from .corpora import events_json, order_json, order_nodes, pages_html, table
 from .functions import playground
 from .functions.highlight import COLOURS, RESET, category, coloured_tree, highlighted
 from .functions.items import data_to_xml, node_to_data, sequence_warnings
@@ -18,7 +18,7 @@ from .functions.text import gutter
 from .functions.tree_text import marked_source, side_by_side, tree_text
 from .operators.matching import run_rules
 from .operators.rules import Rule
-from .plans import relational
+from .plans import lifted, relational
 from .plans.builder import PathPick, Pick, build_query, build_query_from_paths
 from .plans.evaluate import evaluate
 from .plans.xpath import problem
@@ -28,6 +28,7 @@ from .sources.documents import from_table
 from .sources.globs import absolute_path, normalized_path
 from .sources.nodes import node_table
 from .sources.parsers import parse
+from .sources.shred import typed_nodes
 from .sources.tree import Positions, subtree_text
 
 
@@ -86,27 +87,29 @@ l AS (SELECT l.l_orderkey, l.l_linenumber, r.q IS NOT NULL AS hit FROM lineitem
 SELECT l_orderkey AS doc_id, count(*) FILTER (hit) AS same, count(*) FILTER (NOT hit) AS other FROM l GROUP BY l_orderkey""")
 def node_set_comparisons(spark, sf_dir):
     """Lines whose quantity is, and is not, among those of returned lines of the order."""
-    among = "//line[quantity = //line[flag = 'R']/quantity]"
-    return _values(order_json(spark, sf_dir), [("same", f"count({among})"), ("other", "count(//line[not(quantity = //line[flag = 'R']/quantity)])")])
+    among = "quantity = //line[flag = 'R']/quantity"
+    return lifted.columns(order_nodes(spark, sf_dir), same=f"count(//line[{among}])", other=f"count(//line[not({among})])")
 
 
 @query("""SELECT l_orderkey AS doc_id, string_agg(l_linenumber || ':' || CAST(l_quantity AS INT), ' ' ORDER BY l_linenumber, CAST(l_quantity AS INT)) AS pairs, CAST(sum(CAST(l_quantity AS INT)) * 2 AS VARCHAR) AS twice,
   string_agg(l_linenumber * 10, ' ' ORDER BY l_linenumber) AS scaled FROM lineitem GROUP BY l_orderkey""")
 def nested_bindings(spark, sf_dir):
     """A for inside another one over its item, let, and a range."""
-    return _values(order_json(spark, sf_dir), [
-        ("pairs", "string-join(for $l in //line, $q in $l/quantity return concat($l/n, ':', $q), ' ')"),
-        ("twice", "string(let $s := sum(//quantity) return $s * 2)"),
-        ("scaled", "string-join(for $n in //line/n return for $k in (10 to 10) return string($n * $k), ' ')"),
-    ])
+    return lifted.columns(
+        order_nodes(spark, sf_dir),
+        pairs="string-join(for $l in //line, $q in $l/quantity return concat($l/n, ':', $q), ' ')",
+        twice="string(let $s := sum(//quantity) return $s * 2)",
+        scaled="string-join(for $n in //line/n return for $k in (10 to 10) return string($n * $k), ' ')",
+    )
 
 
 @query("""SELECT n_nationkey AS doc_id, 'true' AS is_text, 'false' AS is_number, CAST(n_regionkey + 1 AS VARCHAR) AS next, CASE WHEN n_regionkey > 2 THEN 'true' ELSE 'false' END AS large, 'false' AS castable, '1,2,3' AS ranged FROM nation""")
 def types_and_casts(spark, sf_dir):
-    return _values(_nation_json(spark, sf_dir), [
-        ("is_text", "string(string(//name) instance of xs:string)"), ("is_number", "string(string(//region) instance of xs:integer)"), ("next", "string(xs:integer(//region) + 1)"),
-        ("large", "string(xs:integer(//region) gt 2)"), ("castable", "string(string(//name) castable as xs:integer)"), ("ranged", "string-join((1 to 2, 3) ! string(), ',')"),
-    ])
+    nodes = typed_nodes(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), "doc_id")
+    return lifted.columns(
+        nodes, is_text="string(string(//name) instance of xs:string)", is_number="string(string(//region) instance of xs:integer)", next="string(xs:integer(//region) + 1)",
+        large="string(xs:integer(//region) gt 2)", castable="string(string(//name) castable as xs:integer)", ranged="string-join((1 to 2, 3) ! string(), ',')",
+    )
 
 
 @query(r"""SELECT p_partkey AS doc_id, CAST(1 + p_size % 3 AS BIGINT) AS tall FROM part WHERE p_size % 3 > 0""")
