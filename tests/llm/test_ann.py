@@ -69,26 +69,31 @@ def test_cases(spark, clash, same):
 def test_positions_and_footrule():
     rng = np.random.default_rng(1)
     coder = PermutationCoder(rng.normal(size=(40, 6)), pivots=16)
+    assert coder.posted == 16 and coder.share == 1.0
     ranks = coder.positions(rng.normal(size=(30, 6)))
     assert (np.sort(ranks, axis=1) == np.arange(16)).all()
     for k in range(30):
         want = np.abs(ranks.astype(int) - ranks[k]).sum(1)
-        assert (footrule(np.ascontiguousarray(ranks.T), ranks[k]) == want).all()
+        assert (footrule(np.ascontiguousarray(ranks.T), ranks[k], 16) == want).all()
+        some = np.flatnonzero(ranks[k] < 5)
+        assert (footrule(np.ascontiguousarray(ranks.T), ranks[k], 5) == np.abs(ranks[:, some].astype(int) - ranks[k, some]).sum(1)).all()
         assert least(want, 7).tolist() == sorted(np.lexsort((np.arange(30), want))[:7], key=lambda i: (want[i] == np.sort(want)[6], i))
     assert PermutationCoder(np.ones((5, 3))).positions(np.ones((2, 3))).tolist() == [[0], [0]]
 
 
 def shapes(name):
     rng = np.random.default_rng(3)
-    if name == "mass":  # a dense mass and queries far from it
-        x = np.concatenate([rng.normal(size=32) + 0.02 * rng.normal(size=(1_470, 32)), rng.normal(size=(30, 32))])
-        return x, np.arange(1_470, 1_500)
-    if name == "clusters":
-        return rng.normal(size=(30, 32))[rng.integers(0, 30, 1_500)] + 0.2 * rng.normal(size=(1_500, 32)), np.arange(0, 1_500, 50)
-    return rng.normal(size=(int(name), 32)), np.arange(0, int(name), 25)
+    kind, d, n = name.split()
+    d, n = int(d), int(n)
+    if kind == "mass":  # a dense mass and queries far from it
+        x = np.concatenate([rng.normal(size=d) + 0.02 * rng.normal(size=(n - 30, d)), rng.normal(size=(30, d))])
+        return x, np.arange(n - 30, n)
+    if kind == "clusters":
+        return rng.normal(size=(30, d))[rng.integers(0, 30, n)] + 0.2 * rng.normal(size=(n, d)), np.arange(0, n, 100)
+    return rng.normal(size=(n, d)), np.arange(0, n, 100)
 
 
-@pytest.mark.parametrize("name", ["mass", "clusters", "500", "700", "2000"])
+@pytest.mark.parametrize("name", ["mass 32 1500", "mass 32 4000", "clusters 32 1500", "clusters 256 4000", "random 32 700", "random 32 4000", "random 64 5000", "random 256 5000", "random 768 4000"])
 def test_recall_on_shapes(spark, name):
     x, queries = shapes(name)
     ids = np.arange(len(x))
@@ -99,6 +104,16 @@ def test_recall_on_shapes(spark, name):
     assert np.mean(shares) >= 0.9 and min(shares) >= 0.4 and all(len(got[q]) == 5 for q in want)
 
 
+def test_files_and_share_follow_the_vectors():
+    """Vectors with neighbourhoods need few files and a small share; random ones in many dimensions most of both."""
+    rng = np.random.default_rng(9)
+    near = PermutationCoder(rng.normal(size=(100, 256))[rng.integers(0, 100, 1_500)] + 0.2 * rng.normal(size=(1_500, 256)))
+    far = PermutationCoder(rng.normal(size=(1_500, 256)))
+    assert near.posted <= 32 and near.share <= 0.1 < far.share
+    ranks = near.positions(rng.normal(size=(5, 256)))
+    assert (np.sort(ranks, axis=1)[:, : near.posted] == np.arange(near.posted)).all() and (np.sort(ranks, axis=1)[:, near.posted :] == near.posted).all()
+
+
 def test_lengths_stay_apart(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=3 + k % 2).tolist()) for k in range(60)]
