@@ -13,17 +13,18 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-#: Edges in one file, at least, and rows of one key that are no longer joined by a shuffle.
-FILE_EDGES, HOT = 200_000, 100_000
+#: Edges in one file, at least; rows of one key that are no longer joined by a shuffle, at least, and the part of all rows that they must be.
+FILE_EDGES, HOT, HOT_SHARE = 200_000, 100_000, 10_000
 
 
-def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner", total: int = 0) -> DataFrame:
     """rows with the columns of one, which has a row for each key and says in count how many rows the key has.
 
-    Keys of more than HOT rows are broadcast, at most a row for each HOT rows there are, so no task gets all rows of such a key.
+    Keys of more than HOT rows and more than 1 / HOT_SHARE of all of them (total, where it is known) are broadcast, so no task gets all rows of such a key; there are
+    at most HOT_SHARE such keys. A null key of rows has none of the columns.
     """
     values = [c for c in one.columns if c not in (key, count)]
-    hot = F.broadcast(one.where(F.col(count) > HOT).select(key, F.struct(*values).alias("_hot")))
+    hot = F.broadcast(one.where(F.col(count) > max(HOT, total // HOT_SHARE)).select(key, F.struct(*values).alias("_hot")))
     known = rows.join(hot, key, "left")
     large = known.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[v].alias(v) for v in values])
     return large.unionByName(known.where("_hot is null").drop("_hot").join(one.drop(count), key, how))
@@ -32,8 +33,8 @@ def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str
 def components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """id, root: every vertex of edges (a, b) but the roots, with the smallest vertex it reaches.
 
-    Each step only groups by a vertex to find its smallest neighbour, then joins that one row back,
-    so a vertex with very many neighbours is pre-aggregated and its rows stay divisible. Edges
+    Each step only groups by a vertex to find its smallest neighbour, then joins that one row back;
+    a vertex with very many neighbours is pre-aggregated, and its row is broadcast to them. Edges
     shrink to stars; the loop ends when a round leaves them as they were. Null ends are ignored. files
     is the most files that the first edges are written to.
     """
@@ -41,10 +42,10 @@ def components(edges: DataFrame, name: str = "components", files: int | None = N
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = divided_join(both, least, "a", "n", total=2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = divided_join(large, least, "a", "n", total=2 * mark[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         earlier, now = now, settle(small, name, 1 + 2 * mark[0] // FILE_EDGES)
         discard(earlier)
         before, mark = mark, _mark(now)
