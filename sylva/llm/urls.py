@@ -7,7 +7,8 @@ run as one, told apart by a column. A host is blocked if its distrust is above r
 min_distrust blocked pages, which no size of the table changes.
 
 Rules beyond MAX_RULES would make too large an expression and are joined by the suffixes of hosts
-instead; both ways give the same. A host with very many pages is divided into PARTS where its rank is joined to them.
+instead; both ways give the same. The rank of a host with very many pages is broadcast to them (divided_join), and the links of a host
+with more than PART_LINKS are walked in parts, to each of which its rank goes.
 
 Defined results: a null url or one without :// has an empty host and path, no rule, and the verdict
 of the empty host (which holds no links and no seeds: allow). Null html has no links; links to //host take part,
@@ -28,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, settle
+from .graph import divided_join
 
 #: Rules that become one expression at most.
 MAX_RULES = 500
-#: Parts of a host's pages where they meet its rank.
-PARTS = 16
+#: Links of a host that meet its rank in one task, about.
+PART_LINKS = 50_000
 #: Marks of an address and their character references (fixed values).
 REFERENCES = (("/", "#0*47|#x0*2f|sol"), (":", "#0*58|#x0*3a|colon"), (".", "#0*46|#x0*2e|period"), ("-", "#0*45|#x0*2d"), ("&", "#0*38|#x0*26|amp"))
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -99,13 +101,20 @@ def personalised_ranks(edges: DataFrame, seeds: DataFrame, damping: float, round
     A host without outgoing links gives its rank back to nobody (the walk ends there), so no
     global sum is needed between rounds. Lineage is cut every four rounds.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    steps = settle(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out")).alias("share")), "urls-steps")
+    key = F.concat(F.substring("kind", 1, 1), "src")
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("n"))
+    known = divided_join(edges.withColumn("key", key), out.select(key.alias("key"), "out", F.ceil(F.col("n") / PART_LINKS).cast("int").alias("parts"), "n"), "key", "n", total=edges.count())
+    share = (damping * F.col("weight") / F.col("out")).alias("share")
+    steps = settle(known.select("kind", F.col("src").alias("host"), "dst", share, "parts", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part")), "urls-steps")
+    hubs = settle(out.where(F.col("n") > PART_LINKS).select("kind", F.col("src").alias("host"), F.ceil(F.col("n") / PART_LINKS).cast("int").alias("parts")), "urls-hubs")
+    many = hubs.count() > 0
     start = settle(seeds, "urls-seeds")
     rank, held = start.select("kind", "host", F.col("restart").alias("r")), None
     back = start.select("kind", "host", ((1 - damping) * F.col("restart")).alias("r"))
     for k in range(1, rounds + 1):
-        moved = steps.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("r")).alias("r"))
+        if many:
+            parted = rank.join(hubs, ["kind", "host"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        moved = (steps.join(parted, ["kind", "host", "part"]) if many else steps.join(rank, ["kind", "host"])).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("r")).alias("r"))
         rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if k % 4 == 0:
             rank = settle(rank, "urls-rank")
@@ -135,8 +144,9 @@ def judge_urls(
     seeds = reduce(DataFrame.unionByName, [hosts.where(F.col(kind) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(kind) / F.lit(float(total[kind] or 1))).alias("restart")) for kind in kinds])
     walked = personalised_ranks(edges, seeds, damping, rounds)
     ranks = walked.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind) for kind in kinds])
-    parts = ranks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    own = judged.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).join(parts, ["host", "part"], "left")
+    sizes = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n")).join(ranks, "host", "left")
+    own = divided_join(judged.where("host is not null"), sizes, "host", "n", "left", pages.count())
+    own = own.unionByName(judged.where("host is null"), allowMissingColumns=True)
     own = own.withColumns({kind: F.coalesce(kind, F.lit(0.0)) for kind in kinds})
     blocked = (F.col("distrust") * float(total["distrust"] or 0) > min_distrust) & (F.col("distrust") > ratio * F.col("trust"))
     return own.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -149,3 +149,18 @@ def test_native_and_whole(spark, tiny):
     out = op10_url_filter(spark, tiny)
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
     assert out.count() == spark.read.parquet(f"{tiny}/pages.parquet").count()
+
+
+def test_hub_hosts_are_walked_in_parts(spark, monkeypatch, same):
+    """A host that all link to and that links to all, and one that holds most pages, give what they give in one piece."""
+    from sylva.llm import graph
+
+    rows = [(0, "http://hub.net/", "".join(f"<a href=//h{k}.net/>" for k in range(60)))] + [(k + 1, f"http://h{k}.net/", "<a href=//hub.net/><a href=//bad.com/>") for k in range(60)]
+    rows += [(100 + k, f"http://bad.com/de/{k}", "") for k in range(50)] + [(200 + k, f"http://good.org/{k}", "<a href=//hub.net/>") for k in range(9)] + [(300, None, ""), (301, "none", ""), (302, None, "")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    rounded = lambda df: df.withColumns({c: F.round(c, 12) for c in ("trust", "distrust")})
+    want = rounded(judge_urls(pages, URL_RULES))
+    monkeypatch.setattr(urls, "PART_LINKS", 7)
+    monkeypatch.setattr(graph, "HOT", 5)
+    monkeypatch.setattr(graph, "HOT_SHARE", 1_000_000)
+    same(rounded(judge_urls(pages, URL_RULES)), want)
