@@ -49,8 +49,8 @@ from .urls import host_of
 RUN, WINDOW, PAGES, COVERED = 8, 8, 3, 0.8
 #: Share of a host's pages that must share what goes from an article, of the tokens that an article or main must hold, and of it that must be covered in a copy.
 HOST_SHARE, SHARE, COPIED = 0.5, 1 / 3, 0.5
-#: Repeated suffixes that are broadcast at most, and the parts that a host's suffixes are divided into where its pages are counted in.
-KEYS, PARTS = 2_000_000, 16
+#: Repeated suffixes that are broadcast at most, and the parts that a host's suffixes are divided into where its pages are counted in: so many, and one more for each PART_PAGES pages of the table.
+KEYS, PARTS, PART_PAGES = 2_000_000, 16, 50_000
 DROP, OPEN, MAIN, ARTICLE, INNER = range(5)
 #: Added to the zone of a doubtful block.
 DOUBT = 8
@@ -379,7 +379,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     read = settle(pages.mapInArrow(_read, "page_id long, url string, host string, row long, blocks array<struct<zone:tinyint,text:string>>, content long"), "html-read", codec="zstd")
     contents = read.groupBy("host", "content").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     copies = settle(contents.where("n > 1").select("host", "content", "first"), "html-copies")
-    sizes = contents.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts = PARTS + read.count() // PART_PAGES
+    sizes = contents.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def counted(rows: DataFrame, pick) -> DataFrame:
         """host, key, n: in how many pages of different content each picked suffix is."""
@@ -388,7 +389,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     anchors = settle(counted(read, lambda batch, k, keys, ends: _anchors(keys, ends)).select("key", F.lit(False).alias("most")), "html-anchors")
     rows, find = _with_places(read, anchors)
-    runs = counted(rows, lambda batch, k, keys, ends: _around(keys, ends, find(batch, k, keys)[0])).withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int"))
+    runs = counted(rows, lambda batch, k, keys, ends: _around(keys, ends, find(batch, k, keys)[0])).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
     runs = runs.join(sizes, ["host", "part"]).select("key", (F.col("n") >= F.lit(HOST_SHARE) * F.col("pages")).alias("most"))
     rows, find = _with_places(read, settle(runs, "html-repeated"))
     out = rows.mapInArrow(_keep(find), "page_id long, url string, text string")
