@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.common import discard, n_words, settle, table
 from sylva.llm.decontaminate import clean_documents
+from sylva.llm.graph import divided_join
 from sylva.llm.langid import UNKNOWN, fit_language_model, label_documents
 from sylva.llm.mixing import taken_words
 from sylva.llm.near_dedup import near_groups
@@ -60,18 +61,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of: their columns, size in words, and the words taken."""
-    sums = settle(taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.count("*").alias("rows")), "mix-words")
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("size", n_words(F.col("text")))
-    same = F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and d.size = m.size")
-    one = own.alias("d").join(sums.where("rows = 1").alias("m"), same).select("d.*", F.col("m.words").alias("taken"))
-    alike = settle(own.alias("d").join(F.broadcast(sums.where(F.col("rows") > ALIKE)).alias("m"), same).select("d.*", "m.words", "m.rows")
-        .unionByName(own.alias("d").join(sums.where((F.col("rows") > 1) & (F.col("rows") <= ALIKE)).alias("m"), same).select("d.*", "m.words", "m.rows"))
-        .withColumn("part", F.spark_partition_id()), "mix-alike")
-    return one.unionByName(_shared(alike)).where("taken > 0")
-
-
-#: Rows of equal id, source and size up to which they meet their sum in one task; keys of more are broadcast, one row for so many rows at most.
-ALIKE = 100_000
+    key = F.to_json(F.struct("doc_id", "source", "size")).alias("key")  # null ids and sources are told from all others
+    sums = taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
+    sums = settle(sums.where("words > 0").select(key, "words", "rows", F.col("rows").alias("held")), "mix-words")
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("size", n_words(F.col("text"))).withColumn("key", key)
+    known = settle(divided_join(own, sums, "key", "held", total=docs.count()).drop("key").withColumn("part", F.spark_partition_id()), "mix-rows", codec="zstd")
+    one = known.where("rows = 1").withColumn("taken", F.col("words")).drop("words", "rows", "part")
+    return one.unionByName(_shared(known.where("rows > 1"))).where("taken > 0")
 
 
 def _shared(alike: DataFrame) -> DataFrame:
