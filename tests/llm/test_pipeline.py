@@ -137,13 +137,14 @@ print("all ran")
 
 
 def test_mix_of_tied_rows_loses_no_word(spark, tiny, monkeypatch):
+    from sylva.llm import graph
     from sylva.llm.mixing import taken_words
 
     tied = [(1, f"one two {k % 3}", "en", "a", 9) for k in range(13)] + [(None, "null id", "en", None, 7)] * 5 + [(k, "w " * k, "en", "b", 2 * k) for k in range(2, 9)]
     docs = spark.createDataFrame(tied, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     want = {(r["doc_id"], r["source"], r["size"]): r["n"] for r in taken_words(docs).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("n")).collect()}
-    for alike in (100_000, 6):
-        monkeypatch.setattr(cp, "ALIKE", alike)
+    for hot in (100_000, 6):
+        monkeypatch.setattr(graph, "HOT", hot)
         got = cp.mix(spark, docs, tiny)
         have = {(r["doc_id"], r["source"], r["size"]): r["n"] for r in got.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("n")).collect()}
         assert have == {k: n for k, n in want.items() if n}
