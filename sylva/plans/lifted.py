@@ -6,6 +6,9 @@ with the items of its sequence, which adds a key; let of one value is a column,
 items in the order of the keys. Aggregates group by the keys of their scope, predicates are semi joins on them, and an expression
 is evaluated in the outermost scope that has all it names, so what does not depend on an iteration is found once for each document.
 
+Maps and arrays are JSON texts, put together from the innermost outwards: entries of one tuple side by side, members and sequences of several items by
+one aggregate each, scalars before maps before arrays as they are shown.
+
 Comparisons of two sequences are existential: = is a semi join on keys and value, < and > compare the least of one with the greatest of the other, !=
 holds unless both hold one and the same value. Values that XPath calls an error (several items where one is needed, text that is no number) mark their document, which
 then has no result, as in the interpreter. plan functions raise Unsupported for expressions outside this subset.
@@ -29,7 +32,7 @@ GENERAL = frozenset(("=", "!=", "<", "<=", ">", ">="))
 VALUE = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
 NUMBERS = frozenset(("integer", "number"))
 AGGREGATES = frozenset(("count", "sum", "avg", "min", "max", "string-join", "exists", "empty", "not", "boolean"))
-_KINDS = {"string": "string", "number": "double", "integer": "bigint", "boolean": "boolean", "untyped": "string"}
+_KINDS = {"map": "string", "array": "string", "string": "string", "number": "double", "integer": "bigint", "boolean": "boolean", "untyped": "string"}
 _TYPES = {"string": T.StringType(), "untyped": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
 
 
@@ -277,6 +280,8 @@ class Lifted:
         mixed = any(p.mixed for p in parts) or len(kinds) > 1 and "node" in kinds
         if len(kinds) > 1:
             kinds = {p.atomic for p in parts}
+            if kinds & {"map", "array"}:
+                raise Unsupported("a sequence of maps and other values")
             kind = "number" if kinds <= NUMBERS else "untyped" if kinds == {"untyped"} else "string"
             if kind == "string" and kinds - {"string", "untyped"}:
                 raise Unsupported("a sequence of values of several kinds")
@@ -632,9 +637,13 @@ class Lifted:
 
     @staticmethod
     def number(c: Column, kind: str) -> Column:
+        if kind in ("map", "array"):
+            raise Unsupported("a map or array as a number")
         return c.cast("double") if kind in NUMBERS or kind == "boolean" else F.trim(c).try_cast("double")
 
     def compared(self, a: Column, ka: str, op: str, b: Column, kb: str) -> Column:
+        if {"map", "array"} & {ka, kb}:
+            raise Unsupported("a comparison of maps or arrays")
         if "boolean" in (ka, kb) and ka != kb:
             raise Unsupported("a comparison with a boolean")
         if {ka, kb} & NUMBERS:
@@ -663,7 +672,7 @@ class Lifted:
                 return True
         if kind == "op":
             return e[1] not in ("to", "union", "intersect", "except")
-        if kind in ("neg", "pos", "cast", "castable", "instance", "some", "every"):
+        if kind in ("neg", "pos", "cast", "castable", "instance", "some", "every", "map", "array", "array{}"):
             return True
         if kind == "if":
             return self.is_single(e[2], s) and self.is_single(e[3], s)
@@ -681,6 +690,8 @@ class Lifted:
 
     def text(self, e: tuple, s: Scope) -> Column:
         c, kind = self.scalar(e, s)
+        if kind in ("map", "array"):
+            raise Unsupported("a map or array as text")
         return F.coalesce(self.shown(c, kind), F.lit(""))
 
     def scalar(self, e: tuple, s: Scope) -> tuple[Column, str]:
@@ -726,10 +737,64 @@ class Lifted:
             return self.scalar(self.bound_body(e[1], e[2]), s)
         if kind == "call":
             return self.call(e, s)
+        if kind == "map":
+            return self.map_text(e[1], s), "map"
+        if kind == "array{}":
+            return self.members(self.items(e[1], s), s, lambda n, all_, first: F.concat(F.lit("["), F.coalesce(all_, F.lit("")), F.lit("]"))), "array"
+        if kind == "array":
+            if not e[1]:
+                return F.lit("[]"), "array"
+            return F.concat(F.lit("["), F.concat_ws(", ", *[self.json(x, s, "[]")[0] for x in e[1]]), F.lit("]")), "array"
         if kind not in ("path", "filter", "seq", "for", "map!", "op"):
             raise Unsupported(f"a value of {kind}")
         return self.one(self.items(e, s), s)
 
+    def encoded(self, c: Column, kind: str) -> Column:
+        """A value as JSON."""
+        if kind in ("map", "array", "boolean"):
+            return c.cast("string")
+        if kind in NUMBERS:
+            number = c.cast("double")
+            return F.when(F.isnan(number) | (F.abs(number) == float("inf")), F.lit("null")).otherwise(self.shown(c, kind))
+        quoted = F.to_json(F.array(c))
+        return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+    def members(self, it: Items, s: Scope, shape) -> Column:
+        """shape(number, all as JSON joined by commas, the first) of the items of each tuple."""
+        text, n, bad = self.encoded(it.value, it.atomic), f"{self.name()}_n", f"{self.name()}_b"
+        held = f"{self.name()}_j"
+        row = F.struct(*it.order, text.alias("_t")) if it.order else F.struct(text.alias("_t"))
+        found = it.df.groupBy(*it.scope.keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_t"]).alias(held), F.count("*").alias(n), F.bool_or("_bad").alias(bad))
+        s.join(found, it.scope.keys)
+        if self.marks:
+            self.bad(s, F.col(bad))
+        return shape(F.coalesce(n, F.lit(0)), F.array_join(held, ", "), F.get(held, F.lit(0)))
+
+    def json(self, e: tuple, s: Scope, none: str = "null") -> tuple[Column, Column]:
+        """The items of an expression as JSON, bare if it is one, and how it is ordered: 0 for scalars, 1 for maps, 2 for arrays."""
+        rank = lambda kind: {"map": 1, "array": 2}.get(kind, 0)
+        if self.is_single(e, s):
+            c, kind = self.scalar(e, s)
+            return F.coalesce(self.encoded(c, kind), F.lit(none)), F.when(c.isNull(), F.lit(0)).otherwise(F.lit(rank(kind)))
+        it, ranks = self.items(e, s), []
+
+        def shape(n: Column, every: Column, first: Column) -> Column:
+            ranks.append(F.when(n > 1, 2).when(n == 1, F.lit(rank(it.atomic))).otherwise(F.lit(0)))
+            return F.when(n == 0, F.lit(none)).when(n == 1, first).otherwise(F.concat(F.lit("["), every, F.lit("]")))
+
+        return self.members(it, s, shape), ranks[0]
+
+    def map_text(self, entries: tuple, s: Scope) -> Column:
+        held = []
+        for k, v in entries:
+            key = self.text(k, s)
+            text, rank = self.json(v, s)
+            held.append(F.struct(rank.cast("int").alias("r"), key.alias("k"), text.alias("t")))
+        if not held:
+            return F.lit("{}")
+        pairs = F.transform(F.array_sort(F.array(*held)), lambda x: F.concat(self.encoded(x["k"], "string"), F.lit(": "), x["t"]))
+        return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
     def one(self, it: Items, s: Scope) -> tuple[Column, str]:
         """The value of the one item of a sequence; several are an error."""
         v, n, bad = (f"{self.name()}_{x}" for x in "vnb")
@@ -808,6 +873,8 @@ class Lifted:
             return F.lit(name == "true"), "boolean"
         if name in ("string", "data", "number") or not args and name in ("string-length", "normalize-space"):
             c, k = self.scalar(args[0] if args else ("context",), s)
+            if k in ("map", "array"):
+                raise Unsupported("a map or array as text")
             if name == "number":
                 return F.coalesce(self.number(c, k), F.lit(float("nan"))), "number"
             text = F.coalesce(self.shown(c, k), F.lit(""))
@@ -880,12 +947,20 @@ def columns(nodes: DataFrame, **expressions: str) -> DataFrame:
     return out
 
 
-def rows(nodes: DataFrame, xpath: str, normalize: bool = True) -> DataFrame:
-    """doc_id, file, the order of an item in its document, its value as text and kind: one row for each item of an expression."""
+def rows(nodes: DataFrame, xpath: str, normalize: bool = True, quoted: bool = False) -> DataFrame:
+    """doc_id, file, item_order (its place in the document), item_type, value and, of maps and arrays, tree: one row for each item of an expression.
+
+    quoted shows texts in XPath quotes.
+    """
     work = Lifted(nodes)
     it = work.items(parse(normalized(xpath) if normalize else xpath), work.top)
     order = F.struct(*it.order) if it.order else F.struct(F.lit(0).alias("one"))
-    df = it.df.select("doc_id", "file", order.alias("item_order"), work.shown(it.value, it.atomic).alias("value"), F.lit("node" if it.node else "atomic").alias("item_type"), "_bad")
+    built = it.kind in ("map", "array")
+    value = work.shown(it.value, it.atomic)
+    if quoted and it.kind == "string":
+        value = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    none = F.lit(None).cast("string")
+    df = it.df.select("doc_id", "file", order.alias("item_order"), F.lit("node" if it.node else it.kind if built else "atomic").alias("item_type"), (none if built else value).alias("value"), (it.value if built else none).alias("tree"), "_bad")
     if work.marks:
         df = df.join(df.where("_bad").select("doc_id").distinct(), "doc_id", "left_anti")
     return df.drop("_bad")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_json, order_nodes, order_tree, pages_html, table
+from .corpora import conversation_tree, customer_tree, documents_text, events_json, order_nodes, order_tree, pages_html, table
 from .functions.text import lines_column, message_column, snippet_column
 from .operators.comments import comment_blocks
 from .operators.engine import Engine
@@ -20,6 +20,7 @@ from .operators.sinks import gcc_lines, github_lines
 from .plans import lifted, relational, typed
 from .registry import ORACLES, QUERIES, query
 from .sources.diffs import hunks_of_diff, in_hunks, only_changed
+from .sources.discovered import json_nodes
 from .sources.documents import from_table, language_of
 from .sources.globs import in_scope
 from .sources.languages import languages_table
@@ -43,7 +44,7 @@ def json_child_value(spark, sf_dir):
 
 @query("SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50")
 def json_predicate(spark, sf_dir):
-    return relational.plan(node_table(events_json(spark, sf_dir), stage=False), "//k[. > 50]").select("doc_id", F.col("string_value").alias("value"))
+    return relational.plan(json_nodes(events_json(spark, sf_dir), stage=False), "//k[. > 50]").select("doc_id", F.col("string_value").alias("value"))
 
 
 @query("""
@@ -148,22 +149,22 @@ def following_sibling_first(spark, sf_dir):
     return lifted.rows(order_nodes(spark, sf_dir), "//line[flag = 'R']/following-sibling::line[1]/n").select("doc_id", "value")
 
 
-# -- interpreter -------------------------------------------------------------------------------
+# -- whole expressions -------------------------------------------------------------------------------
 
 
 @query("SELECT event_id AS doc_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN '\"high\"' ELSE '\"low\"' END AS value FROM events")
 def conditional_expression(spark, sf_dir):
-    return run_rules(events_json(spark, sf_dir), [Rule("if (//k > 50) then 'high' else 'low'")]).select("doc_id", "value")
+    return lifted.rows(json_nodes(events_json(spark, sf_dir)), "if (//k > 50) then 'high' else 'low'", quoted=True).select("doc_id", "value")
 
 
 @query("SELECT event_id AS doc_id, '{\"k\": ' || json_extract_string(props, '$.k') || ', \"text\": \"k=' || json_extract_string(props, '$.k') || '\"}' AS tree FROM events")
 def map_constructor(spark, sf_dir):
-    return run_rules(events_json(spark, sf_dir), [Rule("//k ! map { 'k': number(.), 'text': 'k=' || . }", normalize=False)]).select("doc_id", "tree")
+    return lifted.rows(json_nodes(events_json(spark, sf_dir)), "//k ! map { 'k': number(.), 'text': 'k=' || . }", normalize=False).select("doc_id", "tree")
 
 
 @query("""SELECT l_orderkey AS doc_id, '[' || string_agg(CAST(l_linenumber * 10 AS VARCHAR), ', ' ORDER BY l_linenumber) || ']' AS tree FROM lineitem GROUP BY l_orderkey""")
 def array_constructor(spark, sf_dir):
-    return run_rules(order_json(spark, sf_dir), [Rule("array { for $n in //line/n return $n * 10 }", normalize=False)]).select("doc_id", "tree")
+    return lifted.rows(order_nodes(spark, sf_dir), "array { for $n in //line/n return $n * 10 }", normalize=False).select("doc_id", "tree")
 
 
 @query("""SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS INT) * l_linenumber) AS VARCHAR) AS value FROM lineitem GROUP BY l_orderkey""")
@@ -187,7 +188,7 @@ def quantified_expressions(spark, sf_dir):
 
 @query("""SELECT 'events/' || event_id || '.json' AS value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 7""")
 def file_variable(spark, sf_dir):
-    return lifted.rows(node_table(events_json(spark, sf_dir)), "//k[. = 7]/$file", normalize=False).select("value")
+    return lifted.rows(json_nodes(events_json(spark, sf_dir)), "//k[. = 7]/$file", normalize=False).select("value")
 
 
 # -- typed plans -------------------------------------------------------------------------------

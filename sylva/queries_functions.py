@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpora import events_json, order_json, order_nodes, pages_html, table
+from .corpora import events_json, order_nodes, pages_html, table
 from .functions import playground
 from .functions.highlight import COLOURS, RESET, category, coloured_tree, highlighted
 from .functions.items import data_to_xml, node_to_data, sequence_warnings
@@ -24,6 +24,7 @@ from .plans.evaluate import evaluate
 from .plans.xpath import problem
 from .queries_code import _values
 from .registry import query
+from .sources.discovered import json_nodes
 from .sources.documents import from_table
 from .sources.globs import absolute_path, normalized_path
 from .sources.nodes import node_table
@@ -78,7 +79,7 @@ def json_root(spark, sf_dir):
 @query("""SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events""")
 def bare_name(spark, sf_dir):
     """A name alone is looked for at any depth."""
-    return run_rules(events_json(spark, sf_dir), [Rule("k")]).select("doc_id", "value")
+    return lifted.rows(json_nodes(events_json(spark, sf_dir)), "k").select("doc_id", "value")
 
 
 @query("""
@@ -153,7 +154,7 @@ def further_functions(spark, sf_dir):
 def nested_maps(spark, sf_dir):
     """Maps in an array in a map; scalars are shown first, then maps, then arrays."""
     x = "map { 'lines': array { //line ! map { 'n': string(n) } }, 'n': count(//line), 'key': string(//key) }"
-    tree = run_rules(order_json(spark, sf_dir), [Rule(x, normalize=False)]).select("doc_id", "tree")
+    tree = lifted.rows(order_nodes(spark, sf_dir), x, normalize=False).select("doc_id", "tree")
     value = F.from_json("tree", "key string, n long, lines array<struct<n:string>>")
     names = F.concat(F.lit('["'), F.array_join(F.json_object_keys("tree"), '", "'), F.lit('"]'))
     return tree.select("doc_id", value["key"].alias("key"), value["n"].alias("n"), F.element_at(value["lines"], 1)["n"].alias("first_n"), names.alias("names"))

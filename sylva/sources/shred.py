@@ -7,6 +7,8 @@ intervals contain what they should, with gaps. No Python, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,7 @@ def _node(pre, post, parent, depth, ord_, kind, name, text, value, path) -> Colu
     none = F.lit(None).cast("string")
     return F.struct(
         pre.cast("long").alias("pre"), post.cast("long").alias("post"), parent.cast("long").alias("parent"), F.lit(depth).alias("depth"), ord_.cast("int").alias("ord"), F.lit(kind).alias("kind"), (F.lit(name) if name else none).alias("name"),
-        (text if text is not None else none).alias("text"), (value if value is not None else none).alias("string_value"), F.lit(path).alias("path"),
+        (text if text is not None else none).alias("text"), (value if value is not None else none).alias("string_value"), (F.lit(path) if path else none).alias("path"),
     )
 
 
@@ -90,12 +92,12 @@ def each_type() -> str:
     return "array<struct<pre:bigint,post:bigint,parent:bigint,depth:int,ord:int,kind:string,name:string,text:string,string_value:string,path:string>>"
 
 
-def typed_nodes(rows: DataFrame, doc_id: str, file: Column | None = None, name: str = "document") -> DataFrame:
-    """Nodes of all rows: those of their columns but doc_id, below an element of this name.
+def typed_nodes(rows: DataFrame, doc_id: str, file: Column | None = None, name: str = "document", skip: Sequence[str] = ()) -> DataFrame:
+    """Nodes of all rows: those of their columns but doc_id and those to skip, below an element of this name.
 
     Elements with element children have no string value. There are no positions in a text and no attributes.
     """
-    fields = T.StructType([f for f in rows.schema.fields if f.name != doc_id])
+    fields = T.StructType([f for f in rows.schema.fields if f.name != doc_id and f.name not in skip])
     at, total = F.lit(1).cast("long"), F.lit(2).cast("long")
     for f in fields.fields:
         total = total + _span(F.col(f"`{f.name}`"), f.dataType)

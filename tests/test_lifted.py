@@ -79,7 +79,24 @@ def test_equals_the_interpreter(sources, nodes, xpath):
     assert lifted_values(nodes, xpath) == interpreted(sources, xpath)
 
 
-@pytest.mark.parametrize("xpath", ["map { 'a': 1 }", "$unknown", "//line[$nothing = 1]", "fold-left(//n, 0, function($a, $x) { $a + $x })", "sort(//n, (), function($x) { -$x })", "'a' + 1", "(1, 'a')", "//line/@*", "//line/(n, 'x')", "array { 1 }"])
+BUILT = [
+    "map { 'a': 1, 'b': 'x \"y\" \\\\ z', 'c': true(), 'd': 2.5 }", "array { for $n in //line/n return $n * 10 }", "//line ! map { 'n': number(n), 'flag': string(flag) }", "map { 'lines': array { //line ! map { 'n': string(n) } }, 'n': count(//line), 'key': string(//key) }",
+    "map { 'tags': //line/flag, 'one': //key, 'none': //nothing, 'inner': map { 'x': //size } }", "[1, 'a', //key]", "[//line/n, (), map { 'a': array { } }]", "for $l in //line return map { 'flag': $l/flag, 'sizes': array { $l/part/size }, 'quantity': $l/quantity * 2 }", "map { concat('k', //key): 1 }", "map { }", "//line[part] ! [n, part/name]",
+]
+
+
+@pytest.mark.parametrize("xpath", BUILT)
+def test_maps_and_arrays_equal_the_interpreter(sources, nodes, xpath):
+    def trees(found, order):
+        out = {}
+        for r in found.orderBy("doc_id", order).collect():
+            out.setdefault(r["doc_id"], []).append((r["item_type"], r["value"], r["tree"]))
+        return out
+
+    assert trees(lifted.rows(nodes, xpath, normalize=False), "item_order") == trees(run_rules(sources, [Rule(xpath, normalize=False)], fields=["tree"]), "item_index")
+
+
+@pytest.mark.parametrize("xpath", ["map { 'a': 1 } = 1", "$unknown", "//line[$nothing = 1]", "fold-left(//n, 0, function($a, $x) { $a + $x })", "sort(//n, (), function($x) { -$x })", "'a' + 1", "(1, 'a')", "//line/@*", "//line/(n, 'x')", "array { 1 } + 1", "string(map { })", "(1, map { })"])
 def test_what_has_no_plan_says_so(nodes, xpath):
     with pytest.raises(relational.Unsupported):
         lifted.rows(nodes, xpath, normalize=False)
