@@ -37,16 +37,6 @@ def customer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(orders, c["c_custkey"] == orders["o_custkey"], "left").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "order")
 
 
-def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources: one JSON text per order with its lines in order."""
-    # dealt by key once, in a number of partitions that adaptive execution keeps: parsing follows in the same tasks
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
-    lines = rows.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag")))).alias("line")
-    )
-    return from_table(lines, F.to_json(F.struct(F.col("l_orderkey").alias("key"), "line")), F.lit("orders.json"), "json", "l_orderkey")
-
-
 def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, line (n, quantity, flag): an order's lines in order."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(

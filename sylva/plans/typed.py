@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import dated
 from .xpath import parse
 
 
@@ -36,6 +37,15 @@ _ANY = ("axis", "descendant-or-self", ("kind", "node", None), ())
 _BOOLEAN, _LONG, _DOUBLE, _STRING = T.BooleanType(), T.LongType(), T.DoubleType(), T.StringType()
 
 
+def _shown(c: Column, kind: T.DataType) -> Column:
+    """A value as XPath writes it: whole numbers without a point."""
+    if dated.is_dated(kind):
+        return dated.text(c, kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    return c.cast("string")
+
+
 def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
@@ -225,6 +235,11 @@ class Compiler:
             if op == "union":
                 return Value(F.array_union(self.sequence(left), self.sequence(right)), left.kind, True)
             if op in _ARITHMETIC and not left.many and not right.many:
+                if dated.is_dated(left.kind) or dated.is_dated(right.kind):
+                    found = dated.combined(op, left.column, left.kind, right.column, right.kind)
+                    if found is None:
+                        raise Unsupported(f"{op} of these kinds")
+                    return Value(*found)
                 x, y = (v.column if _is_number(v.kind) else v.column.cast("string").try_cast("double") for v in (left, right))
                 whole = op != "div" and all(isinstance(v.kind, T.IntegralType) for v in (left, right))
                 return Value(_ARITHMETIC[op](x, y), _LONG if whole else _DOUBLE)
@@ -296,7 +311,7 @@ class Compiler:
     def text(self, e: tuple, context: Value | None) -> Column:
         v = self.value(e, context)
         column = F.get(v.column, F.lit(0)) if v.many else v.column
-        return F.coalesce(column.cast("string"), F.lit(""))
+        return F.coalesce(_shown(column, v.kind), F.lit(""))
 
     def call(self, name: str, given: list[Value] | None, context: Value | None, args: tuple = ()) -> Value:
         def arg(k: int) -> Value:
@@ -308,6 +323,20 @@ class Compiler:
             return self.text(args[k], context) if k < len(args) else F.coalesce(context.column.cast("string"), F.lit(""))
 
         n = len(given) if given is not None else len(args)
+        if name.removeprefix("xs:") in dated.CASTS and n == 1:
+            v = arg(0)
+            return Value(*dated.cast(name.removeprefix("xs:"), F.get(v.column, F.lit(0)) if v.many else v.column, v.kind))
+        if name in dated.PARTS:
+            v = arg(0)
+            found = dated.part(name, v.column, v.kind)
+            if found is None:
+                raise Unsupported(f"{name}() of another kind")
+            return Value(found, _DOUBLE if dated.PARTS[name] == "SECOND" else _LONG)
+        if name in ("format-date", "format-dateTime"):
+            pattern = dated.pattern(args[1][1]) if n == 2 and args[1][0] == "lit" else None
+            if pattern is None or not dated.is_dated(arg(0).kind):
+                raise Unsupported(f"{name}() with this picture")
+            return Value(F.date_format(arg(0).column.cast("timestamp_ntz"), pattern), _STRING)
         if name in ("true", "false"):
             return Value(F.lit(name == "true"), _BOOLEAN)
         if name == "not":

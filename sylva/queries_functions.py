@@ -18,7 +18,7 @@ from .functions.text import gutter
 from .functions.tree_text import marked_source, side_by_side, tree_text
 from .operators.matching import run_rules
 from .operators.rules import Rule
-from .plans import lifted, relational
+from .plans import lifted, relational, typed
 from .plans.builder import PathPick, Pick, build_query, build_query_from_paths
 from .plans.evaluate import evaluate
 from .plans.xpath import problem
@@ -129,12 +129,13 @@ def truth_and_serialize(spark, sf_dir):
 @query("""SELECT o_orderkey AS doc_id, CAST(year(d) AS VARCHAR) AS year, strftime(d + INTERVAL 40 DAY, '%Y-%m-%d') AS later, CAST(date_diff('day', DATE '1992-01-01', d) AS VARCHAR) AS days,
   strftime(d, '%d.%m.%Y') AS shown, CASE WHEN d > DATE '1995-06-17' THEN 'true' ELSE 'false' END AS late, strftime(d + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_on FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def dates_and_durations(spark, sf_dir):
-    src = from_table(table(spark, sf_dir, "orders"), F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))), F.lit("o.json"), None, "o_orderkey")
-    d = "xs:date(//d)"
-    return _values(src, [
-        ("year", f"string(year-from-date({d}))"), ("later", f"string({d} + xs:dayTimeDuration('P40D'))"), ("days", f"string(days-from-duration({d} - xs:date('1992-01-01')))"),
-        ("shown", f"format-date({d}, '[D01].[M01].[Y0001]')"), ("late", f"string({d} > xs:date('1995-06-17'))"), ("month_on", f"string({d} + xs:yearMonthDuration('P1M'))"),
-    ])
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    d = "xs:date(d)"
+    expressions = {
+        "year": f"string(year-from-date({d}))", "later": f"string({d} + xs:dayTimeDuration('P40D'))", "days": f"string(days-from-duration({d} - xs:date('1992-01-01')))",
+        "shown": f"format-date({d}, '[D01].[M01].[Y0001]')", "late": f"string({d} > xs:date('1995-06-17'))", "month_on": f"string({d} + xs:yearMonthDuration('P1M'))",
+    }
+    return t.select("doc_id", *[typed.column(t, x).alias(name) for name, x in expressions.items()])
 
 
 @query(r"""SELECT p_partkey AS doc_id, 'n_' || p_size AS json, printf('%05d', p_size) AS padded, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END AS token, replace(p_name, ' ', '%20') AS uri, CAST(p_size + 6 AS VARCHAR) AS folded, '9' AS put FROM part""")
