@@ -1,7 +1,9 @@
 """Rules over lines of plain text as Catalyst expressions: no row of such a text goes through Python.
 
-A text's tree has one line element for each line, so a rule such as //line[contains(., 'x')] is a filter
-of the array of its lines. Predicates of strings, lengths and literals are taken; any other rule is left to the interpreter.
+A text's tree has one line element for each line, so a rule such as //line[contains(., 'x')] is a filter of its lines. Texts are split into
+lines once for all rules, each line is tested for all of them in one compiled expression, and only lines that some rule finds go on.
+The place of a match among its rule's in a text is a window over matches, and is not computed where nobody asks for it.
+Predicates of strings, lengths and literals are taken; any other rule is left to the interpreter.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,24 +80,23 @@ def _needed(e: tuple) -> list[str]:
 
 def matched_lines(texts: DataFrame, rules: Sequence[tuple[int, object, tuple]], command: str, wanted: frozenset, schema: str) -> DataFrame:
     """Matches of (index, rule, predicates) over sources of plain text, in the columns of schema."""
-    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("line", T.IntegerType())])
+    line_value = Value(F.col("text"), T.StringType())
 
-    def holds(tests: tuple, x: Column) -> Column:
-        line = Value(x["text"], T.StringType())
-        return reduce(lambda a, b: a & b, [Compiler(line).test(t, line) for t in tests], F.lit(True))
+    def holds(tests: tuple) -> Column:
+        return reduce(lambda a, b: a & b, [Compiler(line_value).test(t, line_value) for t in tests], F.lit(True))
 
-    may = [reduce(lambda a, b: a & b, [F.col("content").contains(w) for t in tests for w in _needed(t)], F.lit(True)) & r.applies(F.col("path"), F.col("language")) for _, r, tests in rules]
+    applies = [r.applies(F.col("path"), F.col("language")) for _, r, _ in rules]
+    may = [reduce(lambda a, b: a & b, [F.col("content").contains(w) for t in tests for w in _needed(t)], F.lit(True)) & here for here, (_, _, tests) in zip(applies, rules, strict=True)]
     rows = texts.where(F.col("content").isNotNull()).where(reduce(lambda a, b: a | b, may))
     split = F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    rows = rows.select("doc_id", "path", "language", "content", F.transform(split, lambda t, i: F.struct(t.alias("text"), (i + 1).cast("int").alias("line"))).cast(T.ArrayType(kind)).alias("lines"))
-
-    def found_of(k: int, tests: tuple) -> Column:
-        kept = F.filter("lines", lambda x: holds(tests, x))
-        return F.transform(kept, lambda x, j: F.struct(x["text"].alias("text"), x["line"].alias("line"), F.lit(k).alias("rule"), j.cast("int").alias("item")))
-
-    found = [F.when(here, found_of(k, tests)) for here, (k, _, tests) in zip(may, rules, strict=True)]
-    none = F.array().cast("array<struct<text:string,line:int,rule:int,item:int>>")
-    rows = rows.select("doc_id", "path", F.explode(F.flatten(F.array(*[F.coalesce(x, none) for x in found]))).alias("m"))
+    rows = rows.select("doc_id", "path", "language", F.posexplode(split).alias("place", "text"))
+    found = [here & holds(tests) for here, (_, _, tests) in zip(applies, rules, strict=True)]
+    if len(rules) == 1:
+        rows = rows.where(found[0]).withColumn("rule", F.lit(rules[0][0]))
+    else:
+        rows = rows.where(reduce(lambda a, b: a | b, found)).withColumn("rule", F.explode(F.array(*[F.when(x, F.lit(k)) for x, (k, _, _) in zip(found, rules, strict=True)]))).where("rule is not null")
+    item = F.dense_rank().over(Window.partitionBy("doc_id", "path", "rule").orderBy("place")) - 1
+    rows = rows.select("doc_id", "path", F.struct("text", (F.col("place") + 1).alias("line"), "rule", item.alias("item")).alias("m"))
     text, line, one = F.col("m.text"), F.col("m.line"), F.lit(1)
 
     def by_rule(value) -> Column:

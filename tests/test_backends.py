@@ -145,3 +145,16 @@ def test_line_rules_stay_out_of_python(spark, tiny):
 
     found = run_rules(documents_text(spark, tiny), [Rule("//line[contains(., 'password')]"), Rule("//line[string-length(.) > 9]")], "check")
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_line_matches_are_not_computed_unless_asked_for(spark):
+    from sylva.operators.matching import run_rules
+    from sylva.operators.rules import Rule
+    from sylva.sources.documents import from_table
+
+    df = spark.createDataFrame([(k, f"a {k}\nb\na b\n") for k in range(4)], "k long, t string")
+    src = from_table(df, "t", F.lit("x.txt"), "text", "k")
+    found = run_rules(src, [Rule("//line[contains(., 'a')]", id="a"), Rule("//line[contains(., 'b')]", id="b")])
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan(found) and "Window" not in plan(found.groupBy("rule_id").count()) and "Python" not in plan(found)
+    assert sorted((r["rule_id"], r["line"], r["item_index"]) for r in found.where("doc_id = 1").collect()) == [("a", 1, 0), ("a", 3, 1), ("b", 2, 0), ("b", 3, 1)]
