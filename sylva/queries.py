@@ -545,9 +545,12 @@ def generic_types(spark, sf_dir):
     return run_rules(src, [Rule("//property[attributes[contains(., 'MaxLength')]]/type[generic][arguments/type[starts-with(., 'T')]]")]).select("doc_id", "value")
 
 
-@query("""SELECT 'json' AS language, 'data' AS default_mode, true AS renders UNION ALL SELECT 'yaml', 'data', true UNION ALL SELECT 'csharp', 'structure', true""")
+@query("""SELECT language, default_mode, renders, count(*) AS files FROM nation JOIN (VALUES (0, 'json', 'data', true), (1, 'yaml', 'data', true), (2, 'csharp', 'structure', true), (3, 'go', 'structure', false)) t(k, language, default_mode, renders) ON n_nationkey % 4 = k GROUP BY ALL""")
 def language_table(spark, sf_dir):
-    return languages_table(spark).where("renders").select("language", "default_mode", "renders")
+    """What the languages of the files of a corpus are and can do."""
+    extension = F.element_at(F.array(*map(F.lit, ("json", "yml", "cs", "go"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "nation").select(language_of(F.concat(F.lit("n/x."), extension)).alias("language"))
+    return files.join(languages_table(spark), "language").groupBy("language", "default_mode", "renders").agg(F.count("*").alias("files"))
 
 
 @query("""SELECT s_suppkey AS doc_id, 2 AS n FROM supplier""")
