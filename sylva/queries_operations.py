@@ -22,12 +22,12 @@ from .sources import diffs
 from .sources.documents import PATHLESS, SourceError, from_files, from_paths, from_table, inline, resolve_input, scoped
 from .sources.languages import languages_table
 from .sources.nodes import node_table
-from .staging import shared_dir
+from .staging import shared_dir, temporary
 
 
 def _text_files(spark, sf_dir: str) -> str:
     """A folder with one subfolder of text files for each region: the names of its nations."""
-    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    folder = f"{temporary(spark, 'files')}/all"
     table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("value")).repartition(1).write.partitionBy("n_regionkey").text(folder)
     return re.sub("^file:/*", "/", folder)
 
@@ -225,7 +225,7 @@ def gcc_and_hook_reports(spark, sf_dir):
 @query("""SELECT CAST(r_regionkey AS INT) AS k, '{"file":"r/' || r_regionkey || '.json","line":1,"value":"' || r_name || '"}' AS text FROM region""")
 def saved_report_lines(spark, sf_dir):
     """A report saved as JSON lines by the tasks that hold them, read again."""
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = f"{temporary(spark, 'report')}/all"
     Engine(_regions(spark, sf_dir)).query("//name", fields=("value",)).save(path, "json", ("file", "line", "value"))
     return spark.read.text(path).select(F.regexp_extract("value", r"r/(\d+)", 1).cast("int").alias("k"), F.col("value").alias("text"))
 
@@ -313,7 +313,7 @@ def literal_and_limited_sets(spark, sf_dir):
 def written_back(spark, sf_dir):
     """New texts as a table of versions."""
     changed = Engine(_regions(spark, sf_dir)).set("//name", "x").matches
-    return write_back(changed, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}").select("file", "output")
+    return write_back(changed, f"{temporary(spark, 'versions')}/all").select("file", "output")
 
 
 @query("""SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) WHERE length(l) > 0 GROUP BY doc_id""")

@@ -41,6 +41,15 @@ def settle(df: DataFrame, name: str, files: int | None = None, codec: str = "sna
     return out
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder that is deleted when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, jvm_path = _place(spark, path)
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
+    return path
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     """The file system of a path, and the path as it knows it."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,3 +23,12 @@ def test_spreading_looks_at_the_plan_and_not_at_names(spark):
 def test_plans_without_rows(spark):
     t = spark.createDataFrame([(1, "json")], "k int, language string")
     assert certainly_empty(t.selectExpr("k", "'json' as language").where("language = 'text'")) and not certainly_empty(t)
+
+
+def test_temporary_folders_are_new_and_shared(spark):
+    from sylva.staging import shared_dir, temporary
+
+    a, b = temporary(spark, "x"), temporary(spark, "x")
+    assert a != b and a.startswith(shared_dir(spark))
+    spark.range(3).write.parquet(f"{a}/all")
+    assert spark.read.parquet(f"{a}/all").count() == 3
