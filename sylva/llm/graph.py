@@ -17,14 +17,18 @@ def _mark(edges: DataFrame) -> tuple:
 FILE_EDGES, HOT, HOT_SHARE = 200_000, 100_000, 10_000
 
 
-def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner", total: int = 0) -> DataFrame:
+def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner", total: int = 0, largest: int | None = None, least: int | None = None) -> DataFrame:
     """rows with the columns of one, which has a row for each key and says in count how many rows the key has.
 
     Keys of more than HOT rows and more than 1 / HOT_SHARE of all of them (total, where it is known) are broadcast, so no task gets all rows of such a key; there are
-    at most HOT_SHARE such keys. A null key of rows has none of the columns.
+    at most HOT_SHARE such keys. A null key of rows has none of the columns. largest, where it is known, is the most rows that a key can have: if that
+    is not too many, nothing needs to be looked for. least stands for HOT where it is given.
     """
+    many = max(HOT if least is None else least, total // HOT_SHARE)
+    if largest is not None and largest <= many:
+        return rows.join(one.drop(count), key, how)
     values = [c for c in one.columns if c not in (key, count)]
-    hot = F.broadcast(one.where(F.col(count) > max(HOT, total // HOT_SHARE)).select(key, F.struct(*values).alias("_hot")))
+    hot = F.broadcast(one.where(F.col(count) > many).select(key, F.struct(*values).alias("_hot")))
     known = rows.join(hot, key, "left")
     large = known.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[v].alias(v) for v in values])
     return large.unionByName(known.where("_hot is null").drop("_hot").join(one.drop(count), key, how))
@@ -43,9 +47,9 @@ def components(edges: DataFrame, name: str = "components", files: int | None = N
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = divided_join(both, least, "a", "n", total=2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = divided_join(both, least, "a", "n", total=2 * mark[0], largest=mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = divided_join(large, least, "a", "n", total=2 * mark[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        small = divided_join(large, least, "a", "n", total=2 * mark[0], largest=mark[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         earlier, now = now, settle(small, name, 1 + 2 * mark[0] // FILE_EDGES)
         discard(earlier)
         before, mark = mark, _mark(now)

@@ -251,11 +251,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     bands = F.posexplode(F.expr(f"transform(sequence(0, {2 * PERMUTATIONS // BAND_ROWS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
     posted = vertices.select(bands.alias("band", "bucket"), "v", "n_shingles")
     shared = posted.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    total = vertices.count() * (2 * PERMUTATIONS // BAND_ROWS)
-    members = settle(divided_join(posted, shared, "bucket", "rows", total=total), "dedup-members", files)
+    largest = vertices.count()  # a set is in a bucket once
+    total = largest * (2 * PERMUTATIONS // BAND_ROWS)
+    members = settle(divided_join(posted, shared, "bucket", "rows", total=total, largest=largest), "dedup-members", files)
     hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "v").alias("h"), "v", "n_shingles")).alias("hub"), F.count("*").alias("rows"))
     near_size = f"100 * least(n_shingles, hub.n_shingles) >= {SIMILARITY} * greatest(n_shingles, hub.n_shingles)"
-    stars = _ordered(divided_join(members, hubs, "bucket", "rows", total=total).where("v != hub.v").where(near_size).select(F.col("v").alias("a"), F.col("hub.v").alias("b"))).distinct()
+    stars = _ordered(divided_join(members, hubs, "bucket", "rows", total=total, largest=largest).where("v != hub.v").where(near_size).select(F.col("v").alias("a"), F.col("hub.v").alias("b"))).distinct()
 
     sig = vertices.select("v", "sig")
     texts = docs.select("doc_id", "text_hash", "text")
@@ -299,7 +300,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     placed = members.join(comps.withColumnRenamed("id", "v"), "v", "left").select("bucket", "band", "v", "n_shingles", F.coalesce("root", "v").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    open_rows = divided_join(placed, mixed, "bucket", "rows", total=total).join(sig, "v")
+    open_rows = divided_join(placed, mixed, "bucket", "rows", total=total, largest=largest).join(sig, "v")
     sided = open_rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
     sided = sided.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "v", "n_shingles", "comp", "sig")
