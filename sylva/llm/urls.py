@@ -33,8 +33,8 @@ from .graph import divided_join
 
 #: Rules that become one expression at most.
 MAX_RULES = 500
-#: Links of a host that meet its rank in one task, about.
-PART_LINKS = 50_000
+#: Links of a host that meet its rank in one task, about, and pages of a host that do.
+PART_LINKS, HOST_PAGES = 50_000, 1_000
 #: Marks of an address and their character references (fixed values).
 REFERENCES = (("/", "#0*47|#x0*2f|sol"), (":", "#0*58|#x0*3a|colon"), (".", "#0*46|#x0*2e|period"), ("-", "#0*45|#x0*2d"), ("&", "#0*38|#x0*26|amp"))
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -145,7 +145,7 @@ def judge_urls(
     walked = personalised_ranks(edges, seeds, damping, rounds)
     ranks = walked.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind) for kind in kinds])
     sizes = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n")).join(ranks, "host", "left")
-    own = divided_join(judged.where("host is not null"), sizes, "host", "n", "left", pages.count())
+    own = divided_join(judged.where("host is not null"), sizes, "host", "n", "left", pages.count(), least=HOST_PAGES)
     own = own.unionByName(judged.where("host is null"), allowMissingColumns=True)
     own = own.withColumns({kind: F.coalesce(kind, F.lit(0.0)) for kind in kinds})
     blocked = (F.col("distrust") * float(total["distrust"] or 0) > min_distrust) & (F.col("distrust") > ratio * F.col("trust"))

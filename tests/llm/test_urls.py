@@ -161,6 +161,7 @@ def test_hub_hosts_are_walked_in_parts(spark, monkeypatch, same):
     rounded = lambda df: df.withColumns({c: F.round(c, 12) for c in ("trust", "distrust")})
     want = rounded(judge_urls(pages, URL_RULES))
     monkeypatch.setattr(urls, "PART_LINKS", 7)
+    monkeypatch.setattr(urls, "HOST_PAGES", 5)
     monkeypatch.setattr(graph, "HOT", 5)
     monkeypatch.setattr(graph, "HOT_SHARE", 1_000_000)
     same(rounded(judge_urls(pages, URL_RULES)), want)
