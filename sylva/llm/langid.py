@@ -40,6 +40,8 @@ BLOCK = 64
 CACHE_WORDS = 150_000
 #: Words that are labelled at once, about.
 STEP_WORDS = 200_000
+#: Words whose features are found at once while a chain is fitted.
+FIT_WORDS = 4_000
 UNKNOWN = "und"
 
 _SPACES = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalpha()), b" " * (128 - 52))
@@ -84,6 +86,14 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return v[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(words)))])
 
 
+def fitted_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_features in steps of FIT_WORDS words: its temporary arrays take many times what is kept."""
+    found = (word_features(words[i : i + FIT_WORDS]) for i in range(0, len(words), FIT_WORDS))
+    parts = [(f.astype(np.int32), at) for f, at in found]
+    before = np.cumsum([0, *[len(f) for f, _ in parts]])
+    return np.concatenate([f for f, _ in parts]), np.concatenate([[0], *[at[1:] + b for (_, at), b in zip(parts, before, strict=False)]])
+
+
 class Chain:
     """Learned weights: features, transitions and starts."""
 
@@ -99,6 +109,10 @@ class Chain:
 
     # -- fitting -------------------------------------------------------------------------------
 
+    def summed(self, f: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The potentials of words by their features, in steps of FIT_WORDS words."""
+        return np.concatenate([np.add.reduceat(self.w[f[own[0] : own[-1]]], own[:-1] - own[0], axis=0) for own in (at[i : i + FIT_WORDS + 1] for i in range(0, len(at) - 1, FIT_WORDS))])
+
     def fit(self, texts: list[list[list[bytes]]], seed: int = 5) -> Chain:
         """texts: for each language the words of each row."""
         n = len(self.langs)
@@ -110,18 +124,21 @@ class Chain:
         y = np.stack([np.bincount(a, minlength=len(vocabulary)) for a in counts], 1).astype(float)
         y = np.log1p(y / np.maximum(1, y.sum(0)) * y.sum(0).max())
         words = list(vocabulary)
-        f, at = word_features(words)
-        owner = np.repeat(np.arange(len(words)), np.diff(at))
+        f, at = fitted_features(words)
         squares = np.full(self.w.shape, 1e-2)
 
-        def push(residual: np.ndarray, rate: float, owner=owner, f=f) -> None:
+        def push(residual: np.ndarray, rate: float, f=f, at=at) -> None:
             for k in range(n):
-                g = np.bincount(f, residual[owner, k], len(self.w)) - 1e-3 * self.w[:, k]
+                g = np.zeros(len(self.w))
+                for i in range(0, len(at) - 1, FIT_WORDS):
+                    own = at[i : i + FIT_WORDS + 1]
+                    np.add.at(g, f[own[0] : own[-1]], np.repeat(residual[i : i + FIT_WORDS, k], np.diff(own)))
+                g -= 1e-3 * self.w[:, k]
                 squares[:, k] += g**2
                 self.w[:, k] += rate * g / np.sqrt(squares[:, k])
 
         for _ in range(25):
-            s = np.add.reduceat(self.w[f], at[:-1], axis=0)
+            s = self.summed(f, at)
             p = np.exp(s - s.max(1, keepdims=True))
             push(y - y.sum(1, keepdims=True) * p / p.sum(1, keepdims=True), 0.3)
         rng = np.random.default_rng(seed)
@@ -139,20 +156,19 @@ class Chain:
                 seq[r, at_word : at_word + len(got)], lab[r, at_word : at_word + len(got)] = got, kinds[k]
                 at_word += len(got)
         used, back = np.unique(seq, return_inverse=True)
-        fu, au = word_features([words[i] for i in used])
-        ou = np.repeat(np.arange(len(used)), np.diff(au))
+        fu, au = fitted_features([words[i] for i in used])
         back = back.reshape(seq.shape)
         hot = np.eye(n)[lab]
         pairs = np.zeros((n, n))
         np.add.at(pairs, (lab[:, :-1].ravel(), lab[:, 1:].ravel()), 1)
         for _ in range(20):
-            e = np.add.reduceat(self.w[fu], au[:-1], axis=0)[back]
+            e = self.summed(fu, au)[back]
             post, expected = self._smooth(e)
             self.step += 2.0 * ((pairs - expected) / pairs.sum() - 1e-3 * self.step)
             self.start += 0.5 * (hot[:, 0] - post[:, 0]).mean(0)
             residual = np.zeros((len(used), n))
             np.add.at(residual, back.ravel(), (hot - post).reshape(-1, n))
-            push(residual, 0.05, ou, fu)
+            push(residual, 0.05, fu, au)
         return self
 
     def _smooth(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
