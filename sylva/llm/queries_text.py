@@ -11,7 +11,7 @@ from .langid import fit_language_model, label_documents
 from .near_dedup import near_duplicates
 from .periodic import periodic_runs, rewritten
 from .pii import BASE, personal_spans
-from .quality import fit_quality_model, score_documents
+from .quality import fit_ranker, measured_documents, score_measured
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_is("doc_id", 3, 1)
-    model = fit_quality_model(docs, table(spark, sf_dir, "labels").where(~held_out))
-    scored = score_documents(docs, model, "doc_id")
+    measured = measured_documents(docs, "doc_id")
+    scored = score_measured(measured, fit_ranker(measured, table(spark, sf_dir, "labels").where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
