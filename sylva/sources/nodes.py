@@ -22,8 +22,8 @@ COLUMNS = (
     ("line", pa.int32(), "int"), ("column", pa.int32(), "int"), ("end_line", pa.int32(), "int"), ("end_column", pa.int32(), "int"), ("path", pa.string(), "string"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"),
 )
 SCHEMA = ", ".join(f"`{n}` {t}" for n, _, t in COLUMNS)
-#: Rows that are handed to Spark at once.
-BATCH_ROWS = 50_000
+#: Rows, and characters of their texts and values about, that are handed to Spark at once, so that a worker's memory does not follow the size of its task.
+BATCH_ROWS, BATCH_CHARS = 10_000, 2_000_000
 
 
 def _rows(doc_id: int, file: str, doc: Node, inner_values: bool) -> Iterator[tuple]:
@@ -49,6 +49,7 @@ def node_table(sources: DataFrame, mode: str | None = None, inner_values: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [[]] * len(COLUMNS)
@@ -65,9 +66,12 @@ def node_table(sources: DataFrame, mode: str | None = None, inner_values: bool =
                     doc = parse(text, language, mode, ignore_whitespace, parse_depth)
                 except BAD_TEXT:  # a document that does not parse is left out, as a file is
                     continue
-                rows.extend(_rows(doc_id, path, doc, inner_values))
-                if len(rows) >= BATCH_ROWS:
-                    yield batch()
+                for row in _rows(doc_id, path, doc, inner_values):
+                    rows.append(row)
+                    held += len(row[9] or "") + len(row[10] or "")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                        yield batch()
+                        held = 0
         yield batch()
 
     nodes = spread(sources.select("doc_id", "path", "language", "content")).mapInArrow(run, SCHEMA)
