@@ -1,7 +1,10 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: parts contract their own edges, what stays large goes through alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 #: Edges in one file, at least; rows of one key that are no longer joined by a shuffle, at least, and the part of all rows that they must be.
 FILE_EDGES, HOT, HOT_SHARE = 200_000, 100_000, 10_000
+#: Edges that one task contracts, at most; more are taken in steps of as many.
+PART_EDGES = 50_000
 
 
 def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner", total: int = 0, largest: int | None = None, least: int | None = None) -> DataFrame:
@@ -34,16 +39,48 @@ def divided_join(rows: DataFrame, one: DataFrame, key: str, count: str, how: str
     return large.unionByName(known.where("_hot is null").drop("_hot").join(one.drop(count), key, how))
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each PART_EDGES edges of a part stars that connect the same vertices, each vertex with the smallest one that it reaches."""
+    parent: dict = {}
+
+    def top(v):
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    def stars() -> pa.RecordBatch:
+        found = [(v, r) for v in parent if (r := top(v)) != v]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held = 0
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+            held += 1
+            if held == PART_EDGES:
+                yield stars()
+                parent.clear()
+                held = 0
+    yield stars()
+
+
 def components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """id, root: every vertex of edges (a, b) but the roots, with the smallest vertex it reaches.
 
-    Each step only groups by a vertex to find its smallest neighbour, then joins that one row back;
+    At most PART_EDGES edges are contracted by one task after every part has contracted its own, two
+    short jobs in place of rounds of joins. Of more edges each step only groups by a vertex to find its smallest neighbour, then joins that one row back;
     a vertex with very many neighbours is pre-aggregated, and its row is broadcast to them. Edges
     shrink to stars; the loop ends when a round leaves them as they were. Null ends are ignored. files
     is the most files that the first edges are written to.
     """
-    now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, files)
+    own = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
+    now = settle((own if files is None else own.coalesce(files)).mapInArrow(_contract, "a long, b long"), name)
     mark = _mark(now)
+    if mark[0] <= PART_EDGES:
+        earlier, now = now, settle(now.coalesce(1).mapInArrow(_contract, "a long, b long"), name)
+        discard(earlier)
+        return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
